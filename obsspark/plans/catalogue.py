@@ -180,3 +180,122 @@ select service, file, type, ts, line, skipped, reason, error from diag""")
 def q_missing_sources(spark, d):
     """J4, J5 (B1): diagnostic records for failed sources and empty user journals."""
     return service_logs(spark, d).diagnostics
+
+
+# ------------------------------------------------------------ services (F2)
+
+from obsspark.operators import access as A  # noqa: E402
+from obsspark.operators import containers as C  # noqa: E402
+from obsspark.operators import events as EV  # noqa: E402
+from obsspark.operators import inventory as INV  # noqa: E402
+from obsspark.operators import metrics as M  # noqa: E402
+from obsspark.operators import triage as TR  # noqa: E402
+from obsspark.operators.diagnostics import USER_JOURNAL_PERMISSION_TEXT, classify_source_errors  # noqa: E402
+from obsspark.params import ContainerLogParams  # noqa: E402
+from obsspark.sources.journal import journal_with_fallback  # noqa: E402
+
+SELECT_NAMES = ["svc-1", "svc-3", "svc-6", "svc-9", "svc-3"]
+REQUEST_NAMES = ["svc-1", "svc-9", "svc-x", "svc-3"]
+
+
+def _names_sql(names) -> str:
+    return ", ".join(f"'{n}'" for n in sorted(set(names)))
+
+
+_FILES_CTE = "files as (select service as name, list_sort(list(distinct file)) as logs from f1 where not is_journal group by 1)"
+
+
+@register("services_select", f"""with f1 as ({O.F1}), f2 as ({O.F2}), {_FILES_CTE}
+select f2.service_idx, f2.name, journal, journal_scope, metrics, cast(coalesce(len(logs), 0) as bigint) as n_logs
+from f2 left join files using (name) where f2.name in ({_names_sql(SELECT_NAMES)})""")
+def q_services_select(spark, d):
+    """Named services of the registry, registry order kept."""
+    reg = INV.select_services(FX.registry(spark, d), SELECT_NAMES)
+    return reg.select("service_idx", "name", "journal", "journal_scope", "metrics",
+                      F.coalesce(F.size(F.coalesce("logs", F.array().cast("array<string>"))), F.lit(0))
+                      .cast("long").alias("n_logs"))
+
+
+@register("expand_sources", f"""with f1 as ({O.F1}), f2 as ({O.F2}),
+fl as (select distinct service, file from f1 where not is_journal),
+fr as (select f2.service_idx, f2.name as service,
+              cast(row_number() over (partition by f2.name order by fl.file) - 1 as int) as source_pos,
+              fl.file, cast(null as varchar) as journal, false as is_journal, cast(null as varchar) as journal_scope
+       from f2 join fl on fl.service = f2.name),
+jr as (select f2.service_idx, f2.name as service,
+              cast((select count(*) from fl where fl.service = f2.name) as int) as source_pos,
+              cast(null as varchar) as file, journal, true as is_journal, coalesce(journal_scope, 'system') as journal_scope
+       from f2 where journal is not null)
+select * from fr union all select * from jr""")
+def q_expand_sources(spark, d):
+    """Registry entries -> ordered sources (files, then the journal)."""
+    return INV.expand_sources(FX.registry(spark, d)).select(
+        "service_idx", "service", "source_pos", "file", "journal", "is_journal", "journal_scope")
+
+
+@register("unknown_services", f"""with f2 as ({O.F2})
+select name from (values {', '.join(f"('{n}')" for n in sorted(set(REQUEST_NAMES)))}) t(name)
+where name not in (select name from f2)""")
+def q_unknown_services(spark, d):
+    """Requested service names missing from the registry."""
+    return INV.unknown_services(spark, FX.registry(spark, d), REQUEST_NAMES)
+
+
+def _dt(x):
+    return O.dtrim(x)
+
+
+@register("registry_violations", f"""with f1 as ({O.F1}), f2 as ({O.F2}), {_FILES_CTE},
+reg as (select f2.service_idx, f2.name, files.logs, journal, journal_scope, cast(null as varchar) as journal_user, metrics
+        from f2 left join files using (name))
+select service_idx, '{INV.RULE_NAME}' as rule from reg where name is null or {_dt('name')} = ''
+union all select service_idx, '{INV.RULE_LOGS}' from reg where len(list_filter(coalesce(logs, []), lambda x: x is null or {_dt('x')} = '')) > 0
+union all select service_idx, '{INV.RULE_JOURNAL}' from reg where journal is not null and {_dt('journal')} = ''
+union all select service_idx, '{INV.RULE_SCOPE}' from reg where journal_scope is not null and {_dt('journal_scope')} not in ('system', 'user')
+union all select service_idx, '{INV.RULE_USER}' from reg where journal_user is not null and ({_dt('journal_user')} = ''
+          or (regexp_matches({_dt('journal_user')}, '^[0-9]+$') and cast({_dt('journal_user')} as decimal(20,0)) > {INV.MAX_UID}))
+union all select service_idx, '{INV.RULE_SCOPE_NEEDS_JOURNAL}' from reg where journal_scope is not null and (journal is null or {_dt('journal')} = '')
+union all select service_idx, '{INV.RULE_USER_REQUIRED}' from reg where {_dt('journal_scope')} = 'user' and (journal_user is null or {_dt('journal_user')} = '')
+union all select service_idx, '{INV.RULE_USER_NEEDS_SCOPE}' from reg where coalesce({_dt('journal_scope')}, '') <> 'user' and journal_user is not null and {_dt('journal_user')} <> ''
+union all select service_idx, '{INV.RULE_METRICS}' from reg where metrics is not null and {_dt('metrics')} = ''
+union all select r.service_idx, '{INV.RULE_DUPLICATE}' from reg r
+          where exists (select 1 from reg q where {_dt('q.name')} = {_dt('r.name')} and q.service_idx < r.service_idx)""")
+def q_registry_violations(spark, d):
+    """Registry rule violations, one row per (entry, rule)."""
+    return INV.registry_violations(FX.registry(spark, d))
+
+
+@register("classify_source_error", f"""with f1 as ({O.F1}), f7 as ({O.F7}),
+src as (select distinct service, file, is_journal from f1),
+e as (select f7.*, src.is_journal from f7 join src using (service, file)),
+s as (select *, case when is_journal then 'system' end as journal_scope, 'system' as scope from e
+      union all select *, case when is_journal then 'user' end as journal_scope, 'user' as scope from e),
+r as (select *, {O.error_reason()} as reason from s)
+select service, file, code, scope, reason, {O.error_text(USER_JOURNAL_PERMISSION_TEXT)} as error,
+       case when is_journal and journal_scope = 'user' then 'log_error' else 'log' end as type from r""")
+def q_classify_source_error(spark, d):
+    """Failed reads -> skip reason and error text, for system and user scopes."""
+    src = FX.log_lines(spark, d).select("service", "file", "is_journal").distinct()
+    e = FX.source_errors(spark, d).join(src, ["service", "file"])
+    both = None
+    for scope in ("system", "user"):
+        part = e.withColumns({"journal_scope": F.when(F.col("is_journal"), F.lit(scope)), "scope": F.lit(scope)})
+        both = part if both is None else both.unionByName(part)
+    return classify_source_errors(both).select("service", "file", "code", "scope", "reason", "error", "type")
+
+
+@register("journal_fallback", f"""with f1 as ({O.F1}), f2 as ({O.F2}),
+jl as (select * from f1 where is_journal and not {O.NOISE}),
+pr as (select * from jl where service in (select name from f2 where journal is not null))
+select service, file, seq, 'primary' as via from pr
+union all
+select service, file, seq, 'fallback' as via from jl
+where not exists (select 1 from pr where pr.service = jl.service and pr.file = jl.file)""")
+def q_journal_fallback(spark, d):
+    """Primary selector (services with a registered unit) else the fallback selector."""
+    jl = FX.log_lines(spark, d).filter("is_journal")
+    from obsspark.operators.lines import drop_journal_noise as _dn
+    jl = _dn(jl)
+    units = FX.services(spark, d).filter(F.col("journal").isNotNull()).select(F.col("name").alias("service"))
+    primary = jl.join(units, "service", "left_semi")
+    return journal_with_fallback(primary, jl, ["service", "file"]).select("service", "file", "seq", "via")

@@ -188,3 +188,59 @@ def principal_patterns(spark: SparkSession) -> DataFrame:
 
 def principal_capabilities(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRINCIPAL_CAPABILITIES, "sub string, capability string")
+
+
+def pod_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 shaped like the Kubernetes pod object (metadata / spec / status),
+    the same schema ``read_pods`` yields from JSON pod lists."""
+    p = pods(spark, sf_dir)
+
+    def entries(*kv):
+        return F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value"))
+                                                      for k, v in kv]),
+                                           lambda e: e["value"].isNotNull()))
+
+    return p.select(
+        F.struct(
+            F.col("namespace").alias("namespace"), F.col("name").alias("name"), F.col("uid").alias("uid"),
+            entries(("app", F.col("label_app")), ("tier", F.col("label_tier"))).alias("labels"),
+            entries(("prometheus.io/scrape", F.col("ann_scrape")), ("prometheus.io/port", F.col("ann_port")),
+                    ("prometheus.io/path", F.col("ann_path"))).alias("annotations"),
+        ).alias("metadata"),
+        F.struct(
+            F.array(F.struct(F.col("container").alias("name"))).alias("containers"),
+            F.when(F.col("init_container").isNotNull(), F.array(F.struct(F.col("init_container").alias("name"))))
+            .otherwise(F.array().cast("array<struct<name:string>>")).alias("initContainers"),
+            F.concat(F.lit("node-"), F.col("namespace")).alias("nodeName"),
+        ).alias("spec"),
+        F.struct(
+            F.col("pod_ip").alias("podIP"),
+            F.when(F.col("ready"), F.lit("Running")).otherwise(F.lit("Pending")).alias("phase"),
+            F.array(F.struct(F.lit("Ready").alias("type"),
+                             F.when(F.col("ready"), F.lit("True")).otherwise(F.lit("False")).alias("status")))
+            .alias("conditions"),
+        ).alias("status"),
+    )
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 plus each service's log files (the F1 file sources of that
+    service, sorted): the registry entry shape (name, logs[], journal,
+    journal_scope, journal_user, metrics)."""
+    files = (log_lines(spark, sf_dir).filter(~F.col("is_journal"))
+             .groupBy(F.col("service").alias("name"))
+             .agg(F.array_sort(F.collect_set("file")).alias("logs")))
+    return (services(spark, sf_dir).join(files, "name", "left")
+            .select("service_idx", "name", "logs", "journal", "journal_scope",
+                    F.lit(None).cast("string").alias("journal_user"), "metrics"))
+
+
+def service_scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6 outcomes re-keyed for the registry: service ``svc-i`` was
+    scraped through pod ``pod-i`` of namespace ``ns-(i % 5)``."""
+    s = scrapes(spark, sf_dir)
+    reg = services(spark, sf_dir).select("service_idx", "name")
+    key_ns = F.concat(F.lit("ns-"), (F.col("service_idx") % 5).cast("string"))
+    key_pod = F.concat(F.lit("pod-"), F.col("service_idx").cast("string"))
+    return (reg.join(s, (s["namespace"] == key_ns) & (s["pod"] == key_pod), "inner")
+            .select(F.col("name").alias("service"), "http_status", "body", "error_kind", "error_message"))
