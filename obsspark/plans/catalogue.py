@@ -299,3 +299,255 @@ def q_journal_fallback(spark, d):
     units = FX.services(spark, d).filter(F.col("journal").isNotNull()).select(F.col("name").alias("service"))
     primary = jl.join(units, "service", "left_semi")
     return journal_with_fallback(primary, jl, ["service", "file"]).select("service", "file", "seq", "via")
+
+
+# ------------------------------------------------------------------ pods
+
+POD_NS = "ns-1"
+POD_SELECTOR = "app in (building, machinery), tier!=frontend"
+POD_NEEDLE = "12"
+
+
+def pod_objects(spark, d):
+    return FX.pod_objects(spark, d)
+
+
+def all_refs(spark, d):
+    return INV.pod_refs(pod_objects(spark, d))
+
+
+@register("pods_by_selector", f"""with f3 as ({O.F3})
+select namespace, name from f3
+where namespace = '{POD_NS}' and label_app in ('building', 'machinery') and (label_tier is null or label_tier <> 'frontend')""")
+def q_pods_by_selector(spark, d):
+    """Namespace scope plus a set-based label selector."""
+    p = INV.pods_by_selector(pod_objects(spark, d), POD_NS, POD_SELECTOR)
+    return p.select(F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("name"))
+
+
+@register("pods_by_name", f"""with f3 as ({O.F3})
+select namespace, name from f3 where contains(coalesce(name, ''), '{POD_NEEDLE}')""")
+def q_pods_by_name(spark, d):
+    """Pods whose name contains a substring."""
+    p = INV.pods_by_name(pod_objects(spark, d), POD_NEEDLE)
+    return p.select(F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("name"))
+
+
+@register("describe_pods", f"""with f3 as ({O.F3})
+select namespace, name, label_app, label_tier, 'main' as containers, ready,
+       case when ready then 'Running' else 'Pending' end as phase, pod_ip,
+       cast((ann_scrape is not null)::int + (ann_port is not null)::int + (ann_path is not null)::int as int) as n_annotations,
+       'node-' || namespace as node_name
+from f3""")
+def q_describe_pods(spark, d):
+    """Admin discovery listing (labels, containers, readiness, phase, podIP, annotations, node)."""
+    p = INV.describe_pods(pod_objects(spark, d), admin=True)
+    return p.select("namespace", "name", F.col("labels")["app"].alias("label_app"),
+                    F.col("labels")["tier"].alias("label_tier"),
+                    F.array_join("containers", ",").alias("containers"), "ready", "phase", "pod_ip",
+                    F.size("annotations").alias("n_annotations"), "node_name")
+
+
+@register("pod_refs", f"""with f3 as ({O.F3})
+select namespace, name, nullif(uid, '') as uid, pod_ip,
+       case when init_container is null then 'main' else 'main,init' end as containers
+from f3""")
+def q_pod_refs(spark, d):
+    """Pod references with containers ++ initContainers."""
+    r = all_refs(spark, d)
+    return r.select("namespace", "name", "uid", "pod_ip", F.array_join("containers", ",").alias("containers"))
+
+
+_REQ_REFS_SQL = "select distinct 'ns-' || cast(o_orderkey % 5 as varchar) as namespace, 'pod-' || cast(o_custkey as varchar) as pod from orders"
+
+
+def requested_refs(spark, d):
+    """Pods named by orders in the order's shard namespace (not always the pod's)."""
+    o = FX.table(spark, d, "orders")
+    return o.select(F.concat(F.lit("ns-"), (F.col("o_orderkey") % 5).cast("string")).alias("namespace"),
+                    F.concat(F.lit("pod-"), F.col("o_custkey").cast("string")).alias("pod")).distinct()
+
+
+@register("missing_pods", f"""with f3 as ({O.F3}), req as ({_REQ_REFS_SQL})
+select namespace, pod from req where not exists (select 1 from f3 where f3.namespace = req.namespace and f3.name = req.pod)""")
+def q_missing_pods(spark, d):
+    """Requested pod references that do not exist."""
+    return INV.missing_pods(requested_refs(spark, d), all_refs(spark, d))
+
+
+@register("pod_uid_map", f"""with f3 as ({O.F3}), f4 as ({O.F4}),
+obs as (select namespace, name, uid, cast(0 as bigint) as ord from f3
+        union all select namespace, obj_name as name, obj_uid as uid, event_id + 1 as ord from f4 where obj_kind = 'Pod')
+select namespace, name, arg_max_null(uid, ord) as uid from obs group by namespace, name""")
+def q_pod_uid_map(spark, d):
+    """Last observed uid per (namespace, pod) wins."""
+    pods = all_refs(spark, d).select("namespace", "name", "uid", F.lit(0).cast("long").alias("ord"))
+    ev = (FX.kube_events(spark, d).filter(F.col("obj_kind") == "Pod")
+          .select("namespace", F.col("obj_name").alias("name"), F.col("obj_uid").alias("uid"),
+                  (F.col("event_id") + 1).alias("ord")))
+    return INV.pod_uid_map(pods.unionByName(ev), "ord")
+
+
+# ---------------------------------------------------------------- events
+
+EVENT_WINDOW = TimeWindow(start="1996-01-01T00:00:00Z", end="1999-12-31T00:00:00Z", max_seconds=10 * 366 * 86_400)
+EV_START_MS, EV_END_MS = EVENT_WINDOW.bounds_ms(NOW_MS)
+EVENT_SELECTOR = "app=building"
+
+
+@register("events_for_pods", f"""with f3 as ({O.F3}), f4 as ({O.F4}),
+sel as (select namespace, name, uid from f3 where label_app = 'building'),
+ev as (select *, nullif(coalesce(last_timestamp, event_time, creation_timestamp), '') as ts from f4),
+ev2 as (select *, epoch_ms(try_cast(replace(ts, 'Z', '') as timestamp)) as ms from ev)
+select event_id, namespace, ts, reason, message, obj_kind, obj_name from ev2
+where ms is not null and ms >= {EV_START_MS} and ms <= {EV_END_MS} and obj_kind = 'Pod' and length(obj_name) > 0
+  and exists (select 1 from sel where sel.namespace = ev2.namespace and sel.name = ev2.obj_name
+              and (nullif(sel.uid, '') is null or nullif(ev2.obj_uid, '') is null or sel.uid = ev2.obj_uid))""")
+def q_events_for_pods(spark, d):
+    """J1, P20, P21 (B3): events of selected pods inside an absolute window, uid rule applied."""
+    refs = INV.pod_refs(INV.pods_by_selector(pod_objects(spark, d), "*", EVENT_SELECTOR))
+    ev = EV.collect_events(FX.kube_events(spark, d), refs.select("namespace", "name", "uid"), EV_START_MS, EV_END_MS)
+    return ev.select("event_id", "namespace", "ts", "reason", "message", "obj_kind", "obj_name")
+
+
+# -------------------------------------------------------- container logs
+
+CONTAINER_PARAMS = ContainerLogParams(
+    now_ms=NOW_MS, tail_lines=40, previous=True, exclude=("purchase",),
+    window=TimeWindow(start="2024-01-05T00:00:00Z", end="2024-01-25T00:00:00Z", max_seconds=31 * 86_400))
+CL_START_MS, CL_END_MS = CONTAINER_PARAMS.window_ms()
+CONTAINER_SELECTOR = "tier=backend"
+
+_PC_SQL = """select namespace, name as pod, 'main' as container from {src}
+union all select namespace, name as pod, init_container as container from {src} where init_container is not null"""
+
+
+@register("container_logs_window", f"""with f3 as ({O.F3}), f5 as ({O.F5}),
+sel as (select * from f3 where label_tier = 'backend'),
+pc as ({_PC_SQL.format(src='sel')}),
+w as (select f5.* from f5 join pc using (namespace, pod, container)),
+t as (select * from (select *, row_number() over (partition by namespace, pod, container, previous order by pos desc) as rn
+                     from w) x where rn <= {CONTAINER_PARAMS.tail_lines}),
+p as ({O.parsed_cte("(select * from t where length(raw) > 0) s")})
+select namespace, pod, container, previous, pos, ts, line from p
+where sort_ms between {CL_START_MS} and {CL_END_MS} and not {O.any_contains('raw', CONTAINER_PARAMS.exclude)}""")
+def q_container_logs_window(spark, d):
+    """Per-container tail of current and previous logs, strict window, excludes."""
+    refs = INV.pod_refs(INV.pods_by_selector(pod_objects(spark, d), "*", CONTAINER_SELECTOR))
+    out = C.container_log_lines(FX.container_logs(spark, d), refs, CONTAINER_PARAMS)
+    return out.select("namespace", "pod", "container", "previous", "pos", "ts", "line")
+
+
+@register("since_filter", f"""with f5 as ({O.F5}),
+p as ({O.parsed_cte("(select * from f5 where length(raw) > 0) s")})
+select namespace, pod, pos, sort_ms from p where sort_ms is null or sort_ms >= {NOW_MS - 7 * 86_400 * 1000}""")
+def q_since_filter(spark, d):
+    """Relative lower bound now - since on container lines; undated lines kept."""
+    p = parse_lines(drop_empty(FX.container_logs(spark, d)))
+    return since_filter(p, NOW_MS, 7 * 86_400).select("namespace", "pod", "pos", "sort_ms")
+
+
+@register("time_window_strict", f"""with f5 as ({O.F5}),
+p as ({O.parsed_cte("(select * from f5 where length(raw) > 0) s")})
+select namespace, pod, pos, sort_ms from p where sort_ms between {CL_START_MS} and {CL_END_MS}""")
+def q_time_window_strict(spark, d):
+    """Inclusive absolute window; undated lines dropped."""
+    p = parse_lines(drop_empty(FX.container_logs(spark, d)))
+    return time_window_strict(p, CL_START_MS, CL_END_MS).select("namespace", "pod", "pos", "sort_ms")
+
+
+@register("previous_skips", f"""with f3 as ({O.F3}), f5 as ({O.F5}),
+pc as ({_PC_SQL.format(src='f3')}),
+prev as (select distinct namespace, pod, container from f5 where previous)
+select namespace, pod, container, '{C.NO_PREVIOUS_CONTAINER}' as reason from pc
+where not exists (select 1 from prev where prev.namespace = pc.namespace and prev.pod = pc.pod and prev.container = pc.container)""")
+def q_previous_skips(spark, d):
+    """Containers asked for previous logs that have none -> skip records."""
+    return C.previous_skips(FX.container_logs(spark, d), all_refs(spark, d)).select(
+        "namespace", "pod", "container", "reason")
+
+
+@register("expected_lines", f"""with f3 as ({O.F3})
+select count(*) as n_pods, cast(sum(case when init_container is null then 1 else 2 end) as bigint) as n_containers,
+       cast(sum(case when init_container is null then 1 else 2 end) * 4000 as bigint) as expected_max
+from f3 where label_app = 'building'""")
+def q_expected_lines(spark, d):
+    """Containers x tailLines x 2 (previous) for the selected pods."""
+    refs = INV.pod_refs(INV.pods_by_selector(pod_objects(spark, d), "*", EVENT_SELECTOR))
+    return C.expected_lines(refs, 2000, True)
+
+
+# --------------------------------------------------------------- metrics
+
+MAX_BODY = 12
+
+_PORT_SQL = "try_cast(nullif(regexp_extract(ann_port, '^\\s*([+-]?[0-9]+)', 1), '') as bigint)"
+_PATH_T = O.dtrim("ann_path")
+_TARGETS_SQL = f"""t0 as (select *, {_PORT_SQL} as port0 from f3),
+t1 as (select *, coalesce(ann_scrape = 'true', false) and coalesce(port0 > 0, false) as metrics_enabled from t0),
+tg as (select *, case when metrics_enabled then port0 end as port,
+              case when metrics_enabled then (case when {_PATH_T} <> '' and starts_with({_PATH_T}, '/')
+                   and not contains({_PATH_T}, '..') and not contains({_PATH_T}, '?') and not contains({_PATH_T}, '#')
+                   then {_PATH_T} else '/metrics' end) end as path from t1),
+tgu as (select *, case when metrics_enabled and coalesce(pod_ip <> '', false)
+               then 'http://' || pod_ip || ':' || cast(port as varchar) || path end as url from tg)"""
+
+
+@register("scrape_targets", f"""with f3 as ({O.F3}), {_TARGETS_SQL}
+select namespace, name, metrics_enabled, port, path, url from tgu""")
+def q_scrape_targets(spark, d):
+    """Annotation-driven scrape targets, port prefix parse, path rules, URL."""
+    return M.scrape_targets(all_refs(spark, d)).select("namespace", "name", "metrics_enabled", "port", "path", "url")
+
+
+def _outcome_sql(fetch_failed: str) -> tuple[str, str]:
+    size = "octet_length(encode(body))"
+    err = (f"(case when error_kind = 'timeout' then 'timeout after 2000ms' "
+           f"when error_kind is not null or http_status is null then {fetch_failed} "
+           f"when coalesce({size}, 0) > {MAX_BODY} then 'response_too_large (' || cast({size} as varchar) || ' bytes)' "
+           f"when http_status not between 200 and 299 then 'non-200 (' || cast(http_status as varchar) || ')' end)")
+    return f"({err} is null)", err
+
+
+_OK, _ERR = _outcome_sql("'fetch_failed'")
+
+
+@register("classify_pod_scrape", f"""with f3 as ({O.F3}), f6 as ({O.F6}), {_TARGETS_SQL},
+j as (select tgu.*, f6.http_status, f6.body, f6.error_kind, f6.error_message
+      from tgu left join f6 on f6.namespace = tgu.namespace and f6.pod = tgu.name),
+k as (select *, metrics_enabled and coalesce(pod_ip <> '', false) as fetched, {_OK} as ok0, {_ERR} as err0 from j)
+select namespace, name as pod,
+       case when fetched then pod_ip end as pod_ip, case when fetched then port end as port,
+       case when fetched then path end as path,
+       case when not metrics_enabled then true end as skipped,
+       case when not metrics_enabled then 'annotation_missing' end as reason,
+       case when metrics_enabled and not fetched then false when fetched then ok0 end as ok,
+       case when metrics_enabled and not fetched then 'podIP_missing' when fetched then err0 end as error,
+       case when fetched and ok0 then coalesce(body, '') end as content
+from k""")
+def q_classify_pod_scrape(spark, d):
+    """P22, J6 (B4): exactly one metrics outcome per pod, reference precedence."""
+    t = M.scrape_targets(all_refs(spark, d))
+    return M.classify_pod_scrapes(t, FX.scrapes(spark, d), max_body_bytes=MAX_BODY).select(
+        "namespace", "pod", "pod_ip", "port", "path", "skipped", "reason", "ok", "error", "content")
+
+
+_SOK, _SERR = _outcome_sql("'fetch_failed: ' || coalesce(error_message, 'unknown')")
+
+
+@register("classify_service_scrape", f"""with f2 as ({O.F2}), f6 as ({O.F6}),
+ss as (select f2.name as service, f6.http_status, f6.body, f6.error_kind, f6.error_message from f2
+       join f6 on f6.namespace = 'ns-' || cast(f2.service_idx % 5 as varchar) and f6.pod = 'pod-' || cast(f2.service_idx as varchar)),
+j as (select f2.service_idx, f2.name, f2.metrics, ss.* exclude (service) from f2 left join ss on ss.service = f2.name)
+select service_idx, name as service, metrics as url,
+       case when metrics is null then true end as skipped,
+       case when metrics is null then 'no_metrics_url' end as reason,
+       case when metrics is not null then {_SOK} end as ok,
+       case when metrics is not null then {_SERR} end as error,
+       case when metrics is not null and {_SOK} then coalesce(body, '') end as content
+from j""")
+def q_classify_service_scrape(spark, d):
+    """P22, J6b (B5): exactly one metrics outcome per registered service."""
+    return M.classify_service_scrapes(FX.registry(spark, d), FX.service_scrapes(spark, d), max_body_bytes=MAX_BODY
+                                      ).select("service_idx", "service", "url", "skipped", "reason", "ok", "error",
+                                               "content")
