@@ -551,3 +551,108 @@ def q_classify_service_scrape(spark, d):
     return M.classify_service_scrapes(FX.registry(spark, d), FX.service_scrapes(spark, d), max_body_bytes=MAX_BODY
                                       ).select("service_idx", "service", "url", "skipped", "reason", "ok", "error",
                                                "content")
+
+
+# ---------------------------------------------------------------- access (F8)
+
+def principals(spark, d, pattern_col: str, out_col: str):
+    """F8 folded to one row per principal (admin, patterns array)."""
+    return A.fold_patterns(FX.principal_patterns(spark).filter(F.col(pattern_col).isNotNull() | F.col("admin")),
+                           pattern_col, out_col)
+
+
+def _glob_sql(value: str, pattern: str) -> str:
+    p = f"replace(replace(replace(replace({pattern}, '!', '!!'), '%', '!%'), '_', '!_'), '*', '%')"
+    return f"({value} like {p} escape '!')"
+
+
+@register("visible_services", f"""with f2 as ({O.F2}), f8 as ({O.F8}),
+pr as (select distinct sub, admin from f8)
+select pr.sub, f2.name, f2.service_idx,
+       case when pr.admin then f2.journal end as journal,
+       case when pr.admin then f2.journal_scope end as journal_scope,
+       case when pr.admin then f2.metrics end as metrics
+from pr join f2 on pr.admin or exists (select 1 from f8 where f8.sub = pr.sub and f8.svc_pattern is not null
+                                        and {_glob_sql('f2.name', 'f8.svc_pattern')})""")
+def q_visible_services(spark, d):
+    """Services each principal may list, admin fields redacted for others."""
+    pr = principals(spark, d, "svc_pattern", "allowed_services")
+    return A.visible_services(pr, FX.services(spark, d))
+
+
+@register("authorize_targets", f"""with f3 as ({O.F3}), f8 as ({O.F8}),
+t as (select distinct namespace as target from f3 union select '*'),
+pr as (select distinct sub, admin from f8),
+ok as (select pr.sub, t.target from pr join t on pr.admin or exists (
+          select 1 from f8 where f8.sub = pr.sub and f8.ns_pattern is not null and {_glob_sql('t.target', 'f8.ns_pattern')}))
+select pr.sub, (select count(*) from t) as n_targets, count(ok.target) as n_allowed,
+       count(ok.target) = (select count(*) from t) as authorized
+from pr left join ok on ok.sub = pr.sub group by pr.sub""")
+def q_authorize_targets(spark, d):
+    """All-or-nothing namespace authorization per principal ('*' target must be matched itself)."""
+    pr = principals(spark, d, "ns_pattern", "allowed_namespaces")
+    targets = (all_refs(spark, d).select(F.col("namespace").alias("target"))
+               .unionByName(spark.range(1).select(F.lit("*").alias("target"))))
+    return A.authorize_targets(pr, "allowed_namespaces", targets, "target")
+
+
+@register("authorize_capabilities", f"""with f4 as ({O.F4}), f5 as ({O.F5}), f6 as ({O.F6}), f8 as ({O.F8}),
+caps as ({O.F8_CAPS}),
+rec as (select 'event' as type, namespace from f4 union all select 'log', namespace from f5
+        union all select 'metrics_text', namespace from f6),
+cm as (select * from (values ('log', 'logs'), ('log_error', 'logs'), ('log_summary', 'logs'), ('event', 'events'),
+                             ('metrics_text', 'metrics')) t(type, capability)),
+pr as (select distinct sub, admin from f8)
+select pr.sub, rec.type, count(*) as n_records
+from pr join rec on pr.admin or (exists (select 1 from f8 where f8.sub = pr.sub and f8.ns_pattern is not null
+                                          and {_glob_sql('rec.namespace', 'f8.ns_pattern')})
+                                  and exists (select 1 from caps join cm on cm.capability = caps.capability
+                                              where caps.sub = pr.sub and cm.type = rec.type))
+group by pr.sub, rec.type""")
+def q_authorize_capabilities(spark, d):
+    """Records per (principal, type) visible by capability and namespace scope."""
+    pr = principals(spark, d, "ns_pattern", "allowed_namespaces")
+    rec = (FX.kube_events(spark, d).select(F.lit("event").alias("type"), "namespace")
+           .unionByName(FX.container_logs(spark, d).select(F.lit("log").alias("type"), "namespace"))
+           .unionByName(FX.scrapes(spark, d).select(F.lit("metrics_text").alias("type"), "namespace")))
+    return A.record_visibility(pr, FX.principal_capabilities(spark), rec)
+
+
+# ---------------------------------------------------------------- triage
+
+@register("error_signatures", f"""with f1 as ({O.F1}),
+p as ({O.parsed_cte(f"(select * from f1 where length(raw) > 0 and (not is_journal or not {O.NOISE})) s")}),
+r as (select *, coalesce(sort_ms, last_value(case when sort_ms is not null and (not is_journal or {_W}) then sort_ms end
+          ignore nulls) over (partition by service, file order by seq rows between unbounded preceding and current row))
+          as rank_ms from p)
+select regexp_replace(line, '[0-9]+', '<n>', 'g') as signature, count(*) as n, min(rank_ms) as first_ms,
+       max(rank_ms) as last_ms
+from r where contains(lower(line), 'error') group by 1""")
+def q_error_signatures(spark, d):
+    """Recurring error lines by digit-normalised signature with first/last time."""
+    l0 = drop_empty(FX.log_lines(spark, d))
+    l0 = l0.filter(~F.col("is_journal") | ~is_journal_noise(F.col("raw")))
+    lines = inherit_timestamp(parse_lines(l0), ["service", "file"], "seq", WIN_START_MS, WIN_END_MS,
+                              window_applies=F.col("is_journal"))
+    return TR.error_signatures(lines)
+
+
+@register("anomaly_triage", f"""with f3 as ({O.F3}), f4 as ({O.F4}), f5 as ({O.F5}), f6 as ({O.F6}), {_TARGETS_SQL},
+j as (select tgu.*, f6.http_status, f6.body, f6.error_kind, f6.error_message
+      from tgu left join f6 on f6.namespace = tgu.namespace and f6.pod = tgu.name),
+k as (select *, metrics_enabled and coalesce(pod_ip <> '', false) as fetched, {_OK} as ok0 from j),
+m as (select namespace, name as pod, case when metrics_enabled and not fetched then false when fetched then ok0 end as ok from k),
+p as ({O.parsed_cte("(select * from f5 where length(raw) > 0) s")}),
+u as (select 1 as priority, namespace || '/' || obj_name as target from f4
+      where reason in ('OOMKilled', 'CrashLoopBackOff', 'FailedScheduling')
+      union all select 2, namespace || '/' || pod from p
+      where contains(lower(line), 'panic') or contains(lower(line), 'fatal') or contains(lower(line), 'segfault')
+         or contains(lower(line), 'timeout') or contains(lower(line), 'connection refused')
+      union all select 3, namespace || '/' || pod from m where ok = false)
+select priority, target, count(*) as n from u group by priority, target""")
+def q_anomaly_triage(spark, d):
+    """Priority 1 events, 2 log keywords, 3 failed scrapes, counted per target."""
+    t = M.scrape_targets(all_refs(spark, d))
+    met = M.classify_pod_scrapes(t, FX.scrapes(spark, d), max_body_bytes=MAX_BODY)
+    logs = parse_lines(drop_empty(FX.container_logs(spark, d)))
+    return TR.anomaly_triage(FX.kube_events(spark, d), logs, met)
