@@ -656,3 +656,144 @@ def q_anomaly_triage(spark, d):
     met = M.classify_pod_scrapes(t, FX.scrapes(spark, d), max_body_bytes=MAX_BODY)
     logs = parse_lines(drop_empty(FX.container_logs(spark, d)))
     return TR.anomaly_triage(FX.kube_events(spark, d), logs, met)
+
+
+# --------------------------------------------------------------- bundles
+
+from obsspark.plans.bundles import pod_bundle, service_bundle  # noqa: E402
+from obsspark.session import shared_dir  # noqa: E402
+from obsspark.sources.bundle import read_bundle, write_bundle  # noqa: E402
+
+BUNDLE_ID = "bundle-0001"
+CREATED_AT = "2024-01-31T00:00:00.000Z"
+NOW_ISO = "2024-01-31T00:00:00.000Z"
+
+SERVICE_BUNDLE_COLS = ["section", "k1", "k3", "type", "bundle_id", "service", "file", "journal", "journal_scope",
+                       "ts", "line", "skipped", "reason", "error", "url", "ok", "content", "max_total_log_lines",
+                       "line_limited", "matched_log_records", "returned_log_records", "diagnostic_records"]
+
+
+def service_bundle_df(spark, d):
+    logs = service_logs(spark, d)
+    metrics = M.classify_service_scrapes(FX.registry(spark, d), FX.service_scrapes(spark, d), max_body_bytes=MAX_BODY)
+    return service_bundle(spark, logs, f1_sources(spark, d), metrics, SERVICE_PARAMS, BUNDLE_ID, CREATED_AT)
+
+
+def _service_bundle_sql(cols: list[str], user_scope_only: bool = False) -> str:
+    scope = ("case when journal_scope = 'user' then 'user' end" if user_scope_only else "journal_scope")
+    rows = f"""with {_b1_ctes()},
+ss as (select f2.name as service, f6.http_status, f6.body, f6.error_kind, f6.error_message from f2
+       join f6 on f6.namespace = 'ns-' || cast(f2.service_idx % 5 as varchar) and f6.pod = 'pod-' || cast(f2.service_idx as varchar)),
+mj as (select f2.service_idx, f2.name, f2.metrics, ss.* exclude (service) from f2 left join ss on ss.service = f2.name),
+tot as (select count(*) as n_sources, coalesce(sum(matched_log_records), 0) as m,
+               coalesce(sum(returned_log_records), 0) as r from summ),
+b as (
+  select 0 as section, cast(null as bigint) as k1, cast(null as bigint) as k3, 'meta' as type, '{BUNDLE_ID}' as bundle_id,
+         null::varchar as service, null::varchar as file, null::varchar as journal, null::varchar as journal_scope,
+         null::varchar as ts, null::varchar as line, null::boolean as skipped, null::varchar as reason,
+         null::varchar as error, null::varchar as url, null::boolean as ok, null::varchar as content,
+         null::bigint as max_total_log_lines, null::boolean as line_limited, null::bigint as matched_log_records,
+         null::bigint as returned_log_records, null::bigint as diagnostic_records
+  union all
+  select 1, null, null, d.type, null, d.service, case when not s.is_journal then d.file end,
+         case when s.is_journal then d.file end, case when s.is_journal then s.journal_scope end,
+         d.ts, d.line, d.skipped, d.reason, d.error, null, null, null, null, null, null, null, null
+  from diag d join src s on s.service = d.service and s.file = d.file
+  union all
+  select 2, sel.rank_ms, sel.seq, 'log', null, sel.service, case when not sel.is_journal then sel.file end,
+         case when sel.is_journal then sel.file end, case when sel.is_journal then s.journal_scope end,
+         sel.ts, sel.line, null, null, null, null, null, null, null, null, null, null, null
+  from sel join src s on s.service = sel.service and s.file = sel.file
+  union all
+  select 3, null, null, 'log_summary', null, null, null, null, null, '{NOW_ISO}', null, null, null, null, null, null,
+         null, {TOP_K}, m > r, m, r, (select count(*) from diag)
+  from tot where n_sources > 0
+  union all
+  select 4, null, null, 'metrics_text', null, name, null, null, null, '{NOW_ISO}', null,
+         case when metrics is null then true end, case when metrics is null then 'no_metrics_url' end, 
+         case when metrics is not null then {_SERR} end, metrics,
+         case when metrics is not null then {_SOK} end,
+         case when metrics is not null and {_SOK} then coalesce(body, '') end, null, null, null, null, null
+  from mj)
+select {', '.join(c if c != 'journal_scope' else scope + ' as journal_scope' for c in cols)} from b"""
+    return rows.replace("with f1 as", "with f1 as", 1).replace(
+        "f7 as (", f"f6 as ({O.F6}),\nf7 as (", 1)
+
+
+@register("service_bundle", _service_bundle_sql(SERVICE_BUNDLE_COLS))
+def q_service_bundle(spark, d):
+    """The whole service bundle as flat ordered records."""
+    return service_bundle_df(spark, d).select(*SERVICE_BUNDLE_COLS)
+
+
+ROUNDTRIP_COLS = [c for c in SERVICE_BUNDLE_COLS if c not in ("section", "k1", "k3")]
+
+
+@register("bundle_roundtrip", _service_bundle_sql(ROUNDTRIP_COLS, user_scope_only=True))
+def q_bundle_roundtrip(spark, d):
+    """Write the service bundle as gzip NDJSON to the shared folder and read it back."""
+    path = shared_dir(spark, "bundle")
+    write_bundle(service_bundle_df(spark, d), path)
+    return read_bundle(spark, path).select(*ROUNDTRIP_COLS)
+
+
+POD_BUNDLE_PARAMS = ContainerLogParams(
+    now_ms=NOW_MS, tail_lines=40, previous=True, exclude=("purchase",),
+    window=TimeWindow(start="1996-01-01T00:00:00Z", end="2024-01-20T00:00:00Z", max_seconds=40 * 366 * 86_400),
+    max_total_log_lines=1 << 62, hard_max_total_log_lines=1 << 62)
+PB_START_MS, PB_END_MS = POD_BUNDLE_PARAMS.window_ms()
+POD_BUNDLE_COLS = ["section", "k3", "type", "namespace", "pod", "container", "previous", "ts", "line", "skipped",
+                   "reason", "error", "message", "involved_kind", "involved_name", "involved_namespace", "pod_ip",
+                   "port", "path", "ok", "content"]
+
+
+@register("pod_bundle", f"""with f3 as ({O.F3}), f4 as ({O.F4}), f5 as ({O.F5}), f6 as ({O.F6}),
+sel as (select * from f3 where label_app = 'building'),
+pc as ({_PC_SQL.format(src='sel')}),
+w as (select f5.* from f5 join pc using (namespace, pod, container)),
+t as (select * from (select *, row_number() over (partition by namespace, pod, container, previous order by pos desc) as rn
+                     from w) x where rn <= {POD_BUNDLE_PARAMS.tail_lines}),
+p as ({O.parsed_cte("(select * from t where length(raw) > 0) s")}),
+lg as (select * from p where sort_ms between {PB_START_MS} and {PB_END_MS} and not {O.any_contains('raw', POD_BUNDLE_PARAMS.exclude)}),
+prev as (select distinct namespace, pod, container from f5 where previous),
+sk as (select * from pc where not exists (select 1 from prev where prev.namespace = pc.namespace and prev.pod = pc.pod
+                                           and prev.container = pc.container)),
+ev as (select *, nullif(coalesce(last_timestamp, event_time, creation_timestamp), '') as ts from f4),
+ev2 as (select *, epoch_ms(try_cast(replace(ts, 'Z', '') as timestamp)) as ms from ev),
+evs as (select * from ev2 where ms is not null and ms >= {PB_START_MS} and ms <= {PB_END_MS} and obj_kind = 'Pod'
+        and length(obj_name) > 0 and exists (select 1 from sel where sel.namespace = ev2.namespace and sel.name = ev2.obj_name
+              and (nullif(sel.uid, '') is null or nullif(ev2.obj_uid, '') is null or sel.uid = ev2.obj_uid))),
+{_TARGETS_SQL.replace('from f3', 'from sel')},
+j as (select tgu.*, f6.http_status, f6.body, f6.error_kind, f6.error_message
+      from tgu left join f6 on f6.namespace = tgu.namespace and f6.pod = tgu.name),
+k as (select *, metrics_enabled and coalesce(pod_ip <> '', false) as fetched, {_OK} as ok0, {_ERR} as err0 from j),
+b as (
+  select 0 as section, cast(null as bigint) as k3, 'meta' as type, null::varchar as namespace, null::varchar as pod,
+         null::varchar as container, null::boolean as previous, null::varchar as ts, null::varchar as line,
+         null::boolean as skipped, null::varchar as reason, null::varchar as error, null::varchar as message,
+         null::varchar as involved_kind, null::varchar as involved_name, null::varchar as involved_namespace,
+         null::varchar as pod_ip, null::bigint as port, null::varchar as path, null::boolean as ok, null::varchar as content
+  union all
+  select 1, pos, 'log', namespace, pod, container, case when previous then true end, ts, line, null, null, null, null,
+         null, null, null, null, null, null, null, null from lg
+  union all
+  select 1, -1, 'log', namespace, pod, container, true, '{NOW_ISO}', null, true, '{C.NO_PREVIOUS_CONTAINER}', null, null,
+         null, null, null, null, null, null, null, null from sk
+  union all
+  select 2, event_id, 'event', namespace, null, null, null, ts, null, null, reason, null, message, obj_kind, obj_name,
+         namespace, null, null, null, null, null from evs
+  union all
+  select case when metrics_enabled then 4 else 3 end, null, 'metrics_text', namespace, name, null, null, '{NOW_ISO}', null,
+         case when not metrics_enabled then true end, case when not metrics_enabled then 'annotation_missing' end,
+         case when metrics_enabled and not fetched then 'podIP_missing' when fetched then err0 end, null, null, null, null,
+         case when fetched then pod_ip end, case when fetched then port end, case when fetched then path end,
+         case when metrics_enabled and not fetched then false when fetched then ok0 end,
+         case when fetched and ok0 then coalesce(body, '') end
+  from k)
+select * from b""")
+def q_pod_bundle(spark, d):
+    """The whole pod bundle (logs, previous skips, events, metrics) as flat ordered records."""
+    b = pod_bundle(spark, FX.pod_objects(spark, d), FX.container_logs(spark, d), FX.kube_events(spark, d),
+                   FX.scrapes(spark, d), POD_BUNDLE_PARAMS, BUNDLE_ID, CREATED_AT, namespace="*",
+                   selector=EVENT_SELECTOR, max_body_bytes=MAX_BODY)
+    return b.select(*POD_BUNDLE_COLS)
