@@ -84,19 +84,37 @@ def _chunked(df: DataFrame, order_col: str, chunk_rows: int) -> DataFrame:
 
 
 def tail_per_source(df: DataFrame, keys: Sequence[str], order_col: str, n: int,
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS, rank_col: str | None = None) -> DataFrame:
+                    chunk_rows: int = DEFAULT_CHUNK_ROWS, rank_col: str | None = None,
+                    two_phase: bool | None = None) -> DataFrame:
     """The last ``n`` lines (by ``order_col``) of every source.
 
-    Phase 1 counts lines per (source, chunk) with a partial aggregate;
-    a window over that small table gives the number of lines in later
-    chunks, which drops every chunk that cannot reach the tail.  Phase
-    2 numbers lines from the end inside each surviving chunk.  Keys
-    must be non-null.  ``n <= 0`` selects nothing.
+    Default plan: ``row_number() over (partition by source order by
+    order desc) <= n``.  With ``n`` under
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (raised by
+    ``ensure_session_defaults``) Spark plans a *partial*
+    WindowGroupLimit before the shuffle, so every map task forwards at
+    most ``n`` rows per source: a hot source costs n x map tasks rows in
+    its final task, never its full size.
+
+    ``two_phase`` (default: only when ``n`` exceeds that threshold)
+    counts lines per (source, chunk) with a partial aggregate, drops
+    chunks that cannot reach the tail and numbers lines inside the
+    surviving chunks, shuffling on (source, chunk).  Keys must be
+    non-null.  ``n <= 0`` selects nothing.
     """
     keys = list(keys)
     if n <= 0:
         out = df.filter(F.lit(False))
         return out.withColumn(rank_col, F.lit(None).cast("long")) if rank_col else out
+    if two_phase is None:
+        threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+        two_phase = n > threshold
+    if not two_phase:
+        w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
+        out = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+        if rank_col:
+            out = out.withColumn(rank_col, F.col("_rn").cast("long"))
+        return out.drop("_rn")
     d = _chunked(df, order_col, chunk_rows)
     later_w = (Window.partitionBy(*keys).orderBy(F.col("_chunk").desc())
                .rowsBetween(Window.unboundedPreceding, -1))

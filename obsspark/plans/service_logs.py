@@ -19,7 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsspark.functions.text import exclude_any, include_any, is_journal_noise, ws_trim
@@ -43,27 +43,45 @@ class ServiceLogs:
     totals: DataFrame       # G2 (0 or 1 row)
 
 
+def _tailed_and_inherited(df: DataFrame, keys: list[str], order_col: str, n: int,
+                          start_ms, end_ms, window_applies) -> DataFrame:
+    """Tail-bounded sources: tail (W1), all-blank check, empty-line drop,
+    parse and inheritance (W2) as consecutive windows over ONE shuffle on
+    the source key.  The partial WindowGroupLimit before that shuffle
+    caps what any source sends at n rows per map task, and everything
+    after it holds at most n rows per source."""
+    by_src = Window.partitionBy(*keys)
+    t = tail_per_source(df, keys, order_col, n)
+    t = (t.withColumn("_nb", F.max((ws_trim("raw") != F.lit("")).cast("int")).over(by_src))
+         .filter((F.col("_nb") == 1) | F.col("is_journal")).drop("_nb"))
+    t = parse_lines(t.filter(F.length(F.col("raw")) > 0))
+    ms = F.col("sort_ms")
+    ok = ms.isNotNull()
+    if start_ms is not None and window_applies is not None:
+        ok = ok & (~window_applies | ms.between(F.lit(start_ms), F.lit(end_ms)))
+    upto = by_src.orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return t.withColumn("rank_ms", F.coalesce(ms, F.last(F.when(ok, ms), ignorenulls=True).over(upto)))
+
+
 def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[str], order_col: str,
                     chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """What each source hands to the collector: tail / window reading
-    rules (P9, P10, P28, W1) applied per source kind."""
+    """What each source hands to the collector (P9, P10, P28, W1) with
+    its rank time (P1, P2, W2): files read their last N physical lines
+    (an all-blank tail reads as empty); journals drop blank and marker
+    lines and read either the last N entries or, with a time window,
+    the whole window (two-phase inheritance: their size is unbounded).
+    """
     keys = list(keys)
     j = F.col("is_journal")
     eligible = lines.filter(~j | ~is_journal_noise(F.col("raw")))
     n = params.tail_lines
+    start_ms, end_ms = params.window_ms()
     if params.window is None:
-        tailed = tail_per_source(eligible, keys, order_col, n, chunk_rows)
-        files_tail = tailed.filter(~j)
-    else:
-        # A journal read with a window is bounded by the window, not a tail.
-        files_tail = tail_per_source(eligible.filter(~j), keys, order_col, n, chunk_rows)
-        tailed = files_tail.unionByName(eligible.filter(j))
-    # A file tail made only of blank lines reads as empty.
-    blank_only = (files_tail.groupBy(*keys)
-                  .agg(F.max((ws_trim("raw") != F.lit("")).cast("int")).alias("_nb"))
-                  .filter(F.col("_nb") == 0).select(*keys))
-    return (tailed.join(blank_only, keys, "left_anti")
-            .filter(F.length(F.col("raw")) > 0))
+        return _tailed_and_inherited(eligible, keys, order_col, n, None, None, None)
+    files = _tailed_and_inherited(eligible.filter(~j), keys, order_col, n, None, None, None)
+    journals = parse_lines(eligible.filter(j & (F.length(F.col("raw")) > 0)))
+    journals = inherit_timestamp(journals, keys, order_col, start_ms, end_ms, chunk_rows=chunk_rows)
+    return files.unionByName(journals)
 
 
 def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame | None,
@@ -88,9 +106,6 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
     j = F.col("is_journal")
 
     got = delivered_lines(lines, params, keys, order_col, chunk_rows)
-    got = parse_lines(got)
-    got = inherit_timestamp(got, keys, order_col, start_ms, end_ms, window_applies=j,
-                            chunk_rows=chunk_rows)
     matched = ((~j | in_window_lenient(F.col("sort_ms"), start_ms, end_ms))
                & include_any(F.col("raw"), params.include)
                & ~exclude_any(F.col("raw"), params.exclude))

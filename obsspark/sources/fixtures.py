@@ -11,12 +11,32 @@ builds the very same rows from the same parquet files
 
 from __future__ import annotations
 
+import functools
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsspark.functions.timeparse import ISO_MS_FORMAT
 
+# DataFrames are immutable and lazy: one analysed plan per
+# (session, directory, table) is reused instead of re-listing files and
+# re-reading parquet footers for every query that touches the table.
+_FRAMES: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def _memo(fn):
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str, *args):
+        cache = _FRAMES.setdefault(spark, {})
+        key = (fn.__name__, sf_dir.rstrip("/"), args)
+        if key not in cache:
+            cache[key] = fn(spark, sf_dir, *args)
+        return cache[key]
+    return wrapper
+
 
+@_memo
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -29,6 +49,7 @@ def _iso(c) -> F.Column:
     return F.date_format(F.col(c), ISO_MS_FORMAT)
 
 
+@_memo
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 services x 5 files; ``seq`` is arrival order within a source.
 
@@ -52,6 +73,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:
     """service registry, one row per service."""
     e = table(spark, sf_dir, "events")
@@ -65,6 +87,7 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+@_memo
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one row per pod, labels/annotations as scalar columns."""
     c = table(spark, sf_dir, "customer")
@@ -91,6 +114,7 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def kube_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kubernetes events derived from orders."""
     o = table(spark, sf_dir, "orders")
@@ -113,6 +137,7 @@ def kube_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def container_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """container log lines keyed (namespace, pod, container, previous)."""
     e = table(spark, sf_dir, "events")
@@ -129,6 +154,7 @@ def container_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .alias("raw")))
 
 
+@_memo
 def scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one scrape outcome per pod whose fetch was attempted."""
     c = table(spark, sf_dir, "customer")
@@ -146,6 +172,7 @@ def scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def source_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sources whose read failed."""
     e = table(spark, sf_dir, "events")
@@ -190,6 +217,7 @@ def principal_capabilities(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRINCIPAL_CAPABILITIES, "sub string, capability string")
 
 
+@_memo
 def pod_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3 shaped like the Kubernetes pod object (metadata / spec / status),
     the same schema ``read_pods`` yields from JSON pod lists."""
@@ -223,6 +251,7 @@ def pod_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2 plus each service's log files (the F1 file sources of that
     service, sorted): the registry entry shape (name, logs[], journal,
@@ -235,6 +264,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("string").alias("journal_user"), "metrics"))
 
 
+@_memo
 def service_scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F6 outcomes re-keyed for the registry: service ``svc-i`` was
     scraped through pod ``pod-i`` of namespace ``ns-(i % 5)``."""
