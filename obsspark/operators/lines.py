@@ -79,13 +79,21 @@ def since_filter(df: DataFrame, now_ms: int, since_seconds: int, sort_ms: str =
     return df.filter(F.col(sort_ms).isNull() | (F.col(sort_ms) >= F.lit(lo)))
 
 
-def _chunked(df: DataFrame, order_col: str, chunk_rows: int) -> DataFrame:
-    return df.withColumn("_chunk", F.expr(f"`{order_col}` div {int(chunk_rows)}"))
+def _cols(order_col) -> list[str]:
+    return [order_col] if isinstance(order_col, str) else list(order_col)
 
 
-def tail_per_source(df: DataFrame, keys: Sequence[str], order_col: str, n: int,
+def _chunked(df: DataFrame, order_col, chunk_rows: int, chunk_col: str | None = None) -> DataFrame:
+    """Add ``_chunk``: the given chunk column (e.g. a file's block
+    offset), else the first order column divided by ``chunk_rows``."""
+    if chunk_col is not None:
+        return df.withColumn("_chunk", F.col(chunk_col))
+    return df.withColumn("_chunk", F.expr(f"`{_cols(order_col)[0]}` div {int(chunk_rows)}"))
+
+
+def tail_per_source(df: DataFrame, keys: Sequence[str], order_col, n: int,
                     chunk_rows: int = DEFAULT_CHUNK_ROWS, rank_col: str | None = None,
-                    two_phase: bool | None = None) -> DataFrame:
+                    two_phase: bool | None = None, chunk_col: str | None = None) -> DataFrame:
     """The last ``n`` lines (by ``order_col``) of every source.
 
     Default plan: ``row_number() over (partition by source order by
@@ -103,6 +111,7 @@ def tail_per_source(df: DataFrame, keys: Sequence[str], order_col: str, n: int,
     non-null.  ``n <= 0`` selects nothing.
     """
     keys = list(keys)
+    order = _cols(order_col)
     if n <= 0:
         out = df.filter(F.lit(False))
         return out.withColumn(rank_col, F.lit(None).cast("long")) if rank_col else out
@@ -110,19 +119,19 @@ def tail_per_source(df: DataFrame, keys: Sequence[str], order_col: str, n: int,
         threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
         two_phase = n > threshold
     if not two_phase:
-        w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
         out = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
         if rank_col:
             out = out.withColumn(rank_col, F.col("_rn").cast("long"))
         return out.drop("_rn")
-    d = _chunked(df, order_col, chunk_rows)
+    d = _chunked(df, order, chunk_rows, chunk_col)
     later_w = (Window.partitionBy(*keys).orderBy(F.col("_chunk").desc())
                .rowsBetween(Window.unboundedPreceding, -1))
     counts = (d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
               .withColumn("_later", F.coalesce(F.sum("_cnt").over(later_w), F.lit(0)))
               .filter(F.col("_later") < n)
               .select(*keys, "_chunk", "_later"))
-    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(F.col(order_col).desc())
+    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order])
     out = (d.join(counts, [*keys, "_chunk"], "inner")
            .withColumn("_rn", F.row_number().over(in_chunk))
            .filter((F.col("_rn") <= n) & (F.col("_rn") + F.col("_later") <= n)))
@@ -131,8 +140,8 @@ def tail_per_source(df: DataFrame, keys: Sequence[str], order_col: str, n: int,
     return out.drop("_chunk", "_later", "_rn")
 
 
-def inherit_last(df: DataFrame, keys: Sequence[str], order_col: str, value_col: str,
-                 out_col: str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def inherit_last(df: DataFrame, keys: Sequence[str], order_col, value_col: str,
+                 out_col: str, chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None) -> DataFrame:
     """W2 core: ``out_col`` = last non-null ``value_col`` at or before
     each line of the same source (NULL when none yet).
 
@@ -141,25 +150,28 @@ def inherit_last(df: DataFrame, keys: Sequence[str], order_col: str, value_col:
     chunks; (c) a window inside each chunk, falling back to the carry.
     """
     keys = list(keys)
-    d = _chunked(df, order_col, chunk_rows)
+    order = _cols(order_col)
+    d = _chunked(df, order, chunk_rows, chunk_col)
     v = F.col(value_col)
+    ordv = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
     prev_w = (Window.partitionBy(*keys).orderBy("_chunk")
               .rowsBetween(Window.unboundedPreceding, -1))
     carry = (d.groupBy(*keys, "_chunk")
-             .agg(F.max_by(v, F.when(v.isNotNull(), F.col(order_col))).alias("_last"))
+             .agg(F.max_by(v, F.when(v.isNotNull(), ordv)).alias("_last"))
              .withColumn("_carry", F.last("_last", ignorenulls=True).over(prev_w))
              .select(*keys, "_chunk", "_carry"))
-    upto_w = (Window.partitionBy(*keys, "_chunk").orderBy(order_col)
+    upto_w = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (d.join(carry, [*keys, "_chunk"], "inner")
             .withColumn(out_col, F.coalesce(F.last(v, ignorenulls=True).over(upto_w), F.col("_carry")))
             .drop("_chunk", "_carry"))
 
 
-def inherit_timestamp(df: DataFrame, keys: Sequence[str], order_col: str,
+def inherit_timestamp(df: DataFrame, keys: Sequence[str], order_col,
                       start_ms: int | None = None, end_ms: int | None = None,
                       window_applies: Column | None = None, sort_ms: str = "sort_ms",
-                      out_col: str = "rank_ms", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                      out_col: str = "rank_ms", chunk_rows: int = DEFAULT_CHUNK_ROWS,
+                      chunk_col: str | None = None) -> DataFrame:
     """Rank time = own timestamp, else the last *in-window* timestamp
     seen earlier in the same source.
 
@@ -173,5 +185,5 @@ def inherit_timestamp(df: DataFrame, keys: Sequence[str], order_col: str,
         inwin = ms.between(F.lit(start_ms), F.lit(end_ms))
         ok = ok & (inwin if window_applies is None else (~window_applies | inwin))
     d = df.withColumn("_inwin_ms", F.when(ok, ms))
-    d = inherit_last(d, keys, order_col, "_inwin_ms", "_inherited", chunk_rows)
+    d = inherit_last(d, keys, order_col, "_inwin_ms", "_inherited", chunk_rows, chunk_col)
     return d.withColumn(out_col, F.coalesce(ms, F.col("_inherited"))).drop("_inwin_ms", "_inherited")

@@ -43,7 +43,7 @@ class ServiceLogs:
     totals: DataFrame       # G2 (0 or 1 row)
 
 
-def _tailed_and_inherited(df: DataFrame, keys: list[str], order_col: str, n: int,
+def _tailed_and_inherited(df: DataFrame, keys: list[str], order_col, n: int,
                           start_ms, end_ms, window_applies) -> DataFrame:
     """Tail-bounded sources: tail (W1), all-blank check, empty-line drop,
     parse and inheritance (W2) as consecutive windows over ONE shuffle on
@@ -59,12 +59,13 @@ def _tailed_and_inherited(df: DataFrame, keys: list[str], order_col: str, n: int
     ok = ms.isNotNull()
     if start_ms is not None and window_applies is not None:
         ok = ok & (~window_applies | ms.between(F.lit(start_ms), F.lit(end_ms)))
-    upto = by_src.orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    upto = by_src.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return t.withColumn("rank_ms", F.coalesce(ms, F.last(F.when(ok, ms), ignorenulls=True).over(upto)))
 
 
-def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[str], order_col: str,
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[str], order_col,
+                    chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None) -> DataFrame:
     """What each source hands to the collector (P9, P10, P28, W1) with
     its rank time (P1, P2, W2): files read their last N physical lines
     (an all-blank tail reads as empty); journals drop blank and marker
@@ -80,15 +81,16 @@ def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[s
         return _tailed_and_inherited(eligible, keys, order_col, n, None, None, None)
     files = _tailed_and_inherited(eligible.filter(~j), keys, order_col, n, None, None, None)
     journals = parse_lines(eligible.filter(j & (F.length(F.col("raw")) > 0)))
-    journals = inherit_timestamp(journals, keys, order_col, start_ms, end_ms, chunk_rows=chunk_rows)
+    journals = inherit_timestamp(journals, keys, order_col, start_ms, end_ms, chunk_rows=chunk_rows,
+                                 chunk_col=chunk_col)
     return files.unionByName(journals)
 
 
 def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame | None,
                          params: ServiceLogParams, keys: Sequence[str] = ("service", "file"),
-                         order_col: str = "seq",
+                         order_col="seq",
                          source_order: Sequence[str] = ("service", "is_journal", "file"),
-                         chunk_rows: int = DEFAULT_CHUNK_ROWS) -> ServiceLogs:
+                         chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None) -> ServiceLogs:
     """B1 over tables.
 
     ``lines``: keys + ``order_col`` + ``raw`` (+ ``is_journal``).
@@ -105,7 +107,8 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
     start_ms, end_ms = params.window_ms()
     j = F.col("is_journal")
 
-    got = delivered_lines(lines, params, keys, order_col, chunk_rows)
+    got = delivered_lines(lines, params, keys, order_col, chunk_rows, chunk_col)
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
     matched = ((~j | in_window_lenient(F.col("sort_ms"), start_ms, end_ms))
                & include_any(F.col("raw"), params.include)
                & ~exclude_any(F.col("raw"), params.exclude))
@@ -115,7 +118,7 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
     ranked = got.filter(F.col("matched"))
     if extra:
         ranked = ranked.join(sources.select(*keys, *extra), keys, "inner")
-    selected = newest_lines(ranked, params.max_total_log_lines, "rank_ms", [*source_order, order_col])
+    selected = newest_lines(ranked, params.max_total_log_lines, "rank_ms", [*source_order, *order])
 
     if errors is not None:
         failed = missing_sources(sources, errors, keys)
