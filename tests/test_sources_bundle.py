@@ -86,5 +86,5 @@ def test_stream_parses_like_batch(spark, tmpdir_fresh):
     q = write_line_stream(df, out, checkpoint=os.path.join(tmpdir_fresh, "ckpt"))
     q.awaitTermination(120)
     got = sorted(((r.ts, r.line, r.sort_ms) for r in spark.read.parquet(out).collect()), key=lambda t: t[1])
-    assert got == [("2024-01-01T00:00:00Z", "error one", 1704067200000),
-                   ("2024-01-01T00:00:01Z", "error three", 1704067201000), (None, "INFO two", None)]
+    assert got == [(None, "INFO two", None), ("2024-01-01T00:00:00Z", "error one", 1704067200000),
+                   ("2024-01-01T00:00:01Z", "error three", 1704067201000)]
