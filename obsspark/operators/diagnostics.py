@@ -108,3 +108,37 @@ def drop_failed_sources(lines: DataFrame, errors: DataFrame, keys: Sequence[str]
     """Discard every line of a source whose read failed."""
     keys = list(keys)
     return lines.join(errors.select(*keys).distinct(), keys, "left_anti")
+
+
+def journal_user_code(journal_scope, journal_user) -> Column:
+    """Error code of a user-journal source whose user cannot be used
+    (``EINVAL``): missing/blank, a numeric UID above 4294967295, a
+    negative number or a name starting with '-'.  NULL when usable
+    (names are resolved by the host; unknown names surface later as
+    ENOUSER rows of the errors table)."""
+    u = ws_trim(journal_user)
+    numeric = u.rlike(r"^\d+$")
+    bad = (_c(journal_user).isNull() | (u == "")
+           | (numeric & (u.cast("decimal(20,0)") > F.lit(4_294_967_295)))
+           | (~numeric & (u.rlike(r"^-?\d+$") | u.startswith("-"))))
+    return F.when((F.coalesce(_c(journal_scope), F.lit("system")) == "user") & bad, F.lit("EINVAL"))
+
+
+def journal_user_errors(sources: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A9 as source errors: user journals with an unusable user, ready to
+    union into the errors table of ``collect_service_logs``."""
+    code = journal_user_code(F.col("journal_scope"), F.col("journal_user"))
+    return (sources.filter(F.col("is_journal")).withColumn("code", code).filter(F.col("code").isNotNull())
+            .select(*keys, "code", F.lit("").alias("stderr"),
+                    F.concat(F.lit('journalUser "'), F.coalesce(ws_trim("journal_user"), F.lit("")),
+                             F.lit('" must be a non-negative UID or existing username')).alias("message")))
+
+
+def assert_window_has_journal(sources: DataFrame, window) -> None:
+    """A time window on a log request needs at least one journal
+    source among the selected services (files cannot be windowed)."""
+    if window is None:
+        return
+    from obsspark.operators.checks import DataCheckError
+    if sources.filter(F.col("is_journal")).limit(1).count() == 0:
+        raise DataCheckError("timeWindow requires at least one selected service with a journal source")

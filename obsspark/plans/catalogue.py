@@ -797,3 +797,24 @@ def q_pod_bundle(spark, d):
                    FX.scrapes(spark, d), POD_BUNDLE_PARAMS, BUNDLE_ID, CREATED_AT, namespace="*",
                    selector=EVENT_SELECTOR, max_body_bytes=MAX_BODY)
     return b.select(*POD_BUNDLE_COLS)
+
+
+@register("describe_services", f"""with f1 as ({O.F1}), f2 as ({O.F2}), {_FILES_CTE}
+select f2.service_idx, f2.name, array_to_string(coalesce(files.logs, []), ',') as logs, journal, journal_scope,
+       cast(null as varchar) as journal_user, metrics
+from f2 left join files using (name)""")
+def q_describe_services(spark, d):
+    """Admin registry listing (logs default [], journal/metrics default null)."""
+    out = INV.describe_services(FX.registry(spark, d), admin=True)
+    return out.withColumn("logs", F.array_join("logs", ","))
+
+
+@register("discover_pods", f"""with f3 as ({O.F3})
+select namespace, name, label_app, 'main' as containers, ready from f3
+where namespace = 'ns-2' and label_tier = 'backend' and contains(name, '4')""")
+def q_discover_pods(spark, d):
+    """S4, P11-P13, P15 (lifecycle 3.3): non-admin pod discovery with scope, selector and name filter."""
+    from obsspark.plans.discovery import discover_pods
+    p = discover_pods(pod_objects(spark, d), admin=False, namespace="ns-2", selector="tier=backend", needle="4")
+    return p.select("namespace", "name", F.col("labels")["app"].alias("label_app"),
+                    F.array_join("containers", ",").alias("containers"), "ready")

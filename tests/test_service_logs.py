@@ -120,3 +120,21 @@ def test_zero_tail_reads_nothing(spark):
     res = _run(spark, [("svc1", "/a.log", False, None)], _file("svc1", "/a.log", "x\ny"), tail_lines=0)
     assert res.selected.count() == 0
     assert res.totals.first().matched_log_records == 0
+
+
+def test_journal_user_checks_and_window_guard(spark):
+    import pytest
+    from obsspark.operators.checks import DataCheckError
+    from obsspark.operators.diagnostics import assert_window_has_journal, journal_user_errors
+    src = spark.createDataFrame([
+        ("a", "u", True, "user", "1000"), ("b", "u", True, "user", "4294967296"), ("c", "u", True, "user", "-5"),
+        ("d", "u", True, "user", " "), ("e", "u", True, "user", "-bob"), ("f", "u", True, "system", None),
+        ("g", "u", True, "user", "bob"), ("h", "/x", False, None, None)],
+        "service string, file string, is_journal boolean, journal_scope string, journal_user string")
+    bad = sorted(r.service for r in journal_user_errors(src, ["service", "file"]).collect())
+    assert bad == ["b", "c", "d", "e"]
+    w = TimeWindow(since_seconds=60)
+    assert_window_has_journal(src, w)
+    with pytest.raises(DataCheckError):
+        assert_window_has_journal(src.filter("not is_journal"), w)
+    assert_window_has_journal(src.filter("not is_journal"), None)
