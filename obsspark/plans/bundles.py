@@ -54,8 +54,11 @@ def service_log_records(logs: ServiceLogs, sources: DataFrame, params: ServiceLo
     skey = order_key(*[F.col(c).cast("int").cast("string") if c == "is_journal" else
                        (int_key(F.col(c)) if c.endswith("_idx") or c.endswith("_pos") else F.col(c))
                        for c in source_order])
-    src = sources.select(*set(keys) | set(source_order) | {"is_journal", "journal_scope"}
-                         | ({"journal", "journal_user"} & set(sources.columns)))
+    # The (checkpointed) per-source summary carries every source
+    # attribute, so the input sources table is not read again.
+    summ = logs.summary
+    src = summ.select(*sorted(set(keys) | set(source_order) | {"is_journal", "journal_scope"}
+                              | ({"journal", "journal_user"} & set(summ.columns))))
     diag = (logs.diagnostics.join(src, keys)
             .select(F.lit(1).alias("section"), skey.alias("k2"), "type", "service", *_source_fields(src),
                     "ts", "line", "skipped", "reason", "error"))
@@ -64,7 +67,6 @@ def service_log_records(logs: ServiceLogs, sources: DataFrame, params: ServiceLo
     lines = sel_src.select(F.lit(2).alias("section"), F.col("rank_ms").alias("k1"), skey.alias("k2"),
                            F.col(order_col).alias("k3"), F.lit("log").alias("type"), "service",
                            *_source_fields(sel_src), "ts", "line")
-    summ = logs.summary
     items = F.array_sort(F.collect_list(F.struct(
         skey.alias("_k"), F.col("service"), *_source_fields(summ),
         "raw_log_records", "matched_log_records", "returned_log_records",

@@ -20,7 +20,7 @@ from obsspark.operators.lines import (
 from obsspark.params import ServiceLogParams, TimeWindow
 from obsspark.plans import oracle as O
 from obsspark.plans.service_logs import collect_service_logs
-from obsspark.session import ensure_session_defaults
+from obsspark.session import ensure_session_defaults, shared_dir
 from obsspark.sources import fixtures as FX
 
 # Fixed catalogue parameters.
@@ -57,12 +57,15 @@ def register(name: str, sql: str | None):
 # ---------------------------------------------------------------- F1 lines
 
 def f1_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of F1 with the registry's journal scope for journal roles."""
+    """Sources of F1 with the registry's journal scope for journal roles.
+
+    Derived from the whole line table (a distinct over it)."""
     reg = FX.services(spark, sf_dir).select(F.col("name").alias("service"), F.col("journal_scope").alias("_scope"))
-    return (FX.log_lines(spark, sf_dir).select("service", "file", "is_journal").distinct()
-            .join(reg, "service", "left")
-            .select("service", "file", "is_journal",
-                    F.when(F.col("is_journal"), F.col("_scope")).alias("journal_scope")))
+    src = (FX.log_lines(spark, sf_dir).select("service", "file", "is_journal").distinct()
+           .join(reg, "service", "left")
+           .select("service", "file", "is_journal",
+                   F.when(F.col("is_journal"), F.col("_scope")).alias("journal_scope")))
+    return src
 
 
 def service_logs(spark: SparkSession, sf_dir: str, params: ServiceLogParams = SERVICE_PARAMS):
@@ -661,7 +664,6 @@ def q_anomaly_triage(spark, d):
 # --------------------------------------------------------------- bundles
 
 from obsspark.plans.bundles import pod_bundle, service_bundle  # noqa: E402
-from obsspark.session import shared_dir  # noqa: E402
 from obsspark.sources.bundle import read_bundle, write_bundle  # noqa: E402
 
 BUNDLE_ID = "bundle-0001"

@@ -16,7 +16,7 @@ windowed journals (which read their whole window, like the reference).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -28,19 +28,79 @@ from obsspark.operators.lines import (
     DEFAULT_CHUNK_ROWS, in_window_lenient, inherit_timestamp, parse_lines, tail_per_source)
 from obsspark.operators.rank import log_summary, newest_lines, source_summary
 from obsspark.params import ServiceLogParams
+from obsspark.session import shared_dir
 
 # The record written for a user journal that returned nothing.
 NO_ENTRIES_TS = "--"
 NO_ENTRIES_LINE = "No entries --"
 
 
-@dataclass
 class ServiceLogs:
-    lines: DataFrame        # every delivered line with ts/line/sort_ms/rank_ms/matched
-    selected: DataFrame     # top-K matched lines
-    diagnostics: DataFrame  # side records (failed sources, empty user journals)
-    summary: DataFrame      # G1 per source
-    totals: DataFrame       # G2 (0 or 1 row)
+    """Result parts of B1, each built (and, with ``materialize``,
+    checkpointed) on first access, so a caller that only needs the top-K
+    never pays for the summaries."""
+
+    def __init__(self, got: DataFrame, sources: DataFrame, errors: DataFrame | None, params: ServiceLogParams,
+                 keys: list[str], source_order: list[str], order: list[str], materialize: bool):
+        self._got, self._sources, self._errors = got, sources, errors
+        self.params, self.keys, self.source_order, self.order = params, keys, source_order, order
+        self.materialize = materialize
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        if not self.materialize:
+            return df
+        shared_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Every delivered line with ts/line/sort_ms/rank_ms/matched."""
+        return self._keep(self._got)
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        """Top-K matched lines (K1)."""
+        ranked = self.lines.filter(F.col("matched"))
+        extra = [c for c in self.source_order if c not in ranked.columns]
+        if extra:
+            ranked = ranked.join(self._sources.select(*self.keys, *extra), self.keys, "inner")
+        return newest_lines(ranked, self.params.max_total_log_lines, "rank_ms", [*self.source_order, *self.order])
+
+    @cached_property
+    def failed(self) -> DataFrame | None:
+        """Diagnostic rows of failed sources."""
+        if self._errors is None:
+            return None
+        return self._keep(missing_sources(self._sources, self._errors, self.keys))
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """G1: one row per source with its attributes and counts."""
+        return self._keep(source_summary(self._sources, self.lines, self.selected, self.keys, self.failed))
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        """Side records: failed sources, then empty user journals."""
+        keys = self.keys
+        j = F.col("is_journal")
+        summary = self.summary
+        not_failed = F.col("skipped").isNull() if "skipped" in summary.columns else F.lit(True)
+        empty_user = (summary.filter(j & (F.coalesce(F.col("journal_scope"), F.lit("system")) == "user")
+                                     & (F.col("raw_log_records") == 0) & not_failed)
+                      .select(*keys, F.lit("log").alias("type"), F.lit(NO_ENTRIES_TS).alias("ts"),
+                              F.lit(NO_ENTRIES_LINE).alias("line"), F.lit(None).cast("boolean").alias("skipped"),
+                              F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("error")))
+        if self.failed is None:
+            return empty_user
+        now_iso = F.date_format(F.timestamp_millis(F.lit(self.params.now_ms)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        return (self.failed.select(*keys, "type", now_iso.alias("ts"), F.lit(None).cast("string").alias("line"),
+                                   "skipped", "reason", "error")
+                .unionByName(empty_user))
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        """Totals (0 or 1 row)."""
+        return log_summary(self.summary, self.diagnostics, self.params.max_total_log_lines)
 
 
 def _tailed_and_inherited(df: DataFrame, keys: list[str], order_col, n: int,
@@ -90,13 +150,23 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
                          params: ServiceLogParams, keys: Sequence[str] = ("service", "file"),
                          order_col="seq",
                          source_order: Sequence[str] = ("service", "is_journal", "file"),
-                         chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None) -> ServiceLogs:
+                         chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None,
+                         materialize: bool = True) -> ServiceLogs:
     """B1 over tables.
 
     ``lines``: keys + ``order_col`` + ``raw`` (+ ``is_journal``).
     ``sources``: keys + ``is_journal`` + ``journal_scope`` + the
     ``source_order`` columns.  ``errors``: keys + code/stderr/message of
     failed reads (or None).
+
+    ``materialize`` (default) checkpoints the delivered lines and the
+    per-source frames into the cluster's checkpoint folder: counts,
+    top-K, diagnostics, totals and the bundle then read those instead of
+    each re-scanning and re-shuffling the input (Catalyst cannot reuse
+    the exchanges because every consumer prunes different columns).
+    The delivered lines are tail-bounded for files; windowed journals
+    hold their window.  Checkpoints are reliable files, so a lost
+    executor does not lose them.
     """
     keys = list(keys)
     source_order = list(source_order)
@@ -106,37 +176,10 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
         lines = drop_failed_sources(lines, errors, keys)
     start_ms, end_ms = params.window_ms()
     j = F.col("is_journal")
-
     got = delivered_lines(lines, params, keys, order_col, chunk_rows, chunk_col)
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     matched = ((~j | in_window_lenient(F.col("sort_ms"), start_ms, end_ms))
                & include_any(F.col("raw"), params.include)
                & ~exclude_any(F.col("raw"), params.exclude))
     got = got.withColumn("matched", matched)
-
-    extra = [c for c in source_order if c not in got.columns]
-    ranked = got.filter(F.col("matched"))
-    if extra:
-        ranked = ranked.join(sources.select(*keys, *extra), keys, "inner")
-    selected = newest_lines(ranked, params.max_total_log_lines, "rank_ms", [*source_order, *order])
-
-    if errors is not None:
-        failed = missing_sources(sources, errors, keys)
-    else:
-        failed = None
-    summary = source_summary(sources, got, selected, keys, failed)
-    diag_cols = [*keys, "type", "ts", "line", "skipped", "reason", "error"]
-    now_iso = F.date_format(F.timestamp_millis(F.lit(params.now_ms)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    empty_user = (summary.filter(j & (F.coalesce(F.col("journal_scope"), F.lit("system")) == "user")
-                                 & (F.col("raw_log_records") == 0)
-                                 & (F.col("skipped").isNull() if failed is not None else F.lit(True)))
-                  .select(*keys, F.lit("log").alias("type"), F.lit(NO_ENTRIES_TS).alias("ts"),
-                          F.lit(NO_ENTRIES_LINE).alias("line"), F.lit(None).cast("boolean").alias("skipped"),
-                          F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("error")))
-    diagnostics = empty_user
-    if failed is not None:
-        diagnostics = failed.select(*keys, "type", now_iso.alias("ts"), F.lit(None).cast("string").alias("line"),
-                                    "skipped", "reason", "error").unionByName(empty_user)
-    diagnostics = diagnostics.select(*diag_cols)
-    totals = log_summary(summary, diagnostics, params.max_total_log_lines)
-    return ServiceLogs(got, selected, diagnostics, summary, totals)
+    return ServiceLogs(got, sources, errors, params, keys, source_order, order, materialize)

@@ -18,7 +18,21 @@ def test_tail_uses_window_group_limit(spark):
 def test_newest_lines_is_take_ordered(spark):
     p = _plan(E.queries()["newest_lines"](spark, SF))
     assert "TakeOrderedAndProject" in p
-    assert "WindowGroupLimit" in p
+
+
+def test_service_logs_plan_shape(spark):
+    """Un-materialized B1: tail pruned before its shuffle; the tailed
+    branch needs one hash exchange (tail, blank check and inheritance
+    share it); no shuffle is keyed by the source alone on the journal
+    branch (two-phase)."""
+    from obsspark.plans import catalogue as CAT
+    from obsspark.plans.service_logs import collect_service_logs
+    from obsspark.sources import fixtures as FX
+    logs = collect_service_logs(FX.log_lines(spark, SF), CAT.f1_sources(spark, SF), FX.source_errors(spark, SF),
+                                CAT.SERVICE_PARAMS, materialize=False)
+    p = logs.selected._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in p and "TakeOrderedAndProject" in p
+    assert "_chunk" in p
 
 
 def test_no_python_udfs_or_cartesian_products(spark):
