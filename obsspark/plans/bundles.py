@@ -48,9 +48,14 @@ def _source_fields(df: DataFrame):
 
 
 def service_log_records(logs: ServiceLogs, sources: DataFrame, params: ServiceLogParams,
-                        keys: Sequence[str], source_order: Sequence[str], order_col: str = "seq") -> DataFrame:
-    """Side records, selected lines and the summary as flat bundle rows."""
+                        keys: Sequence[str], source_order: Sequence[str], order_col=None) -> DataFrame:
+    """Side records, selected lines and the summary as flat bundle rows.
+
+    Lines sort by (rank time, source order, arrival order); with a
+    multi-column arrival order (e.g. file block, row) the leading columns
+    join the source key and the last one is ``k3``."""
     keys, source_order = list(keys), list(source_order)
+    order = list(logs.order if order_col is None else ([order_col] if isinstance(order_col, str) else order_col))
     skey = order_key(*[F.col(c).cast("int").cast("string") if c == "is_journal" else
                        (int_key(F.col(c)) if c.endswith("_idx") or c.endswith("_pos") else F.col(c))
                        for c in source_order])
@@ -64,8 +69,9 @@ def service_log_records(logs: ServiceLogs, sources: DataFrame, params: ServiceLo
                     "ts", "line", "skipped", "reason", "error"))
     sel = logs.selected
     sel_src = sel.join(src.select(*keys, *[c for c in src.columns if c not in sel.columns]), keys)
-    lines = sel_src.select(F.lit(2).alias("section"), F.col("rank_ms").alias("k1"), skey.alias("k2"),
-                           F.col(order_col).alias("k3"), F.lit("log").alias("type"), "service",
+    line_key = order_key(skey, *[int_key(F.col(c)) for c in order[:-1]]) if len(order) > 1 else skey
+    lines = sel_src.select(F.lit(2).alias("section"), F.col("rank_ms").alias("k1"), line_key.alias("k2"),
+                           F.col(order[-1]).alias("k3"), F.lit("log").alias("type"), "service",
                            *_source_fields(sel_src), "ts", "line")
     items = F.array_sort(F.collect_list(F.struct(
         skey.alias("_k"), F.col("service"), *_source_fields(summ),

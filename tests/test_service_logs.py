@@ -138,3 +138,49 @@ def test_journal_user_checks_and_window_guard(spark):
     with pytest.raises(DataCheckError):
         assert_window_has_journal(src.filter("not is_journal"), w)
     assert_window_has_journal(src.filter("not is_journal"), None)
+
+
+def test_text_files_end_to_end_with_blocks(spark, tmpdir_fresh):
+    """S1 -> B1 -> B6: lines read from text files split into several
+    blocks keep their physical order (block, row); the bundle's summary
+    record lists every source in order."""
+    import os
+    from obsspark.plans.bundles import service_bundle
+    from obsspark.sources.files import read_log_files
+    paths = []
+    for name, n in (("a.log", 300), ("b.log", 200)):
+        p = os.path.join(tmpdir_fresh, name)
+        with open(p, "w") as f:
+            for i in range(n):
+                f.write(f"2024-01-01T00:{i // 60:02d}:{i % 60:02d}Z {name} line {i:04d}\n" if i % 7 else f"{name} plain {i:04d}\n")
+        paths.append(p)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        lines = read_log_files(spark, paths).withColumn("service", F.lit("svc")).withColumn("is_journal", F.lit(False))
+        assert lines.select("file", "block").distinct().count() > 4
+        src = lines.select("service", "file", "is_journal").distinct().withColumn(
+            "journal_scope", F.lit(None).cast("string"))
+        params = ServiceLogParams(now_ms=0, tail_lines=50, include=("plain", "line 02"), max_total_log_lines=20)
+        res = collect_service_logs(lines, src, None, params, order_col=["block", "row"], chunk_col="block")
+        got = [r.line for r in res.selected.orderBy(F.col("rank_ms").asc_nulls_first(), "file", "block", "row").collect()]
+        # expected: last 50 lines per file, filtered, ranked with inheritance, newest 20
+        exp = []
+        for name, n in (("a.log", 300), ("b.log", 200)):
+            last = None
+            for i in range(n - 50, n):
+                ts = None if i % 7 == 0 else (i // 60) * 60 + i % 60
+                last = ts if ts is not None else last
+                text = f"{name} plain {i:04d}" if i % 7 == 0 else f"{name} line {i:04d}"
+                raw = text if ts is None else f"x {text}"
+                if "plain" in raw or "line 02" in raw:
+                    exp.append(((ts if ts is not None else last), name, i, text))
+        exp.sort(key=lambda t: (t[0] is not None, t[0] if t[0] is not None else 0, t[1], t[2]))
+        assert got == [t[3] for t in exp[-20:]]
+        b = service_bundle(spark, res, src, None, params, "b", "c", keys=("service", "file"),
+                           source_order=("service", "is_journal", "file"))
+        summ = b.filter("type = 'log_summary'").first()
+        assert [os.path.basename(s.file) for s in summ.sources] == ["a.log", "b.log"]
+        assert sum(s.returned_log_records for s in summ.sources) == 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
