@@ -141,4 +141,4 @@ def assert_window_has_journal(sources: DataFrame, window) -> None:
         return
     from obsspark.operators.checks import DataCheckError
     if sources.filter(F.col("is_journal")).limit(1).count() == 0:
-        raise DataCheckError("timeWindow requires at least one selected service with a journal source")
+        raise DataCheckError("timeWindow is only supported for selected journal log sources")

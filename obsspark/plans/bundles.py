@@ -63,7 +63,7 @@ def service_log_records(logs: ServiceLogs, sources: DataFrame, params: ServiceLo
     # attribute, so the input sources table is not read again.
     summ = logs.summary
     src = summ.select(*sorted(set(keys) | set(source_order) | {"is_journal", "journal_scope"}
-                              | ({"journal", "journal_user"} & set(summ.columns))))
+                              | ({"file", "journal", "journal_user"} & set(summ.columns))))
     diag = (logs.diagnostics.join(src, keys)
             .select(F.lit(1).alias("section"), skey.alias("k2"), "type", "service", *_source_fields(src),
                     "ts", "line", "skipped", "reason", "error"))
@@ -159,12 +159,21 @@ def pod_bundle(spark: SparkSession, pods: DataFrame, container_logs: DataFrame |
                scrapes: DataFrame | None, params: ContainerLogParams, bundle_id: str, created_at: str,
                namespace: str = "*", selector: str | None = None, max_pods: int | None = None,
                max_metrics_pods: int | None = None, max_body_bytes: int = M.MAX_METRICS_BODY_BYTES,
-               timeout_ms: int = M.METRICS_TIMEOUT_MS) -> DataFrame:
+               timeout_ms: int = M.METRICS_TIMEOUT_MS, requested: DataFrame | None = None) -> DataFrame:
     """Resolve pods (S4/P12/P13, G4 when ``max_pods``), then logs (B2),
     events (B3) and metrics (B4) in bundle order.  Argument/size checks
     run before anything is written, as in the reference."""
-    sel = pods if selector is None else INV.pods_by_selector(pods, namespace, selector)
+    if requested is not None:
+        # pods[] target: exactly the named pods, every one must exist
+        req = requested.select(F.col("namespace").alias("_rns"), F.col("pod").alias("_rpod")).distinct()
+        sel = pods.join(req, (F.col("metadata.namespace") == F.col("_rns")) & (F.col("metadata.name") == F.col("_rpod")),
+                        "left_semi")
+    else:
+        sel = pods if selector is None else INV.pods_by_selector(pods, namespace, selector)
     refs = INV.pod_refs(sel)
+    INV.assert_pod_identity(refs)
+    if requested is not None:
+        INV.assert_pods_found(requested, refs)
     if max_pods is not None:
         INV.assert_pod_cap(refs, max_pods)
     out = meta_record(spark, bundle_id, created_at, {"kind": "pods", "namespace": namespace,
