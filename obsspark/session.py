@@ -67,3 +67,35 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     if sub is None:
         return base
     return os.path.join(base.rstrip("/"), f"{sub}-{uuid.uuid4().hex}")
+
+
+def scale_settings(input_bytes: int, executor_cores_total: int, target_partition_bytes: int = 256 << 20,
+                   max_tail: int = DEFAULT_WINDOW_GROUP_LIMIT) -> dict[str, str]:
+    """Session settings sized for an input of ``input_bytes``.
+
+    * scan splits of ~128 MiB (``maxPartitionBytes``) keep each scan
+      task's sort for the partial WindowGroupLimit in memory;
+    * ``shuffle.partitions`` is an upper bound of input / target size
+      (at least 2 waves of the cluster's cores); AQE coalesces small
+      shuffles down to ``advisoryPartitionSizeInBytes`` and splits skewed
+      partitions of joins;
+    * the window-group-limit threshold admits the largest tail.
+    """
+    parts = max(2 * executor_cores_total, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.optimizer.windowGroupLimitThreshold": str(max_tail),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
+def apply_scale_settings(spark: SparkSession, input_bytes: int, executor_cores_total: int, **kw) -> dict[str, str]:
+    conf = scale_settings(input_bytes, executor_cores_total, **kw)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

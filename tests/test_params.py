@@ -54,3 +54,10 @@ def test_absolute_window_forces_timestamps():
     p = ContainerLogParams(now_ms=0, timestamps=False,
                            window=TimeWindow(start="2024-01-01T00:00:00Z", end="2024-01-01T00:10:00Z"))
     assert p.timestamps is True
+
+
+def test_scale_settings():
+    from obsspark.session import scale_settings
+    s = scale_settings(100 * 2**40, 8000)
+    assert int(s["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_settings(10 << 20, 8)["spark.sql.shuffle.partitions"]) == 16
