@@ -68,9 +68,12 @@ def f1_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src
 
 
-def service_logs(spark: SparkSession, sf_dir: str, params: ServiceLogParams = SERVICE_PARAMS):
+def service_logs(spark: SparkSession, sf_dir: str, params: ServiceLogParams = SERVICE_PARAMS,
+                 materialize: bool = True):
+    """B1 over F1.  Queries that read one part only (the top-K) skip the
+    checkpoint; those feeding several consumers keep it."""
     return collect_service_logs(FX.log_lines(spark, sf_dir), f1_sources(spark, sf_dir),
-                                FX.source_errors(spark, sf_dir), params)
+                                FX.source_errors(spark, sf_dir), params, materialize=materialize)
 
 
 _W = f"sort_ms between {WIN_START_MS} and {WIN_END_MS}"
@@ -153,7 +156,8 @@ def _iso_ms(ms: int) -> str:
 select service, file, seq, ts, line, rank_ms from sel""")
 def q_newest_lines(spark, d):
     """K1, K2 (B1): global top-K lines by rank time across all sources."""
-    return service_logs(spark, d).selected.select("service", "file", "seq", "ts", "line", "rank_ms")
+    return service_logs(spark, d, materialize=False).selected.select(
+        "service", "file", "seq", "ts", "line", "rank_ms")
 
 
 @register("source_summary", f"""with {_b1_ctes()}
@@ -708,7 +712,7 @@ b as (
   from sel join src s on s.service = sel.service and s.file = sel.file
   union all
   select 3, null, null, 'log_summary', null, null, null, null, null, '{NOW_ISO}', null, null, null, null, null, null,
-         null, {TOP_K}, m > r, m, r, (select count(*) from diag)
+         null, {TOP_K}, m > r, cast(m as bigint), cast(r as bigint), (select count(*) from diag)
   from tot where n_sources > 0
   union all
   select 4, null, null, 'metrics_text', null, name, null, null, null, '{NOW_ISO}', null,
