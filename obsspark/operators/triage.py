@@ -27,6 +27,16 @@ def error_signatures(lines: DataFrame, line_col: str = "line", time_col: str = "
                  F.max(time_col).alias("last_ms")))
 
 
+def keyword_prefilter(log_lines: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """Keep raw lines that contain a triage keyword (case-insensitive);
+    apply before parsing so most lines never reach the parser."""
+    low = F.lower(F.col(raw_col))
+    kw = F.lit(False)
+    for k in PRIORITY_LOG_KEYWORDS:
+        kw = kw | low.contains(k)
+    return log_lines.filter(kw)
+
+
 def anomaly_triage(events: DataFrame, log_lines: DataFrame, metrics: DataFrame) -> DataFrame:
     """(priority, target, n).  1 = alarming event reasons, 2 = log
     lines with failure keywords, 3 = failed scrapes (skipped is normal).
@@ -35,10 +45,15 @@ def anomaly_triage(events: DataFrame, log_lines: DataFrame, metrics: DataFrame)
     pod, line.  ``metrics``: namespace, pod, ok.
     """
     target = lambda ns, name: F.concat(F.col(ns), F.lit("/"), F.col(name))
-    low = F.lower(F.col("line"))
-    kw = F.lit(False)
-    for k in PRIORITY_LOG_KEYWORDS:
-        kw = kw | low.contains(k)
+
+    def has_keyword(c: str):
+        low = F.lower(F.col(c))
+        kw = F.lit(False)
+        for k in PRIORITY_LOG_KEYWORDS:
+            kw = kw | low.contains(k)
+        return kw
+
+    kw = has_keyword("line")
     p1 = events.filter(F.col("reason").isin(PRIORITY_EVENT_REASONS)).select(
         F.lit(1).alias("priority"), target("namespace", "obj_name").alias("target"))
     p2 = log_lines.filter(kw).select(F.lit(2).alias("priority"), target("namespace", "pod").alias("target"))

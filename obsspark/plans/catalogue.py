@@ -661,8 +661,10 @@ def q_anomaly_triage(spark, d):
     """Priority 1 events, 2 log keywords, 3 failed scrapes, counted per target."""
     t = M.scrape_targets(all_refs(spark, d))
     met = M.classify_pod_scrapes(t, FX.scrapes(spark, d), max_body_bytes=MAX_BODY)
-    logs = parse_lines(drop_empty(FX.container_logs(spark, d)))
-    return TR.anomaly_triage(FX.kube_events(spark, d), logs, met)
+    logs = drop_empty(FX.container_logs(spark, d))
+    # the message is a suffix of the raw line: filter raw text before parsing
+    logs = TR.keyword_prefilter(logs)
+    return TR.anomaly_triage(FX.kube_events(spark, d), parse_lines(logs), met)
 
 
 # --------------------------------------------------------------- bundles
