@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsspark.functions.text import ws_trim
-from obsspark.operators.checks import DataCheckError, assert_at_most, assert_empty
+from obsspark.operators.checks import assert_at_most, assert_empty
 
 MAX_UID = 4_294_967_295
 

@@ -8,20 +8,32 @@ Parameters are fixed here so both engines compute the same thing.
 
 from __future__ import annotations
 
+import datetime
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsspark.functions.text import is_journal_noise
+from obsspark.operators import access as A
+from obsspark.operators import containers as C
+from obsspark.operators import events as EV
+from obsspark.operators import inventory as INV
+from obsspark.operators import metrics as M
+from obsspark.operators import triage as TR
+from obsspark.operators.diagnostics import USER_JOURNAL_PERMISSION_TEXT, classify_source_errors
 from obsspark.operators.lines import (
     drop_empty, drop_journal_noise, filter_text, inherit_timestamp, parse_lines,
     since_filter, tail_per_source, time_window_lenient, time_window_strict)
-from obsspark.params import ServiceLogParams, TimeWindow
+from obsspark.params import ContainerLogParams, ServiceLogParams, TimeWindow
 from obsspark.plans import oracle as O
+from obsspark.plans.bundles import pod_bundle, service_bundle
+from obsspark.plans.discovery import discover_pods
 from obsspark.plans.service_logs import collect_service_logs
 from obsspark.session import ensure_session_defaults, shared_dir
 from obsspark.sources import fixtures as FX
+from obsspark.sources.bundle import read_bundle, write_bundle
+from obsspark.sources.journal import journal_with_fallback
 
 # Fixed catalogue parameters.
 NOW_MS = 1_706_659_200_000                      # 2024-01-31T00:00:00Z
@@ -139,7 +151,6 @@ def q_inherit_timestamp(spark, d):
 
 
 def _b1_ctes(params: ServiceLogParams = SERVICE_PARAMS) -> str:
-    from obsspark.operators.diagnostics import USER_JOURNAL_PERMISSION_TEXT
     s, e = params.window_ms()
     now_iso = _iso_ms(params.now_ms)
     return O.service_logs_ctes(params.tail_lines, s, e, params.include, params.exclude,
@@ -147,8 +158,7 @@ def _b1_ctes(params: ServiceLogParams = SERVICE_PARAMS) -> str:
 
 
 def _iso_ms(ms: int) -> str:
-    import datetime as _dt
-    t = _dt.datetime.fromtimestamp(ms / 1000, tz=_dt.timezone.utc)
+    t = datetime.datetime.fromtimestamp(ms / 1000, tz=datetime.timezone.utc)
     return t.strftime("%Y-%m-%dT%H:%M:%S.") + f"{t.microsecond // 1000:03d}Z"
 
 
@@ -191,15 +201,6 @@ def q_missing_sources(spark, d):
 
 # ------------------------------------------------------------ services (F2)
 
-from obsspark.operators import access as A  # noqa: E402
-from obsspark.operators import containers as C  # noqa: E402
-from obsspark.operators import events as EV  # noqa: E402
-from obsspark.operators import inventory as INV  # noqa: E402
-from obsspark.operators import metrics as M  # noqa: E402
-from obsspark.operators import triage as TR  # noqa: E402
-from obsspark.operators.diagnostics import USER_JOURNAL_PERMISSION_TEXT, classify_source_errors  # noqa: E402
-from obsspark.params import ContainerLogParams  # noqa: E402
-from obsspark.sources.journal import journal_with_fallback  # noqa: E402
 
 SELECT_NAMES = ["svc-1", "svc-3", "svc-6", "svc-9", "svc-3"]
 REQUEST_NAMES = ["svc-1", "svc-9", "svc-x", "svc-3"]
@@ -300,9 +301,7 @@ select service, file, seq, 'fallback' as via from jl
 where not exists (select 1 from pr where pr.service = jl.service and pr.file = jl.file)""")
 def q_journal_fallback(spark, d):
     """Primary selector (services with a registered unit) else the fallback selector."""
-    jl = FX.log_lines(spark, d).filter("is_journal")
-    from obsspark.operators.lines import drop_journal_noise as _dn
-    jl = _dn(jl)
+    jl = drop_journal_noise(FX.log_lines(spark, d).filter("is_journal"))
     units = FX.services(spark, d).filter(F.col("journal").isNotNull()).select(F.col("name").alias("service"))
     primary = jl.join(units, "service", "left_semi")
     return journal_with_fallback(primary, jl, ["service", "file"]).select("service", "file", "seq", "via")
@@ -669,8 +668,6 @@ def q_anomaly_triage(spark, d):
 
 # --------------------------------------------------------------- bundles
 
-from obsspark.plans.bundles import pod_bundle, service_bundle  # noqa: E402
-from obsspark.sources.bundle import read_bundle, write_bundle  # noqa: E402
 
 BUNDLE_ID = "bundle-0001"
 CREATED_AT = "2024-01-31T00:00:00.000Z"
@@ -822,7 +819,6 @@ select namespace, name, label_app, 'main' as containers, ready from f3
 where namespace = 'ns-2' and label_tier = 'backend' and contains(name, '4')""")
 def q_discover_pods(spark, d):
     """S4, P11-P13, P15 (lifecycle 3.3): non-admin pod discovery with scope, selector and name filter."""
-    from obsspark.plans.discovery import discover_pods
     p = discover_pods(pod_objects(spark, d), admin=False, namespace="ns-2", selector="tier=backend", needle="4")
     return p.select("namespace", "name", F.col("labels")["app"].alias("label_app"),
                     F.array_join("containers", ",").alias("containers"), "ready")

@@ -4,7 +4,7 @@ principal may see, redacted by role."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
 
 from obsspark.operators import access as A
 from obsspark.operators import inventory as INV

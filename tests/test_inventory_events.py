@@ -2,7 +2,6 @@
 container logs and previous-log classification."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from obsspark.operators import containers as C
 from obsspark.operators import events as EV
