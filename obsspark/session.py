@@ -27,6 +27,9 @@ def get_session(master: str | None = None, app: str = "obsspark",
     builder = (builder
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
+               # checkpoint files of materialized intermediates are removed
+               # once their DataFrames are garbage collected
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")

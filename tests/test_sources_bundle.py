@@ -88,3 +88,40 @@ def test_stream_parses_like_batch(spark, tmpdir_fresh):
     got = sorted(((r.ts, r.line, r.sort_ms) for r in spark.read.parquet(out).collect()), key=lambda t: t[1])
     assert got == [(None, "INFO two", None), ("2024-01-01T00:00:00Z", "error one", 1704067200000),
                    ("2024-01-01T00:00:01Z", "error three", 1704067201000)]
+
+
+def test_event_and_scrape_operators_on_a_stream(spark, tmpdir_fresh):
+    """P20/P21 and P18/P22 are column expressions and a stream-static join:
+    they run unchanged on a streaming DataFrame."""
+    from obsspark.operators import events as EV
+    from obsspark.operators import metrics as M
+    src = os.path.join(tmpdir_fresh, "ev")
+    os.makedirs(src)
+    with open(os.path.join(src, "e.json"), "w") as f:
+        for i, (last, ev) in enumerate([("2024-01-02T00:00:00Z", None), ("", "2024-01-02T00:00:00Z"),
+                                        (None, "2023-01-01T00:00:00Z"), (None, "2024-01-03T00:00:00Z")]):
+            f.write(json.dumps({"event_id": i, "last_timestamp": last, "event_time": ev}) + "\n")
+    stream = (spark.readStream.schema("event_id long, last_timestamp string, event_time string, "
+                                      "creation_timestamp string").json(src))
+    out = EV.event_window(stream.withColumn("ts", EV.event_timestamp()), 1704067200000)
+    sink = os.path.join(tmpdir_fresh, "evout")
+    q = (out.writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", os.path.join(tmpdir_fresh, "evck")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == [0, 3]
+
+    scr = os.path.join(tmpdir_fresh, "scr")
+    os.makedirs(scr)
+    with open(os.path.join(scr, "s.json"), "w") as f:
+        f.write(json.dumps({"namespace": "n", "pod": "p", "http_status": 500, "body": "x"}) + "\n")
+    refs = spark.createDataFrame([("n", "p", "1.2.3.4", {"prometheus.io/scrape": "true", "prometheus.io/port": "80"})],
+                                 "namespace string, name string, pod_ip string, annotations map<string,string>")
+    targets = M.scrape_targets(refs)
+    s = spark.readStream.schema("namespace string, pod string, http_status int, body string, error_kind string, "
+                                "error_message string").json(scr)
+    joined = s.join(targets, (s["namespace"] == targets["namespace"]) & (s["pod"] == targets["name"]))
+    sink2 = os.path.join(tmpdir_fresh, "scout")
+    q2 = (joined.select(s["pod"], "url", "http_status").writeStream.format("parquet").option("path", sink2)
+          .option("checkpointLocation", os.path.join(tmpdir_fresh, "scck")).trigger(availableNow=True).start())
+    q2.awaitTermination(120)
+    assert [(r.pod, r.url) for r in spark.read.parquet(sink2).collect()] == [("p", "http://1.2.3.4:80/metrics")]
