@@ -23,6 +23,9 @@ REASON_ANNOTATION_MISSING = "annotation_missing"
 REASON_NO_METRICS_URL = "no_metrics_url"
 ERROR_PODIP_MISSING = "podIP_missing"
 ERROR_FETCH_FAILED = "fetch_failed"
+ERROR_TIMEOUT_FORMAT = "timeout after {timeout_ms}ms"
+ERROR_TOO_LARGE_PREFIX, ERROR_TOO_LARGE_SUFFIX = "response_too_large (", " bytes)"
+ERROR_STATUS_PREFIX, ERROR_STATUS_SUFFIX = "non-200 (", ")"
 
 
 def scrape_port(port: Column) -> Column:
@@ -71,11 +74,12 @@ def _outcome(max_body_bytes: int, timeout_ms: int, fetch_failed: Column) -> tupl
     transport error, then body size, then HTTP status."""
     size = F.octet_length(F.col("body"))
     status = F.col("http_status")
-    error = (F.when(F.col("error_kind") == "timeout", F.lit(f"timeout after {timeout_ms}ms"))
+    error = (F.when(F.col("error_kind") == "timeout", F.lit(ERROR_TIMEOUT_FORMAT.format(timeout_ms=timeout_ms)))
              .when(F.col("error_kind").isNotNull() | status.isNull(), fetch_failed)
              .when(F.coalesce(size, F.lit(0)) > max_body_bytes,
-                   F.concat(F.lit("response_too_large ("), size.cast("string"), F.lit(" bytes)")))
-             .when(~status.between(200, 299), F.concat(F.lit("non-200 ("), status.cast("string"), F.lit(")"))))
+                   F.concat(F.lit(ERROR_TOO_LARGE_PREFIX), size.cast("string"), F.lit(ERROR_TOO_LARGE_SUFFIX)))
+             .when(~status.between(200, 299),
+                   F.concat(F.lit(ERROR_STATUS_PREFIX), status.cast("string"), F.lit(ERROR_STATUS_SUFFIX))))
     return error.isNull(), error
 
 
