@@ -261,3 +261,10 @@ def pod_uid_map(observations: DataFrame, order_col: str) -> DataFrame:
     """Per (namespace, name) the uid of the last observation wins."""
     return observations.groupBy("namespace", "name").agg(
         F.max_by(F.col("uid"), F.col(order_col)).alias("uid"))
+
+
+def cap_check(df: DataFrame, cap: int) -> DataFrame:
+    """G4/G5 as a one-row frame: rows seen (reading at most cap + 1,
+    the early stop), the cap and whether it is exceeded."""
+    seen = df.limit(cap + 1).agg(F.count(F.lit(1)).alias("n_seen"))
+    return seen.select("n_seen", F.lit(cap).cast("long").alias("cap"), (F.col("n_seen") > cap).alias("exceeded"))

@@ -822,3 +822,24 @@ def q_discover_pods(spark, d):
     p = discover_pods(pod_objects(spark, d), admin=False, namespace="ns-2", selector="tier=backend", needle="4")
     return p.select("namespace", "name", F.col("labels")["app"].alias("label_app"),
                     F.array_join("containers", ",").alias("containers"), "ready")
+
+
+CAP = 20
+
+
+@register("pod_cap", f"""with f3 as ({O.F3})
+select least(count(*), {CAP + 1}) as n_seen, cast({CAP} as bigint) as cap, count(*) > {CAP} as exceeded
+from f3 where label_app = 'building'""")
+def q_pod_cap(spark, d):
+    """Selected pods against maxPods, reading at most maxPods + 1."""
+    sel = INV.pods_by_selector(pod_objects(spark, d), "*", EVENT_SELECTOR)
+    return INV.cap_check(sel, CAP)
+
+
+@register("metrics_cap", f"""with f3 as ({O.F3}), {_TARGETS_SQL}
+select least(count(*), {CAP + 1}) as n_seen, cast({CAP} as bigint) as cap, count(*) > {CAP} as exceeded
+from tgu where metrics_enabled and label_app = 'building'""")
+def q_metrics_cap(spark, d):
+    """Annotated (scrape-enabled) pods against maxMetricsPods."""
+    refs = INV.pod_refs(INV.pods_by_selector(pod_objects(spark, d), "*", EVENT_SELECTOR))
+    return INV.cap_check(M.scrape_targets(refs).filter("metrics_enabled"), CAP)

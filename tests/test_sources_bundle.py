@@ -125,3 +125,15 @@ def test_event_and_scrape_operators_on_a_stream(spark, tmpdir_fresh):
           .option("checkpointLocation", os.path.join(tmpdir_fresh, "scck")).trigger(availableNow=True).start())
     q2.awaitTermination(120)
     assert [(r.pod, r.url) for r in spark.read.parquet(sink2).collect()] == [("p", "http://1.2.3.4:80/metrics")]
+
+
+def test_read_journal_selectors(spark):
+    from obsspark.sources.journal import read_journal
+    jl = spark.createDataFrame([
+        ("a.service", None, None, 0, "2024-01-01T00:00:00Z sys"),
+        ("a.service", None, None, 1, "-- No entries --"),
+        (None, "a.service", "1000", 2, "2024-01-01T00:00:00Z user"),
+        (None, "a.service", "1001", 3, "other user"),
+        (None, "a.service", "1000", 4, "   ")], "unit string, user_unit string, uid string, seq long, raw string")
+    assert [r.seq for r in read_journal(jl, unit="a.service").collect()] == [0]
+    assert [r.seq for r in read_journal(jl, user_unit="a.service", uid="1000").collect()] == [2]
