@@ -133,3 +133,23 @@ def pod_bundle_request(spark: SparkSession, pods: DataFrame, container_logs: Dat
     return pod_bundle(spark, pods, container_logs, events, scrapes, params, bundle_id, created_at,
                       namespace=namespace, selector=selector, max_pods=max_pods if selector is not None else None,
                       max_metrics_pods=max_metrics_pods, requested=requested)
+
+
+def discover_pods_request(spark: SparkSession, pods: DataFrame, principal: Principal, namespace: str = "*",
+                          selector: str | None = None, needle: str | None = None) -> DataFrame:
+    """Pod listing (3.3): needs the ``pods`` capability and an allowed
+    namespace (``*`` must itself be allowed); admins see podIP,
+    annotations and node."""
+    from obsspark.plans.discovery import discover_pods
+    principal.require(["pods"])
+    _require_scope(spark, principal, spark.createDataFrame([(namespace,)], "namespace string"), "allowed_namespaces")
+    return discover_pods(pods, principal.admin, namespace, selector, needle)
+
+
+def discover_services_request(spark: SparkSession, registry: DataFrame, principal: Principal) -> DataFrame:
+    """Service listing: admins see every full definition, others the
+    names their service globs allow (no capability needed)."""
+    if principal.admin:
+        return INV.describe_services(registry, admin=True)
+    allowed = A.allowed_pairs(principal.frame(spark), "allowed_services", registry.select("name"), "name")
+    return INV.describe_services(registry.join(allowed.select("name"), "name", "left_semi"), admin=False)

@@ -89,3 +89,23 @@ def test_pod_request(spark):
     req = spark.createDataFrame([("ns-1", "p1"), ("ns-1", "missing")], "namespace string, pod string")
     with pytest.raises(DataCheckError, match="Pod not found: ns-1/missing"):
         pod_bundle_request(spark, pods, logs, None, None, params, Principal(admin=True), requested=req)
+
+
+def test_discovery_requests(spark):
+    from obsspark.plans.requests import discover_pods_request, discover_services_request
+    from obsspark.sources.kube import POD
+    pods = spark.createDataFrame([
+        {"metadata": {"namespace": "ns-1", "name": "web-1", "labels": {"app": "web"}},
+         "spec": {"containers": [{"name": "c"}]}, "status": {"podIP": "1.1.1.1"}}], POD)
+    with pytest.raises(Forbidden):
+        discover_pods_request(spark, pods, Principal(capabilities=("logs",), allowed_namespaces=("*",)))
+    with pytest.raises(Forbidden):
+        discover_pods_request(spark, pods, Principal(capabilities=("pods",), allowed_namespaces=("ns-*",)))
+    rows = discover_pods_request(spark, pods, Principal(capabilities=("pods",), allowed_namespaces=("ns-*",)),
+                                 namespace="ns-1", needle="web").collect()
+    assert [r.name for r in rows] == ["web-1"] and "pod_ip" not in rows[0].asDict()
+    reg = _registry(spark)
+    names = [r.name for r in discover_services_request(spark, reg, Principal(allowed_services=("*r*",))).collect()]
+    assert sorted(names) == ["cron", "worker"]
+    full = discover_services_request(spark, reg, Principal(admin=True)).orderBy("service_idx").collect()
+    assert [r.logs for r in full] == [["/var/log/api.log"], [], ["/var/log/cron.log"]]
