@@ -125,12 +125,20 @@ def _tailed_and_inherited(df: DataFrame, keys: list[str], order_col, n: int,
 
 
 def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[str], order_col,
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None) -> DataFrame:
+                    chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None,
+                    entry_time_col: str | None = None) -> DataFrame:
     """What each source hands to the collector (P9, P10, P28, W1) with
     its rank time (P1, P2, W2): files read their last N physical lines
     (an all-blank tail reads as empty); journals drop blank and marker
     lines and read either the last N entries or, with a time window,
     the whole window (two-phase inheritance: their size is unbounded).
+
+    ``entry_time_col`` (epoch ms of the journal entry itself, a stored
+    column) selects windowed journal entries by entry time first, as a
+    journal's own since/until selection does.  It is a plain column
+    predicate, so it reaches the scan as a pushed filter (row-group
+    skipping) and prunes partitions when the line table is partitioned
+    by it; the lenient line-timestamp window is then applied as usual.
     """
     keys = list(keys)
     j = F.col("is_journal")
@@ -140,7 +148,10 @@ def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[s
     if params.window is None:
         return _tailed_and_inherited(eligible, keys, order_col, n, None, None, None)
     files = _tailed_and_inherited(eligible.filter(~j), keys, order_col, n, None, None, None)
-    journals = parse_lines(eligible.filter(j & (F.length(F.col("raw")) > 0)))
+    jsel = j & (F.length(F.col("raw")) > 0)
+    if entry_time_col is not None:
+        jsel = jsel & F.col(entry_time_col).between(F.lit(start_ms), F.lit(end_ms))
+    journals = parse_lines(eligible.filter(jsel))
     journals = inherit_timestamp(journals, keys, order_col, start_ms, end_ms, chunk_rows=chunk_rows,
                                  chunk_col=chunk_col)
     return files.unionByName(journals)
@@ -151,7 +162,7 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
                          order_col="seq",
                          source_order: Sequence[str] = ("service", "is_journal", "file"),
                          chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None,
-                         materialize: bool = True) -> ServiceLogs:
+                         materialize: bool = True, entry_time_col: str | None = None) -> ServiceLogs:
     """B1 over tables.
 
     ``lines``: keys + ``order_col`` + ``raw`` (+ ``is_journal``).
@@ -176,7 +187,7 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
         lines = drop_failed_sources(lines, errors, keys)
     start_ms, end_ms = params.window_ms()
     j = F.col("is_journal")
-    got = delivered_lines(lines, params, keys, order_col, chunk_rows, chunk_col)
+    got = delivered_lines(lines, params, keys, order_col, chunk_rows, chunk_col, entry_time_col)
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     matched = ((~j | in_window_lenient(F.col("sort_ms"), start_ms, end_ms))
                & include_any(F.col("raw"), params.include)
