@@ -42,7 +42,7 @@ def assert_expected_lines(refs: DataFrame, params: ContainerLogParams) -> None:
 
 
 def container_log_lines(logs: DataFrame, refs: DataFrame, params: ContainerLogParams,
-                        chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                        chunk_rows: int = DEFAULT_CHUNK_ROWS, entry_time_col: str | None = None) -> DataFrame:
     """B2 lines: per (pod, container, current|previous) the last N lines,
     then non-empty lines, the window and the exclude patterns.
 
@@ -50,13 +50,20 @@ def container_log_lines(logs: DataFrame, refs: DataFrame, params: ContainerLogPa
     dropped).  Relative window: lower bound ``now - since`` on lines
     that carry a timestamp (the API filters by its own clock; lines we
     cannot date are kept).  Tail first, then window.
+
+    ``entry_time_col`` (epoch ms the runtime stamped on each line, a
+    stored column) applies the API's own lower bound *before* the tail,
+    exactly like since-time/tail on the server, as a predicate the scan
+    can push down.
     """
     pc = pod_containers(refs)
+    start_ms, end_ms = params.window_ms()
     wanted = logs if params.previous else logs.filter(~F.col("previous"))
+    if entry_time_col is not None:
+        wanted = wanted.filter(F.col(entry_time_col) >= F.lit(start_ms))
     wanted = wanted.join(pc, ["namespace", "pod", "container"], "inner")
     tailed = tail_per_source(wanted, LOG_KEYS, "pos", params.tail_lines, chunk_rows)
     out = parse_lines(tailed.filter(F.length("raw") > 0))
-    start_ms, end_ms = params.window_ms()
     if params.window.is_absolute:
         out = out.filter(F.col("sort_ms").between(F.lit(start_ms), F.lit(end_ms)))
     else:

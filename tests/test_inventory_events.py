@@ -131,3 +131,20 @@ def test_previous_fetch_error_classification(spark):
     ], "namespace string, pod string, previous boolean, status int, message string")
     got = [(r.status, r.skipped, r.fatal) for r in C.classify_log_fetch_errors(errs).collect()]
     assert got == [(400, True, False), (500, True, False), (500, False, True), (404, False, True)]
+
+
+def test_container_entry_time_applies_before_tail(spark):
+    refs = spark.createDataFrame([("n", "p", ["main"])], "namespace string, name string, containers array<string>")
+    logs = spark.createDataFrame([
+        ("n", "p", "main", False, 0, 1704067200000, "2024-01-01T00:00:00Z old-1"),
+        ("n", "p", "main", False, 1, 1704070800000, "2024-01-01T01:00:00Z new-1"),
+        ("n", "p", "main", False, 2, 1704070801000, "undated new-2"),
+        ("n", "p", "main", False, 3, 1704067300000, "2024-01-01T00:01:40Z late-old")],
+        "namespace string, pod string, container string, previous boolean, pos long, entry_ms long, raw string")
+    p = ContainerLogParams(now_ms=1704074400000, tail_lines=2, window=TimeWindow(since_seconds=3600))
+    # server-side since then tail: new-1 and new-2 (late-old is older than the bound)
+    got = sorted(r.line for r in C.container_log_lines(logs, refs, p, entry_time_col="entry_ms").collect())
+    assert got == ["new-1", "undated new-2"]
+    # without entry time: tail first (new-2, late-old), then the parsed-time bound drops late-old
+    got2 = sorted(r.line for r in C.container_log_lines(logs, refs, p).collect())
+    assert got2 == ["undated new-2"]
