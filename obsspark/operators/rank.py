@@ -24,6 +24,42 @@ def newest_lines(df: DataFrame, k: int, rank_col: str = "rank_ms",
     return df.orderBy(*order).limit(k)
 
 
+# Above this many candidate rows the top-K goes through a rank cutoff.
+DIRECT_TOPK_MAX_ROWS = 10_000_000
+
+
+def newest_lines_at_scale(df: DataFrame, k: int, rank_col: str = "rank_ms", tiebreak: Sequence[str] = (),
+                          n_rows: int | None = None, direct_max_rows: int = DIRECT_TOPK_MAX_ROWS,
+                          accuracy: int = 10_000) -> DataFrame:
+    """K1 without a single-task merge of partitions x K rows.
+
+    ``TakeOrderedAndProject`` merges every partition's local top K in
+    one task.  For large inputs a rank cutoff is estimated with
+    ``percentile_approx`` (mergeable sketches, partial aggregation) so
+    that roughly 2K plus the sketch's rank error survive; rows below the
+    cutoff cannot be in the top K *if* at least K rows survive, which is
+    checked, else the direct plan is used.  The result is always the
+    exact top K.  ``n_rows`` is the candidate count when known (one
+    aggregate otherwise).  Call it on a materialized input: it reads
+    ``df`` up to three times.
+    """
+    if k <= 0:
+        return df.filter(F.lit(False))
+    if n_rows is None:
+        n_rows = df.count()
+    if n_rows <= max(direct_max_rows, k):
+        return newest_lines(df, k, rank_col, tiebreak)
+    keep = 2 * k + 2 * (n_rows // accuracy) + 1
+    q = max(0.0, 1.0 - keep / n_rows)
+    cutoff = df.agg(F.percentile_approx(F.col(rank_col), q, accuracy).alias("c")).first()["c"]
+    if cutoff is None:
+        return newest_lines(df, k, rank_col, tiebreak)
+    candidates = df.filter(F.col(rank_col) >= F.lit(cutoff))
+    if candidates.count() < k:
+        return newest_lines(df, k, rank_col, tiebreak)
+    return newest_lines(candidates, k, rank_col, tiebreak)
+
+
 def final_order(df: DataFrame, rank_col: str = "rank_ms", tiebreak: Sequence[str] = ()) -> DataFrame:
     """K2: selected lines ascending (NULL rank first, then arrival)."""
     return df.orderBy(F.col(rank_col).asc_nulls_first(), *[F.col(c).asc() for c in tiebreak])

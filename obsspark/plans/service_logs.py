@@ -26,7 +26,8 @@ from obsspark.functions.text import exclude_any, include_any, is_journal_noise,
 from obsspark.operators.diagnostics import drop_failed_sources, missing_sources
 from obsspark.operators.lines import (
     DEFAULT_CHUNK_ROWS, in_window_lenient, inherit_timestamp, parse_lines, tail_per_source)
-from obsspark.operators.rank import log_summary, newest_lines, source_summary
+from obsspark.operators.rank import (
+    DIRECT_TOPK_MAX_ROWS, log_summary, newest_lines, newest_lines_at_scale, source_summary)
 from obsspark.params import ServiceLogParams
 from obsspark.session import shared_dir
 
@@ -45,6 +46,7 @@ class ServiceLogs:
         self._got, self._sources, self._errors = got, sources, errors
         self.params, self.keys, self.source_order, self.order = params, keys, source_order, order
         self.materialize = materialize
+        self.direct_topk_max_rows = DIRECT_TOPK_MAX_ROWS
 
     def _keep(self, df: DataFrame) -> DataFrame:
         if not self.materialize:
@@ -64,7 +66,12 @@ class ServiceLogs:
         extra = [c for c in self.source_order if c not in ranked.columns]
         if extra:
             ranked = ranked.join(self._sources.select(*self.keys, *extra), self.keys, "inner")
-        return newest_lines(ranked, self.params.max_total_log_lines, "rank_ms", [*self.source_order, *self.order])
+        tiebreak = [*self.source_order, *self.order]
+        if self.materialize:
+            # lines are checkpointed: counting and cutting them is cheap
+            return newest_lines_at_scale(ranked, self.params.max_total_log_lines, "rank_ms", tiebreak,
+                                         direct_max_rows=self.direct_topk_max_rows)
+        return newest_lines(ranked, self.params.max_total_log_lines, "rank_ms", tiebreak)
 
     @cached_property
     def failed(self) -> DataFrame | None:

@@ -223,3 +223,29 @@ def test_journal_entry_time_selection_is_pushed_down(spark, tmpdir_fresh):
     # without it the untimestamped old entry passes the lenient window
     res2 = collect_service_logs(lines, src, None, params, materialize=False)
     assert "no ts old entry" in [r.line for r in res2.selected.collect()]
+
+
+def test_top_k_cutoff_path_is_exact(spark):
+    """The percentile-cutoff top-K equals the direct one, including the
+    fallback when too few rows survive (many NULL ranks)."""
+    import random
+    from obsspark.operators.rank import newest_lines, newest_lines_at_scale
+    rnd = random.Random(3)
+    rows = [(f"s{rnd.randint(0, 5)}", i, (rnd.randint(0, 500) if rnd.random() < 0.9 else None)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "src string, seq long, rank_ms long")
+    for k in (1, 10, 400, 2900):
+        want = [tuple(r) for r in newest_lines(df, k, "rank_ms", ["src", "seq"]).collect()]
+        got = [tuple(r) for r in newest_lines_at_scale(df, k, "rank_ms", ["src", "seq"], direct_max_rows=100,
+                                                       accuracy=100).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), k
+
+
+def test_service_logs_cutoff_path_matches_direct(spark):
+    from obsspark.plans import catalogue as CAT
+    from obsspark.sources import fixtures as FX
+    sf = "/root/testdata/sf0.001"
+    args = (FX.log_lines(spark, sf), CAT.f1_sources(spark, sf), FX.source_errors(spark, sf), CAT.SERVICE_PARAMS)
+    direct = collect_service_logs(*args, materialize=False).selected
+    cut = collect_service_logs(*args, materialize=True)
+    cut.direct_topk_max_rows = 10
+    assert sorted(map(tuple, cut.selected.collect()), key=str) == sorted(map(tuple, direct.collect()), key=str)
