@@ -28,12 +28,14 @@ def line_time_ms(token) -> Column:
     The shape is checked by regex; calendar validity (month length, leap
     years, hour <= 23, minute/second <= 59) is enforced by Spark's
     timestamp parser, which yields NULL through ``try_to_timestamp``.
-    A comma fraction is read as a dot fraction.  Offset-less tokens are
+    A comma fraction is read as a dot fraction; digits beyond the ninth
+    are ignored (milliseconds are kept).  Offset-less tokens are
     read in the session time zone (UTC by convention).
     """
     tok = _col(token)
-    return F.when(tok.rlike(LINE_TS_PATTERN),
-                  F.unix_millis(F.try_to_timestamp(F.translate(tok, ",", "."))))
+    # Spark parses at most 9 fraction digits; only milliseconds matter.
+    norm = F.regexp_replace(F.translate(tok, ",", "."), r"(\.\d{9})\d+", "$1")
+    return F.when(tok.rlike(LINE_TS_PATTERN), F.unix_millis(F.try_to_timestamp(norm)))
 
 
 def first_token(raw) -> Column:

@@ -42,6 +42,7 @@ def test_line_time_variants(spark):
         "2024-01-01T00:00:00Z": 1704067200000,
         "2024-01-01T00:00:00.123456Z": 1704067200123,
         "2024-01-01T00:00:00,5Z": 1704067200500,
+        "2024-01-01T00:00:00.123456789012Z": 1704067200123,
         "2024-02-29T00:00:00Z": 1709164800000,
         "2023-02-29T00:00:00Z": None,
         "2024-01-01T24:00:00Z": None,
