@@ -249,3 +249,33 @@ def test_service_logs_cutoff_path_matches_direct(spark):
     cut = collect_service_logs(*args, materialize=True)
     cut.direct_topk_max_rows = 10
     assert sorted(map(tuple, cut.selected.collect()), key=str) == sorted(map(tuple, direct.collect()), key=str)
+
+
+def test_ranking_edge_cases(spark):
+    src = [("svc1", "/a.log", False, None)]
+    cases = [
+        ("first\nsecond\nthird", 2, ["second", "third"], 3),
+        ("2024-01-01T00:00:00Z old timestamped\nuntimestamped newest", 1, ["untimestamped newest"], 2),
+        ("2024-01-02T00:00:00Z newer timestamped\nuntimestamped after newer\n2024-01-01T00:00:00Z older timestamped",
+         1, ["untimestamped after newer"], 3),
+    ]
+    for text, k, want, matched in cases:
+        res = _run(spark, src, _file("svc1", "/a.log", text), max_total_log_lines=k)
+        assert _selected(res) == want
+        t = res.totals.first()
+        assert (t.line_limited, t.matched_log_records, t.returned_log_records) == (True, matched, k)
+
+
+def test_same_time_lines_keep_service_order(spark):
+    a = _file("svc1", "/a.log", "2024-01-01T00:00:00Z svc1-line")
+    b = _file("svc2", "/b.log", "2024-01-01T00:00:00Z svc2-line", start=10)
+    res = _run(spark, [("svc1", "/a.log", False, None), ("svc2", "/b.log", False, None)], a + b)
+    assert _selected(res) == ["svc1-line", "svc2-line"]
+
+
+def test_no_entries_only_when_user_journal_read_nothing(spark):
+    j = _file("svc1", "uunit", "2024-01-01T00:00:00Z something", journal=True)
+    res = _run(spark, [("svc1", "uunit", True, "user")], j, include=("absent",))
+    assert res.diagnostics.count() == 0
+    res = _run(spark, [("svc1", "sunit", True, "system")], _file("svc1", "sunit", "", journal=True))
+    assert res.diagnostics.count() == 0 and res.totals.first().matched_log_records == 0
