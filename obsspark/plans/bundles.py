@@ -47,6 +47,22 @@ def _source_fields(df: DataFrame):
             .alias("journal_user")]
 
 
+def _tuple_key(df: DataFrame, cols: Sequence[str]):
+    """String key ordered like the tuple of ``cols`` (types from ``df``):
+    booleans as 0/1, integers zero-padded (non-negative), text as is."""
+    types = dict(df.dtypes)
+    parts = []
+    for c in cols:
+        t = types[c]
+        if t == "boolean":
+            parts.append(F.col(c).cast("int").cast("string"))
+        elif t in ("tinyint", "smallint", "int", "bigint"):
+            parts.append(int_key(F.col(c)))
+        else:
+            parts.append(F.col(c))
+    return order_key(*parts)
+
+
 def service_log_records(logs: ServiceLogs, sources: DataFrame, params: ServiceLogParams,
                         keys: Sequence[str], source_order: Sequence[str], order_col=None) -> DataFrame:
     """Side records, selected lines and the summary as flat bundle rows.
@@ -56,9 +72,7 @@ def service_log_records(logs: ServiceLogs, sources: DataFrame, params: ServiceLo
     join the source key and the last one is ``k3``."""
     keys, source_order = list(keys), list(source_order)
     order = list(logs.order if order_col is None else ([order_col] if isinstance(order_col, str) else order_col))
-    skey = order_key(*[F.col(c).cast("int").cast("string") if c == "is_journal" else
-                       (int_key(F.col(c)) if c.endswith("_idx") or c.endswith("_pos") else F.col(c))
-                       for c in source_order])
+    skey = _tuple_key(logs.summary, source_order)
     # The (checkpointed) per-source summary carries every source
     # attribute, so the input sources table is not read again.
     summ = logs.summary

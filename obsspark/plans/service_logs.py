@@ -1,17 +1,22 @@
 """B1: service log collection.
 
-Plan shape (all lazy, one action at the sink):
-
-    lines --anti(failed)--> noise filter (journals) --> tail W1 (two-phase)
-          --> all-blank file tails dropped --> empty lines dropped
-          --> parse P1/P2 --> inherit W2 (two-phase, before text filters)
-          --> matched = window(journals) & include & ~exclude
-          --> {per-source counts G1, global top-K K1}
-
-Shuffles: the tail and the inheritance each shuffle on (source, chunk),
-never on the source alone, so one huge source is spread over its
-chunks.  Everything after the tail is bounded by N per source except
-windowed journals (which read their whole window, like the reference).
+Plan shape (lazy until a part is first used):
+
+    lines --anti(failed sources)--> journal noise filter
+      files, and journals without a window:
+          tail W1 (row_number <= N, partial WindowGroupLimit before the
+          shuffle on the source key) -> all-blank tail check -> empty lines
+          dropped -> parse P1/P2 -> inherit W2: three windows on that one
+          shuffle, each source holding at most N rows
+      journals with a window (unbounded):
+          parse -> two-phase inherit W2 on (source, chunk)
+      -> matched = lenient window (journals) & include & ~exclude
+      -> {per-source counts G1, global top-K K1, diagnostics, totals G2}
+
+Inheritance always runs before the text filters, so filtered-out lines
+still pass their timestamp on.  With ``materialize`` the delivered lines
+and the small per-source frames are checkpointed once and every part
+reads those.
 """
 
 from __future__ import annotations
