@@ -150,11 +150,11 @@ def q_inherit_timestamp(spark, d):
             .select("service", "file", "seq", "sort_ms", "rank_ms"))
 
 
-def _b1_ctes(params: ServiceLogParams = SERVICE_PARAMS) -> str:
+def _b1_ctes(params: ServiceLogParams = SERVICE_PARAMS, entry_filter: str | None = None) -> str:
     s, e = params.window_ms()
     now_iso = _iso_ms(params.now_ms)
     return O.service_logs_ctes(params.tail_lines, s, e, params.include, params.exclude,
-                               params.max_total_log_lines, USER_JOURNAL_PERMISSION_TEXT, now_iso)
+                               params.max_total_log_lines, USER_JOURNAL_PERMISSION_TEXT, now_iso, entry_filter)
 
 
 def _iso_ms(ms: int) -> str:
@@ -170,6 +170,17 @@ def q_newest_lines(spark, d):
         "service", "file", "seq", "ts", "line", "rank_ms")
 
 
+@register("journal_entry_window", f"""with {_b1_ctes(entry_filter=(
+        f"entry_ts between epoch_ms({WIN_START_MS}) and epoch_ms({WIN_END_MS})"))}
+select service, file, seq, ts, line, rank_ms from sel""")
+def q_journal_entry_window(spark, d):
+    """B1 with journal entries selected by their own time (a pushed-down
+    scan predicate) before the lenient line window."""
+    logs = collect_service_logs(FX.log_lines(spark, d), f1_sources(spark, d), FX.source_errors(spark, d),
+                                SERVICE_PARAMS, materialize=False, entry_time_col="entry_ts")
+    return logs.selected.select("service", "file", "seq", "ts", "line", "rank_ms")
+
+
 @register("source_summary", f"""with {_b1_ctes()}
 select service, file, is_journal, raw_log_records, matched_log_records, returned_log_records,
        skipped, reason, error from summ""")

@@ -25,7 +25,8 @@ F1 = f"""select 'svc-' || cast(user_id % 8 as varchar) as service,
             when event_id % 10 = 3 then upper(event_type) || ' user=' || cast(user_id as varchar)
             when event_id % 97 = 0 then '2024-02-30T00:00:00Z ' || event_type
             else {iso('ts')} || ' ' || event_type || ' user=' || cast(user_id as varchar) || ' ' || props
-       end as raw
+       end as raw,
+       ts as entry_ts
 from events"""
 
 F2 = """select distinct cast(user_id % 8 as int) as service_idx,
@@ -164,10 +165,11 @@ def error_text(user_permission_text: str, is_journal="is_journal", scope="journa
 
 
 def service_logs_ctes(tail: int, start_ms, end_ms, include, exclude, top_k: int,
-                      user_permission_text: str, now_iso: str) -> str:
+                      user_permission_text: str, now_iso: str, entry_filter: str | None = None) -> str:
     """CTE chain of B1 on F1/F2/F7: src, got (delivered lines with
     rank_ms/matched), sel (top-K), diag (side records), summ (G1)."""
     w = "true" if start_ms is None else f"sort_ms between {start_ms} and {end_ms}"
+    entry = f" and {entry_filter}" if entry_filter else ""
     if start_ms is None:
         tailed = f"""tl as (select * from (select *, row_number() over (partition by service, file order by seq desc) as rn
                       from elig) x where rn <= {tail}),
@@ -177,7 +179,7 @@ dl0 as (select service, file, is_journal, seq, raw from tl)"""
         tailed = f"""ft as (select * from (select *, row_number() over (partition by service, file order by seq desc) as rn
                       from elig where not is_journal) x where rn <= {tail}),
 dl0 as (select service, file, is_journal, seq, raw from ft
-        union all select service, file, is_journal, seq, raw from elig where is_journal)"""
+        union all select service, file, is_journal, seq, raw from elig where is_journal{entry})"""
     return f"""f1 as ({F1}),
 f2 as ({F2}),
 f7 as ({F7}),

@@ -145,8 +145,8 @@ def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[s
     lines and read either the last N entries or, with a time window,
     the whole window (two-phase inheritance: their size is unbounded).
 
-    ``entry_time_col`` (epoch ms of the journal entry itself, a stored
-    column) selects windowed journal entries by entry time first, as a
+    ``entry_time_col`` (the journal entry's own time, a stored epoch-ms
+    or timestamp column) selects windowed journal entries by entry time first, as a
     journal's own since/until selection does.  It is a plain column
     predicate, so it reaches the scan as a pushed filter (row-group
     skipping) and prunes partitions when the line table is partitioned
@@ -162,7 +162,12 @@ def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[s
     files = _tailed_and_inherited(eligible.filter(~j), keys, order_col, n, None, None, None)
     jsel = j & (F.length(F.col("raw")) > 0)
     if entry_time_col is not None:
-        jsel = jsel & F.col(entry_time_col).between(F.lit(start_ms), F.lit(end_ms))
+        dtype = dict(lines.dtypes)[entry_time_col]
+        lo, hi = F.lit(start_ms), F.lit(end_ms)
+        if dtype.startswith("timestamp"):
+            # constant-folded into timestamp literals, so still pushed down
+            lo, hi = F.timestamp_millis(lo).cast(dtype), F.timestamp_millis(hi).cast(dtype)
+        jsel = jsel & F.col(entry_time_col).between(lo, hi)
     journals = parse_lines(eligible.filter(jsel))
     journals = inherit_timestamp(journals, keys, order_col, start_ms, end_ms, chunk_rows=chunk_rows,
                                  chunk_col=chunk_col)

@@ -53,7 +53,8 @@ def _iso(c) -> F.Column:
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 services x 5 files; ``seq`` is arrival order within a source.
 
-    Columns: service, file, is_journal, seq, raw.
+    Columns: service, file, is_journal, seq, raw, entry_ts (the event's
+    own time: the journal entry time a journal would select by).
     """
     e = table(spark, sf_dir, "events")
     eid = F.col("event_id")
@@ -70,6 +71,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").isin("error", "view").alias("is_journal"),
         eid.alias("seq"),
         raw.alias("raw"),
+        F.col("ts").alias("entry_ts"),
     )
 
 

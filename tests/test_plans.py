@@ -48,3 +48,8 @@ def test_scans_prune_columns(spark):
     p = E.queries()["events_for_pods"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     # customer has c_name / c_nationkey, never needed by pod queries
     assert "c_name" not in p and "c_nationkey" not in p
+
+
+def test_journal_entry_window_is_pushed_to_the_scan(spark):
+    p = _plan(E.queries()["journal_entry_window"](spark, SF))
+    assert "GreaterThanOrEqual(ts," in p and "LessThanOrEqual(ts," in p
