@@ -1,11 +1,15 @@
 """Per-line operators: parsing (P1/P2), filters (P3-P10), tail (W1) and
 timestamp inheritance (W2).
 
-Window operators are *two-phase* so a single huge source never lands
-in one task: lines are grouped into chunks of consecutive arrival
-order (``order_col div chunk_rows``); a tiny per-(source, chunk) table
-carries what crosses chunk boundaries, and the per-line window runs
-partitioned by (source, chunk).
+No window here lets a single huge source land unpruned in one task.
+The tail keeps ``row_number() <= N``, which Spark prunes per map task
+before the shuffle (partial WindowGroupLimit).  Inheritance, which has
+no such bound, is *two-phase*: lines are grouped into chunks of
+consecutive arrival order (``order_col div chunk_rows``, or a given
+chunk column such as a file's block offset); a tiny per-(source, chunk)
+table carries what crosses chunk boundaries, and the per-line window
+runs partitioned by (source, chunk).  The tail has the same two-phase
+form for tails above the window-group-limit threshold.
 """
 
 from __future__ import annotations
@@ -23,10 +27,6 @@ from obsspark.functions.timeparse import parse_line_columns
 DEFAULT_CHUNK_ROWS = 1 << 20
 
 
-def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def parse_lines(df: DataFrame, raw: str = "raw", timestamps: bool = True) -> DataFrame:
     """P1 + P2: add ``ts`` (valid leading timestamp token), ``line``
     (message) and ``sort_ms`` (epoch ms of ``ts``)."""
