@@ -46,6 +46,10 @@ def newest_lines_at_scale(df: DataFrame, k: int, rank_col: str = "rank_ms", tieb
     if k <= 0:
         return df.filter(F.lit(False))
     if n_rows is None:
+        # The direct merge receives at most partitions x K rows: when that
+        # is small already, no count is needed.
+        if df.rdd.getNumPartitions() * k <= direct_max_rows:
+            return newest_lines(df, k, rank_col, tiebreak)
         n_rows = df.count()
     if n_rows <= max(direct_max_rows, k):
         return newest_lines(df, k, rank_col, tiebreak)
