@@ -32,6 +32,12 @@ USER_JOURNAL_PERMISSION_TEXT = (
 JOURNALCTL_NOT_FOUND_TEXT = "journalctl not found"
 UNKNOWN_ERROR_TEXT = "unknown error"
 
+# Texts of unusable journal users ({u} = the trimmed user).
+JOURNAL_USER_MISSING_TEXT = "journalUser is required for user journal scope"
+JOURNAL_USER_BLANK_TEXT = "journalUser must be a non-empty username or UID"
+JOURNAL_USER_RANGE_TEXT = 'journalUser "{u}" is outside the valid UID range'
+JOURNAL_USER_NEGATIVE_TEXT = 'journalUser "{u}" must be a non-negative UID or existing username'
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -124,14 +130,23 @@ def journal_user_code(journal_scope, journal_user) -> Column:
     return F.when((F.coalesce(_c(journal_scope), F.lit("system")) == "user") & bad, F.lit("EINVAL"))
 
 
+def _with_user(template: str, user: Column) -> Column:
+    before, after = template.split("{u}")
+    return F.concat(F.lit(before), user, F.lit(after))
+
+
 def journal_user_errors(sources: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A9 as source errors: user journals with an unusable user, ready to
     union into the errors table of ``collect_service_logs``."""
+    u = ws_trim("journal_user")
+    numeric = u.rlike(r"^\d+$")
+    message = (F.when(F.col("journal_user").isNull(), F.lit(JOURNAL_USER_MISSING_TEXT))
+               .when(u == "", F.lit(JOURNAL_USER_BLANK_TEXT))
+               .when(numeric, _with_user(JOURNAL_USER_RANGE_TEXT, u))
+               .otherwise(_with_user(JOURNAL_USER_NEGATIVE_TEXT, u)))
     code = journal_user_code(F.col("journal_scope"), F.col("journal_user"))
     return (sources.filter(F.col("is_journal")).withColumn("code", code).filter(F.col("code").isNotNull())
-            .select(*keys, "code", F.lit("").alias("stderr"),
-                    F.concat(F.lit('journalUser "'), F.coalesce(ws_trim("journal_user"), F.lit("")),
-                             F.lit('" must be a non-negative UID or existing username')).alias("message")))
+            .select(*keys, "code", F.lit("").alias("stderr"), message.alias("message")))
 
 
 def assert_window_has_journal(sources: DataFrame, window) -> None:

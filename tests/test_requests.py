@@ -109,3 +109,93 @@ def test_discovery_requests(spark):
     assert sorted(names) == ["cron", "worker"]
     full = discover_services_request(spark, reg, Principal(admin=True)).orderBy("service_idx").collect()
     assert [r.logs for r in full] == [["/var/log/api.log"], [], ["/var/log/cron.log"]]
+
+
+def test_pod_bundle_json_records(spark, tmpdir_fresh):
+    """B7 written as NDJSON: record shapes and section order."""
+    import glob
+    import gzip
+    import json
+    import os
+    from obsspark.sources.bundle import write_bundle
+    from obsspark.sources.kube import POD
+    pods = spark.createDataFrame([
+        {"metadata": {"namespace": "ns-1", "name": "a", "uid": "u-a", "labels": {"app": "web"},
+                      "annotations": {"prometheus.io/scrape": "true", "prometheus.io/port": "9090"}},
+         "spec": {"containers": [{"name": "main"}], "initContainers": [{"name": "init"}]},
+         "status": {"podIP": "10.0.0.1"}},
+        {"metadata": {"namespace": "ns-1", "name": "b", "labels": {"app": "web"}},
+         "spec": {"containers": [{"name": "main"}]}, "status": {}}], POD)
+    logs = spark.createDataFrame([
+        ("ns-1", "a", "main", False, 0, "2024-01-31T00:00:00Z hello"),
+        ("ns-1", "a", "main", True, 0, "2024-01-31T00:00:01Z before restart")],
+        "namespace string, pod string, container string, previous boolean, pos long, raw string")
+    events = spark.createDataFrame([
+        (7, "ns-1", "2024-01-31T00:00:02Z", None, None, "OOMKilled", "killed", "Pod", "a", "u-a")],
+        "event_id long, namespace string, last_timestamp string, event_time string, creation_timestamp string, "
+        "reason string, message string, obj_kind string, obj_name string, obj_uid string")
+    scrapes = spark.createDataFrame([("ns-1", "a", 200, "up 1", None, None)],
+                                    "namespace string, pod string, http_status int, body string, error_kind string, "
+                                    "error_message string")
+    params = ContainerLogParams(now_ms=1_706_659_500_000, tail_lines=10, previous=True)
+    b = pod_bundle_request(spark, pods, logs, events, scrapes, params, Principal(admin=True), namespace="ns-1",
+                           selector="app=web", bundle_id="b-7", created_at="2024-01-31T00:05:00.000Z")
+    out = os.path.join(tmpdir_fresh, "pb")
+    write_bundle(b, out, single_file=True)
+    with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt") as f:
+        recs = [json.loads(x) for x in f.read().splitlines()]
+    now = "2024-01-31T00:05:00.000Z"
+    assert recs[0]["type"] == "meta" and recs[0]["bundleId"] == "b-7" and recs[0]["params"]["kind"] == "pods"
+    assert recs[1:] == [
+        {"type": "log", "namespace": "ns-1", "pod": "a", "container": "main", "ts": "2024-01-31T00:00:00Z",
+         "line": "hello"},
+        {"type": "log", "namespace": "ns-1", "pod": "a", "container": "main", "ts": "2024-01-31T00:00:01Z",
+         "previous": True, "line": "before restart"},
+        {"type": "log", "namespace": "ns-1", "pod": "a", "container": "init", "ts": now, "previous": True,
+         "skipped": True, "reason": "no_previous_container"},
+        {"type": "log", "namespace": "ns-1", "pod": "b", "container": "main", "ts": now, "previous": True,
+         "skipped": True, "reason": "no_previous_container"},
+        {"type": "event", "namespace": "ns-1", "ts": "2024-01-31T00:00:02Z", "reason": "OOMKilled",
+         "message": "killed", "involvedObject": {"kind": "Pod", "name": "a", "namespace": "ns-1"}},
+        {"type": "metrics_text", "namespace": "ns-1", "pod": "b", "ts": now, "skipped": True,
+         "reason": "annotation_missing"},
+        {"type": "metrics_text", "namespace": "ns-1", "pod": "a", "podIP": "10.0.0.1", "port": 9090,
+         "path": "/metrics", "ts": now, "ok": True, "content": "up 1"},
+    ]
+
+
+def test_service_bundle_json_records(spark, tmpdir_fresh):
+    import glob
+    import gzip
+    import json
+    import os
+    from obsspark.sources.bundle import write_bundle
+    reg, lines = _registry(spark), _lines(spark)
+    params = ServiceLogParams(now_ms=1_706_659_200_000, max_total_log_lines=2)
+    b = service_bundle_request(spark, reg, lines, None, None, params, Principal(admin=True), names=["api", "worker"],
+                               include_metrics=False, bundle_id="s-1", created_at="c")
+    out = os.path.join(tmpdir_fresh, "sb")
+    write_bundle(b, out, single_file=True)
+    with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt") as f:
+        recs = [json.loads(x) for x in f.read().splitlines()]
+    now = "2024-01-31T00:00:00.000Z"
+    assert [r["type"] for r in recs] == ["meta", "log_error", "log", "log", "log_summary"]
+    assert recs[1] == {"type": "log_error", "service": "worker", "journal": "worker.service", "journalScope": "user",
+                       "journalUser": "-7", "ts": now, "reason": "journal_user_invalid",
+                       "error": 'journalUser "-7" must be a non-negative UID or existing username'}
+    assert recs[2] == {"type": "log", "service": "api", "file": "/var/log/api.log", "ts": "2024-01-01T00:00:01Z",
+                       "line": "api up"}
+    assert recs[3] == {"type": "log", "service": "api", "journal": "api.service", "ts": "2024-01-01T00:00:02Z",
+                       "line": "journal line"}
+    s = recs[4]
+    assert (s["maxTotalLogLines"], s["lineLimited"], s["matchedLogRecords"], s["returnedLogRecords"],
+            s["diagnosticRecords"], s["ts"]) == (2, False, 2, 2, 1, now)
+    assert s["sources"] == [
+        {"service": "api", "file": "/var/log/api.log", "rawLogRecords": 1, "matchedLogRecords": 1,
+         "returnedLogRecords": 1},
+        {"service": "api", "journal": "api.service", "rawLogRecords": 1, "matchedLogRecords": 1,
+         "returnedLogRecords": 1},
+        {"service": "worker", "journal": "worker.service", "journalScope": "user", "journalUser": "-7",
+         "rawLogRecords": 0, "matchedLogRecords": 0, "returnedLogRecords": 0, "skipped": True,
+         "reason": "journal_user_invalid",
+         "error": 'journalUser "-7" must be a non-negative UID or existing username'}]
