@@ -199,3 +199,23 @@ def test_service_bundle_json_records(spark, tmpdir_fresh):
          "rawLogRecords": 0, "matchedLogRecords": 0, "returnedLogRecords": 0, "skipped": True,
          "reason": "journal_user_invalid",
          "error": 'journalUser "-7" must be a non-negative UID or existing username'}]
+
+
+def test_jobs_cli_service_bundle(spark, tmpdir_fresh):
+    import glob
+    import gzip
+    import json
+    import os
+    from obsspark.jobs import run
+    reg = os.path.join(tmpdir_fresh, "services.json")
+    with open(reg, "w") as f:
+        json.dump([{"name": "api", "logs": ["/var/log/api.log"], "journal": "api.service"}], f)
+    lines = os.path.join(tmpdir_fresh, "lines")
+    _lines(spark).filter("service = 'api'").write.parquet(lines)
+    out = os.path.join(tmpdir_fresh, "bundle")
+    run(["service-bundle", "--registry", reg, "--lines", lines, "--out", out, "--now-ms", "1706659200000",
+         "--single-file", "--include", "journal"], spark=spark)
+    with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt") as f:
+        recs = [json.loads(x) for x in f.read().splitlines()]
+    assert [r["type"] for r in recs] == ["meta", "log", "log_summary"]
+    assert recs[1]["line"] == "journal line" and recs[2]["matchedLogRecords"] == 1
