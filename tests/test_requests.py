@@ -219,3 +219,27 @@ def test_jobs_cli_service_bundle(spark, tmpdir_fresh):
         recs = [json.loads(x) for x in f.read().splitlines()]
     assert [r["type"] for r in recs] == ["meta", "log", "log_summary"]
     assert recs[1]["line"] == "journal line" and recs[2]["matchedLogRecords"] == 1
+
+
+def test_jobs_cli_pod_bundle(spark, tmpdir_fresh):
+    import glob
+    import gzip
+    import json
+    import os
+    from obsspark.jobs import run
+    pods = os.path.join(tmpdir_fresh, "pods.json")
+    with open(pods, "w") as f:
+        json.dump({"items": [{"metadata": {"namespace": "prod", "name": "web-1", "labels": {"app": "web"}},
+                              "spec": {"containers": [{"name": "c"}]}, "status": {"podIP": "10.1.1.1"}}]}, f)
+    logs = os.path.join(tmpdir_fresh, "logs")
+    spark.createDataFrame([("prod", "web-1", "c", False, 0, "2024-01-31T00:00:00Z ok"),
+                           ("prod", "web-1", "c", False, 1, "2023-01-01T00:00:00Z too old")],
+                          "namespace string, pod string, container string, previous boolean, pos long, raw string"
+                          ).write.parquet(logs)
+    out = os.path.join(tmpdir_fresh, "bundle")
+    run(["pod-bundle", "--pods", pods, "--container-logs", logs, "--selector", "app=web", "--namespace", "prod",
+         "--since", "3600", "--now-ms", "1706659200000", "--single-file", "--out", out,
+         "--claims", json.dumps({"capabilities": ["logs", "pods"], "allowedNamespaces": ["prod"]})], spark=spark)
+    with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt") as f:
+        recs = [json.loads(x) for x in f.read().splitlines()]
+    assert [(r["type"], r.get("line")) for r in recs] == [("meta", None), ("log", "ok")]
