@@ -33,3 +33,32 @@ def journal_with_fallback(primary: DataFrame, fallback: DataFrame, keys: Sequenc
     got = primary.select(*keys).distinct()
     return (primary.withColumn("via", F.lit("primary"))
             .unionByName(fallback.join(got, keys, "left_anti").withColumn("via", F.lit("fallback"))))
+
+
+def journal_source_lines(sources: DataFrame, journal_lines: DataFrame,
+                         keys: Sequence[str] = ("service", "source")) -> DataFrame:
+    """Lines of every journal source of ``sources`` (from
+    ``inventory.expand_sources`` plus ``source``) out of one journal
+    table (unit, user_unit, systemd_user_unit, uid, seq, raw).
+
+    System scope selects by ``unit``; user scope by ``user_unit`` and the
+    source's user id, falling back to ``systemd_user_unit`` per source
+    when the primary selector yields no line (S2b).  User names must be
+    resolved to ids in the table's ``uid`` column.  Equi-joins on the
+    unit: each journal line meets only the sources naming its unit.
+    """
+    keys = list(keys)
+    js = sources.filter(F.col("is_journal")).select(*keys, "journal", "journal_scope", "journal_user")
+    jl = journal_lines.select("unit", "user_unit", "systemd_user_unit", "uid", "seq", "raw")
+    scope = F.coalesce(F.col("journal_scope"), F.lit("system"))
+    system = (js.filter(scope == "system")
+              .join(jl, js["journal"] == jl["unit"], "inner")
+              .select(*keys, "seq", "raw"))
+    user = js.filter(scope == "user")
+    primary = (user.join(jl, (user["journal"] == jl["user_unit"]) & (user["journal_user"] == jl["uid"]), "inner")
+               .select(*keys, "seq", "raw"))
+    fallback = (user.join(jl, (user["journal"] == jl["systemd_user_unit"]) & (user["journal_user"] == jl["uid"]),
+                          "inner")
+                .select(*keys, "seq", "raw"))
+    return (system.withColumn("via", F.lit("unit"))
+            .unionByName(journal_with_fallback(drop_journal_noise(primary), drop_journal_noise(fallback), keys)))

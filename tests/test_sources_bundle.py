@@ -162,3 +162,25 @@ def test_multipart_bundle_parts_are_in_bundle_order(spark, tmpdir_fresh):
         F.col("section"), F.col("k1").asc_nulls_first(), F.col("k2").asc_nulls_first(),
         F.col("k3").asc_nulls_first()).collect()]
     assert got == want
+
+
+def test_journal_source_lines_with_fallback(spark):
+    from obsspark.operators.inventory import expand_sources
+    from obsspark.sources.journal import journal_source_lines
+    reg = spark.createDataFrame([
+        (0, "a", None, "a.service", "system", None, None),
+        (1, "b", None, "b.service", "user", "1000", None),
+        (2, "c", None, "c.service", "user", "1000", None)],
+        "service_idx int, name string, logs array<string>, journal string, journal_scope string, "
+        "journal_user string, metrics string")
+    src = expand_sources(reg).withColumn("source", F.coalesce("file", "journal"))
+    jl = spark.createDataFrame([
+        ("a.service", None, None, None, 0, "sys line"),
+        (None, "b.service", "b.service", "1000", 1, "b primary"),
+        (None, None, "b.service", "1000", 2, "b fallback only"),
+        (None, None, "c.service", "1000", 3, "c fallback"),
+        (None, None, "c.service", "1001", 4, "other user"),
+        (None, "c.service", None, "1000", 5, "-- No entries --")],
+        "unit string, user_unit string, systemd_user_unit string, uid string, seq long, raw string")
+    got = sorted((r.service, r.seq, r.via) for r in journal_source_lines(src, jl).collect())
+    assert got == [("a", 0, "unit"), ("b", 1, "primary"), ("c", 3, "fallback")]
