@@ -19,7 +19,7 @@ from obsspark.operators import inventory as INV
 from obsspark.operators import metrics as M
 from obsspark.operators.checks import DataCheckError
 from obsspark.operators.diagnostics import assert_window_has_journal, journal_user_errors
-from obsspark.params import MAX_METRICS_PODS, MAX_PODS, ContainerLogParams, ServiceLogParams
+from obsspark.params import MAX_METRICS_PODS, MAX_PODS, ArgumentError, ContainerLogParams, ServiceLogParams
 from obsspark.plans.bundles import pod_bundle, service_bundle
 from obsspark.plans.service_logs import collect_service_logs
 
@@ -90,6 +90,11 @@ def service_bundle_request(spark: SparkSession, registry: DataFrame, lines: Data
     path or journal unit; ``errors``: (service, source, code, stderr,
     message); ``scrapes``: keyed by service.
     """
+    if names is not None:
+        # The target is "all" (None) or a non-empty list of names
+        names = [n.strip() for n in names if isinstance(n, str) and n.strip()]
+        if not names:
+            raise ArgumentError("target.services must be a non-empty list")
     principal.require([c for c, on in (("logs", include_logs), ("metrics", include_metrics)) if on])
     targets = (registry.select("name") if names is None
                else spark.createDataFrame([(n,) for n in names], "name string"))
@@ -119,7 +124,7 @@ def pod_bundle_request(spark: SparkSession, pods: DataFrame, container_logs: Dat
     """B7 for one request: a selector target (namespace + selector,
     needs the ``pods`` capability) xor explicit ``requested`` pods."""
     if (selector is None) == (requested is None):
-        raise ValueError("target must be either a selector or a list of pods")
+        raise ArgumentError("target must be either a selector or a list of pods")
     caps = [c for c, on in (("logs", container_logs is not None), ("events", events is not None),
                             ("metrics", scrapes is not None)) if on]
     if selector is not None:

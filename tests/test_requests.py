@@ -243,3 +243,13 @@ def test_jobs_cli_pod_bundle(spark, tmpdir_fresh):
     with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt") as f:
         recs = [json.loads(x) for x in f.read().splitlines()]
     assert [(r["type"], r.get("line")) for r in recs] == [("meta", None), ("log", "ok")]
+
+
+def test_target_rules(spark):
+    from obsspark.params import ArgumentError
+    reg, lines = _registry(spark), _lines(spark)
+    params = ServiceLogParams(now_ms=0)
+    with pytest.raises(ArgumentError):
+        service_bundle_request(spark, reg, lines, None, None, params, Principal(admin=True), names=[" "])
+    with pytest.raises(ArgumentError):
+        pod_bundle_request(spark, reg, None, None, None, ContainerLogParams(now_ms=0), Principal(admin=True))
