@@ -148,3 +148,16 @@ def test_container_entry_time_applies_before_tail(spark):
     # without entry time: tail first (new-2, late-old), then the parsed-time bound drops late-old
     got2 = sorted(r.line for r in C.container_log_lines(logs, refs, p).collect())
     assert got2 == ["undated new-2"]
+
+
+def test_container_logs_without_timestamps(spark):
+    refs = spark.createDataFrame([("n", "p", ["main"])], "namespace string, name string, containers array<string>")
+    logs = spark.createDataFrame([
+        ("n", "p", "main", False, 0, "2024-01-31T00:00:00Z recent"),
+        ("n", "p", "main", False, 1, "2023-01-01T00:00:00Z old"),
+        ("n", "p", "main", False, 2, "plain")],
+        "namespace string, pod string, container string, previous boolean, pos long, raw string")
+    p = ContainerLogParams(now_ms=1_706_659_200_000, tail_lines=5, timestamps=False,
+                           window=TimeWindow(since_seconds=3600))
+    got = sorted((r.ts, r.line) for r in C.container_log_lines(logs, refs, p).collect())
+    assert got == [(None, "2024-01-31T00:00:00Z recent"), (None, "plain")]
