@@ -83,11 +83,14 @@ def service_bundle_request(spark: SparkSession, registry: DataFrame, lines: Data
                            scrapes: DataFrame | None, params: ServiceLogParams, principal: Principal,
                            names: Sequence[str] | None = None, include_logs: bool = True,
                            include_metrics: bool = True, bundle_id: str = "bundle",
-                           created_at: str = "") -> DataFrame:
+                           created_at: str = "", order_col="seq", chunk_col: str | None = None,
+                           entry_time_col: str | None = None) -> DataFrame:
     """B6 for one request over a registry.
 
-    ``lines``: (service, source, seq, raw) where ``source`` is the file
-    path or journal unit; ``errors``: (service, source, code, stderr,
+    ``lines``: (service, source, <order>, raw) where ``source`` is the
+    file path or journal unit (``sources.files.file_source_lines`` builds
+    it from the files themselves, with ``order_col=["block", "row"]`` and
+    ``chunk_col="block"``); ``errors``: (service, source, code, stderr,
     message); ``scrapes``: keyed by service.
     """
     if names is not None:
@@ -109,8 +112,9 @@ def service_bundle_request(spark: SparkSession, registry: DataFrame, lines: Data
         assert_window_has_journal(sources, params.window)
         bad_users = journal_user_errors(sources, list(keys))
         errs = bad_users if errors is None else errors.select(*keys, "code", "stderr", "message").unionByName(bad_users)
-        logs = collect_service_logs(lines, sources, errs, params, keys=keys,
-                                    source_order=("service_idx", "source_pos"))
+        logs = collect_service_logs(lines, sources, errs, params, keys=keys, order_col=order_col,
+                                    source_order=("service_idx", "source_pos"), chunk_col=chunk_col,
+                                    entry_time_col=entry_time_col)
     metrics = M.classify_service_scrapes(selected, scrapes) if include_metrics and scrapes is not None else None
     return service_bundle(spark, logs, sources, metrics, params, bundle_id, created_at, keys=keys,
                           source_order=("service_idx", "source_pos"))

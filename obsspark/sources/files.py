@@ -49,3 +49,40 @@ def missing_file_errors(spark: SparkSession, sources: DataFrame, path_col: str =
     return (sources.filter(F.col(path_col).isNotNull()).join(present, path_col, "left_anti")
             .withColumns({"code": F.lit("ENOENT"), "stderr": F.lit(""),
                           "message": F.concat(F.lit("ENOENT: no such file '"), F.col(path_col), F.lit("'"))}))
+
+
+def _qualified(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        out.append((p, hp.getFileSystem(conf).makeQualified(hp).toString()))
+    return out
+
+
+def file_source_lines(spark: SparkSession, sources: DataFrame, keys: Sequence[str] = ("service", "source"),
+                      path_col: str = "file") -> tuple[DataFrame, DataFrame]:
+    """S1 for registry file sources: (lines, errors).
+
+    ``lines``: keys + block + row + raw for every configured file that
+    exists (read in one text scan, mapped back to its sources by the
+    qualified path; a file shared by several sources feeds each).
+    ``errors``: ENOENT rows for configured files that do not exist (J4).
+    Use ``order_col=["block", "row"]`` and ``chunk_col="block"`` with
+    ``collect_service_logs``.
+    """
+    keys = list(keys)
+    fsrc = sources.filter(F.col(path_col).isNotNull())
+    paths = [r[0] for r in fsrc.select(path_col).distinct().collect()]
+    have = existing_paths(spark, paths)
+    errors = missing_file_errors(spark, fsrc, path_col).select(*keys, "code", "stderr", "message")
+    if not have:
+        schema = ", ".join(f"{k} string" for k in keys) + ", block long, row long, raw string"
+        return spark.createDataFrame([], schema), errors
+    qual = spark.createDataFrame(_qualified(spark, have), f"{path_col} string, _qualified string")
+    raw = read_log_files(spark, have).withColumnRenamed("file", "_qualified")
+    lines = (raw.join(qual, "_qualified", "inner")
+             .join(fsrc.select(*keys, path_col), path_col, "inner")
+             .select(*keys, "block", "row", "raw"))
+    return lines, errors

@@ -253,3 +253,29 @@ def test_target_rules(spark):
         service_bundle_request(spark, reg, lines, None, None, params, Principal(admin=True), names=[" "])
     with pytest.raises(ArgumentError):
         pod_bundle_request(spark, reg, None, None, None, ContainerLogParams(now_ms=0), Principal(admin=True))
+
+
+def test_service_request_from_text_files(spark, tmpdir_fresh):
+    import os
+    from obsspark.operators.inventory import expand_sources, select_services
+    from obsspark.sources.files import file_source_lines
+    a = os.path.join(tmpdir_fresh, "a.log")
+    with open(a, "w") as f:
+        f.write("2024-01-01T00:00:01Z one\nplain two\n\n2024-01-01T00:00:03Z three\n")
+    gone = os.path.join(tmpdir_fresh, "gone.log")
+    reg = spark.createDataFrame([(0, "web", [a, gone], None, None, None, None)],
+                                "service_idx int, name string, logs array<string>, journal string, "
+                                "journal_scope string, journal_user string, metrics string")
+    sources = expand_sources(select_services(reg)).withColumn("source", F.coalesce("file", "journal"))
+    lines, errors = file_source_lines(spark, sources)
+    params = ServiceLogParams(now_ms=1_706_659_200_000, tail_lines=3)
+    b = service_bundle_request(spark, reg, lines, errors, None, params, Principal(admin=True),
+                               include_metrics=False, order_col=["block", "row"], chunk_col="block")
+    rows = b.orderBy("section", F.col("k1").asc_nulls_first(), "k2", "k3").collect()
+    assert [(r.type, r.file, r.line, r.reason) for r in rows if r.type != "meta"][:4] == [
+        ("log", gone, None, "file_not_found"),
+        ("log", a, "plain two", None), ("log", a, "three", None),
+        ("log_summary", None, None, None)]
+    # tail 3 of 4 physical lines: "plain two", "", "three" -> 2 non-empty
+    summ = [r for r in rows if r.type == "log_summary"][0]
+    assert [(s.file, s.raw_log_records, s.reason) for s in summ.sources] == [(a, 2, None), (gone, 0, "file_not_found")]
