@@ -1,7 +1,8 @@
 """Batch jobs: one bundle per run (``spark-submit -m obsspark.jobs ...``
 or ``python -m obsspark.jobs ...``).
 
-    service-bundle --registry services.json --lines <parquet> [--errors <parquet>]
+    service-bundle --registry services.json (--lines <parquet> | [--read-files] [--journal <parquet>])
+                   [--errors <parquet>]
                    [--scrapes <parquet>] [--names a,b] [--since S | --start T --end T]
                    [--tail N] [--include p ...] [--exclude p ...] [--max-lines K]
                    [--claims '{"allowedServices": [...], ...}'] --out <dir>
@@ -9,7 +10,10 @@ or ``python -m obsspark.jobs ...``).
                    (--selector S [--namespace NS] | --refs ns/pod,...) [--previous] ... --out <dir>
 
 Line tables are parquet with (service, source, seq, raw) for services and
-(namespace, pod, container, previous, pos, raw) for containers.  The
+(namespace, pod, container, previous, pos, raw) for containers.  Instead
+of ``--lines``, ``--read-files`` reads each registry log file directly and
+``--journal`` takes a journal table (unit, user_unit, systemd_user_unit,
+uid, seq, raw) from which each journal source selects its entries.  The
 output folder lives wherever the cluster's shared storage is.
 """
 
@@ -38,6 +42,33 @@ def _iso_now(now_ms: int) -> str:
     return time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(now_ms / 1000)) + f".{now_ms % 1000:03d}Z"
 
 
+def _lines_from_sources(spark, registry, names, read_files: bool, journal: str | None, errors):
+    """(service, source, block, row, raw) lines from the registry's own
+    files and/or a journal table; journal entries use block =
+    seq div chunk so both kinds share one arrival order and chunking."""
+    from pyspark.sql import functions as F
+    from obsspark.operators.inventory import expand_sources, select_services
+    from obsspark.operators.lines import DEFAULT_CHUNK_ROWS
+    from obsspark.sources.files import file_source_lines
+    from obsspark.sources.journal import journal_source_lines
+    sources = expand_sources(select_services(registry, names)).withColumn("source", F.coalesce("file", "journal"))
+    parts = []
+    if read_files:
+        flines, ferrs = file_source_lines(spark, sources)
+        parts.append(flines)
+        errors = ferrs if errors is None else errors.unionByName(ferrs, allowMissingColumns=True)
+    if journal:
+        jl = journal_source_lines(sources, spark.read.parquet(journal))
+        parts.append(jl.select("service", "source", F.expr(f"seq div {DEFAULT_CHUNK_ROWS}").alias("block"),
+                               F.col("seq").alias("row"), "raw"))
+    if not parts:
+        raise SystemExit("service-bundle needs --lines, --read-files or --journal")
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
+    return lines, errors
+
+
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="obsspark.jobs")
     sub = p.add_subparsers(dest="cmd", required=True)
@@ -57,7 +88,9 @@ def build_parser() -> argparse.ArgumentParser:
         s.add_argument("--single-file", action="store_true")
         if name == "service-bundle":
             s.add_argument("--registry", required=True)
-            s.add_argument("--lines", required=True)
+            s.add_argument("--lines")
+            s.add_argument("--read-files", action="store_true")
+            s.add_argument("--journal")
             s.add_argument("--errors")
             s.add_argument("--names")
             s.add_argument("--include", nargs="*", default=[])
@@ -88,12 +121,18 @@ def run(argv: list[str] | None = None, spark=None) -> str:
                                   exclude=tuple(a.exclude), window=_window(a), max_total_log_lines=a.max_lines,
                                   hard_max_total_log_lines=max(a.max_lines, 50_000))
         names = [n for n in a.names.split(",") if n.strip()] if a.names else None
+        registry = read_services(spark, a.registry)
+        errors = spark.read.parquet(a.errors) if a.errors else None
+        order, chunk = "seq", None
+        if a.lines:
+            lines = spark.read.parquet(a.lines)
+        else:
+            lines, errors = _lines_from_sources(spark, registry, names, a.read_files, a.journal, errors)
+            order, chunk = ["block", "row"], "block"
         bundle = service_bundle_request(
-            spark, read_services(spark, a.registry), spark.read.parquet(a.lines),
-            spark.read.parquet(a.errors) if a.errors else None,
-            spark.read.parquet(a.scrapes) if a.scrapes else None, params, principal, names,
-            include_logs=not a.no_logs, include_metrics=a.scrapes is not None, bundle_id=bundle_id,
-            created_at=created)
+            spark, registry, lines, errors, spark.read.parquet(a.scrapes) if a.scrapes else None, params,
+            principal, names, include_logs=not a.no_logs, include_metrics=a.scrapes is not None,
+            bundle_id=bundle_id, created_at=created, order_col=order, chunk_col=chunk)
     else:
         window = _window(a) or TimeWindow(since_seconds=600, max_seconds=a.max_window)
         params = ContainerLogParams(now_ms=now_ms, tail_lines=a.tail, timestamps=not a.no_timestamps,

@@ -279,3 +279,29 @@ def test_service_request_from_text_files(spark, tmpdir_fresh):
     # tail 3 of 4 physical lines: "plain two", "", "three" -> 2 non-empty
     summ = [r for r in rows if r.type == "log_summary"][0]
     assert [(s.file, s.raw_log_records, s.reason) for s in summ.sources] == [(a, 2, None), (gone, 0, "file_not_found")]
+
+
+def test_jobs_cli_files_and_journal(spark, tmpdir_fresh):
+    import glob
+    import gzip
+    import json
+    import os
+    from obsspark.jobs import run
+    log = os.path.join(tmpdir_fresh, "app.log")
+    with open(log, "w") as f:
+        f.write("2024-01-01T00:00:01Z file line\n")
+    reg = os.path.join(tmpdir_fresh, "services.json")
+    with open(reg, "w") as f:
+        json.dump([{"name": "app", "logs": [log, log + ".missing"], "journal": "app.service"}], f)
+    jt = os.path.join(tmpdir_fresh, "journal")
+    spark.createDataFrame([("app.service", None, None, None, 5, "2024-01-01T00:00:02Z journal line")],
+                          "unit string, user_unit string, systemd_user_unit string, uid string, seq long, raw string"
+                          ).write.parquet(jt)
+    out = os.path.join(tmpdir_fresh, "bundle")
+    run(["service-bundle", "--registry", reg, "--read-files", "--journal", jt, "--out", out,
+         "--now-ms", "1706659200000", "--single-file"], spark=spark)
+    with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt") as f:
+        recs = [json.loads(x) for x in f.read().splitlines()]
+    assert [(r["type"], r.get("line"), r.get("reason")) for r in recs] == [
+        ("meta", None, None), ("log", None, "file_not_found"), ("log", "file line", None),
+        ("log", "journal line", None), ("log_summary", None, None)]
