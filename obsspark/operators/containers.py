@@ -41,8 +41,22 @@ def assert_expected_lines(refs: DataFrame, params: ContainerLogParams) -> None:
         raise DataCheckError("maxTotalLogLines would be exceeded by requested tailLines/containers")
 
 
-def container_log_lines(logs: DataFrame, refs: DataFrame, params: ContainerLogParams,
+def tail_container_logs(logs: DataFrame, refs: DataFrame, params: ContainerLogParams,
                         chunk_rows: int = DEFAULT_CHUNK_ROWS, entry_time_col: str | None = None) -> DataFrame:
+    """The last N lines of every (pod, container, current|previous) of
+    the selected pods, before any line filter (W1).  Bounded by N per
+    container, so it is cheap to materialize and reuse."""
+    start_ms, _ = params.window_ms()
+    wanted = logs if params.previous else logs.filter(~F.col("previous"))
+    if entry_time_col is not None:
+        wanted = wanted.filter(F.col(entry_time_col) >= F.lit(start_ms))
+    wanted = wanted.join(pod_containers(refs), ["namespace", "pod", "container"], "inner")
+    return tail_per_source(wanted, LOG_KEYS, "pos", params.tail_lines, chunk_rows)
+
+
+def container_log_lines(logs: DataFrame, refs: DataFrame, params: ContainerLogParams,
+                        chunk_rows: int = DEFAULT_CHUNK_ROWS, entry_time_col: str | None = None,
+                        tailed: DataFrame | None = None) -> DataFrame:
     """B2 lines: per (pod, container, current|previous) the last N lines,
     then non-empty lines, the window and the exclude patterns.
 
@@ -54,16 +68,12 @@ def container_log_lines(logs: DataFrame, refs: DataFrame, params: ContainerLogPa
     ``entry_time_col`` (epoch ms the runtime stamped on each line, a
     stored column) applies the API's own lower bound *before* the tail,
     exactly like since-time/tail on the server, as a predicate the scan
-    can push down.
+    can push down.  ``tailed``: a precomputed ``tail_container_logs``.
     """
-    pc = pod_containers(refs)
-    start_ms, end_ms = params.window_ms()
-    wanted = logs if params.previous else logs.filter(~F.col("previous"))
-    if entry_time_col is not None:
-        wanted = wanted.filter(F.col(entry_time_col) >= F.lit(start_ms))
-    wanted = wanted.join(pc, ["namespace", "pod", "container"], "inner")
-    tailed = tail_per_source(wanted, LOG_KEYS, "pos", params.tail_lines, chunk_rows)
+    if tailed is None:
+        tailed = tail_container_logs(logs, refs, params, chunk_rows, entry_time_col)
     out = parse_lines(tailed.filter(F.length("raw") > 0))
+    start_ms, end_ms = params.window_ms()
     if params.window.is_absolute:
         out = out.filter(F.col("sort_ms").between(F.lit(start_ms), F.lit(end_ms)))
     else:
@@ -74,9 +84,14 @@ def container_log_lines(logs: DataFrame, refs: DataFrame, params: ContainerLogPa
     return out
 
 
-def previous_skips(logs: DataFrame, refs: DataFrame) -> DataFrame:
-    """(pod, container) pairs asked for previous logs that have none."""
-    have = logs.filter(F.col("previous")).select("namespace", "pod", "container").distinct()
+def previous_skips(logs: DataFrame, refs: DataFrame, tailed: DataFrame | None = None) -> DataFrame:
+    """(pod, container) pairs asked for previous logs that have none.
+
+    With a (non-empty-tail) ``tailed`` frame the check reads it instead of
+    the whole log table: a previous log with any line keeps at least one
+    row in its tail."""
+    src = tailed if tailed is not None else logs
+    have = src.filter(F.col("previous")).select("namespace", "pod", "container").distinct()
     return (pod_containers(refs).join(have, ["namespace", "pod", "container"], "left_anti")
             .withColumn("reason", F.lit(NO_PREVIOUS_CONTAINER)))
 

@@ -23,6 +23,7 @@ from obsspark.operators import inventory as INV
 from obsspark.operators import metrics as M
 from obsspark.params import ContainerLogParams, ServiceLogParams
 from obsspark.plans.service_logs import ServiceLogs
+from obsspark.session import shared_dir
 from obsspark.sources.bundle import conform, int_key, order_key
 
 
@@ -173,7 +174,8 @@ def pod_bundle(spark: SparkSession, pods: DataFrame, container_logs: DataFrame |
                scrapes: DataFrame | None, params: ContainerLogParams, bundle_id: str, created_at: str,
                namespace: str = "*", selector: str | None = None, max_pods: int | None = None,
                max_metrics_pods: int | None = None, max_body_bytes: int = M.MAX_METRICS_BODY_BYTES,
-               timeout_ms: int = M.METRICS_TIMEOUT_MS, requested: DataFrame | None = None) -> DataFrame:
+               timeout_ms: int = M.METRICS_TIMEOUT_MS, requested: DataFrame | None = None,
+               entry_time_col: str | None = None) -> DataFrame:
     """Resolve pods (S4/P12/P13, G4 when ``max_pods``), then logs (B2),
     events (B3) and metrics (B4) in bundle order.  Argument/size checks
     run before anything is written, as in the reference."""
@@ -194,8 +196,18 @@ def pod_bundle(spark: SparkSession, pods: DataFrame, container_logs: DataFrame |
                                                      "selector": selector, **asdict(params)})
     if container_logs is not None:
         C.assert_expected_lines(refs, params)
-        lines = C.container_log_lines(container_logs, refs, params)
-        skips = C.previous_skips(container_logs, refs) if params.previous else None
+        tailed = C.tail_container_logs(container_logs, refs, params, entry_time_col=entry_time_col)
+        if params.previous and params.tail_lines > 0 and entry_time_col is None:
+            # records and previous-log checks both read the bounded tail:
+            # materialize it once instead of scanning the log table twice
+            # (with an entry-time bound the tail no longer proves that a
+            # previous container exists, so that case reads the table)
+            shared_dir(spark)
+            tailed = tailed.checkpoint(eager=True)
+            skips = C.previous_skips(container_logs, refs, tailed=tailed)
+        else:
+            skips = C.previous_skips(container_logs, refs) if params.previous else None
+        lines = C.container_log_lines(container_logs, refs, params, tailed=tailed)
         out = out.unionByName(pod_log_records(lines, skips, params.now_ms))
     if events is not None:
         start_ms, end_ms = params.window_ms()
