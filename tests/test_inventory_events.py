@@ -161,3 +161,24 @@ def test_container_logs_without_timestamps(spark):
                            window=TimeWindow(since_seconds=3600))
     got = sorted((r.ts, r.line) for r in C.container_log_lines(logs, refs, p).collect())
     assert got == [(None, "2024-01-31T00:00:00Z recent"), (None, "plain")]
+
+
+def test_small_helpers(spark):
+    from obsspark.operators.rank import final_order
+    from obsspark.session import apply_scale_settings
+    df = spark.createDataFrame([(2, "b", 1), (None, "a", 0), (2, "a", 5), (1, "z", 9)],
+                               "rank_ms long, src string, seq long")
+    assert [(r.rank_ms, r.src) for r in final_order(df, tiebreak=["src", "seq"]).collect()] == [
+        (None, "a"), (1, "z"), (2, "a"), (2, "b")]
+    reg = spark.createDataFrame([(0, "a", ["/x"], "u", "system", None, "m")], REG)
+    assert INV.describe_services(reg, admin=False).columns == ["service_idx", "name"]
+    r = INV.cap_check(spark.range(50), 20).first()
+    assert (r.n_seen, r.cap, r.exceeded) == (21, 20, True)
+    r = INV.cap_check(spark.range(5), 20).first()
+    assert (r.n_seen, r.exceeded) == (5, False)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        conf = apply_scale_settings(spark, 1 << 30, 4)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == conf["spark.sql.shuffle.partitions"] == "8"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
