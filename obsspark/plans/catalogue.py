@@ -763,7 +763,7 @@ POD_BUNDLE_COLS = ["section", "k3", "type", "namespace", "pod", "container", "pr
                    "port", "path", "ok", "content"]
 
 
-@register("pod_bundle", f"""with f3 as ({O.F3}), f4 as ({O.F4}), f5 as ({O.F5}), f6 as ({O.F6}),
+_POD_BUNDLE_CHAIN = f"""with f3 as ({O.F3}), f4 as ({O.F4}), f5 as ({O.F5}), f6 as ({O.F6}),
 sel as (select * from f3 where label_app = 'building'),
 pc as ({_PC_SQL.format(src='sel')}),
 w as (select f5.* from f5 join pc using (namespace, pod, container)),
@@ -805,14 +805,13 @@ b as (
          case when fetched then pod_ip end, case when fetched then port end, case when fetched then path end,
          case when metrics_enabled and not fetched then false when fetched then ok0 end,
          case when fetched and ok0 then coalesce(body, '') end
-  from k)
-select * from b""")
+  from k)"""
+
+
+@register("pod_bundle", _POD_BUNDLE_CHAIN + "\nselect * from b")
 def q_pod_bundle(spark, d):
     """The whole pod bundle (logs, previous skips, events, metrics) as flat ordered records."""
-    b = pod_bundle(spark, FX.pod_objects(spark, d), FX.container_logs(spark, d), FX.kube_events(spark, d),
-                   FX.scrapes(spark, d), POD_BUNDLE_PARAMS, BUNDLE_ID, CREATED_AT, namespace="*",
-                   selector=EVENT_SELECTOR, max_body_bytes=MAX_BODY)
-    return b.select(*POD_BUNDLE_COLS)
+    return pod_bundle_df(spark, d).select(*POD_BUNDLE_COLS)
 
 
 @register("describe_services", f"""with f1 as ({O.F1}), f2 as ({O.F2}), {_FILES_CTE}
@@ -854,3 +853,30 @@ def q_metrics_cap(spark, d):
     """Annotated (scrape-enabled) pods against maxMetricsPods."""
     refs = INV.pod_refs(INV.pods_by_selector(pod_objects(spark, d), "*", EVENT_SELECTOR))
     return INV.cap_check(M.scrape_targets(refs).filter("metrics_enabled"), CAP)
+
+
+def pod_bundle_df(spark, d):
+    return pod_bundle(spark, FX.pod_objects(spark, d), FX.container_logs(spark, d), FX.kube_events(spark, d),
+                      FX.scrapes(spark, d), POD_BUNDLE_PARAMS, BUNDLE_ID, CREATED_AT, namespace="*",
+                      selector=EVENT_SELECTOR, max_body_bytes=MAX_BODY)
+
+
+@register("bundle_triage", _POD_BUNDLE_CHAIN + """,
+u as (select 1 as priority, namespace || '/' || involved_name as target from b
+      where type = 'event' and reason in ('OOMKilled', 'CrashLoopBackOff', 'FailedScheduling')
+      union all select 2, namespace || '/' || pod from b
+      where type = 'log' and (contains(lower(line), 'panic') or contains(lower(line), 'fatal')
+         or contains(lower(line), 'segfault') or contains(lower(line), 'timeout')
+         or contains(lower(line), 'connection refused'))
+      union all select 3, namespace || '/' || pod from b where type = 'metrics_text' and ok = false)
+select priority, target, count(*) as n from u group by priority, target""")
+def q_bundle_triage(spark, d):
+    """Write the pod bundle, read it back and triage its records."""
+    path = shared_dir(spark, "pod-bundle")
+    write_bundle(pod_bundle_df(spark, d), path)
+    rec = read_bundle(spark, path)
+    events = rec.filter(F.col("type") == "event").select("namespace", F.col("involved_name").alias("obj_name"),
+                                                         "reason")
+    logs = rec.filter((F.col("type") == "log") & F.col("line").isNotNull()).select("namespace", "pod", "line")
+    metrics = rec.filter(F.col("type") == "metrics_text").select("namespace", "pod", "ok")
+    return TR.anomaly_triage(events, logs, metrics)
