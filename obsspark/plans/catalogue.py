@@ -880,3 +880,19 @@ def q_bundle_triage(spark, d):
     logs = rec.filter((F.col("type") == "log") & F.col("line").isNotNull()).select("namespace", "pod", "line")
     metrics = rec.filter(F.col("type") == "metrics_text").select("namespace", "pod", "ok")
     return TR.anomaly_triage(events, logs, metrics)
+
+
+@register("bundle_signatures", f"""with {_b1_ctes()},
+bl as (select line, ts from sel)
+select regexp_replace(line, '[0-9]+', '<n>', 'g') as signature, count(*) as n,
+       min(epoch_ms(try_cast(replace(ts, 'Z', '') as timestamp))) as first_ms,
+       max(epoch_ms(try_cast(replace(ts, 'Z', '') as timestamp))) as last_ms
+from bl where contains(lower(line), 'error') group by 1""")
+def q_bundle_signatures(spark, d):
+    """Error signatures over the log records of a service
+    bundle written and read back (times from the records' own ts)."""
+    path = shared_dir(spark, "svc-bundle")
+    write_bundle(service_bundle_df(spark, d), path)
+    rec = read_bundle(spark, path).filter((F.col("type") == "log") & F.col("line").isNotNull())
+    rec = rec.withColumn("ts_ms", F.unix_millis(F.try_to_timestamp(F.col("ts"))))
+    return TR.error_signatures(rec, time_col="ts_ms")
