@@ -185,7 +185,8 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
     ``lines``: keys + ``order_col`` + ``raw`` (+ ``is_journal``).
     ``sources``: keys + ``is_journal`` + ``journal_scope`` + the
     ``source_order`` columns.  ``errors``: keys + code/stderr/message of
-    failed reads (or None).
+    failed reads (or None).  Source keys must be non-null (they are join
+    keys); registry sources use ``source = coalesce(file, journal)``.
 
     ``materialize`` (default) checkpoints the delivered lines and the
     per-source frames into the cluster's checkpoint folder: counts,
