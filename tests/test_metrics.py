@@ -69,3 +69,40 @@ def test_service_scrapes(spark):
     assert got == {"a": (None, None, False, "fetch_failed: ECONNRESET"),
                    "b": (True, "no_metrics_url", None, None),
                    "c": (None, None, False, "fetch_failed: unknown")}
+
+
+def _port_model(s):
+    import re
+    if s is None or s == "":
+        return None
+    m = re.match(r"[ \t\n\x0b\x0c\r]*([+-]?\d+)", s)
+    return int(m.group(1)) if m else None
+
+
+def _path_model(p):
+    if p is None:
+        return "/metrics"
+    t = p.strip(" \t\n\x0b\x0c\r")
+    ok = t and t.startswith("/") and ".." not in t and "?" not in t and "#" not in t
+    return t if ok else "/metrics"
+
+
+def test_port_and_path_match_model_on_random_text(spark):
+    import random
+    rnd = random.Random(5)
+    alpha = " \t0123456789+-abx/.?#"
+    rows = []
+    for i in range(400):
+        port = None if rnd.random() < 0.1 else "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 6)))
+        path = None if rnd.random() < 0.1 else "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 6)))
+        rows.append(("ns", f"p{i}", "1.1.1.1", {"prometheus.io/scrape": "true",
+                                                 **({"prometheus.io/port": port} if port is not None else {}),
+                                                 **({"prometheus.io/path": path} if path is not None else {})},
+                     port, path))
+    df = spark.createDataFrame(rows, REF + ", port_s string, path_s string")
+    got = {r.name: (r.metrics_enabled, r.port, r.path) for r in M.scrape_targets(df).collect()}
+    for (_ns, name, _ip, _ann, port, path) in rows:
+        p = _port_model(port)
+        enabled = p is not None and p > 0
+        want = (enabled, p if enabled else None, _path_model(path) if enabled else None)
+        assert got[name] == want, (port, path, got[name], want)
