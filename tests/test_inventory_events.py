@@ -182,3 +182,42 @@ def test_small_helpers(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == conf["spark.sql.shuffle.partitions"] == "8"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def _selector_model(labels, terms):
+    for op, key, vals in terms:
+        v = labels.get(key)
+        ok = {"=": v == vals[0], "!=": v != vals[0], "in": v in vals, "notin": v not in vals,
+              "exists": key in labels, "!exists": key not in labels}[op]
+        if not ok:
+            return False
+    return True
+
+
+def _selector_text(terms):
+    out = []
+    for op, key, vals in terms:
+        out.append({"=": f"{key}={vals[0]}", "!=": f"{key}!={vals[0]}", "in": f"{key} in ({', '.join(vals)})",
+                    "notin": f"{key} notin ({','.join(vals)})", "exists": key, "!exists": f"!{key}"}[op])
+    return ",".join(out)
+
+
+def test_label_selector_matches_model(spark):
+    import random
+    from obsspark.sources.kube import POD
+    rnd = random.Random(21)
+    keys, values = ["app", "tier", "env"], ["a", "b", "c"]
+    pods = []
+    for i in range(60):
+        labels = {k: rnd.choice(values) for k in keys if rnd.random() < 0.6}
+        pods.append({"metadata": {"namespace": "n", "name": f"p{i}", "labels": labels or None}})
+    df = spark.createDataFrame(pods, POD)
+    for _ in range(25):
+        terms = []
+        for _ in range(rnd.randint(1, 3)):
+            op = rnd.choice(["=", "!=", "in", "notin", "exists", "!exists"])
+            terms.append((op, rnd.choice(keys), rnd.sample(values, rnd.randint(1, 2))))
+        sel = _selector_text(terms)
+        got = sorted(r.metadata.name for r in df.filter(INV.label_selector(sel)).collect())
+        want = sorted(p["metadata"]["name"] for p in pods if _selector_model(p["metadata"]["labels"] or {}, terms))
+        assert got == want, sel
