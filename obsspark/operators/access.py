@@ -124,7 +124,8 @@ def record_visibility(principals: DataFrame, capabilities: DataFrame, records: D
     before any join, so the work after the scan is proportional to the
     number of distinct scopes, not records."""
     spark = records.sparkSession
-    cap_map = spark.createDataFrame(RECORD_CAPABILITY, "type string, capability string")
+    # a fixed five-row constant: a proven size bound, so broadcast it
+    cap_map = F.broadcast(spark.createDataFrame(RECORD_CAPABILITY, "type string, capability string"))
     per_scope = records.groupBy("type", scope_col).agg(F.count(F.lit(1)).alias("_n"))
     scopes = per_scope.select(scope_col).distinct()
     pairs = allowed_pairs(principals, patterns_col, scopes, scope_col)
