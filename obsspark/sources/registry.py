@@ -18,18 +18,18 @@ SERVICE = T.StructType([
 def read_services(spark: SparkSession, path: str) -> DataFrame:
     """Registry entries in file order (``service_idx``), fields trimmed.
 
-    Numeric ``journalUser`` values read as their text.  Validate with
-    ``inventory.registry_violations`` on the untrimmed columns
-    (``raw_*``) before use.
+    The document is one JSON array: read as whole text, parsed with an
+    explicit schema and ``posexplode``d, so positions are the array
+    positions.  Numeric ``journalUser`` values read as their text.
+    Validate with ``inventory.registry_violations`` before use.
     """
-    # A top-level JSON array reads as one row per element; multi-line
-    # JSON is not split, so row ids follow the file order.
-    doc = spark.read.schema(SERVICE).option("multiLine", "true").json(path)
-    return (doc.select(F.monotonically_increasing_id().cast("int").alias("service_idx"), F.struct("*").alias("s"))
-            .select("service_idx",
-                    ws_trim(F.col("s.name")).alias("name"),
-                    F.transform(F.col("s.logs"), lambda p: ws_trim(p)).alias("logs"),
-                    ws_trim(F.col("s.journal")).alias("journal"),
-                    ws_trim(F.col("s.journalScope")).alias("journal_scope"),
-                    ws_trim(F.col("s.journalUser")).alias("journal_user"),
-                    ws_trim(F.col("s.metrics")).alias("metrics")))
+    doc = spark.read.text(path, wholetext=True)
+    entries = doc.select(F.posexplode(F.from_json(F.col("value"), T.ArrayType(SERVICE))).alias("service_idx", "s"))
+    return entries.select(
+        F.col("service_idx").cast("int").alias("service_idx"),
+        ws_trim(F.col("s.name")).alias("name"),
+        F.transform(F.col("s.logs"), lambda p: ws_trim(p)).alias("logs"),
+        ws_trim(F.col("s.journal")).alias("journal"),
+        ws_trim(F.col("s.journalScope")).alias("journal_scope"),
+        ws_trim(F.col("s.journalUser")).alias("journal_user"),
+        ws_trim(F.col("s.metrics")).alias("metrics"))
