@@ -30,7 +30,7 @@ DIRECT_TOPK_MAX_ROWS = 10_000_000
 
 def newest_lines_at_scale(df: DataFrame, k: int, rank_col: str = "rank_ms", tiebreak: Sequence[str] = (),
                           n_rows: int | None = None, direct_max_rows: int = DIRECT_TOPK_MAX_ROWS,
-                          accuracy: int = 10_000) -> DataFrame:
+                          accuracy: int = 10_000, partitions_hint: int | None = None) -> DataFrame:
     """K1 without a single-task merge of partitions x K rows.
 
     ``TakeOrderedAndProject`` merges every partition's local top K in
@@ -40,15 +40,18 @@ def newest_lines_at_scale(df: DataFrame, k: int, rank_col: str = "rank_ms", tieb
     cutoff cannot be in the top K *if* at least K rows survive, which is
     checked, else the direct plan is used.  The result is always the
     exact top K.  ``n_rows`` is the candidate count when known (one
-    aggregate otherwise).  Call it on a materialized input: it reads
-    ``df`` up to three times.
+    aggregate otherwise); ``partitions_hint`` an upper bound of ``df``'s
+    partitions (else read from ``df``, which under AQE plans any pending
+    exchanges).  Call it on a materialized input: it reads ``df`` up to
+    three times.
     """
     if k <= 0:
         return df.filter(F.lit(False))
     if n_rows is None:
         # The direct merge receives at most partitions x K rows: when that
         # is small already, no count is needed.
-        if df.rdd.getNumPartitions() * k <= direct_max_rows:
+        parts = partitions_hint if partitions_hint is not None else df.rdd.getNumPartitions()
+        if parts * k <= direct_max_rows:
             return newest_lines(df, k, rank_col, tiebreak)
         n_rows = df.count()
     if n_rows <= max(direct_max_rows, k):

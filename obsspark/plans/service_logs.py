@@ -72,11 +72,27 @@ class ServiceLogs:
         if extra:
             ranked = ranked.join(self._sources.select(*self.keys, *extra), self.keys, "inner")
         tiebreak = [*self.source_order, *self.order]
-        if self.materialize:
-            # lines are checkpointed: counting and cutting them is cheap
-            return newest_lines_at_scale(ranked, self.params.max_total_log_lines, "rank_ms", tiebreak,
-                                         direct_max_rows=self.direct_topk_max_rows)
-        return newest_lines(ranked, self.params.max_total_log_lines, "rank_ms", tiebreak)
+        k = self.params.max_total_log_lines
+        if not self.materialize:
+            # The direct merge receives at most partitions x K rows.  The
+            # lines are a union of at most two shuffled branches (files,
+            # journals), so twice the configured shuffle partitions bounds
+            # their partition count (AQE only coalesces) without running a
+            # job; only a large merge is worth materializing the candidates
+            # for the cutoff path.
+            parts = 2 * int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            if parts * k <= self.direct_topk_max_rows:
+                return newest_lines(ranked, k, "rank_ms", tiebreak)
+            shared_dir(ranked.sparkSession)
+            ranked = ranked.checkpoint(eager=True)
+            hint = ranked.rdd.getNumPartitions()  # a checkpoint scan: no pending stages
+        else:
+            # checkpointed lines, possibly joined (shuffle) with source columns
+            hint = max(self.lines.rdd.getNumPartitions(),
+                       int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        # materialized input: counting and cutting it is cheap
+        return newest_lines_at_scale(ranked, k, "rank_ms", tiebreak, direct_max_rows=self.direct_topk_max_rows,
+                                     partitions_hint=hint)
 
     @cached_property
     def failed(self) -> DataFrame | None:

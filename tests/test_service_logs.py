@@ -279,3 +279,14 @@ def test_no_entries_only_when_user_journal_read_nothing(spark):
     assert res.diagnostics.count() == 0
     res = _run(spark, [("svc1", "sunit", True, "system")], _file("svc1", "sunit", "", journal=True))
     assert res.diagnostics.count() == 0 and res.totals.first().matched_log_records == 0
+
+
+def test_unmaterialized_large_merge_takes_cutoff_path(spark):
+    from obsspark.plans import catalogue as CAT
+    from obsspark.sources import fixtures as FX
+    sf = "/root/testdata/sf0.001"
+    args = (FX.log_lines(spark, sf), CAT.f1_sources(spark, sf), FX.source_errors(spark, sf), CAT.SERVICE_PARAMS)
+    direct = collect_service_logs(*args, materialize=False).selected
+    small = collect_service_logs(*args, materialize=False)
+    small.direct_topk_max_rows = 10  # forces: partitions x K > limit -> checkpoint + cutoff
+    assert sorted(map(tuple, small.selected.collect()), key=str) == sorted(map(tuple, direct.collect()), key=str)
