@@ -127,8 +127,7 @@ def record_visibility(principals: DataFrame, capabilities: DataFrame, records: D
     # a fixed five-row constant: a proven size bound, so broadcast it
     cap_map = F.broadcast(spark.createDataFrame(RECORD_CAPABILITY, "type string, capability string"))
     per_scope = records.groupBy("type", scope_col).agg(F.count(F.lit(1)).alias("_n"))
-    scopes = per_scope.select(scope_col).distinct()
-    pairs = allowed_pairs(principals, patterns_col, scopes, scope_col)
+    pairs = allowed_pairs(principals, patterns_col, per_scope.select(scope_col), scope_col)  # de-duplicates
     granted = capabilities.select("sub", "capability").distinct()
     adm = principals.select("sub", "admin")
     vis = (pairs.join(per_scope, scope_col).join(cap_map, "type").join(adm, "sub"))
