@@ -840,22 +840,30 @@ def q_discover_pods(spark, d):
 CAP = 20
 
 
+def _cap_report(df, cap: int):
+    """Whole-table form of the cap guard: every selected row is counted
+    (the request path stops early with ``inventory.cap_check``)."""
+    n = F.count(F.lit(1))
+    return df.agg(n.alias("n_selected")).select(
+        "n_selected", F.lit(cap).cast("long").alias("cap"), (F.col("n_selected") > cap).alias("exceeded"))
+
+
 @register("pod_cap", f"""with f3 as ({O.F3})
-select least(count(*), {CAP + 1}) as n_seen, cast({CAP} as bigint) as cap, count(*) > {CAP} as exceeded
+select count(*) as n_selected, cast({CAP} as bigint) as cap, count(*) > {CAP} as exceeded
 from f3 where label_app = 'building'""")
 def q_pod_cap(spark, d):
-    """Selected pods against maxPods, reading at most maxPods + 1."""
+    """Selected pods against maxPods."""
     sel = INV.pods_by_selector(pod_objects(spark, d), "*", EVENT_SELECTOR)
-    return INV.cap_check(sel, CAP)
+    return _cap_report(sel, CAP)
 
 
 @register("metrics_cap", f"""with f3 as ({O.F3}), {_TARGETS_SQL}
-select least(count(*), {CAP + 1}) as n_seen, cast({CAP} as bigint) as cap, count(*) > {CAP} as exceeded
+select count(*) as n_selected, cast({CAP} as bigint) as cap, count(*) > {CAP} as exceeded
 from tgu where metrics_enabled and label_app = 'building'""")
 def q_metrics_cap(spark, d):
     """Annotated (scrape-enabled) pods against maxMetricsPods."""
     refs = INV.pod_refs(INV.pods_by_selector(pod_objects(spark, d), "*", EVENT_SELECTOR))
-    return INV.cap_check(M.scrape_targets(refs).filter("metrics_enabled"), CAP)
+    return _cap_report(M.scrape_targets(refs).filter("metrics_enabled"), CAP)
 
 
 def pod_bundle_df(spark, d):
