@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from obsspark.functions.text import exclude_any
 from obsspark.operators.checks import DataCheckError, assert_empty
-from obsspark.operators.lines import DEFAULT_CHUNK_ROWS, parse_lines, tail_per_source
+from obsspark.operators.lines import DEFAULT_CHUNK_ROWS, parse_lines, prefer_two_phase, tail_per_source
 from obsspark.params import ContainerLogParams
 
 LOG_KEYS = ["namespace", "pod", "container", "previous"]
@@ -50,8 +50,10 @@ def tail_container_logs(logs: DataFrame, refs: DataFrame, params: ContainerLogPa
     wanted = logs if params.previous else logs.filter(~F.col("previous"))
     if entry_time_col is not None:
         wanted = wanted.filter(F.col(entry_time_col) >= F.lit(start_ms))
+    two_phase = prefer_two_phase(logs) if params.tail_lines <= int(
+        logs.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")) else None
     wanted = wanted.join(pod_containers(refs), ["namespace", "pod", "container"], "inner")
-    return tail_per_source(wanted, LOG_KEYS, "pos", params.tail_lines, chunk_rows)
+    return tail_per_source(wanted, LOG_KEYS, "pos", params.tail_lines, chunk_rows, two_phase=two_phase)
 
 
 def container_log_lines(logs: DataFrame, refs: DataFrame, params: ContainerLogParams,

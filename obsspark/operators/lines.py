@@ -79,6 +79,25 @@ def since_filter(df: DataFrame, now_ms: int, since_seconds: int, sort_ms: str =
     return df.filter(F.col(sort_ms).isNull() | (F.col(sort_ms) >= F.lit(lo)))
 
 
+# Inputs spread over at least this many files take the two-phase tail.
+TWO_PHASE_MIN_FILES = 16
+
+
+def prefer_two_phase(df: DataFrame, min_files: int = TWO_PHASE_MIN_FILES) -> bool:
+    """Whether a tail over ``df`` should use the two-phase form.
+
+    The two-phase tail reads the narrow key/order columns once more but
+    sorts and shuffles only the chunks that can reach the tail; the
+    plain window sorts every input row inside its map task.  Measured on
+    12M lines it was ~35% faster, while on a single small file its
+    extra jobs dominate.  The file count comes from the plan (no job).
+    """
+    try:
+        return len(set(df.inputFiles())) >= min_files
+    except Exception:  # noqa: BLE001 - sources without files
+        return False
+
+
 def _cols(order_col) -> list[str]:
     return [order_col] if isinstance(order_col, str) else list(order_col)
 

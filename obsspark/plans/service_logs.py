@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from obsspark.functions.text import exclude_any, include_any, is_journal_noise, ws_trim
 from obsspark.operators.diagnostics import drop_failed_sources, missing_sources
 from obsspark.operators.lines import (
-    DEFAULT_CHUNK_ROWS, in_window_lenient, inherit_timestamp, parse_lines, tail_per_source)
+    DEFAULT_CHUNK_ROWS, in_window_lenient, inherit_timestamp, parse_lines, prefer_two_phase, tail_per_source)
 from obsspark.operators.rank import (
     DIRECT_TOPK_MAX_ROWS, log_summary, newest_lines, newest_lines_at_scale, source_summary)
 from obsspark.params import ServiceLogParams
@@ -132,14 +132,15 @@ class ServiceLogs:
 
 
 def _tailed_and_inherited(df: DataFrame, keys: list[str], order_col, n: int,
-                          start_ms, end_ms, window_applies) -> DataFrame:
+                          start_ms, end_ms, window_applies, two_phase: bool | None = None,
+                          chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None) -> DataFrame:
     """Tail-bounded sources: tail (W1), all-blank check, empty-line drop,
     parse and inheritance (W2) as consecutive windows over ONE shuffle on
     the source key.  The partial WindowGroupLimit before that shuffle
     caps what any source sends at n rows per map task, and everything
     after it holds at most n rows per source."""
     by_src = Window.partitionBy(*keys)
-    t = tail_per_source(df, keys, order_col, n)
+    t = tail_per_source(df, keys, order_col, n, chunk_rows=chunk_rows, two_phase=two_phase, chunk_col=chunk_col)
     t = (t.withColumn("_nb", F.max((ws_trim("raw") != F.lit("")).cast("int")).over(by_src))
          .filter((F.col("_nb") == 1) | F.col("is_journal")).drop("_nb"))
     t = parse_lines(t.filter(F.length(F.col("raw")) > 0))
@@ -154,7 +155,7 @@ def _tailed_and_inherited(df: DataFrame, keys: list[str], order_col, n: int,
 
 def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[str], order_col,
                     chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None,
-                    entry_time_col: str | None = None) -> DataFrame:
+                    entry_time_col: str | None = None, tail_two_phase: bool | None = None) -> DataFrame:
     """What each source hands to the collector (P9, P10, P28, W1) with
     its rank time (P1, P2, W2): files read their last N physical lines
     (an all-blank tail reads as empty); journals drop blank and marker
@@ -173,9 +174,13 @@ def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[s
     eligible = lines.filter(~j | ~is_journal_noise(F.col("raw")))
     n = params.tail_lines
     start_ms, end_ms = params.window_ms()
+    if tail_two_phase is None and n <= int(lines.sparkSession.conf.get(
+            "spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        tail_two_phase = prefer_two_phase(lines)
+    tail_args = dict(two_phase=tail_two_phase, chunk_rows=chunk_rows, chunk_col=chunk_col)
     if params.window is None:
-        return _tailed_and_inherited(eligible, keys, order_col, n, None, None, None)
-    files = _tailed_and_inherited(eligible.filter(~j), keys, order_col, n, None, None, None)
+        return _tailed_and_inherited(eligible, keys, order_col, n, None, None, None, **tail_args)
+    files = _tailed_and_inherited(eligible.filter(~j), keys, order_col, n, None, None, None, **tail_args)
     jsel = j & (F.length(F.col("raw")) > 0)
     if entry_time_col is not None:
         dtype = dict(lines.dtypes)[entry_time_col]
@@ -195,7 +200,8 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
                          order_col="seq",
                          source_order: Sequence[str] = ("service", "is_journal", "file"),
                          chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None,
-                         materialize: bool = True, entry_time_col: str | None = None) -> ServiceLogs:
+                         materialize: bool = True, entry_time_col: str | None = None,
+                         tail_two_phase: bool | None = None) -> ServiceLogs:
     """B1 over tables.
 
     ``lines``: keys + ``order_col`` + ``raw`` (+ ``is_journal``).
@@ -221,7 +227,7 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
         lines = drop_failed_sources(lines, errors, keys)
     start_ms, end_ms = params.window_ms()
     j = F.col("is_journal")
-    got = delivered_lines(lines, params, keys, order_col, chunk_rows, chunk_col, entry_time_col)
+    got = delivered_lines(lines, params, keys, order_col, chunk_rows, chunk_col, entry_time_col, tail_two_phase)
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     matched = ((~j | in_window_lenient(F.col("sort_ms"), start_ms, end_ms))
                & include_any(F.col("raw"), params.include)

@@ -111,13 +111,13 @@ def _model(sources, lines, params):
     return [(c[3], c[4], c[1][3], c[2], c[0]) for c in top], counts
 
 
-@pytest.mark.parametrize("seed", range(12))
-def test_b1_matches_sequential_model(spark, seed):
+@pytest.mark.parametrize("seed,two_phase", [(s, s % 3 == 0) for s in range(12)])
+def test_b1_matches_sequential_model(spark, seed, two_phase):
     sources, lines, params = _random_case(seed)
     want_sel, want_counts = _model(sources, lines, params)
     src = spark.createDataFrame(sources, "service string, file string, is_journal boolean, journal_scope string")
     ln = spark.createDataFrame(lines, "service string, file string, is_journal boolean, seq long, raw string")
-    res = collect_service_logs(ln, src, None, params, materialize=False, chunk_rows=3)
+    res = collect_service_logs(ln, src, None, params, materialize=False, chunk_rows=3, tail_two_phase=two_phase)
     got_sel = sorted((r.service, r.file, r.seq, r.line, r.rank_ms) for r in res.selected.collect())
     assert got_sel == sorted(want_sel, key=lambda t: (t[0], t[1], t[2]))
     got_counts = {(r.service, r.file): [r.raw_log_records, r.matched_log_records, r.returned_log_records]
