@@ -221,3 +221,22 @@ def test_label_selector_matches_model(spark):
         got = sorted(r.metadata.name for r in df.filter(INV.label_selector(sel)).collect())
         want = sorted(p["metadata"]["name"] for p in pods if _selector_model(p["metadata"]["labels"] or {}, terms))
         assert got == want, sel
+
+
+def test_event_and_pod_edge_cases(spark):
+    ev = spark.createDataFrame([
+        (1, "n1", "2024-01-02T00:00:00Z", None, None, "Pod", None, None),
+        (2, "n1", "2024-01-02T00:00:00Z", None, None, "Pod", "", None),
+        (3, "n1", "not a time", None, None, "Pod", "p1", None),
+        (4, "n1", None, None, None, "Pod", "p1", None),
+        (5, "n1", "2024-01-02T00:00:00Z", None, None, "Pod", "p1", None)],
+        "event_id long, namespace string, last_timestamp string, event_time string, creation_timestamp string, "
+        "obj_kind string, obj_name string, obj_uid string")
+    uids = spark.createDataFrame([("n1", "p1", "u1")], "namespace string, name string, uid string")
+    assert [r.event_id for r in EV.collect_events(ev, uids, 0, None).collect()] == [5]
+    from obsspark.sources.kube import POD
+    pods = spark.createDataFrame([{"metadata": {"namespace": "n", "name": "bare"}, "spec": None, "status": None}], POD)
+    r = INV.pod_refs(pods).first()
+    assert (r.containers, r.labels, r.annotations, r.pod_ip) == ([], {}, {}, None)
+    d = INV.describe_pods(pods, admin=False).first()
+    assert (d.containers, d.ready, d.phase) == ([], False, None)
