@@ -290,3 +290,18 @@ def test_unmaterialized_large_merge_takes_cutoff_path(spark):
     small = collect_service_logs(*args, materialize=False)
     small.direct_topk_max_rows = 10  # forces: partitions x K > limit -> checkpoint + cutoff
     assert sorted(map(tuple, small.selected.collect()), key=str) == sorted(map(tuple, direct.collect()), key=str)
+
+
+def test_file_read_error_reason(spark):
+    from obsspark.operators.diagnostics import classify_source_errors
+    df = spark.createDataFrame([("s", "/f", False, None, "EACCES", "", "EACCES: permission denied, open '/f'"),
+                                ("s", "u", True, "user", "ENOENT", "", "spawn journalctl ENOENT"),
+                                ("s", "v", True, "user", "EOTHER", "  ", "  "),
+                                ("s", "w", True, "system", "EOTHER", "", "exit 1")],
+                               "service string, file string, is_journal boolean, journal_scope string, code string, "
+                               "stderr string, message string")
+    got = {r.file: (r.type, r.reason, r.error) for r in classify_source_errors(df).collect()}
+    assert got == {"/f": ("log", "read_error", "EACCES: permission denied, open '/f'"),
+                   "u": ("log_error", "journalctl_not_found", "journalctl not found"),
+                   "v": ("log_error", "journal_read_error", "unknown error"),
+                   "w": ("log", "journal_read_error", "exit 1")}
