@@ -7,6 +7,7 @@ expressions so Catalyst can push filters to the scan and keep the work
 inside whole-stage codegen.
 """
 
-from obsspark.session import ensure_session_defaults, get_session, shared_dir
+from obsspark.session import ensure_session_defaults, get_session, scale_settings, shared_dir
 
-__all__ = ["ensure_session_defaults", "get_session", "shared_dir"]
+__version__ = "0.1.0"
+__all__ = ["ensure_session_defaults", "get_session", "scale_settings", "shared_dir", "__version__"]
