@@ -20,7 +20,7 @@ DEFAULT_WINDOW_GROUP_LIMIT = 50_000
 
 
 def get_session(master: str | None = None, app: str = "obsspark",
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, extra_conf: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -36,6 +36,8 @@ def get_session(master: str | None = None, app: str = "obsspark",
                .config("spark.sql.session.timeZone", "UTC"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     ensure_session_defaults(spark)
     return spark
