@@ -174,4 +174,9 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
         c("path"), c("url"), c("ok"), c("content"), c("maxTotalLogLines").alias("max_total_log_lines"),
         c("lineLimited").alias("line_limited"), c("matchedLogRecords").alias("matched_log_records"),
         c("returnedLogRecords").alias("returned_log_records"), c("diagnosticRecords").alias("diagnostic_records"),
-        c("sources"))
+        F.transform(c("sources"), lambda x: F.struct(
+            x["service"].alias("service"), x["file"].alias("file"), x["journal"].alias("journal"),
+            x["journalScope"].alias("journal_scope"), x["journalUser"].alias("journal_user"),
+            x["rawLogRecords"].alias("raw_log_records"), x["matchedLogRecords"].alias("matched_log_records"),
+            x["returnedLogRecords"].alias("returned_log_records"), x["skipped"].alias("skipped"),
+            x["reason"].alias("reason"), x["error"].alias("error"))).alias("sources"))

@@ -184,3 +184,12 @@ def test_journal_source_lines_with_fallback(spark):
         "unit string, user_unit string, systemd_user_unit string, uid string, seq long, raw string")
     got = sorted((r.service, r.seq, r.via) for r in journal_source_lines(src, jl).collect())
     assert got == [("a", 0, "unit"), ("b", 1, "primary"), ("c", 3, "fallback")]
+
+
+def test_read_bundle_sources_are_snake_case(spark, tmpdir_fresh):
+    from obsspark.plans import catalogue as CAT
+    out = os.path.join(tmpdir_fresh, "sb")
+    write_bundle(CAT.service_bundle_df(spark, "/root/testdata/sf0.001"), out)
+    summ = read_bundle(spark, out).filter("type = 'log_summary'").first()
+    assert summ.sources and set(summ.sources[0].asDict()) >= {"raw_log_records", "returned_log_records"}
+    assert sum(s.returned_log_records for s in summ.sources) == summ.returned_log_records
