@@ -8,6 +8,8 @@ or ``python -m obsspark.jobs ...``).
                    [--claims '{"allowedServices": [...], ...}'] --out <dir>
     pod-bundle     --pods <json> [--container-logs <parquet>] [--events <json>] [--scrapes <parquet>]
                    (--selector S [--namespace NS] | --refs ns/pod,...) [--previous] ... --out <dir>
+    pods           --pods <json> [--namespace NS] [--selector S] [--q NEEDLE] [--claims ...] --out <dir>
+    services       --registry services.json [--claims ...] --out <dir>
 
 Line tables are parquet with (service, source, seq, raw) for services and
 (namespace, pod, container, previous, pos, raw) for containers.  Instead
@@ -72,6 +74,17 @@ def _lines_from_sources(spark, registry, names, read_files: bool, journal: str |
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="obsspark.jobs")
     sub = p.add_subparsers(dest="cmd", required=True)
+    pods = sub.add_parser("pods")
+    pods.add_argument("--pods", required=True)
+    pods.add_argument("--namespace", default="*")
+    pods.add_argument("--selector")
+    pods.add_argument("--q")
+    pods.add_argument("--claims", default=None)
+    pods.add_argument("--out", required=True)
+    svcs = sub.add_parser("services")
+    svcs.add_argument("--registry", required=True)
+    svcs.add_argument("--claims", default=None)
+    svcs.add_argument("--out", required=True)
     for name in ("service-bundle", "pod-bundle"):
         s = sub.add_parser(name)
         s.add_argument("--out", required=True)
@@ -112,8 +125,16 @@ def build_parser() -> argparse.ArgumentParser:
 def run(argv: list[str] | None = None, spark=None) -> str:
     a = build_parser().parse_args(argv)
     spark = spark or get_session(app=f"obsspark-{a.cmd}")
-    now_ms = a.now_ms if a.now_ms is not None else int(time.time() * 1000)
     principal = Principal.from_claims(json.loads(a.claims) if a.claims else {})
+    if a.cmd in ("pods", "services"):
+        from obsspark.plans.requests import discover_pods_request, discover_services_request
+        if a.cmd == "pods":
+            listing = discover_pods_request(spark, read_pods(spark, a.pods), principal, a.namespace, a.selector, a.q)
+        else:
+            listing = discover_services_request(spark, read_services(spark, a.registry), principal)
+        listing.write.mode("errorifexists").json(a.out)
+        return a.out
+    now_ms = a.now_ms if a.now_ms is not None else int(time.time() * 1000)
     bundle_id = uuid.uuid4().hex
     created = _iso_now(now_ms)
     if a.cmd == "service-bundle":

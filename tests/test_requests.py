@@ -305,3 +305,24 @@ def test_jobs_cli_files_and_journal(spark, tmpdir_fresh):
     assert [(r["type"], r.get("line"), r.get("reason")) for r in recs] == [
         ("meta", None, None), ("log", None, "file_not_found"), ("log", "file line", None),
         ("log", "journal line", None), ("log_summary", None, None)]
+
+
+def test_jobs_cli_listings(spark, tmpdir_fresh):
+    import json
+    import os
+    from obsspark.jobs import run
+    pods = os.path.join(tmpdir_fresh, "pods.json")
+    with open(pods, "w") as f:
+        json.dump({"items": [{"metadata": {"namespace": "prod", "name": "web-1", "labels": {"app": "web"}},
+                              "spec": {"containers": [{"name": "c"}]}}]}, f)
+    out = os.path.join(tmpdir_fresh, "plist")
+    run(["pods", "--pods", pods, "--q", "web", "--out", out], spark=spark)
+    rows = spark.read.json(out).collect()
+    assert [(r.namespace, r.name) for r in rows] == [("prod", "web-1")]
+    reg = os.path.join(tmpdir_fresh, "services.json")
+    with open(reg, "w") as f:
+        json.dump([{"name": "api"}, {"name": "db"}], f)
+    out2 = os.path.join(tmpdir_fresh, "slist")
+    run(["services", "--registry", reg, "--claims", json.dumps({"allowedServices": ["a*"]}), "--out", out2],
+        spark=spark)
+    assert [r.name for r in spark.read.json(out2).collect()] == ["api"]
