@@ -193,3 +193,13 @@ def test_read_bundle_sources_are_snake_case(spark, tmpdir_fresh):
     summ = read_bundle(spark, out).filter("type = 'log_summary'").first()
     assert summ.sources and set(summ.sources[0].asDict()) >= {"raw_log_records", "returned_log_records"}
     assert sum(s.returned_log_records for s in summ.sources) == summ.returned_log_records
+
+
+def test_gzip_log_files_read_in_order(spark, tmpdir_fresh):
+    p = os.path.join(tmpdir_fresh, "app.log.gz")
+    with gzip.open(p, "wt") as f:
+        for i in range(500):
+            f.write(f"2024-01-01T00:00:{i % 60:02d}Z line {i:04d}\n")
+    rows = read_log_files(spark, [p]).orderBy("block", "row").collect()
+    assert {r.block for r in rows} == {0}
+    assert [r.raw[-9:] for r in rows[:2]] == ["line 0000", "line 0001"] and len(rows) == 500
