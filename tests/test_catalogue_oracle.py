@@ -31,3 +31,16 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0
     assert df.columns == ["service", "file", "seq", "ts", "line", "rank_ms"]
+
+
+_TYPE_MAP = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_column_types_match_oracle(spark, con, name):
+    df = E.queries()[name](spark, SF)
+    spark_types = {f.name: _TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    res = con.execute(E.oracle_sql()[name])
+    duck_types = {d[0]: str(d[1]) for d in res.description}
+    assert spark_types == duck_types
