@@ -203,3 +203,17 @@ def test_gzip_log_files_read_in_order(spark, tmpdir_fresh):
     rows = read_log_files(spark, [p]).orderBy("block", "row").collect()
     assert {r.block for r in rows} == {0}
     assert [r.raw[-9:] for r in rows[:2]] == ["line 0000", "line 0001"] and len(rows) == 500
+
+
+def test_bundle_escapes_awkward_text(spark, tmpdir_fresh):
+    awkward = 'say "hi"\\path\ttab\nnext ü 日本 \u2028 end'
+    flat = conform(spark.createDataFrame([(2, 1, "k", 1, "log", "svc", awkward)],
+                                         "section int, k1 long, k2 string, k3 long, type string, service string, "
+                                         "line string"))
+    out = os.path.join(tmpdir_fresh, "esc")
+    write_bundle(flat, out, single_file=True)
+    with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt", encoding="utf-8") as f:
+        text = f.read()
+    assert len(text.rstrip("\n").split("\n")) == 1
+    assert json.loads(text)["line"] == awkward
+    assert read_bundle(spark, out).first().line == awkward
