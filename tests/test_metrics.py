@@ -106,3 +106,10 @@ def test_port_and_path_match_model_on_random_text(spark):
         enabled = p is not None and p > 0
         want = (enabled, p if enabled else None, _path_model(path) if enabled else None)
         assert got[name] == want, (port, path, got[name], want)
+
+
+def test_body_size_counts_bytes(spark):
+    t = _targets(spark, [{"prometheus.io/scrape": "true", "prometheus.io/port": "1"}] * 2)
+    sc = spark.createDataFrame([("ns", "p0", 200, "ééé", None, None), ("ns", "p1", 200, "abcde", None, None)], SCR)
+    got = {r.pod: (r.ok, r.error) for r in M.classify_pod_scrapes(t, sc, max_body_bytes=5).collect()}
+    assert got == {"p0": (False, "response_too_large (6 bytes)"), "p1": (True, None)}
