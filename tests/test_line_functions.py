@@ -114,3 +114,10 @@ def test_line_time_matches_model_on_random_tokens(spark):
     got = {r.tok: r.ms for r in df.select("tok", line_time_ms(F.col("tok")).alias("ms")).collect()}
     bad = [(t, got[t], _model_ms(t)) for t in toks if got[t] != _model_ms(t)]
     assert not bad, bad[:5]
+
+
+def test_iso_from_ms(spark):
+    from obsspark.functions import iso_from_ms
+    df = spark.createDataFrame([(1704067200123,), (0,)], "ms long")
+    assert [r.iso for r in df.select(iso_from_ms(F.col("ms")).alias("iso")).collect()] == [
+        "2024-01-01T00:00:00.123Z", "1970-01-01T00:00:00.000Z"]
