@@ -44,8 +44,18 @@ def events_for_pods(events: DataFrame, pod_uids: DataFrame) -> DataFrame:
         p, cond, "left_semi")
 
 
-def collect_events(events: DataFrame, pod_uids: DataFrame, since_ms: int, end_ms: int | None) -> DataFrame:
-    """Event records for the selected pods inside the window."""
+def collect_events(events: DataFrame, pod_uids: DataFrame, since_ms: int, end_ms: int | None,
+                   time_col: str | None = None) -> DataFrame:
+    """Event records for the selected pods inside the window.
+
+    ``time_col`` (a stored epoch-ms copy of the resolved event time) lets
+    the window reach the scan as a pushed filter first; the string rule
+    below still decides, so results are unchanged."""
+    if time_col is not None:
+        pre = F.col(time_col) >= F.lit(since_ms)
+        if end_ms is not None:
+            pre = pre & (F.col(time_col) <= F.lit(end_ms))
+        events = events.filter(pre)
     ev = events.withColumn("ts", event_timestamp())
     ev = event_window(ev, since_ms, end_ms)
     return events_for_pods(ev, pod_uids)

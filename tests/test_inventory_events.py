@@ -2,6 +2,7 @@
 container logs and previous-log classification."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from obsspark.operators import containers as C
 from obsspark.operators import events as EV
@@ -240,3 +241,16 @@ def test_event_and_pod_edge_cases(spark):
     assert (r.containers, r.labels, r.annotations, r.pod_ip) == ([], {}, {}, None)
     d = INV.describe_pods(pods, admin=False).first()
     assert (d.containers, d.ready, d.phase) == ([], False, None)
+
+
+def test_events_time_column_prefilter(spark):
+    ev = spark.createDataFrame([
+        (1, "n1", "2024-01-02T00:00:00Z", 1704153600000, "Pod", "p1"),
+        (2, "n1", "2023-01-02T00:00:00Z", 1672617600000, "Pod", "p1")],
+        "event_id long, namespace string, last_timestamp string, time_ms long, obj_kind string, obj_name string")
+    ev = ev.withColumns({"event_time": F.lit(None).cast("string"), "creation_timestamp": F.lit(None).cast("string"),
+                         "obj_uid": F.lit(None).cast("string")})
+    uids = spark.createDataFrame([("n1", "p1", None)], "namespace string, name string, uid string")
+    a = sorted(r.event_id for r in EV.collect_events(ev, uids, 1704067200000, None).collect())
+    b = sorted(r.event_id for r in EV.collect_events(ev, uids, 1704067200000, None, time_col="time_ms").collect())
+    assert a == b == [1]
