@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from obsspark.llm.common import map_arrow
+
 #: hash buckets of n-grams
 BUCKETS = 1 << 15
 #: expected number of labelled documents learned from, at most (chosen by hash)
@@ -119,7 +121,7 @@ def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS) -> Model:
     if total > max_docs:
         draw = F.shiftrightunsigned(F.xxhash64(F.lit("language-id"), F.col("doc_id")), 1) / F.lit(float(1 << 63))
         rows = rows.filter(draw < max_docs / total)
-    counts = (rows.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long")
+    counts = (map_arrow(rows.select("text", "lang"), _count, "lang string, bucket int, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect())
     langs = tuple(sorted({r.lang for r in counts}))
     table = np.full((BUCKETS, len(langs)), SMOOTHING)
@@ -165,7 +167,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                                                  names=[*part.schema.names, PRED, SCORE])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(PRED, T.StringType()), T.StructField(SCORE, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def language_id(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> DataFrame:

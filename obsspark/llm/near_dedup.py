@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsspark.llm.common import maybe_in, membership_filter, stored, utf8
+from obsspark.llm.common import map_arrow, maybe_in, membership_filter, stored, utf8
 from obsspark.llm.graph import components
 from obsspark.llm.lsh_forest import DEPTH, TREES, exact_links, fingerprints, signatures, similar_pairs, spanning_forest
 from obsspark.llm.shingles import shingle_sets
@@ -82,7 +82,7 @@ def signature_table(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"),
                        document_key(F.col("doc_id"), F.col("text")).alias("dk"), utf8(F.col("text")).alias("text"))
-    return stored(rows.mapInArrow(_signed, f"rid long, doc_id {kind}, dk long, n long, f1 long, f2 long, sig binary"), "near-signatures")
+    return stored(map_arrow(rows, _signed, f"rid long, doc_id {kind}, dk long, n long, f1 long, f2 long, sig binary"), "near-signatures")
 
 
 def region_key(depth: int) -> Column:
@@ -127,6 +127,10 @@ def region_rows(members: DataFrame, reps: DataFrame) -> DataFrame:
                          F.explode("own").alias("at")).select("at.key", "at.tree", "cid", "n", "sig", "trees", "keys")
 
 
+def by_region(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "cid")
+
+
 def _whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches dealt and sorted by key (first column), cut where a region ends."""
     held: list[pa.RecordBatch] = []
@@ -221,7 +225,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cid, hashes) of the classes in ``wanted`` (cid, dk): a second scan, of the rows with these keys."""
     key = document_key(F.col("doc_id"), F.col("text"))
     rows = maybe_in(docs.select(key.alias("dk"), utf8(F.col("text")).alias("text")), F.col("dk"), membership_filter(wanted, "dk"))
-    sets = rows.filter("_maybe").select("dk", "text").mapInArrow(_sets, "dk long, hashes binary")
+    sets = map_arrow(rows.filter("_maybe").select("dk", "text"), _sets, "dk long, hashes binary")
     wanted = wanted.withColumnRenamed("dk", "w")
     return stored(wanted.join(sets, F.col("w") == F.col("dk")).select("cid", "hashes").dropDuplicates(["cid"]), "near-sets")
 
@@ -229,26 +233,22 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def confirmed_links(docs: DataFrame, reps: DataFrame, region: int = REGION) -> DataFrame:
     """Links (a, b) between classes that connect all classes that any links connect."""
     rows = stored(region_rows(regions(reps, region), reps), "near-region-rows")
-    looked = stored(rows.repartition("key").sortWithinPartitions("key", "cid")
-                    .mapInArrow(_first_look, "a long, b long").distinct(), "near-first-look")
+    looked = stored(map_arrow(by_region(rows), _first_look, "a long, b long").distinct(), "near-first-look")
     flagged = looked.filter("b is null").select("a")
     sets = full_sets(docs, reps.select("cid", "dk").join(flagged, F.col("cid") == F.col("a"), "left_semi"))
     right = sets.select(F.col("cid").alias("c2"), F.col("hashes").alias("y"))
     left = sets.select(F.col("cid").alias("c1"), F.col("hashes").alias("x"))
     pairs = (looked.filter("b is not null").join(right, F.col("b") == F.col("c2"))
              .join(left, F.col("a") == F.col("c1")).select("a", "b", "x", "y"))
-    links = stored(pairs.mapInArrow(_confirm, "a long, b long"), "near-links")
+    links = stored(map_arrow(pairs, _confirm, "a long, b long"), "near-links")
     comps = components(links)
     # pairs between components, where a region still has more than one
     live = (rows.join(flagged, F.col("cid") == F.col("a"), "left_semi")
             .join(comps, F.col("cid") == F.col("node"), "left")
             .select(*rows.columns, F.coalesce("root", "cid").alias("comp")))
-    open_ = (live.repartition("key").sortWithinPartitions("key", "cid")
-             .mapInArrow(_second_look, "key long, cid long, comp long"))
-    open_ = stored(open_, "near-open")
-    exact = (open_.join(sets.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c")).select("key", "cid", "comp", "hashes")
-             .repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_confirm_regions, "a long, b long"))
-    return links.unionByName(exact)
+    open_ = stored(map_arrow(by_region(live), _second_look, "key long, cid long, comp long"), "near-open")
+    exact = open_.join(sets.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c")).select("key", "cid", "comp", "hashes")
+    return links.unionByName(map_arrow(by_region(exact), _confirm_regions, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, region: int = REGION) -> DataFrame:
