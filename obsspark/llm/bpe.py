@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsspark.llm.common import stored, utf8
+from obsspark.llm.common import map_arrow, stored, utf8
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -115,9 +115,11 @@ def _bounds(chunk: int, overlap: int):
 
 
 def spans(chunks: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Stitch: (rid, owner, k, text): the pieces, in order of k, of the span of chunk ``owner``."""
-    bounds = (chunks.repartition("rid", "k")
-              .mapInArrow(_bounds(chunk, overlap), "rid long, k long, head array<long>, tail array<long>"))
+    """Stitch: (rid, owner, k, joined, text): the pieces, in order of k, of the span of chunk ``owner``.
+
+    ``joined`` tells the pieces of spans that have several.
+    """
+    bounds = map_arrow(chunks.repartition("rid", "k"), _bounds(chunk, overlap), "rid long, k long, head array<long>, tail array<long>")
     order = Window.partitionBy("rid").orderBy("k")
     stitched = bounds.withColumn("sync", F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
     stitched = stitched.select("rid", "k", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.col("sync")).alias("start"))
@@ -129,9 +131,11 @@ def spans(chunks: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> Data
         # within the chunk; without a stitch to the next chunk, up to where that one begins
         F.when(F.col("broken"), F.lit(0)).otherwise(F.col("start") - F.col("k") * chunk).alias("lo"),
         F.when(F.col("next_broken").isNull(), F.lit(chunk + overlap))
-        .when(F.col("next_broken"), F.lit(chunk)).otherwise(F.col("next") - F.col("k") * chunk).alias("hi"))
+        .when(F.col("next_broken"), F.lit(chunk)).otherwise(F.col("next") - F.col("k") * chunk).alias("hi"),
+        (F.col("broken") | F.coalesce("next_broken", F.lit(False))).alias("joined"))
     joined = chunks.join(cuts, (F.col("rid") == F.col("r")) & (F.col("k") == F.col("c")))
-    return joined.select("rid", "owner", "k", F.expr("substring(piece, cast(lo + 1 as int), cast(hi - lo as int))").alias("text"))
+    return joined.select("rid", "owner", "k", "joined",
+                         F.expr("substring(piece, cast(lo + 1 as int), cast(hi - lo as int))").alias("text"))
 
 
 def _encoded(path: str):
@@ -159,15 +163,17 @@ def _digested(path: str, whole: bool):
 
 def encode_spans(chunks: DataFrame, path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(rid, owner, ids as little-endian int32) for every span."""
-    pieces = F.array_sort(F.collect_list(F.struct("k", "text")))
-    whole = spans(chunks, chunk, overlap).groupBy("rid", "owner").agg(pieces.alias("p"))
-    whole = whole.select("rid", "owner", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
-    return whole.mapInArrow(_encoded(path), "rid long, owner long, ids binary")
+    pieces = stored(spans(chunks, chunk, overlap), "bpe-pieces")
+    own = pieces.filter("not joined").select("rid", "owner", "text")
+    in_order = F.array_sort(F.collect_list(F.struct("k", "text")))
+    joined = (pieces.filter("joined").groupBy("rid", "owner").agg(in_order.alias("p"))
+              .select("rid", "owner", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text")))
+    return map_arrow(own.unionByName(joined), _encoded(path), "rid long, owner long, ids binary")
 
 
 def chunk_texts(long_docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(rid, k, piece) of rows (rid, text)."""
-    return long_docs.select("rid", "text").mapInArrow(_chunked(chunk, overlap), "rid long, k long, piece string")
+    return map_arrow(long_docs.select("rid", "text"), _chunked(chunk, overlap), "rid long, k long, piece string")
 
 
 def encode_documents(docs: DataFrame, path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -176,7 +182,7 @@ def encode_documents(docs: DataFrame, path: str = RANKS, chunk: int = CHUNK, ove
     result = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     rows = docs.select("doc_id", utf8(F.col("text")).alias("text"))
     is_long = F.length("text") > chunk
-    short = rows.filter(~is_long).mapInArrow(_digested(path, whole=True), result)
+    short = map_arrow(rows.filter(~is_long), _digested(path, whole=True), result)
     # long texts only: written once, so that row ids and chunks are fixed
     long_docs = stored(rows.filter(is_long).withColumn("rid", F.monotonically_increasing_id()), "bpe-long")
     ids = encode_spans(stored(chunk_texts(long_docs, chunk, overlap), "bpe-chunks"), path, chunk, overlap)
@@ -184,4 +190,4 @@ def encode_documents(docs: DataFrame, path: str = RANKS, chunk: int = CHUNK, ove
     lists = (ids.groupBy("rid").agg(ordered.alias("p"))
              .select(F.col("rid").alias("r"), F.transform("p", lambda x: x["ids"]).alias("ids")))
     joined = long_docs.select("rid", "doc_id").join(lists, F.col("rid") == F.col("r")).select("doc_id", "ids")
-    return short.unionByName(joined.mapInArrow(_digested(path, whole=False), result))
+    return short.unionByName(map_arrow(joined, _digested(path, whole=False), result))
