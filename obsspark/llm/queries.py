@@ -5,17 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from obsspark.llm import bpe, language_id, mixing
+from obsspark.llm import bpe, kd_shards, language_id, mixing, revisits, secrets, topk
 from obsspark.llm import exact_dedup as dedup
 from obsspark.llm import near_dedup as near
 from obsspark.llm.common import documents
 
 
+def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kd_shards.shard_rows(documents(spark, sf_dir), shards=16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -32,12 +42,24 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir)).drop("dk")
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.resolve_revisits(revisits.records(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kd_sharding": op1_kd_sharding,
     "op2_mix_sources": op2_mix_sources,
+    "op3_secret_scan": op3_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_language_id": op7_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_warc_revisits": op9_warc_revisits,
+    "op10_exact_topk": op10_exact_topk,
 }
 
 ORACLE: dict[str, str] = {}
@@ -105,3 +127,47 @@ select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(min(r.seen), w.doc_id)
 from w left join n on n.doc_id = w.doc_id left join r on r.doc_id = w.doc_id
 group by w.doc_id, n.n
 """
+
+ORACLE["op10_exact_topk"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id,
+         cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+ORACLE["op9_warc_revisits"] = r"""
+with u as (
+  select page_id, md5(coalesce(html, '')) as tag, strlen(coalesce(html, '')) as bytes, regexp_replace(trim(url), '#.*$', '', 's') as bare
+  from pages),
+k as (
+  select page_id, bytes, case when page_id % 11 <> 0 then '"' || tag || '"' end as etag,
+         case when page_id % 5 <> 0 then cast(page_id - page_id % 7 as varchar) end as changed,
+         regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', '')
+         || regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') as place,
+         list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1, 's'), '&'), lambda x: x <> '' and not starts_with(x, 'utm_'))) as params
+  from u),
+c as (select *, place || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end as canonical from k),
+v as (
+  select 2 * page_id + 1 as record_id, canonical, page_id + 1 + page_id % 977 as ts,
+         case when page_id % 13 = 0 then '"other"' else etag end as etag, changed from c),
+m as (
+  select v.*, r.page_id as response, r.etag as own_etag, r.changed as own_changed, r.bytes
+  from v left join c r on r.canonical = v.canonical and r.page_id < v.ts
+  qualify row_number() over (partition by v.record_id order by r.page_id desc nulls last) = 1),
+s as (
+  select *, case when response is null then 'missing'
+                 when etag is not null and own_etag is not null then case when etag = own_etag then 'resolved' else 'mismatch' end
+                 when changed is not null and own_changed is not null then case when changed = own_changed then 'resolved' else 'mismatch' end
+                 else 'unvalidated' end as state
+  from m)
+select record_id, canonical, case when state in ('resolved', 'unvalidated') then 2 * response end as response_id, state,
+       case when state in ('resolved', 'unvalidated')
+            then 'cache-control: no-cache' || chr(10) || 'content-length: ' || bytes || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts end as headers
+from s
+"""
