@@ -9,7 +9,7 @@ URL, however many, spread over tasks.  Within a range a window finds the latest
 for the first records of a range, it is the last one of an earlier range, taken from a
 table with one row per range and URL.
 
-Defined cases: a null URL or time has no earlier response; of responses at the same time
+Defined cases: a revisit with a null URL or time has no earlier response, and a response with one is none; of responses at the same time
 the one with the largest record_id is later, and a response at the time of a revisit
 is not earlier; a null etag or Last-Modified is no validator; null headers are none;
 repeated records are resolved each for itself; an empty table gives an empty result;
@@ -29,12 +29,16 @@ KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-ran
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without default port, path, and sorted parameters but for tracking ones; no scheme, no fragment."""
+    """Host in lower case without default port, path, and sorted parameters but for tracking ones; no scheme, no fragment.
+
+    What does not begin with a scheme only loses its fragment.
+    """
     bare = F.regexp_replace(F.trim(url), "(?s)#.*$", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1)), ":(80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), "/+$", "")
     params = F.filter(F.split(F.regexp_extract(bare, r"(?s)\?(.*)$", 1), "&"), lambda x: (x != "") & ~x.startswith("utm_"))
-    return F.concat_ws("?", F.concat(host, path), F.when(F.size(params) > 0, F.array_join(F.array_sort(params), "&")))
+    whole = F.concat_ws("?", F.concat(host, path), F.when(F.size(params) > 0, F.array_join(F.array_sort(params), "&")))
+    return F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), whole).otherwise(bare)
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -63,12 +67,13 @@ def latest_earlier(rows: DataFrame) -> DataFrame:
     full = F.struct("ts", "record_id", "etag", "last_modified", "headers")
     ranged = rows.repartitionByRange("key", "ts", "place", "record_id").withColumn("range", F.spark_partition_id())
     ranged = stored(ranged, "warc-ranges")
+    timed = ~F.col("revisit") & F.col("ts").isNotNull()
     # at equal times a revisit comes before a response
     order = Window.partitionBy("range", "key").orderBy("ts", "place", "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    answered = ranged.withColumn("full", F.last(F.when(~F.col("revisit"), full), ignorenulls=True).over(order)).filter("revisit")
+    answered = ranged.withColumn("full", F.last(F.when(timed, full), ignorenulls=True).over(order)).filter("revisit")
     tails = (ranged.filter(F.col("key").isNotNull())
              .groupBy(F.col("range").alias("r"), F.col("key").alias("k"))
-             .agg(F.max_by(F.when(~F.col("revisit"), full), F.when(~F.col("revisit"), F.struct("ts", "record_id"))).alias("tail")))
+             .agg(F.max_by(full, F.when(timed, F.struct("ts", "record_id"))).alias("tail")))
     before = Window.partitionBy("k").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.withColumn("carried", F.last("tail", ignorenulls=True).over(before)).filter("carried is not null").select("r", "k", "carried")
     joined = answered.join(carry, (F.col("range") == F.col("r")) & (F.col("key") == F.col("k")), "left")

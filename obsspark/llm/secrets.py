@@ -3,9 +3,9 @@
 Base rules give spans of three kinds.  The method adds a fourth, ``random``: a long token
 outside those spans whose characters follow each other as in random strings rather than as in
 ordinary identifiers.  Two first-order Markov models, one of each class, are trained from
-labelled samples: the values that the base rules find are labelled random, the tokens of the
-same documents outside of them ordinary.  The sample is bounded by TRAIN_DOCS, chosen by hash;
-a token counts if the sum of its log-likelihood ratios reaches MIN_RATIO.
+labelled samples: the values that the base rules find are labelled random, tokens outside of
+them that come more than once in the sample ordinary.  The sample is bounded by TRAIN_DOCS, chosen by hash;
+a token counts if the log-likelihood ratios of its different pairs of characters add up to MIN_RATIO.
 
 Positions come from the lengths of the pieces between matches, summed per document by a
 window over the matches alone; texts are read by two scans and never shuffled.
@@ -37,7 +37,7 @@ KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 ORDINARY = r"[A-Za-z0-9+/_-]{6,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=."
-SMOOTHING = 0.5
+SMOOTHING, BACK_OFF = 0.5, 8.0
 #: log-likelihood ratio (natural) from which a token is taken for random
 MIN_RATIO = 12.0
 #: expected number of documents that the models are trained on, at most
@@ -99,20 +99,25 @@ def ratios(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
         rest = F.when(rest.rlike(p), F.regexp_replace(rest, F.lit(p), F.lit(" "))).otherwise(rest)
     labelled = (sample.select(F.lit(1).alias("label"), F.explode(values).alias("token")).filter(F.length("token") >= 12)
                 .unionByName(sample.select(rest.alias("rest")).select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all("rest", F.lit(ORDINARY), F.lit(0))).alias("token")))
-                .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n")))
+                .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n")).filter((F.col("label") == 1) | (F.col("n") > 1)))
     labelled = stored(labelled, "secret-samples")
     counts = [{r.gram: r.n for r in _bigrams(labelled.filter(F.col("label") == label)).filter(F.col("gram").rlike(r"^[A-Za-z0-9+/_.=-]{2}$")).collect()}
               for label in (0, 1)]
     logs = []
     for table in counts:
-        out = {a: sum(table.get(a + b, 0) for b in ALPHABET) + SMOOTHING * len(ALPHABET) for a in ALPHABET}
-        logs.append({a + b: math.log((table.get(a + b, 0) + SMOOTHING) / out[a]) for a in ALPHABET for b in ALPHABET})
+        # pairs not seen fall back on how often their second character follows any
+        rows = {a: sum(table.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
+        second = {b: sum(table.get(a + b, 0) for a in ALPHABET) + SMOOTHING for b in ALPHABET}
+        whole = sum(second.values())
+        logs.append({a + b: math.log((table.get(a + b, 0) + BACK_OFF * second[b] / whole) / (rows[a] + BACK_OFF))
+                     for a in ALPHABET for b in ALPHABET})
     return docs.sparkSession.createDataFrame([(g, logs[1][g] - logs[0][g]) for g in logs[0]], "g string, ratio double")
 
 
 def random_spans(found: DataFrame, table: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """The tested tokens that are taken for random."""
-    grams = F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring("value", i, F.lit(2))))
+    # a pair that comes again in a token is no further evidence: a run of one character is not random
+    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring("value", i, F.lit(2)))))
     pairs = found.filter(F.col("kind") == 3).select("rid", "start", "end", grams.alias("gram"))
     return (pairs.join(F.broadcast(table), F.col("gram") == F.col("g"))
             .groupBy("rid", "start", "end").agg(F.sum("ratio").alias("total")).filter(F.col("total") >= min_ratio)
