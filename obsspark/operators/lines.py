@@ -79,25 +79,6 @@ def since_filter(df: DataFrame, now_ms: int, since_seconds: int, sort_ms: str =
     return df.filter(F.col(sort_ms).isNull() | (F.col(sort_ms) >= F.lit(lo)))
 
 
-# Inputs spread over at least this many files take the two-phase tail.
-TWO_PHASE_MIN_FILES = 16
-
-
-def prefer_two_phase(df: DataFrame, min_files: int = TWO_PHASE_MIN_FILES) -> bool:
-    """Whether a tail over ``df`` should use the two-phase form.
-
-    The two-phase tail reads the narrow key/order columns once more but
-    sorts and shuffles only the chunks that can reach the tail; the
-    plain window sorts every input row inside its map task.  Measured on
-    12M lines it was ~35% faster, while on a single small file its
-    extra jobs dominate.  The file count comes from the plan (no job).
-    """
-    try:
-        return len(set(df.inputFiles())) >= min_files
-    except Exception:  # noqa: BLE001 - sources without files
-        return False
-
-
 def _cols(order_col) -> list[str]:
     return [order_col] if isinstance(order_col, str) else list(order_col)
 
@@ -110,39 +91,34 @@ def _chunked(df: DataFrame, order_col, chunk_rows: int, chunk_col: str | None =
     return df.withColumn("_chunk", F.expr(f"`{_cols(order_col)[0]}` div {int(chunk_rows)}"))
 
 
+def _join_chunks(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join with a table of (keys, _chunk); null keys and null chunks match themselves."""
+    on = [*keys, "_chunk"]
+    named = table.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(on)})
+    cond = F.lit(True)
+    for i, c in enumerate(on):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(named, cond, "inner").drop(*[f"_k{i}" for i in range(len(on))])
+
+
 def tail_per_source(df: DataFrame, keys: Sequence[str], order_col, n: int,
                     chunk_rows: int = DEFAULT_CHUNK_ROWS, rank_col: str | None = None,
-                    two_phase: bool | None = None, chunk_col: str | None = None) -> DataFrame:
+                    chunk_col: str | None = None) -> DataFrame:
     """The last ``n`` lines (by ``order_col``) of every source.
 
-    Default plan: ``row_number() over (partition by source order by
-    order desc) <= n``.  With ``n`` under
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` (raised by
-    ``ensure_session_defaults``) Spark plans a *partial*
-    WindowGroupLimit before the shuffle, so every map task forwards at
-    most ``n`` rows per source: a hot source costs n x map tasks rows in
-    its final task, never its full size.
-
-    ``two_phase`` (default: only when ``n`` exceeds that threshold)
-    counts lines per (source, chunk) with a partial aggregate, drops
-    chunks that cannot reach the tail and numbers lines inside the
-    surviving chunks, shuffling on (source, chunk).  Keys must be
-    non-null.  ``n <= 0`` selects nothing.
+    Two phases, whatever the size: lines are counted per (source,
+    chunk) with a partial aggregate over the narrow key and order
+    columns, chunks that cannot reach the tail are dropped, and lines
+    are numbered inside the surviving chunks, shuffled on (source,
+    chunk).  A hot source is spread over its chunks.  Null keys are a
+    source of their own; lines with a null order are the oldest.
+    ``n <= 0`` selects nothing.
     """
     keys = list(keys)
     order = _cols(order_col)
     if n <= 0:
         out = df.filter(F.lit(False))
         return out.withColumn(rank_col, F.lit(None).cast("long")) if rank_col else out
-    if two_phase is None:
-        threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-        two_phase = n > threshold
-    if not two_phase:
-        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-        out = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-        if rank_col:
-            out = out.withColumn(rank_col, F.col("_rn").cast("long"))
-        return out.drop("_rn")
     d = _chunked(df, order, chunk_rows, chunk_col)
     later_w = (Window.partitionBy(*keys).orderBy(F.col("_chunk").desc())
                .rowsBetween(Window.unboundedPreceding, -1))
@@ -151,7 +127,7 @@ def tail_per_source(df: DataFrame, keys: Sequence[str], order_col, n: int,
               .filter(F.col("_later") < n)
               .select(*keys, "_chunk", "_later"))
     in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order])
-    out = (d.join(counts, [*keys, "_chunk"], "inner")
+    out = (_join_chunks(d, counts, keys)
            .withColumn("_rn", F.row_number().over(in_chunk))
            .filter((F.col("_rn") <= n) & (F.col("_rn") + F.col("_later") <= n)))
     if rank_col:
@@ -181,7 +157,7 @@ def inherit_last(df: DataFrame, keys: Sequence[str], order_col, value_col: str,
              .select(*keys, "_chunk", "_carry"))
     upto_w = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (d.join(carry, [*keys, "_chunk"], "inner")
+    return (_join_chunks(d, carry, keys)
             .withColumn(out_col, F.coalesce(F.last(v, ignorenulls=True).over(upto_w), F.col("_carry")))
             .drop("_chunk", "_carry"))
 

@@ -4,67 +4,31 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Lines are dealt into this many buckets; the final merge holds K lines of each at most.
+TOP_K_BUCKETS = 32
+
+
 def newest_lines(df: DataFrame, k: int, rank_col: str = "rank_ms",
                  tiebreak: Sequence[str] = ()) -> DataFrame:
     """K1: the K highest lines by (rank time, NULL lowest, then arrival).
 
     ``tiebreak`` lists the arrival-order columns (source order, then line
-    order).  ``orderBy(...).limit(K)`` plans as TakeOrderedAndProject:
-    every partition keeps only its own top K, so at most
-    K x partitions rows reach the final merge; K is bounded by the
-    line cap.
+    order).  Lines are dealt by their arrival into TOP_K_BUCKETS buckets, each
+    keeps its own K highest (limited once per map task before the
+    shuffle), and the K highest of those are taken: the last merge reads
+    TOP_K_BUCKETS x K lines at most, however large the input.
     """
     if k <= 0:
         return df.filter(F.lit(False))
     order = [F.col(rank_col).desc_nulls_last()] + [F.col(c).desc() for c in tiebreak]
-    return df.orderBy(*order).limit(k)
-
-
-# Above this many candidate rows the top-K goes through a rank cutoff.
-DIRECT_TOPK_MAX_ROWS = 10_000_000
-
-
-def newest_lines_at_scale(df: DataFrame, k: int, rank_col: str = "rank_ms", tiebreak: Sequence[str] = (),
-                          n_rows: int | None = None, direct_max_rows: int = DIRECT_TOPK_MAX_ROWS,
-                          accuracy: int = 10_000, partitions_hint: int | None = None) -> DataFrame:
-    """K1 without a single-task merge of partitions x K rows.
-
-    ``TakeOrderedAndProject`` merges every partition's local top K in
-    one task.  For large inputs a rank cutoff is estimated with
-    ``percentile_approx`` (mergeable sketches, partial aggregation) so
-    that roughly 2K plus the sketch's rank error survive; rows below the
-    cutoff cannot be in the top K *if* at least K rows survive, which is
-    checked, else the direct plan is used.  The result is always the
-    exact top K.  ``n_rows`` is the candidate count when known (one
-    aggregate otherwise); ``partitions_hint`` an upper bound of ``df``'s
-    partitions (else read from ``df``, which under AQE plans any pending
-    exchanges).  Call it on a materialized input: it reads ``df`` up to
-    three times.
-    """
-    if k <= 0:
-        return df.filter(F.lit(False))
-    if n_rows is None:
-        # The direct merge receives at most partitions x K rows: when that
-        # is small already, no count is needed.
-        parts = partitions_hint if partitions_hint is not None else df.rdd.getNumPartitions()
-        if parts * k <= direct_max_rows:
-            return newest_lines(df, k, rank_col, tiebreak)
-        n_rows = df.count()
-    if n_rows <= max(direct_max_rows, k):
-        return newest_lines(df, k, rank_col, tiebreak)
-    keep = 2 * k + 2 * (n_rows // accuracy) + 1
-    q = max(0.0, 1.0 - keep / n_rows)
-    cutoff = df.agg(F.percentile_approx(F.col(rank_col), q, accuracy).alias("c")).first()["c"]
-    if cutoff is None:
-        return newest_lines(df, k, rank_col, tiebreak)
-    candidates = df.filter(F.col(rank_col) >= F.lit(cutoff))
-    if candidates.count() < k:
-        return newest_lines(df, k, rank_col, tiebreak)
-    return newest_lines(candidates, k, rank_col, tiebreak)
+    bucket = F.pmod(F.xxhash64(*(tiebreak or [rank_col])), F.lit(TOP_K_BUCKETS))
+    ranked = df.withColumn("_bucket", bucket)
+    ranked = ranked.withColumn("_in_bucket", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    return ranked.filter(F.col("_in_bucket") <= k).drop("_bucket", "_in_bucket").orderBy(*order).limit(k)
 
 
 def final_order(df: DataFrame, rank_col: str = "rank_ms", tiebreak: Sequence[str] = ()) -> DataFrame:

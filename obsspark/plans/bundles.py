@@ -155,11 +155,15 @@ def pod_log_records(lines: DataFrame, skips: DataFrame | None, now_ms: int) -> D
 
 
 def event_records(events: DataFrame) -> DataFrame:
+    """Events by namespace and listing order: a stored ``event_id``, else (page, item) as read from JSON."""
+    stored = "event_id" in events.columns
+    k2 = F.col("namespace") if stored else order_key(F.col("namespace"), F.col("page"))
+    involved = F.col("obj_namespace") if "obj_namespace" in events.columns else F.col("namespace")
     return conform(events.select(
-        F.lit(2).alias("section"), F.col("namespace").alias("k2"), F.col("event_id").alias("k3"),
+        F.lit(2).alias("section"), k2.alias("k2"), F.col("event_id" if stored else "item").cast("long").alias("k3"),
         F.lit("event").alias("type"), "namespace", "ts", "reason", "message",
         F.col("obj_kind").alias("involved_kind"), F.col("obj_name").alias("involved_name"),
-        F.col("namespace").alias("involved_namespace")))
+        involved.alias("involved_namespace")))
 
 
 def pod_metric_records(outcomes: DataFrame, now_ms: int) -> DataFrame:

@@ -64,11 +64,10 @@ from orders"""
 F5 = f"""select 'ns-' || cast(user_id % 5 as varchar) as namespace,
        'pod-' || cast(user_id as varchar) as pod,
        'main' as container,
-       event_id % 5 = 0 as previous,
+       event_id % 5 = 0 and user_id % 2 = 0 as previous,
        event_id as pos,
        case when event_id % 10 = 3 then event_type || ' no timestamp' else {iso('ts')} || ' ' || event_type || ' ' || props end as raw
-from events
-where event_id % 5 <> 0 or user_id % 2 = 0"""
+from events"""
 
 F6 = """select 'ns-' || cast(c_custkey % 5 as varchar) as namespace,
        'pod-' || cast(c_custkey as varchar) as pod,
@@ -172,21 +171,20 @@ def service_logs_ctes(tail: int, start_ms, end_ms, include, exclude, top_k: int,
     entry = f" and {entry_filter}" if entry_filter else ""
     if start_ms is None:
         tailed = f"""tl as (select * from (select *, row_number() over (partition by service, file order by seq desc) as rn
-                      from elig) x where rn <= {tail}),
+                      from l0) x where rn <= {tail}),
 ft as (select * from tl where not is_journal),
-dl0 as (select service, file, is_journal, seq, raw from tl)"""
+dl0 as (select service, file, is_journal, seq, raw from tl where not is_journal or not {NOISE})"""
     else:
         tailed = f"""ft as (select * from (select *, row_number() over (partition by service, file order by seq desc) as rn
-                      from elig where not is_journal) x where rn <= {tail}),
+                      from l0 where not is_journal) x where rn <= {tail}),
 dl0 as (select service, file, is_journal, seq, raw from ft
-        union all select service, file, is_journal, seq, raw from elig where is_journal{entry})"""
+        union all select service, file, is_journal, seq, raw from l0 where is_journal and not {NOISE}{entry})"""
     return f"""f1 as ({F1}),
 f2 as ({F2}),
 f7 as ({F7}),
 src as (select s.service, s.file, s.is_journal, case when s.is_journal then r.journal_scope end as journal_scope
         from (select distinct service, file, is_journal from f1) s left join f2 r on r.name = s.service),
 l0 as (select * from f1 where not exists (select 1 from f7 where f7.service = f1.service and f7.file = f1.file)),
-elig as (select * from l0 where not is_journal or not {NOISE}),
 {tailed},
 blank as (select service, file from ft group by service, file
           having max(case when {dtrim('raw')} <> '' then 1 else 0 end) = 0),

@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from obsspark.functions.text import exclude_any, include_any, is_journal_noise, ws_trim
 from obsspark.operators.diagnostics import drop_failed_sources, missing_sources
 from obsspark.operators.lines import (
-    DEFAULT_CHUNK_ROWS, in_window_lenient, inherit_timestamp, parse_lines, prefer_two_phase, tail_per_source)
+    DEFAULT_CHUNK_ROWS, in_window_lenient, inherit_timestamp, parse_lines, tail_per_source)
 from obsspark.operators.rank import (
-    DIRECT_TOPK_MAX_ROWS, log_summary, newest_lines, newest_lines_at_scale, source_summary)
+    log_summary, newest_lines, source_summary)
 from obsspark.params import ServiceLogParams
 from obsspark.session import shared_dir
 
@@ -51,7 +51,6 @@ class ServiceLogs:
         self._got, self._sources, self._errors = got, sources, errors
         self.params, self.keys, self.source_order, self.order = params, keys, source_order, order
         self.materialize = materialize
-        self.direct_topk_max_rows = DIRECT_TOPK_MAX_ROWS
 
     def _keep(self, df: DataFrame) -> DataFrame:
         if not self.materialize:
@@ -72,27 +71,7 @@ class ServiceLogs:
         if extra:
             ranked = ranked.join(self._sources.select(*self.keys, *extra), self.keys, "inner")
         tiebreak = [*self.source_order, *self.order]
-        k = self.params.max_total_log_lines
-        if not self.materialize:
-            # The direct merge receives at most partitions x K rows.  The
-            # lines are a union of at most two shuffled branches (files,
-            # journals), so twice the configured shuffle partitions bounds
-            # their partition count (AQE only coalesces) without running a
-            # job; only a large merge is worth materializing the candidates
-            # for the cutoff path.
-            parts = 2 * int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            if parts * k <= self.direct_topk_max_rows:
-                return newest_lines(ranked, k, "rank_ms", tiebreak)
-            shared_dir(ranked.sparkSession)
-            ranked = ranked.checkpoint(eager=True)
-            hint = ranked.rdd.getNumPartitions()  # a checkpoint scan: no pending stages
-        else:
-            # checkpointed lines, possibly joined (shuffle) with source columns
-            hint = max(self.lines.rdd.getNumPartitions(),
-                       int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        # materialized input: counting and cutting it is cheap
-        return newest_lines_at_scale(ranked, k, "rank_ms", tiebreak, direct_max_rows=self.direct_topk_max_rows,
-                                     partitions_hint=hint)
+        return newest_lines(ranked, self.params.max_total_log_lines, "rank_ms", tiebreak)
 
     @cached_property
     def failed(self) -> DataFrame | None:
@@ -132,17 +111,16 @@ class ServiceLogs:
 
 
 def _tailed_and_inherited(df: DataFrame, keys: list[str], order_col, n: int,
-                          start_ms, end_ms, window_applies, two_phase: bool | None = None,
-                          chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None) -> DataFrame:
-    """Tail-bounded sources: tail (W1), all-blank check, empty-line drop,
-    parse and inheritance (W2) as consecutive windows over ONE shuffle on
-    the source key.  The partial WindowGroupLimit before that shuffle
-    caps what any source sends at n rows per map task, and everything
-    after it holds at most n rows per source."""
+                          start_ms, end_ms, window_applies, chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None) -> DataFrame:
+    """Tail-bounded sources: tail (W1), all-blank check, noise and
+    empty-line drop, parse and inheritance (W2).  Everything after the
+    tail holds at most n rows per source."""
     by_src = Window.partitionBy(*keys)
-    t = tail_per_source(df, keys, order_col, n, chunk_rows=chunk_rows, two_phase=two_phase, chunk_col=chunk_col)
+    t = tail_per_source(df, keys, order_col, n, chunk_rows=chunk_rows, chunk_col=chunk_col)
     t = (t.withColumn("_nb", F.max((ws_trim("raw") != F.lit("")).cast("int")).over(by_src))
          .filter((F.col("_nb") == 1) | F.col("is_journal")).drop("_nb"))
+    # a journal's own limit counts blank and marker lines too
+    t = t.filter(~F.col("is_journal") | ~is_journal_noise(F.col("raw")))
     t = parse_lines(t.filter(F.length(F.col("raw")) > 0))
     ms = F.col("sort_ms")
     ok = ms.isNotNull()
@@ -155,12 +133,13 @@ def _tailed_and_inherited(df: DataFrame, keys: list[str], order_col, n: int,
 
 def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[str], order_col,
                     chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None,
-                    entry_time_col: str | None = None, tail_two_phase: bool | None = None) -> DataFrame:
+                    entry_time_col: str | None = None) -> DataFrame:
     """What each source hands to the collector (P9, P10, P28, W1) with
     its rank time (P1, P2, W2): files read their last N physical lines
-    (an all-blank tail reads as empty); journals drop blank and marker
-    lines and read either the last N entries or, with a time window,
-    the whole window (two-phase inheritance: their size is unbounded).
+    (an all-blank tail reads as empty); journals read either their last N
+    entries or, with a time window, the whole window (two-phase
+    inheritance: their size is unbounded), then drop blank and marker
+    lines.
 
     ``entry_time_col`` (the journal entry's own time, a stored epoch-ms
     or timestamp column) selects windowed journal entries by entry time first, as a
@@ -171,17 +150,13 @@ def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[s
     """
     keys = list(keys)
     j = F.col("is_journal")
-    eligible = lines.filter(~j | ~is_journal_noise(F.col("raw")))
     n = params.tail_lines
     start_ms, end_ms = params.window_ms()
-    if tail_two_phase is None and n <= int(lines.sparkSession.conf.get(
-            "spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        tail_two_phase = prefer_two_phase(lines)
-    tail_args = dict(two_phase=tail_two_phase, chunk_rows=chunk_rows, chunk_col=chunk_col)
+    tail_args = dict(chunk_rows=chunk_rows, chunk_col=chunk_col)
     if params.window is None:
-        return _tailed_and_inherited(eligible, keys, order_col, n, None, None, None, **tail_args)
-    files = _tailed_and_inherited(eligible.filter(~j), keys, order_col, n, None, None, None, **tail_args)
-    jsel = j & (F.length(F.col("raw")) > 0)
+        return _tailed_and_inherited(lines, keys, order_col, n, None, None, None, **tail_args)
+    files = _tailed_and_inherited(lines.filter(~j), keys, order_col, n, None, None, None, **tail_args)
+    jsel = j & (F.length(F.col("raw")) > 0) & ~is_journal_noise(F.col("raw"))
     if entry_time_col is not None:
         dtype = dict(lines.dtypes)[entry_time_col]
         lo, hi = F.lit(start_ms), F.lit(end_ms)
@@ -189,7 +164,7 @@ def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[s
             # constant-folded into timestamp literals, so still pushed down
             lo, hi = F.timestamp_millis(lo).cast(dtype), F.timestamp_millis(hi).cast(dtype)
         jsel = jsel & F.col(entry_time_col).between(lo, hi)
-    journals = parse_lines(eligible.filter(jsel))
+    journals = parse_lines(lines.filter(jsel))
     journals = inherit_timestamp(journals, keys, order_col, start_ms, end_ms, chunk_rows=chunk_rows,
                                  chunk_col=chunk_col)
     return files.unionByName(journals)
@@ -200,8 +175,7 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
                          order_col="seq",
                          source_order: Sequence[str] = ("service", "is_journal", "file"),
                          chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None,
-                         materialize: bool = True, entry_time_col: str | None = None,
-                         tail_two_phase: bool | None = None) -> ServiceLogs:
+                         materialize: bool = True, entry_time_col: str | None = None) -> ServiceLogs:
     """B1 over tables.
 
     ``lines``: keys + ``order_col`` + ``raw`` (+ ``is_journal``).
@@ -227,7 +201,7 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
         lines = drop_failed_sources(lines, errors, keys)
     start_ms, end_ms = params.window_ms()
     j = F.col("is_journal")
-    got = delivered_lines(lines, params, keys, order_col, chunk_rows, chunk_col, entry_time_col, tail_two_phase)
+    got = delivered_lines(lines, params, keys, order_col, chunk_rows, chunk_col, entry_time_col)
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     matched = ((~j | in_window_lenient(F.col("sort_ms"), start_ms, end_ms))
                & include_any(F.col("raw"), params.include)

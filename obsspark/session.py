@@ -9,7 +9,6 @@ are always respected.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -59,14 +58,16 @@ def ensure_session_defaults(spark: SparkSession, max_tail: int = DEFAULT_WINDOW_
 def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     """A folder every executor can reach.
 
-    Uses the cluster's ``spark.checkpoint.dir``.  Only when the session
-    has none (local tests) a scratch folder is created and registered as
-    the checkpoint dir.
+    Uses the cluster's ``spark.checkpoint.dir``.  Without that setting a
+    local session uses a folder of its warehouse, and any other master
+    raises: a folder of our choice would not be shared.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="obsspark-ckpt-")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     if sub is None:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):/+"
+
 
 def read_log_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Physical lines of text files: (file, block, row, raw).
@@ -57,7 +60,8 @@ def _qualified(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str
     out = []
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
-        out.append((p, hp.getFileSystem(conf).makeQualified(hp).toString()))
+        # encoded like Spark's file_path; schemes come with one slash or more
+        out.append((p, re.sub(_SCHEME, r"\1:/", hp.getFileSystem(conf).makeQualified(hp).toUri().toString())))
     return out
 
 
@@ -81,7 +85,7 @@ def file_source_lines(spark: SparkSession, sources: DataFrame, keys: Sequence[st
         schema = ", ".join(f"{k} string" for k in keys) + ", block long, row long, raw string"
         return spark.createDataFrame([], schema), errors
     qual = spark.createDataFrame(_qualified(spark, have), f"{path_col} string, _qualified string")
-    raw = read_log_files(spark, have).withColumnRenamed("file", "_qualified")
+    raw = read_log_files(spark, have).withColumn("_qualified", F.regexp_replace("file", _SCHEME, "$1:/")).drop("file")
     lines = (raw.join(qual, "_qualified", "inner")
              .join(fsrc.select(*keys, path_col), path_col, "inner")
              .select(*keys, "block", "row", "raw"))

@@ -144,12 +144,11 @@ def container_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """container log lines keyed (namespace, pod, container, previous)."""
     e = table(spark, sf_dir, "events")
     eid = F.col("event_id")
-    return (e.filter((eid % 5 != 0) | (F.col("user_id") % 2 == 0))
-            .select(
+    return (e.select(
                 F.concat(F.lit("ns-"), _s(F.col("user_id") % 5)).alias("namespace"),
                 F.concat(F.lit("pod-"), _s("user_id")).alias("pod"),
                 F.lit("main").alias("container"),
-                (eid % 5 == 0).alias("previous"),
+                ((eid % 5 == 0) & (F.col("user_id") % 2 == 0)).alias("previous"),
                 eid.alias("pos"),
                 F.when(eid % 10 == 3, F.concat(F.col("event_type"), F.lit(" no timestamp")))
                 .otherwise(F.concat(_iso("ts"), F.lit(" "), F.col("event_type"), F.lit(" "), F.col("props")))

@@ -63,12 +63,13 @@ def read_events(spark: SparkSession, paths, namespaces=None) -> DataFrame:
     ev = lists.select(F.col("_metadata.file_path").alias("page"), F.posexplode("items").alias("item", "e"))
     out = ev.select(
         "page", "item",
-        F.coalesce(F.col("e.involvedObject.namespace"), F.col("e.metadata.namespace")).alias("namespace"),
+        F.coalesce(F.col("e.metadata.namespace"), F.col("e.involvedObject.namespace")).alias("namespace"),
         F.col("e.lastTimestamp").alias("last_timestamp"), F.col("e.eventTime").alias("event_time"),
         F.col("e.metadata.creationTimestamp").alias("creation_timestamp"),
         F.col("e.reason").alias("reason"), F.col("e.message").alias("message"),
         F.col("e.involvedObject.kind").alias("obj_kind"), F.col("e.involvedObject.name").alias("obj_name"),
-        F.col("e.involvedObject.uid").alias("obj_uid"))
+        F.col("e.involvedObject.uid").alias("obj_uid"),
+        F.col("e.involvedObject.namespace").alias("obj_namespace"))
     if namespaces is not None:
         out = out.filter(F.col("namespace").isin(list(namespaces)))
     return out

@@ -21,10 +21,11 @@ def read_services(spark: SparkSession, path: str) -> DataFrame:
     The document is one JSON array: read as whole text, parsed with an
     explicit schema and ``posexplode``d, so positions are the array
     positions.  Numeric ``journalUser`` values read as their text.
-    Validate with ``inventory.registry_violations`` before use.
+    A document that is not JSON of this shape raises; validate with
+    ``inventory.registry_violations`` before use.
     """
     doc = spark.read.text(path, wholetext=True)
-    entries = doc.select(F.posexplode(F.from_json(F.col("value"), T.ArrayType(SERVICE))).alias("service_idx", "s"))
+    entries = doc.select(F.posexplode(F.from_json(F.col("value"), T.ArrayType(SERVICE), {"mode": "FAILFAST"})).alias("service_idx", "s"))
     return entries.select(
         F.col("service_idx").cast("int").alias("service_idx"),
         ws_trim(F.col("s.name")).alias("name"),

@@ -2,6 +2,7 @@
 no Python UDFs, no cartesian products, pushed-down scans."""
 
 import __spark_entry__ as E
+from obsspark.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,7 +37,7 @@ def test_service_logs_plan_shape(spark):
 
 
 def test_no_python_udfs_or_cartesian_products(spark):
-    for name, q in E.queries().items():
+    for name, q in QUERIES.items():
         if name == "bundle_roundtrip":
             continue
         p = _plan(q(spark, SF))

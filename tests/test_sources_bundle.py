@@ -5,10 +5,11 @@ import glob
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from obsspark.sources.bundle import conform, read_bundle, write_bundle
-from obsspark.sources.files import existing_paths, read_log_files
+from obsspark.sources.files import existing_paths, file_source_lines, read_log_files
 from obsspark.sources.kube import read_container_logs, read_events, read_pods
 from obsspark.sources.registry import read_services
 from obsspark.streaming import parsed_line_stream, write_line_stream
@@ -44,6 +45,36 @@ def test_read_pods_events_services(spark, tmpdir_fresh):
     assert s == [(0, "a", ["/x"], None), (1, "b", None, "1000")]
 
 
+def test_malformed_registry_raises(spark, tmpdir_fresh):
+    reg = os.path.join(tmpdir_fresh, "cut.json")
+    with open(reg, "w") as f:
+        f.write('[{"name": "a", "logs": ["/x"')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read_services(spark, reg).collect()
+
+
+def test_events_read_from_json_become_ordered_records(spark, tmpdir_fresh):
+    from obsspark.plans.bundles import event_records
+    evs = os.path.join(tmpdir_fresh, "events.json")
+    item = lambda i, ns: {"metadata": {"creationTimestamp": "2024-01-01T00:00:00Z", "namespace": "listed"}, "reason": f"r{i}",
+                          "involvedObject": {"kind": "Pod", "name": "p", "namespace": ns}}
+    with open(evs, "w") as f:
+        json.dump({"items": [item(0, "a"), item(1, "b")]}, f)
+    got = event_records(read_events(spark, evs).withColumn("ts", F.lit("t"))).orderBy("k2", "k3").collect()
+    assert [(r.namespace, r.reason, r.involved_namespace) for r in got] == [("listed", "r0", "a"), ("listed", "r1", "b")]
+
+
+def test_files_with_awkward_names_lose_no_lines(spark, tmpdir_fresh):
+    names = ["plain.log", "with space.log", "a%20b.log"]
+    for n in names:
+        with open(os.path.join(tmpdir_fresh, n), "w") as f:
+            f.write("one\ntwo\n")
+    src = spark.createDataFrame([("s", os.path.join(tmpdir_fresh, n)) for n in names], "service string, file string").withColumn("source", F.col("file"))
+    lines, errors = file_source_lines(spark, src)
+    assert sorted((os.path.basename(r.source), r.raw) for r in lines.collect()) == sorted((n, x) for n in names for x in ("one", "two"))
+    assert errors.count() == 0
+
+
 def test_read_container_logs(spark):
     df = spark.createDataFrame([("n", "p", "c", False, "a\nb\n")], "namespace string, pod string, container string, "
                                                                   "previous boolean, text string")

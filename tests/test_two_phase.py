@@ -33,12 +33,21 @@ def test_tail_two_phase_matches_plain(spark):
     for seed in range(3):
         df = _data(spark, seed)
         for n in (1, 5, 60, 1000):
-            plain = tail_per_source(df, ["src"], "seq", n, rank_col="r", two_phase=False)
+            last = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("seq")))
+            plain = df.withColumn("r", last.cast("long")).filter(F.col("r") <= n)
             for chunk_rows in (3, 40, 10_000):
-                two = tail_per_source(df, ["src"], "seq", n, rank_col="r", two_phase=True, chunk_rows=chunk_rows)
+                two = tail_per_source(df, ["src"], "seq", n, rank_col="r", chunk_rows=chunk_rows)
                 assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, two.collect())), (seed, n, chunk_rows)
 
 
+def test_null_keys_and_orders_are_kept(spark):
+    rows = [(None, 1, 1), (None, 2, 2), (None, None, 3), ("a", None, 4), ("a", 60_000, 5), (None, 120_000, 6)]
+    df = spark.createDataFrame(rows, "src string, seq long, v long")
+    got = lambda n: sorted(r.v for r in tail_per_source(df, ["src"], "seq", n).collect())
+    assert got(9) == [1, 2, 3, 4, 5, 6] and got(1) == [5, 6] and got(3) == [1, 2, 4, 5, 6]
+    assert inherit_last(df, ["src"], "seq", "v", "w").count() == 6
+
+
 def test_explicit_chunk_column_and_multi_order(spark):
     rows = [("f", blk, row, v) for blk in (0, 100, 200) for row, v in enumerate([None, blk + 1, None])]
     df = spark.createDataFrame(rows, "src string, blk long, row long, v long")
