@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsspark.llm.common import maybe_in, membership_filter, stored, utf8
+from obsspark.llm.common import maybe_in, membership_filter, scratch, stored, utf8
 
 #: directory prefixes have at most so many bits
 DIRECTORY_BITS = 16
@@ -121,9 +121,10 @@ def drop_exact_duplicates(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> Da
     Rows whose hash is surely alone pass without a shuffle; only rows of
     duplicate groups are joined with the rows that stay.
     """
-    keys = row_keys(docs)
-    groups = (duplicate_groups(docs, keys, capacity)
-              .select(F.col("h").alias("_gh"), F.col("sha").alias("_gsha"), F.col("keep_id").alias("_keep")))
+    with scratch(docs.sparkSession):
+        found = duplicate_groups(docs, row_keys(docs), capacity)
+        groups = stored(found.select(F.col("h").alias("_gh"), F.col("sha").alias("_gsha"), F.col("keep_id").alias("_keep")),
+                        "dedup-kept", keep=True)
     text = utf8(F.col("text"))
     flagged = maybe_in(docs.withColumn("_h", F.xxhash64(text)), F.col("_h"), membership_filter(groups, "_gh"))
     alone = flagged.filter("not _maybe").select(docs.columns)

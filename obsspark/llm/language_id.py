@@ -32,7 +32,7 @@ BUCKETS = 1 << 15
 #: expected number of labelled documents learned from, at most (chosen by hash)
 TRAIN_DOCS = 40_000
 #: code points handled at once
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 17
 #: languages whose counts a task holds before it passes them on
 HELD_LANGS = 64
 SMOOTHING = 0.1

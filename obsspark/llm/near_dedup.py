@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsspark.llm.common import map_arrow, maybe_in, membership_filter, stored, utf8
+from obsspark.llm.common import map_arrow, maybe_in, membership_filter, scratch, stored, utf8
 from obsspark.llm.graph import components
 from obsspark.llm.lsh_forest import DEPTH, TREES, exact_links, fingerprints, signatures, similar_pairs, spanning_forest
 from obsspark.llm.shingles import shingle_sets
@@ -278,7 +278,9 @@ def drop_near_duplicates(docs: DataFrame, region: int = REGION) -> DataFrame:
 
     Rows that surely go nowhere pass without a shuffle; only those that may go are joined.
     """
-    gone = stored(near_duplicates(docs, region).filter("not kept").select(F.col("dk").alias("_gone")).distinct(), "near-gone")
+    with scratch(docs.sparkSession):
+        found = near_duplicates(docs, region).filter("not kept").select(F.col("dk").alias("_gone")).distinct()
+        gone = stored(found, "near-gone", keep=True)
     flagged = maybe_in(docs.withColumn("_dk", document_key(F.col("doc_id"), F.col("text"))), F.col("_dk"), membership_filter(gone, "_gone"))
     stay = flagged.filter("not _maybe").select(docs.columns)
     unsure = flagged.filter("_maybe").join(gone, F.col("_dk") == F.col("_gone"), "left_anti").select(docs.columns)

@@ -35,7 +35,7 @@ FEATURES = ("log_words", "mean_word", "distinct_words", "repeated_neighbours", "
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 48, 10, 8
 ROUNDS, PAIR_ROUNDS, RATE, LEAVES, RIDGE = 150, 60, 0.15, 3, 5.0
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": b"0123456789", "marks": b".,;:!?'\"()-", "symbols": b"#$%&*+/<=>@[]\\^_`{}~",
             "bars": b"|", "blanks": b" \t\n\r\x0b\x0c"}
 

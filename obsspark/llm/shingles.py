@@ -22,7 +22,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: bytes hashed at once; bounds the temporary arrays (about 60 bytes per byte)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
