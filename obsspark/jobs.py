@@ -98,7 +98,6 @@ def build_parser() -> argparse.ArgumentParser:
         s.add_argument("--claims", default=None, help="principal claims as JSON; none = admin")
         s.add_argument("--scrapes")
         s.add_argument("--now-ms", type=int, default=None)
-        s.add_argument("--single-file", action="store_true")
         if name == "service-bundle":
             s.add_argument("--registry", required=True)
             s.add_argument("--lines")
@@ -111,6 +110,7 @@ def build_parser() -> argparse.ArgumentParser:
         else:
             s.add_argument("--pods", required=True)
             s.add_argument("--container-logs")
+            s.add_argument("--log-errors")
             s.add_argument("--events")
             s.add_argument("--selector")
             s.add_argument("--namespace", default="*")
@@ -139,8 +139,7 @@ def run(argv: list[str] | None = None, spark=None) -> str:
     created = _iso_now(now_ms)
     if a.cmd == "service-bundle":
         params = ServiceLogParams(now_ms=now_ms, tail_lines=a.tail, include=tuple(a.include),
-                                  exclude=tuple(a.exclude), window=_window(a), max_total_log_lines=a.max_lines,
-                                  hard_max_total_log_lines=max(a.max_lines, 50_000))
+                                  exclude=tuple(a.exclude), window=_window(a), max_total_log_lines=a.max_lines)
         names = [n for n in a.names.split(",") if n.strip()] if a.names else None
         registry = read_services(spark, a.registry)
         errors = spark.read.parquet(a.errors) if a.errors else None
@@ -158,8 +157,7 @@ def run(argv: list[str] | None = None, spark=None) -> str:
         window = _window(a) or TimeWindow(since_seconds=600, max_seconds=a.max_window)
         params = ContainerLogParams(now_ms=now_ms, tail_lines=a.tail, timestamps=not a.no_timestamps,
                                     previous=a.previous, exclude=tuple(a.exclude), window=window,
-                                    max_total_log_lines=a.max_lines,
-                                    hard_max_total_log_lines=max(a.max_lines, 50_000))
+                                    max_total_log_lines=a.max_lines)
         requested = None
         if a.refs:
             pairs = [r.split("/", 1) for r in a.refs.split(",") if r.strip()]
@@ -170,8 +168,9 @@ def run(argv: list[str] | None = None, spark=None) -> str:
             read_events(spark, a.events) if a.events else None,
             spark.read.parquet(a.scrapes) if a.scrapes else None, params, principal,
             namespace=a.namespace, selector=a.selector, requested=requested, max_pods=a.max_pods,
-            max_metrics_pods=a.max_metrics_pods, bundle_id=bundle_id, created_at=created)
-    write_bundle(bundle, a.out, single_file=a.single_file)
+            max_metrics_pods=a.max_metrics_pods, bundle_id=bundle_id, created_at=created,
+            log_errors=spark.read.parquet(a.log_errors) if a.log_errors else None)
+    write_bundle(bundle, a.out)
     return a.out
 
 

@@ -1,12 +1,13 @@
 """Row-level access control (C1-C5) with '*' globs.
 
-Scope checks are joins, not cross products: every name is expanded
-into its prefixes and equi-joined with the literal prefix of each
-pattern (the text before its first '*'); the full glob is the residual
-predicate.  A pattern without '*' thus only meets the name equal to it,
-and only leading-'*' patterns meet every name.  Names are identifiers
-(Kubernetes caps them at 253 characters), so the expansion is a small
-constant factor.
+Scope checks are joins on keys that single patterns select, never on one
+that every name has.  Admins and principals with a bare ``*`` are a flag
+outside the join.  Of the other patterns each distinct one is joined once,
+by the text before its first ``*``, else by the text after its last, else
+by the first letters of its longest part; names (identifiers of at most 253
+characters) offer their prefixes, suffixes and letter groups under those
+keys.  The full glob is the residual predicate, and principals are attached
+to the matching (pattern, name) pairs last.
 """
 
 from __future__ import annotations
@@ -52,22 +53,73 @@ def fold_patterns(rows: DataFrame, pattern_col: str, out_col: str) -> DataFrame:
         F.sort_array(F.collect_set(F.col(pattern_col))).alias(out_col))
 
 
-def _pattern_rows(principals: DataFrame, patterns_col: str) -> DataFrame:
-    """(sub, pattern, key) with admins holding the universal pattern '*'."""
-    pats = F.when(F.col("admin"), F.array(F.lit("*"))).otherwise(F.col(patterns_col))
-    return (principals.select("sub", F.explode(pats).alias("pattern"))
-            .withColumn("key", F.substring_index(F.col("pattern"), "*", 1)))
+#: letters of a pattern that has neither a fixed start nor a fixed end
+GRAM = 3
+#: parts that a table is dealt into where a principal may see all of it
+EVERYONE_PARTS = 32
+
+
+def universal(patterns_col: str) -> Column:
+    """Whether a principal holds a pattern that matches every name (not admin, which is a flag by itself)."""
+    return F.coalesce(F.exists(F.col(patterns_col), lambda p: p.rlike(r"^\*+$")), F.lit(False))
+
+
+def _is_admin() -> Column:
+    return F.coalesce(F.col("admin"), F.lit(False))
+
+
+def _pattern_keys(patterns: DataFrame) -> DataFrame:
+    """(pattern, kind, key): exact or fixed start, fixed end, letters of the longest part."""
+    head = F.substring_index("pattern", "*", 1)
+    tail = F.substring_index("pattern", "*", -1)
+    longest = F.sort_array(F.transform(F.split("pattern", r"\*"), lambda x: F.struct(F.length(x).alias("n"), x.alias("s"))), asc=False)[0]["s"]
+    kind = F.when(head != "", F.lit("start")).when(tail != "", F.lit("end")).otherwise(F.lit("part"))
+    key = F.when(head != "", head).when(tail != "", tail).otherwise(F.substring(longest, 1, GRAM))
+    return patterns.select("pattern", kind.alias("kind"), key.alias("key"))
+
+
+def _name_keys(names: DataFrame) -> DataFrame:
+    """(_name, kind, key): all non-empty prefixes, suffixes and groups of up to GRAM letters."""
+    n = F.length("_name")
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+    def entries(kind: str, piece) -> Column:
+        return F.transform(places, lambda i: F.struct(F.lit(kind).alias("kind"), piece(i).alias("key")))
+
+    name = F.col("_name")
+    parts = [entries("start", lambda i: F.substring(name, F.lit(1), i)), entries("end", lambda i: F.substring(name, i, n))]
+    parts += [entries("part", lambda i, k=k: F.substring(name, i, F.lit(k))) for k in range(1, GRAM + 1)]
+    return (names.select("_name", F.explode(F.array_distinct(F.concat(*parts))).alias("at"))
+            .select("_name", "at.kind", "at.key"))
+
+
+def scoped_pairs(principals: DataFrame, patterns_col: str, names: DataFrame, name_col: str) -> DataFrame:
+    """J8 without admins and bare ``*``: distinct (sub, name) where some pattern of ``sub`` matches."""
+    held = (principals.filter(~_is_admin() & ~universal(patterns_col))
+            .select("sub", F.explode(patterns_col).alias("pattern")).distinct())
+    n = names.select(F.col(name_col).alias("_name")).filter(F.col("_name").isNotNull()).distinct()
+    met = (_name_keys(n).join(_pattern_keys(held.select("pattern").distinct()), ["kind", "key"])
+           .filter(glob_like(F.col("_name"), F.col("pattern"))).select("pattern", "_name").distinct())
+    return held.join(met, "pattern").select("sub", F.col("_name").alias(name_col)).distinct()
+
+
+def everyone_pairs(principals: DataFrame, patterns_col: str, names: DataFrame, name_col: str) -> DataFrame:
+    """(sub, name) of the principals that may see every name: the listing itself is that large.
+
+    Names are dealt into EVERYONE_PARTS parts and those principals are repeated
+    for each, so no key holds the whole table of names.
+    """
+    every = (principals.filter(_is_admin() | universal(patterns_col))
+             .select("sub", F.explode(F.sequence(F.lit(0), F.lit(EVERYONE_PARTS - 1))).alias("_part")))
+    n = names.select(name_col).filter(F.col(name_col).isNotNull()).distinct()
+    n = n.withColumn("_part", F.pmod(F.xxhash64(name_col), F.lit(EVERYONE_PARTS)).cast("int"))
+    return n.join(every, "_part").select("sub", name_col)
 
 
 def allowed_pairs(principals: DataFrame, patterns_col: str, names: DataFrame, name_col: str) -> DataFrame:
-    """Distinct (sub, name) where some pattern of ``sub`` matches."""
-    n = names.select(F.col(name_col).alias("_name")).distinct()
-    expanded = n.select("_name", F.explode(F.transform(F.sequence(F.lit(0), F.length("_name")),
-                                                       lambda i: F.substring(F.col("_name"), 1, i))).alias("key"))
-    p = _pattern_rows(principals, patterns_col)
-    return (expanded.join(p, "key", "inner")
-            .filter(glob_like(F.col("_name"), F.col("pattern")))
-            .select("sub", F.col("_name").alias(name_col)).distinct())
+    """Distinct (sub, name) where some pattern of ``sub`` matches, admins matching every name."""
+    return scoped_pairs(principals, patterns_col, names, name_col).unionByName(
+        everyone_pairs(principals, patterns_col, names, name_col))
 
 
 def visible_services(principals: DataFrame, services: DataFrame) -> DataFrame:
@@ -86,17 +138,17 @@ def authorize_targets(principals: DataFrame, patterns_col: str, targets: DataFra
     """All-or-nothing decision per principal over a target list.
 
     Returns (sub, n_targets, n_allowed, authorized).  A namespace target
-    ``*`` must itself be matched ('prod-*' does not cover it).  Only
-    allowed pairs are materialised; the target count is a scalar
-    sub-query.
+    ``*`` must itself be matched ('prod-*' does not cover it).  Admins and
+    bare ``*`` need no pairs: the target count, a scalar sub-query, is theirs.
     """
     t = targets.select(F.col(name_col).alias("_t")).filter(F.col("_t").isNotNull()).distinct()
     n_targets = t.agg(F.count(F.lit(1))).scalar()
-    got = allowed_pairs(principals, patterns_col, t, "_t").groupBy("sub").agg(
+    got = scoped_pairs(principals, patterns_col, t, "_t").groupBy("sub").agg(
         F.count(F.lit(1)).alias("n_allowed"))
-    return (principals.select("sub").join(got, "sub", "left")
+    everyone = (_is_admin() | universal(patterns_col)).alias("_every")
+    return (principals.select("sub", everyone).join(got, "sub", "left")
             .select("sub", n_targets.alias("n_targets"),
-                    F.coalesce(F.col("n_allowed"), F.lit(0)).alias("n_allowed"))
+                    F.when(F.col("_every"), n_targets).otherwise(F.coalesce(F.col("n_allowed"), F.lit(0))).alias("n_allowed"))
             .withColumn("authorized", F.col("n_allowed") == F.col("n_targets")))
 
 
@@ -126,11 +178,16 @@ def record_visibility(principals: DataFrame, capabilities: DataFrame, records: D
     spark = records.sparkSession
     # a fixed five-row constant: a proven size bound, so broadcast it
     cap_map = F.broadcast(spark.createDataFrame(RECORD_CAPABILITY, "type string, capability string"))
-    per_scope = records.groupBy("type", scope_col).agg(F.count(F.lit(1)).alias("_n"))
-    pairs = allowed_pairs(principals, patterns_col, per_scope.select(scope_col), scope_col)  # de-duplicates
+    per_scope = records.groupBy("type", scope_col).agg(F.count(F.lit(1)).alias("_n")).join(cap_map, "type")
     granted = capabilities.select("sub", "capability").distinct()
-    adm = principals.select("sub", "admin")
-    vis = (pairs.join(per_scope, scope_col).join(cap_map, "type").join(adm, "sub"))
-    vis = vis.join(granted.withColumn("_g", F.lit(True)), ["sub", "capability"], "left")
-    vis = vis.filter(F.col("admin") | F.coalesce(F.col("_g"), F.lit(False)))
-    return vis.groupBy("sub", "type").agg(F.sum("_n").alias("n_records"))
+    scoped = (scoped_pairs(principals, patterns_col, per_scope.select(scope_col), scope_col)
+              .join(per_scope, scope_col).join(granted, ["sub", "capability"]).select("sub", "type", "_n"))
+    # admins and bare '*': one total per record type, whatever the scopes
+    totals = per_scope.groupBy("type").agg(F.sum("_n").alias("_all"), F.sum(F.when(F.col(scope_col).isNotNull(), F.col("_n"))).alias("_named"))
+    types = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(c).alias("capability")) for t, c in RECORD_CAPABILITY])
+    every = (principals.filter(_is_admin() | universal(patterns_col))
+             .select("sub", _is_admin().alias("admin"), F.explode(types).alias("x")).select("sub", "admin", "x.type", "x.capability"))
+    every = every.join(granted.withColumn("_g", F.lit(True)), ["sub", "capability"], "left").filter(F.col("admin") | F.col("_g"))
+    every = every.join(totals, "type").select("sub", "type", F.when(F.col("admin"), F.col("_all")).otherwise(F.col("_named")).alias("_n"))
+    return (scoped.unionByName(every.filter(F.col("_n").isNotNull())).groupBy("sub", "type")
+            .agg(F.sum("_n").alias("n_records")))

@@ -104,7 +104,7 @@ def classify_log_fetch_errors(errors: DataFrame) -> DataFrame:
     hint = F.lit(False)
     for m in NO_PREVIOUS_MESSAGES:
         hint = hint | msg.contains(m)
-    skip = F.col("previous") & (F.col("status").isin(400, 404) | hint)
+    skip = F.coalesce(F.col("previous"), F.lit(False)) & (F.coalesce(F.col("status").isin(400, 404), F.lit(False)) | hint)
     return errors.withColumns({
         "skipped": skip,
         "reason": F.when(skip, F.lit(NO_PREVIOUS_CONTAINER)),
@@ -112,6 +112,11 @@ def classify_log_fetch_errors(errors: DataFrame) -> DataFrame:
     })
 
 
+def fetch_errors_of(errors: DataFrame, refs: DataFrame) -> DataFrame:
+    """The classified fetch errors of the selected pods' containers, with their ordinals."""
+    return classify_log_fetch_errors(errors.join(pod_containers(refs), ["namespace", "pod", "container"]))
+
+
 def assert_no_fatal_fetch_errors(classified: DataFrame) -> None:
     assert_empty(classified.filter("fatal"),
                  lambda rows: f"log fetch failed for {rows[0]['namespace']}/{rows[0]['pod']}: {rows[0]['message']}")

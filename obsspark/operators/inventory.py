@@ -79,7 +79,7 @@ def registry_violations(raw: DataFrame) -> DataFrame:
 
     ``raw`` holds untrimmed registry entries (service_idx, name, logs,
     journal, journal_scope, journal_user, metrics).  Duplicate names are
-    reported on every occurrence after the first.
+    reported on every occurrence after the first; a blank name is no name.
     """
     name = ws_trim("name")
     scope = ws_trim("journal_scope")
@@ -103,11 +103,17 @@ def registry_violations(raw: DataFrame) -> DataFrame:
         F.when(cond, F.lit(msg)) for cond, msg in checks])).alias("rule")).filter(F.col("rule").isNotNull())
     firsts = raw.groupBy(name.alias("_n")).agg(F.min("service_idx").alias("_first"))
     dups = (raw.withColumn("_n", name).join(firsts, "_n", "inner")
-            .filter(F.col("service_idx") > F.col("_first"))
+            .filter((F.col("service_idx") > F.col("_first")) & (F.col("_n") != ""))
             .select("service_idx", F.lit(RULE_DUPLICATE).alias("rule")))
     return flagged.unionByName(dups)
 
 
+def assert_registry_valid(raw: DataFrame) -> None:
+    """A5 + G7: the first broken rule, by entry, fails the request."""
+    assert_empty(registry_violations(raw).orderBy("service_idx", "rule"),
+                 lambda rows: f"services[{rows[0]['service_idx']}]: {rows[0]['rule']}")
+
+
 def describe_services(services: DataFrame, admin: bool) -> DataFrame:
     """Non-admins see names only; admins the full definition."""
     if not admin:
@@ -219,9 +225,10 @@ def describe_pods(pods: DataFrame, admin: bool) -> DataFrame:
     return pods.select(*cols)
 
 
-def pod_refs(pods: DataFrame) -> DataFrame:
+def pod_refs(pods: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Flat pod references (namespace, name, uid, pod_ip, labels,
-    annotations, containers = containers ++ initContainers)."""
+    annotations, containers = containers ++ initContainers) and the columns
+    named in ``keep`` as they are."""
     empty_map = F.create_map().cast("map<string,string>")
     return pods.select(
         F.coalesce(F.col("metadata.namespace"), F.lit("")).alias("namespace"),
@@ -231,7 +238,7 @@ def pod_refs(pods: DataFrame) -> DataFrame:
         F.coalesce(F.col("metadata.labels"), empty_map).alias("labels"),
         F.coalesce(F.col("metadata.annotations"), empty_map).alias("annotations"),
         F.concat(_container_names(F.col("spec.containers")),
-                 _container_names(F.col("spec.initContainers"))).alias("containers"),
+                 _container_names(F.col("spec.initContainers"))).alias("containers"), *keep,
     )
 
 

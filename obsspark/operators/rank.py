@@ -31,9 +31,16 @@ def newest_lines(df: DataFrame, k: int, rank_col: str = "rank_ms",
     return ranked.filter(F.col("_in_bucket") <= k).drop("_bucket", "_in_bucket").orderBy(*order).limit(k)
 
 
-def final_order(df: DataFrame, rank_col: str = "rank_ms", tiebreak: Sequence[str] = ()) -> DataFrame:
-    """K2: selected lines ascending (NULL rank first, then arrival)."""
-    return df.orderBy(F.col(rank_col).asc_nulls_first(), *[F.col(c).asc() for c in tiebreak])
+def final_order(df: DataFrame, rank_col: str = "rank_ms", tiebreak: Sequence[str] = (),
+                position: str | None = None) -> DataFrame:
+    """K2: selected lines ascending (NULL rank first, then arrival).
+
+    ``position`` names a column for the place from 1 on; ``df`` is a top-K, so
+    at most K rows are numbered in one task."""
+    order = [F.col(rank_col).asc_nulls_first(), *[F.col(c).asc() for c in tiebreak]]
+    if position is not None:
+        df = df.withColumn(position, F.row_number().over(Window.orderBy(*order)))
+    return df.orderBy(*order)
 
 
 def source_summary(sources: DataFrame, lines: DataFrame, selected: DataFrame, keys: Sequence[str],

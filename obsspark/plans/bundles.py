@@ -179,10 +179,16 @@ def pod_bundle(spark: SparkSession, pods: DataFrame, container_logs: DataFrame |
                namespace: str = "*", selector: str | None = None, max_pods: int | None = None,
                max_metrics_pods: int | None = None, max_body_bytes: int = M.MAX_METRICS_BODY_BYTES,
                timeout_ms: int = M.METRICS_TIMEOUT_MS, requested: DataFrame | None = None,
-               entry_time_col: str | None = None) -> DataFrame:
+               entry_time_col: str | None = None, log_errors: DataFrame | None = None) -> DataFrame:
     """Resolve pods (S4/P12/P13, G4 when ``max_pods``), then logs (B2),
     events (B3) and metrics (B4) in bundle order.  Argument/size checks
-    run before anything is written, as in the reference."""
+    run before anything is written, as in the reference.
+
+    ``log_errors`` (namespace, pod, container, previous, status, message): failed
+    log reads.  Of the selected pods, one that only says that there is no previous
+    container becomes a skip record, any other fails the bundle (P26).  Where
+    ``pods`` has its listing order (page, item), events are matched with the uid
+    of the last pod of a name (G6); without an order each uid listed counts."""
     if requested is not None:
         # pods[] target: exactly the named pods, every one must exist
         req = requested.select(F.col("namespace").alias("_rns"), F.col("pod").alias("_rpod")).distinct()
@@ -211,11 +217,21 @@ def pod_bundle(spark: SparkSession, pods: DataFrame, container_logs: DataFrame |
             skips = C.previous_skips(container_logs, refs, tailed=tailed)
         else:
             skips = C.previous_skips(container_logs, refs) if params.previous else None
+        if log_errors is not None:
+            failed = C.fetch_errors_of(log_errors, refs)
+            C.assert_no_fatal_fetch_errors(failed)
+            if skips is not None:
+                skips = skips.unionByName(failed.filter("skipped").select(skips.columns)).dropDuplicates(
+                    ["namespace", "pod", "container"])
         lines = C.container_log_lines(container_logs, refs, params, tailed=tailed)
         out = out.unionByName(pod_log_records(lines, skips, params.now_ms))
     if events is not None:
         start_ms, end_ms = params.window_ms()
-        ev = EV.collect_events(events, refs.select("namespace", "name", "uid"), start_ms,
+        uids = refs.select("namespace", "name", "uid")
+        if {"page", "item"} <= set(sel.columns):
+            listed = INV.pod_refs(sel, keep=("page", "item")).withColumn("_at", F.struct("page", "item"))
+            uids = INV.pod_uid_map(listed, "_at")
+        ev = EV.collect_events(events, uids, start_ms,
                                end_ms if params.window.is_absolute else None)
         out = out.unionByName(event_records(ev))
     if scrapes is not None:

@@ -21,10 +21,11 @@ from obsspark.operators import events as EV
 from obsspark.operators import inventory as INV
 from obsspark.operators import metrics as M
 from obsspark.operators import triage as TR
-from obsspark.operators.diagnostics import USER_JOURNAL_PERMISSION_TEXT, classify_source_errors
+from obsspark.operators.diagnostics import USER_JOURNAL_PERMISSION_TEXT, classify_source_errors, journal_user_errors
 from obsspark.operators.lines import (
     drop_empty, drop_journal_noise, filter_text, inherit_timestamp, parse_lines,
     since_filter, tail_per_source, time_window_lenient, time_window_strict)
+from obsspark.operators.rank import final_order
 from obsspark.params import ContainerLogParams, ServiceLogParams, TimeWindow
 from obsspark.plans import oracle as O
 from obsspark.plans.bundles import pod_bundle, service_bundle
@@ -34,6 +35,8 @@ from obsspark.session import ensure_session_defaults, shared_dir
 from obsspark.sources import fixtures as FX
 from obsspark.sources.bundle import read_bundle, write_bundle
 from obsspark.sources.journal import journal_with_fallback
+from obsspark.sources.registry import read_services
+from obsspark.sources.scrapes import read_scrapes
 
 # Fixed catalogue parameters.
 NOW_MS = 1_706_659_200_000                      # 2024-01-31T00:00:00Z
@@ -907,3 +910,126 @@ def q_bundle_signatures(spark, d):
     rec = read_bundle(spark, path).filter((F.col("type") == "log") & F.col("line").isNotNull())
     rec = rec.withColumn("ts_ms", F.unix_millis(F.try_to_timestamp(F.col("ts"))))
     return TR.error_signatures(rec, time_col="ts_ms")
+
+
+# ------------------------------------------- checks and rules over derived tables
+
+@register("tail_null_keys", """with l as (
+  select event_id as seq, case when user_id % 3 > 0 then 's' || cast(user_id % 3 as varchar) end as source from events)
+select source, seq from (select *, row_number() over (partition by source order by seq desc) as rn from l) x where rn <= 40""")
+def q_tail_null_keys(spark, d):
+    """The tail of sources of which one, with a third of the lines, has no name."""
+    m = F.col("user_id") % 3
+    lines = FX.table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.when(m > 0, F.concat(F.lit("s"), m.cast("string"))).alias("source"))
+    return tail_per_source(lines, ["source"], "seq", 40).select("source", "seq")
+
+
+@register("newest_lines_ordered", f"""with {_b1_ctes()}
+select cast(row_number() over (order by rank_ms nulls first, service, is_journal, file, seq) as integer) as place,
+       service, file, seq from sel""")
+def q_newest_lines_ordered(spark, d):
+    """K2: the place of every selected line in the bundle."""
+    sel = service_logs(spark, d, materialize=False).selected
+    return final_order(sel, "rank_ms", ["service", "is_journal", "file", "seq"], position="place").select(
+        "place", "service", "file", "seq")
+
+
+@register("normalize_principals", """with claims as (
+  select 'c' || cast(c_custkey as varchar) as sub, case c_custkey % 4 when 1 then true when 2 then false end as adm,
+         case when c_custkey % 3 <> 0 then 'ns-' || cast(c_nationkey as varchar) || ',x' end as ns,
+         case when c_custkey % 6 = 0 and c_custkey % 12 <> 0 then 'logs' end as caps from customer)
+select sub, case when adm is null and ns is null and caps is null then true else coalesce(adm, false) end as admin,
+       coalesce(ns, '') as namespaces, coalesce(caps, '') as capabilities from claims""")
+def q_normalize_principals(spark, d):
+    """Claims of every customer -> principal; no claim at all means admin."""
+    k = F.col("c_custkey")
+    texts = "array<string>"
+    claims = FX.table(spark, d, "customer").select(
+        F.concat(F.lit("c"), k.cast("string")).alias("sub"),
+        F.when(k % 4 == 1, True).when(k % 4 == 2, False).alias("admin"),
+        F.when(k % 3 != 0, F.array(F.concat(F.lit(" ns-"), F.col("c_nationkey").cast("string"), F.lit("\t")), F.lit(" "),
+                                   F.lit(None).cast("string"), F.lit("x"))).alias("allowed_namespaces"),
+        F.lit(None).cast(texts).alias("allowed_services"),
+        F.when((k % 6 == 0) & (k % 12 != 0), F.array(F.lit("logs "), F.lit(""))).alias("capabilities"))
+    pr = A.normalize_principals(claims)
+    return pr.select("sub", "admin", F.array_join("allowed_namespaces", ",").alias("namespaces"),
+                     F.array_join("capabilities", ",").alias("capabilities"))
+
+
+@register("journal_user_errors", """select 's' || cast(c_custkey as varchar) as service, 'EINVAL' as code,
+       case c_custkey % 7 when 0 then 'journalUser is required for user journal scope'
+            when 1 then 'journalUser must be a non-empty username or UID'
+            when 2 then 'journalUser "4294967296" is outside the valid UID range'
+            when 3 then 'journalUser "-5" must be a non-negative UID or existing username'
+            else 'journalUser "-x" must be a non-negative UID or existing username' end as message
+from customer where c_custkey % 2 = 0 and c_custkey % 7 <= 4""")
+def q_journal_user_errors(spark, d):
+    """User journals whose user cannot be used (EINVAL)."""
+    k = F.col("c_custkey")
+    user = (F.when(k % 7 == 1, " ").when(k % 7 == 2, "4294967296").when(k % 7 == 3, "-5").when(k % 7 == 4, "-x")
+            .when(k % 7 == 5, "1000").when(k % 7 == 6, "deploy"))
+    sources = FX.table(spark, d, "customer").select(
+        F.concat(F.lit("s"), k.cast("string")).alias("service"), F.lit(True).alias("is_journal"),
+        F.when(k % 2 == 0, "user").otherwise("system").alias("journal_scope"), user.alias("journal_user"))
+    return journal_user_errors(sources, ["service"]).select("service", "code", "message")
+
+
+@register("log_fetch_errors", """with e as (
+  select event_id, event_id % 2 = 0 as previous, case event_id % 5 when 0 then 400 when 1 then 404 when 2 then 500 when 3 then 200 end as status,
+         case event_id % 3 when 0 then 'Previous terminated container "app" not found' when 1 then 'connection reset' end as message from events),
+c as (select event_id, previous and (coalesce(status, 0) in (400, 404)
+             or coalesce(lower(message), '') like '%previous terminated container%') as skipped from e)
+select event_id, skipped, case when skipped then 'no_previous_container' end as reason, not skipped as fatal from c""")
+def q_log_fetch_errors(spark, d):
+    """Failed log reads: no previous container (skip) or fatal."""
+    e = F.col("event_id")
+    status = F.when(e % 5 == 0, 400).when(e % 5 == 1, 404).when(e % 5 == 2, 500).when(e % 5 == 3, 200)
+    message = F.when(e % 3 == 0, 'Previous terminated container "app" not found').when(e % 3 == 1, "connection reset")
+    errors = FX.table(spark, d, "events").select("event_id", (e % 2 == 0).alias("previous"), status.alias("status"),
+                                                 message.alias("message"))
+    return C.classify_log_fetch_errors(errors).select("event_id", "skipped", "reason", "fatal")
+
+
+# the rule that entry k breaks, by k % 11; entry 5 breaks two
+_BROKEN_RULES = {1: "name is required", 2: "logs items must be non-empty strings", 3: "journal must be a non-empty string",
+                 4: 'journalScope must be "system" or "user"', 5: "journalUser must be a non-empty string or integer UID",
+                 6: "journal is required when journalScope is set", 7: "journalUser is required when journalScope is user",
+                 8: "journalUser requires journalScope to be user", 9: "metrics must be a non-empty string"}
+
+
+@register("registry_all_rules", "with k as (select c_custkey as k from customer)\n" + "\nunion all ".join(
+    [f"select cast(k as integer) as service_idx, '{rule}' as rule from k where k % 11 = {n}" for n, rule in _BROKEN_RULES.items()]
+    + ["select cast(k as integer), 'journalUser is required when journalScope is user' from k where k % 11 = 5",
+       "select cast(k as integer), 'duplicate service name' from k where k % 11 = 10 and k > (select min(k) from k where k % 11 = 10)"]))
+def q_registry_all_rules(spark, d):
+    """A registry document that breaks all ten rules, written as JSON to the shared folder and read back."""
+    k = F.col("c_custkey")
+    m = k % 11
+    entry = FX.table(spark, d, "customer").select(
+        k.cast("int").alias("at"), F.struct(
+            F.when(m == 1, "  ").when(m == 10, "twice").otherwise(F.concat(F.lit("svc-"), k.cast("string"))).alias("name"),
+            F.when(m == 2, F.array(F.lit("/var/log/a.log"), F.lit(" "))).alias("logs"),
+            F.when(m == 3, " ").when(m.isin(4, 5, 7, 8), "unit.service").alias("journal"),
+            F.when(m == 4, "root").when(m.isin(5, 7), "user").when(m == 6, "system").alias("journalScope"),
+            F.when(m == 5, " ").when(m == 8, "1000").alias("journalUser"),
+            F.when(m == 9, "").alias("metrics")).alias("e"))
+    # a registry is one document of configuration size
+    path = shared_dir(spark, "registry")
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x["e"])
+    entry.agg(F.to_json(entries).alias("value")).write.text(path)
+    first = entry.agg(F.min("at")).scalar()  # entries are numbered from 0 in the document
+    found = INV.registry_violations(read_services(spark, path))
+    return found.select((F.col("service_idx") + first).cast("int").alias("service_idx"), "rule")
+
+
+@register("scrape_outcomes", f"""with f6 as ({O.F6})
+select namespace, http_status, error_kind, count(*) as n_pods, cast(sum(length(body)) as bigint) as body_chars
+from f6 group by namespace, http_status, error_kind""")
+def q_scrape_outcomes(spark, d):
+    """Scrape outcomes written as JSON lines to the shared folder and read back."""
+    path = shared_dir(spark, "scrapes")
+    FX.scrapes(spark, d).write.json(path)
+    got = read_scrapes(spark, path, fmt="json")
+    return got.groupBy("namespace", "http_status", "error_kind").agg(
+        F.count(F.lit(1)).alias("n_pods"), F.sum(F.length("body")).alias("body_chars"))

@@ -98,6 +98,7 @@ def service_bundle_request(spark: SparkSession, registry: DataFrame, lines: Data
         names = [n.strip() for n in names if isinstance(n, str) and n.strip()]
         if not names:
             raise ArgumentError("target.services must be a non-empty list")
+    INV.assert_registry_valid(registry)
     principal.require([c for c, on in (("logs", include_logs), ("metrics", include_metrics)) if on])
     targets = (registry.select("name") if names is None
                else spark.createDataFrame([(n,) for n in names], "name string"))
@@ -106,12 +107,16 @@ def service_bundle_request(spark: SparkSession, registry: DataFrame, lines: Data
         INV.assert_services_known(spark, registry, names)
     selected = INV.select_services(registry, names)
     sources = INV.expand_sources(selected).withColumn("source", F.coalesce("file", "journal"))
-    keys = ("service", "source")
+    # a source is its position: a file named twice is read twice
+    keys = ("service", "source_pos")
     logs = None
     if include_logs:
         assert_window_has_journal(sources, params.window)
+        place = sources.select("service", "source", "source_pos", "is_journal")
+        lines = lines.drop("is_journal", "source_pos").join(place, ["service", "source"])
         bad_users = journal_user_errors(sources, list(keys))
-        errs = bad_users if errors is None else errors.select(*keys, "code", "stderr", "message").unionByName(bad_users)
+        errs = bad_users if errors is None else errors.select("service", "source", "code", "stderr", "message").join(
+            place, ["service", "source"]).select(*keys, "code", "stderr", "message").unionByName(bad_users)
         logs = collect_service_logs(lines, sources, errs, params, keys=keys, order_col=order_col,
                                     source_order=("service_idx", "source_pos"), chunk_col=chunk_col,
                                     entry_time_col=entry_time_col)
@@ -124,15 +129,21 @@ def pod_bundle_request(spark: SparkSession, pods: DataFrame, container_logs: Dat
                        events: DataFrame | None, scrapes: DataFrame | None, params: ContainerLogParams,
                        principal: Principal, namespace: str = "*", selector: str | None = None,
                        requested: DataFrame | None = None, max_pods: int = MAX_PODS,
-                       max_metrics_pods: int = MAX_METRICS_PODS, bundle_id: str = "bundle", created_at: str = "") -> DataFrame:
+                       max_metrics_pods: int = MAX_METRICS_PODS, bundle_id: str = "bundle", created_at: str = "",
+                       log_errors: DataFrame | None = None) -> DataFrame:
     """B7 for one request: a selector target (namespace + selector,
-    needs the ``pods`` capability) xor explicit ``requested`` pods."""
+    needs the ``pods`` capability) xor explicit ``requested`` pods.
+    ``max_pods`` holds for both."""
     if (selector is None) == (requested is None):
         raise ArgumentError("target must be either a selector or a list of pods")
     caps = [c for c, on in (("logs", container_logs is not None), ("events", events is not None),
                             ("metrics", scrapes is not None)) if on]
     if selector is not None:
         caps.append("pods")
+    else:
+        n_requested = requested.count()  # the caller's own list
+        if n_requested > max_pods:
+            raise ArgumentError(f"target.pods exceeds maxPods ({n_requested} > {max_pods})")
     principal.require(caps)
     if selector is not None:
         _require_scope(spark, principal, spark.createDataFrame([(namespace,)], "namespace string"),
@@ -140,8 +151,8 @@ def pod_bundle_request(spark: SparkSession, pods: DataFrame, container_logs: Dat
     else:
         _require_scope(spark, principal, requested.select("namespace"), "allowed_namespaces")
     return pod_bundle(spark, pods, container_logs, events, scrapes, params, bundle_id, created_at,
-                      namespace=namespace, selector=selector, max_pods=max_pods if selector is not None else None,
-                      max_metrics_pods=max_metrics_pods, requested=requested)
+                      namespace=namespace, selector=selector, max_pods=max_pods,
+                      max_metrics_pods=max_metrics_pods, requested=requested, log_errors=log_errors)
 
 
 def discover_pods_request(spark: SparkSession, pods: DataFrame, principal: Principal, namespace: str = "*",
@@ -158,6 +169,7 @@ def discover_pods_request(spark: SparkSession, pods: DataFrame, principal: Princ
 def discover_services_request(spark: SparkSession, registry: DataFrame, principal: Principal) -> DataFrame:
     """Service listing: admins see every full definition, others the
     names their service globs allow (no capability needed)."""
+    INV.assert_registry_valid(registry)
     if principal.admin:
         return INV.describe_services(registry, admin=True)
     allowed = A.allowed_pairs(principal.frame(spark), "allowed_services", registry.select("name"), "name")

@@ -106,20 +106,16 @@ def bundle_text(flat: DataFrame) -> DataFrame:
     return flat.withColumn("_body", body).select(*[n for n, _ in SORT_COLUMNS], line.alias("value"))
 
 
-def write_bundle(flat: DataFrame, path: str, single_file: bool = False) -> None:
+def write_bundle(flat: DataFrame, path: str) -> None:
     """Gzip NDJSON in bundle order.
 
     The global sort range-partitions rows by the section key; part files
-    are then in key order, each written by its own task.  With
-    ``single_file`` the sorted partitions are concatenated by one final
-    writer task (the sort itself stays parallel) to produce the
-    reference's single ``.ndjson.gz`` artifact.
+    are then in key order, each written by its own task.  Gzip members may
+    follow one another, so ``cat part-*`` gives the single ``.ndjson.gz`` file.
     """
     txt = bundle_text(flat)
     ordered = txt.orderBy(F.col("section").asc(), F.col("k1").asc_nulls_first(), F.col("k2").asc_nulls_first(),
                           F.col("k3").asc_nulls_first()).select("value")
-    if single_file:
-        ordered = ordered.coalesce(1)
     ordered.write.mode("errorifexists").option("compression", "gzip").text(path)
 
 

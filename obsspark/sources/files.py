@@ -8,6 +8,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: rows after which a task counts on to the next block
+BLOCK_ROWS = 50_000
+
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):/+"
 
 
@@ -19,13 +22,16 @@ def read_log_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     byte offset of the file split a line came from and ``row`` the
     line's position inside its task, so ``(block, row)`` is the
     physical order inside a file and ``block`` is the natural chunk for
-    the two-phase window operators (gzip files do not split: one
-    block).
+    the two-phase window operators.  A split counts one block further after
+    every BLOCK_ROWS rows of its task, so that a gzip file, which Spark does
+    not split, is no single chunk; a line takes a byte at least, so blocks
+    never reach the next split's offset.
     """
     df = spark.read.option("lineSep", "\n").option("wholetext", "false").text(list(paths))
     return df.select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        (F.col("_metadata.file_block_start") + F.expr(f"(monotonically_increasing_id() & {(1 << 33) - 1}) div {BLOCK_ROWS}"))
+        .alias("block"),
         F.monotonically_increasing_id().alias("row"),
         F.col("value").alias("raw"))
 
@@ -71,7 +77,8 @@ def file_source_lines(spark: SparkSession, sources: DataFrame, keys: Sequence[st
 
     ``lines``: keys + block + row + raw for every configured file that
     exists (read in one text scan, mapped back to its sources by the
-    qualified path; a file shared by several sources feeds each).
+    qualified path; a file shared by several sources feeds each, once
+    per value of ``keys`` however often a source lists it).
     ``errors``: ENOENT rows for configured files that do not exist (J4).
     Use ``order_col=["block", "row"]`` and ``chunk_col="block"`` with
     ``collect_service_logs``.
@@ -80,13 +87,13 @@ def file_source_lines(spark: SparkSession, sources: DataFrame, keys: Sequence[st
     fsrc = sources.filter(F.col(path_col).isNotNull())
     paths = [r[0] for r in fsrc.select(path_col).distinct().collect()]
     have = existing_paths(spark, paths)
-    errors = missing_file_errors(spark, fsrc, path_col).select(*keys, "code", "stderr", "message")
+    errors = missing_file_errors(spark, fsrc, path_col).select(*keys, "code", "stderr", "message").distinct()
     if not have:
         schema = ", ".join(f"{k} string" for k in keys) + ", block long, row long, raw string"
         return spark.createDataFrame([], schema), errors
     qual = spark.createDataFrame(_qualified(spark, have), f"{path_col} string, _qualified string")
     raw = read_log_files(spark, have).withColumn("_qualified", F.regexp_replace("file", _SCHEME, "$1:/")).drop("file")
     lines = (raw.join(qual, "_qualified", "inner")
-             .join(fsrc.select(*keys, path_col), path_col, "inner")
+             .join(fsrc.select(*keys, path_col).distinct(), path_col, "inner")
              .select(*keys, "block", "row", "raw"))
     return lines, errors

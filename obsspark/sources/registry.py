@@ -4,33 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 from obsspark.functions.text import ws_trim
 
-SERVICE = T.StructType([
-    T.StructField("name", T.StringType()), T.StructField("logs", T.ArrayType(T.StringType())),
-    T.StructField("journal", T.StringType()), T.StructField("journalScope", T.StringType()),
-    T.StructField("journalUser", T.StringType()), T.StructField("metrics", T.StringType()),
-])
+def _is_text(v):
+    return F.schema_of_variant(v) == "STRING"
+
+
+def _text(v):
+    """The trimmed text of a JSON string; a value of another type reads as '', which no rule accepts."""
+    absent = v.isNull() | (F.schema_of_variant(v) == "VOID")
+    return F.when(absent, F.lit(None).cast("string")).when(_is_text(v), ws_trim(F.try_variant_get(v, "$", "string"))).otherwise("")
 
 
 def read_services(spark: SparkSession, path: str) -> DataFrame:
     """Registry entries in file order (``service_idx``), fields trimmed.
 
-    The document is one JSON array: read as whole text, parsed with an
-    explicit schema and ``posexplode``d, so positions are the array
-    positions.  Numeric ``journalUser`` values read as their text.
-    A document that is not JSON of this shape raises; validate with
-    ``inventory.registry_violations`` before use.
+    The document is one JSON array: read as whole text and ``posexplode``d, so
+    positions are the array positions.  A document that is not a JSON array raises.
+    A value of a wrong type reads as one that breaks the rule of its field (a name or
+    log path as null, other fields as ''), so ``inventory.assert_registry_valid``
+    rejects it; whole numbers >= 0 in ``journalUser`` read as their text.
     """
     doc = spark.read.text(path, wholetext=True)
-    entries = doc.select(F.posexplode(F.from_json(F.col("value"), T.ArrayType(SERVICE), {"mode": "FAILFAST"})).alias("service_idx", "s"))
-    return entries.select(
+    entries = doc.select(F.posexplode(F.variant_get(F.parse_json("value"), "$", "array<variant>")).alias("service_idx", "s"))
+
+    def at(field: str):
+        return F.try_variant_get("s", f"$.{field}", "variant")
+
+    fields = entries.select("service_idx", *[at(f).alias(f) for f in ("name", "logs", "journal", "journalScope", "journalUser", "metrics")])
+    logs, user = F.col("logs"), F.col("journalUser")
+    paths = F.transform(F.try_variant_get(logs, "$", "array<variant>"),
+                        lambda x: F.when(_is_text(x), ws_trim(F.try_variant_get(x, "$", "string"))))
+    number = F.try_variant_get(user, "$", "decimal(38,6)")
+    uid = F.when((number >= 0) & (number == F.floor(number)), F.floor(number).cast("string")).otherwise("")
+    is_number = F.schema_of_variant(user).rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    return fields.select(
         F.col("service_idx").cast("int").alias("service_idx"),
-        ws_trim(F.col("s.name")).alias("name"),
-        F.transform(F.col("s.logs"), lambda p: ws_trim(p)).alias("logs"),
-        ws_trim(F.col("s.journal")).alias("journal"),
-        ws_trim(F.col("s.journalScope")).alias("journal_scope"),
-        ws_trim(F.col("s.journalUser")).alias("journal_user"),
-        ws_trim(F.col("s.metrics")).alias("metrics"))
+        F.when(_is_text(F.col("name")), ws_trim(F.try_variant_get("name", "$", "string"))).alias("name"),
+        F.when(logs.isNotNull() & (F.schema_of_variant(logs) != "VOID"),
+               F.coalesce(paths, F.array(F.lit(None).cast("string")))).alias("logs"),
+        _text(F.col("journal")).alias("journal"),
+        _text(F.col("journalScope")).alias("journal_scope"),
+        F.when(is_number, uid).otherwise(_text(user)).alias("journal_user"),
+        _text(F.col("metrics")).alias("metrics"))

@@ -70,3 +70,30 @@ def test_capability_check(spark):
     caps = spark.createDataFrame([("a", "logs"), ("a", "pods"), ("b", "logs")], "sub string, capability string")
     got = {r.sub: r.capable for r in A.capability_check(pr, caps, ["logs", "pods"]).collect()}
     assert got == {"a": True, "b": False, "c": True}
+
+
+def test_allowed_pairs_match_brute_force(spark):
+    rnd = random.Random(11)
+    letters = "ab-_%"
+    names = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 7))) for _ in range(60)})
+    patterns = ["*", "**", "a*", "*b", "*a-b*", "*a*", "a*b", "*-*_*", "ab", "*aba*", ""]
+    patterns += ["".join(rnd.choice(letters + "**") for _ in range(rnd.randint(1, 5))) for _ in range(40)]
+    people = [(f"p{i}", False, rnd.sample(patterns, 2) + [None]) for i in range(40)] + [
+        ("root", True, []), ("nobody", False, []), ("unset", None, None)]
+    pr = spark.createDataFrame(people, "sub string, admin boolean, pats array<string>")
+    nf = spark.createDataFrame([(n,) for n in [*names, *names[:5], None]], "name string")
+    got = [(r.sub, r.name) for r in A.allowed_pairs(pr, "pats", nf, "name").collect()]
+    want = {(sub, n) for sub, admin, pats in people for n in names
+            if admin or any(p is not None and _glob_ref(p, n) for p in pats or [])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_record_visibility_of_everyone_and_scoped(spark):
+    pr = spark.createDataFrame([("root", True, None), ("all", False, ["*"]), ("some", False, ["*-1"]), ("none", False, ["x"])],
+                               "sub string, admin boolean, allowed_namespaces array<string>")
+    caps = spark.createDataFrame([("all", "logs"), ("some", "logs"), ("some", "events"), ("none", "logs")],
+                                 "sub string, capability string")
+    rec = spark.createDataFrame([("log", "ns-1"), ("log", "ns-2"), ("log", None), ("event", "ns-1"), ("event", "ns-1"), ("meta", None)],
+                                "type string, namespace string")
+    got = {(r.sub, r.type): r.n_records for r in A.record_visibility(pr, caps, rec).collect()}
+    assert got == {("root", "log"): 3, ("root", "event"): 2, ("all", "log"): 2, ("some", "log"): 1, ("some", "event"): 2}

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsspark.operators.checks import DataCheckError
-from obsspark.params import ContainerLogParams, ServiceLogParams, TimeWindow
+from obsspark.params import ArgumentError, ContainerLogParams, ServiceLogParams, TimeWindow
 from obsspark.plans.requests import Forbidden, Principal, pod_bundle_request, service_bundle_request
+from tests.bundle_files import bundle_text
 
 REG = "service_idx int, name string, logs array<string>, journal string, journal_scope string, " \
       "journal_user string, metrics string"
@@ -141,9 +142,8 @@ def test_pod_bundle_json_records(spark, tmpdir_fresh):
     b = pod_bundle_request(spark, pods, logs, events, scrapes, params, Principal(admin=True), namespace="ns-1",
                            selector="app=web", bundle_id="b-7", created_at="2024-01-31T00:05:00.000Z")
     out = os.path.join(tmpdir_fresh, "pb")
-    write_bundle(b, out, single_file=True)
-    with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt") as f:
-        recs = [json.loads(x) for x in f.read().splitlines()]
+    write_bundle(b, out)
+    recs = [json.loads(x) for x in bundle_text(out).splitlines()]
     now = "2024-01-31T00:05:00.000Z"
     assert recs[0]["type"] == "meta" and recs[0]["bundleId"] == "b-7" and recs[0]["params"]["kind"] == "pods"
     assert recs[1:] == [
@@ -175,9 +175,8 @@ def test_service_bundle_json_records(spark, tmpdir_fresh):
     b = service_bundle_request(spark, reg, lines, None, None, params, Principal(admin=True), names=["api", "worker"],
                                include_metrics=False, bundle_id="s-1", created_at="c")
     out = os.path.join(tmpdir_fresh, "sb")
-    write_bundle(b, out, single_file=True)
-    with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt") as f:
-        recs = [json.loads(x) for x in f.read().splitlines()]
+    write_bundle(b, out)
+    recs = [json.loads(x) for x in bundle_text(out).splitlines()]
     now = "2024-01-31T00:00:00.000Z"
     assert [r["type"] for r in recs] == ["meta", "log_error", "log", "log", "log_summary"]
     assert recs[1] == {"type": "log_error", "service": "worker", "journal": "worker.service", "journalScope": "user",
@@ -214,9 +213,8 @@ def test_jobs_cli_service_bundle(spark, tmpdir_fresh):
     _lines(spark).filter("service = 'api'").write.parquet(lines)
     out = os.path.join(tmpdir_fresh, "bundle")
     run(["service-bundle", "--registry", reg, "--lines", lines, "--out", out, "--now-ms", "1706659200000",
-         "--single-file", "--include", "journal"], spark=spark)
-    with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt") as f:
-        recs = [json.loads(x) for x in f.read().splitlines()]
+         "--include", "journal"], spark=spark)
+    recs = [json.loads(x) for x in bundle_text(out).splitlines()]
     assert [r["type"] for r in recs] == ["meta", "log", "log_summary"]
     assert recs[1]["line"] == "journal line" and recs[2]["matchedLogRecords"] == 1
 
@@ -238,10 +236,9 @@ def test_jobs_cli_pod_bundle(spark, tmpdir_fresh):
                           ).write.parquet(logs)
     out = os.path.join(tmpdir_fresh, "bundle")
     run(["pod-bundle", "--pods", pods, "--container-logs", logs, "--selector", "app=web", "--namespace", "prod",
-         "--since", "3600", "--now-ms", "1706659200000", "--single-file", "--out", out,
+         "--since", "3600", "--now-ms", "1706659200000", "--out", out,
          "--claims", json.dumps({"capabilities": ["logs", "pods"], "allowedNamespaces": ["prod"]})], spark=spark)
-    with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt") as f:
-        recs = [json.loads(x) for x in f.read().splitlines()]
+    recs = [json.loads(x) for x in bundle_text(out).splitlines()]
     assert [(r["type"], r.get("line")) for r in recs] == [("meta", None), ("log", "ok")]
 
 
@@ -299,9 +296,8 @@ def test_jobs_cli_files_and_journal(spark, tmpdir_fresh):
                           ).write.parquet(jt)
     out = os.path.join(tmpdir_fresh, "bundle")
     run(["service-bundle", "--registry", reg, "--read-files", "--journal", jt, "--out", out,
-         "--now-ms", "1706659200000", "--single-file"], spark=spark)
-    with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt") as f:
-        recs = [json.loads(x) for x in f.read().splitlines()]
+         "--now-ms", "1706659200000"], spark=spark)
+    recs = [json.loads(x) for x in bundle_text(out).splitlines()]
     assert [(r["type"], r.get("line"), r.get("reason")) for r in recs] == [
         ("meta", None, None), ("log", None, "file_not_found"), ("log", "file line", None),
         ("log", "journal line", None), ("log_summary", None, None)]
@@ -326,3 +322,65 @@ def test_jobs_cli_listings(spark, tmpdir_fresh):
     run(["services", "--registry", reg, "--claims", json.dumps({"allowedServices": ["a*"]}), "--out", out2],
         spark=spark)
     assert [r.name for r in spark.read.json(out2).collect()] == ["api"]
+
+
+def test_file_listed_twice_is_read_once_per_place(spark):
+    reg = spark.createDataFrame([(0, "api", ["/a.log", "/a.log"], None, None, None, None)], REG)
+    lines = spark.createDataFrame([("api", "/a.log", i, t) for i, t in enumerate("abc")],
+                                  "service string, source string, seq long, raw string")
+    b = service_bundle_request(spark, reg, lines, None, None, ServiceLogParams(now_ms=1_706_659_200_000, tail_lines=2),
+                               Principal(admin=True), include_metrics=False)
+    assert sorted(r.line for r in b.filter("type = 'log'").collect()) == ["b", "b", "c", "c"]
+    (summary,) = b.filter("type = 'log_summary'").collect()
+    assert [(s.raw_log_records, s.returned_log_records) for s in summary.sources] == [(2, 2), (2, 2)]
+
+
+def test_invalid_registry_fails_the_request(spark):
+    reg = spark.createDataFrame([(0, "api", [" "], None, None, None, None)], REG)
+    with pytest.raises(DataCheckError, match="logs items"):
+        service_bundle_request(spark, reg, reg, None, None, ServiceLogParams(now_ms=0), Principal(admin=True))
+
+
+_EVENT = ("event_id long, namespace string, last_timestamp string, event_time string, creation_timestamp string, "
+          "reason string, message string, obj_kind string, obj_name string, obj_uid string")
+
+
+def _listed_pods(spark, *uids):
+    from obsspark.sources.kube import POD
+    pods = [({"namespace": "n", "name": "p", "uid": u, "labels": {"app": "web"}}, {"containers": [{"name": "main"}]}, {}) for u in uids]
+    df = spark.createDataFrame(pods, POD)
+    return df.withColumn("page", F.lit("f")).withColumn("item", F.when(F.col("metadata.uid") == uids[-1], 1).otherwise(0))
+
+
+def test_events_of_a_replaced_pod_are_dropped(spark):
+    events = spark.createDataFrame([
+        (1, "n", "2024-01-31T00:00:02Z", None, None, "a", "", "Pod", "p", "old"),
+        (2, "n", "2024-01-31T00:00:02Z", None, None, "b", "", "Pod", "p", "new")], _EVENT)
+    params = ContainerLogParams(now_ms=1_706_659_500_000, tail_lines=10)
+    b = pod_bundle_request(spark, _listed_pods(spark, "old", "new"), None, events, None, params, Principal(admin=True),
+                           namespace="n", selector="app=web")
+    assert [r.reason for r in b.filter("type = 'event'").collect()] == ["b"]
+
+
+def test_failed_log_reads_skip_or_fail_the_bundle(spark):
+    pods = _listed_pods(spark, "u")
+    logs = spark.createDataFrame([("n", "p", "main", False, 0, "2024-01-31T00:00:00Z hello")],
+                                 "namespace string, pod string, container string, previous boolean, pos long, raw string")
+    params = ContainerLogParams(now_ms=1_706_659_500_000, tail_lines=10, previous=True)
+    schema = "namespace string, pod string, container string, previous boolean, status int, message string"
+
+    def bundle(*errors):
+        return pod_bundle_request(spark, pods, logs, None, None, params, Principal(admin=True), namespace="n",
+                                  selector="app=web", log_errors=spark.createDataFrame(list(errors), schema))
+
+    b = bundle(("n", "p", "main", True, 404, None), ("n", "other", "main", False, 500, "not selected"))
+    assert [(r.previous, r.reason) for r in b.filter("type = 'log' and skipped").collect()] == [(True, "no_previous_container")]
+    with pytest.raises(DataCheckError, match="log fetch failed for n/p"):
+        bundle(("n", "p", "main", False, 404, "boom"))
+
+
+def test_max_pods_holds_for_listed_pods(spark):
+    requested = spark.createDataFrame([("n", "p"), ("n", "q")], "namespace string, pod string")
+    with pytest.raises(ArgumentError, match="maxPods"):
+        pod_bundle_request(spark, _listed_pods(spark, "u"), None, None, None, ContainerLogParams(now_ms=0), Principal(admin=True),
+                           requested=requested, max_pods=1)

@@ -12,7 +12,10 @@ from obsspark.sources.bundle import conform, read_bundle, write_bundle
 from obsspark.sources.files import existing_paths, file_source_lines, read_log_files
 from obsspark.sources.kube import read_container_logs, read_events, read_pods
 from obsspark.sources.registry import read_services
+from obsspark.operators.checks import DataCheckError
+from obsspark.operators.inventory import assert_registry_valid, registry_violations
 from obsspark.streaming import parsed_line_stream, write_line_stream
+from tests.bundle_files import bundle_text
 
 
 def test_read_log_files_splits_on_newline_only(spark, tmpdir_fresh):
@@ -92,11 +95,8 @@ def test_bundle_roundtrip_json_shape(spark, tmpdir_fresh):
     flat = conform(rows.withColumn("involved_kind", F.when(F.col("type") == "event", F.lit("Pod")))
                    .withColumn("involved_name", F.when(F.col("type") == "event", F.lit("p"))))
     out = os.path.join(tmpdir_fresh, "bundle")
-    write_bundle(flat, out, single_file=True)
-    parts = sorted(glob.glob(os.path.join(out, "part-*.gz")))
-    assert len(parts) == 1
-    with gzip.open(parts[0], "rt") as f:
-        recs = [json.loads(x) for x in f.read().splitlines()]
+    write_bundle(flat, out)
+    recs = [json.loads(x) for x in bundle_text(out).splitlines()]
     assert recs[0] == {"type": "meta", "bundleId": "b1", "params": {"k": [1, 2]}}
     assert recs[1] == {"type": "log", "service": "svc", "line": "no ts"}
     assert recs[2] == {"type": "log", "service": "svc", "journal": "unit", "journalScope": "user",
@@ -242,9 +242,35 @@ def test_bundle_escapes_awkward_text(spark, tmpdir_fresh):
                                          "section int, k1 long, k2 string, k3 long, type string, service string, "
                                          "line string"))
     out = os.path.join(tmpdir_fresh, "esc")
-    write_bundle(flat, out, single_file=True)
-    with gzip.open(glob.glob(os.path.join(out, "part-*.gz"))[0], "rt", encoding="utf-8") as f:
-        text = f.read()
+    write_bundle(flat, out)
+    text = bundle_text(out)
     assert len(text.rstrip("\n").split("\n")) == 1
     assert json.loads(text)["line"] == awkward
     assert read_bundle(spark, out).first().line == awkward
+
+
+def test_registry_values_of_wrong_types_break_their_rules(spark, tmpdir_fresh):
+    p = os.path.join(tmpdir_fresh, "reg.json")
+    entries = [{"name": "fine", "logs": ["/a.log"], "journal": "u", "journalScope": "user", "journalUser": 1000},
+               {"name": 7}, {"name": "b", "logs": [5]}, {"name": "c", "logs": "x"}, {"name": "d", "journal": {"a": 1}},
+               {"name": "e", "journal": "u", "journalScope": 3}, {"name": "f", "journalUser": 1.5}, {"name": "g", "metrics": [1]},
+               {"name": "h", "logs": None, "journal": None, "metrics": None}, 5]
+    with open(p, "w") as f:
+        json.dump(entries, f)
+    reg = read_services(spark, p)
+    assert reg.filter("service_idx = 0").first().journal_user == "1000"
+    got = {(r.service_idx, r.rule.split()[0]) for r in registry_violations(reg).collect()}
+    assert got == {(1, "name"), (2, "logs"), (3, "logs"), (4, "journal"), (5, "journalScope"), (6, "journalUser"),
+                   (7, "metrics"), (9, "name")}
+    with pytest.raises(DataCheckError, match="name is required"):
+        assert_registry_valid(reg)
+
+
+def test_gzip_lines_count_on_to_further_blocks(spark, tmpdir_fresh):
+    p = os.path.join(tmpdir_fresh, "big.log.gz")
+    with gzip.open(p, "wt") as f:
+        f.writelines(f"{i}\n" for i in range(120_000))
+    df = read_log_files(spark, [p])
+    assert sorted(r.block for r in df.select("block").distinct().collect()) == [0, 1, 2]
+    last = df.orderBy("block", "row").select("raw").tail(2)
+    assert [r.raw for r in last] == ["119998", "119999"]
