@@ -60,8 +60,17 @@ class ServiceLogs:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """Every delivered line with ts/line/sort_ms/rank_ms/matched."""
-        return self._keep(self._got)
+        """Every delivered line with its place, ts/line/rank_ms and matched.
+
+        What is kept is narrow: lines that do not match only count, so their
+        text is left out, and so are columns that no consumer reads."""
+        if not self.materialize:
+            return self._got
+        places = dict.fromkeys([*self.keys, *self.source_order, *self.order, "is_journal"])
+        m = F.col("matched")
+        return self._keep(self._got.select(
+            *[c for c in places if c in self._got.columns], "rank_ms", "matched",
+            F.when(m, F.col("ts")).alias("ts"), F.when(m, F.col("line")).alias("line")))
 
     @cached_property
     def selected(self) -> DataFrame:
@@ -71,7 +80,7 @@ class ServiceLogs:
         if extra:
             ranked = ranked.join(self._sources.select(*self.keys, *extra), self.keys, "inner")
         tiebreak = [*self.source_order, *self.order]
-        return newest_lines(ranked, self.params.max_total_log_lines, "rank_ms", tiebreak)
+        return self._keep(newest_lines(ranked, self.params.max_total_log_lines, "rank_ms", tiebreak))
 
     @cached_property
     def failed(self) -> DataFrame | None:
@@ -87,16 +96,16 @@ class ServiceLogs:
 
     @cached_property
     def diagnostics(self) -> DataFrame:
-        """Side records: failed sources, then empty user journals."""
+        """Side records: failed sources, then user journals without a line (no top-K involved)."""
         keys = self.keys
-        j = F.col("is_journal")
-        summary = self.summary
-        not_failed = F.col("skipped").isNull() if "skipped" in summary.columns else F.lit(True)
-        empty_user = (summary.filter(j & (F.coalesce(F.col("journal_scope"), F.lit("system")) == "user")
-                                     & (F.col("raw_log_records") == 0) & not_failed)
-                      .select(*keys, F.lit("log").alias("type"), F.lit(NO_ENTRIES_TS).alias("ts"),
-                              F.lit(NO_ENTRIES_LINE).alias("line"), F.lit(None).cast("boolean").alias("skipped"),
-                              F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("error")))
+        user = F.col("is_journal") & (F.coalesce(F.col("journal_scope"), F.lit("system")) == "user")
+        silent = self._sources.filter(user).join(self.lines.select(*keys).distinct(), keys, "left_anti")
+        if self.failed is not None:
+            silent = silent.join(self.failed.select(*keys), keys, "left_anti")
+        empty_user = silent.select(
+            *keys, F.lit("log").alias("type"), F.lit(NO_ENTRIES_TS).alias("ts"), F.lit(NO_ENTRIES_LINE).alias("line"),
+            F.lit(None).cast("boolean").alias("skipped"), F.lit(None).cast("string").alias("reason"),
+            F.lit(None).cast("string").alias("error"))
         if self.failed is None:
             return empty_user
         now_iso = F.date_format(F.timestamp_millis(F.lit(self.params.now_ms)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
