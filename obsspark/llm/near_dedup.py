@@ -7,17 +7,23 @@
    BASE minima of a key are a region.  A region with more than REGION classes
    is taken one minimum deeper, on and on (adaptive depth); one that is still too large at
    full depth, where its members are near copies of each other, is dealt into parts that
-   all hold its first member.
+   all hold its first member.  That finds most links of such regions, not all; step 4 does.
 3. Within regions, neighbours are compared by their whole signatures.  Sure pairs are
    thinned to a spanning forest and confirmed on full sets; confirmed links give
    components.  Then all pairs of different components with an estimate of
    LEAST or more are confirmed on full sets inside the region (a pair that shares several
    regions in that of the first tree), so that no link is lost that would join two
    components, and pairs within a large group are never listed.
-4. Components over the confirmed links; the smallest doc_id is the component's.
+4. Classes of regions that were too large at BASE minima are joined once more, exactly:
+   two sets that link share a shingle among the first quarter of each, in one order of
+   all shingles, common ones last.  Classes of different components that share such a
+   shingle, and whose sets can still overlap enough from there on, are confirmed on full
+   sets.  A shingle of many classes is dealt into pairs of blocks of at most BLOCK.
+5. Components over the confirmed links; the smallest doc_id is the component's.
 
 A pair of similarity 0.75 shares a region of BASE minima in some tree with a
-probability of 1 - 2e-6, and an estimate below LEAST has one of 1e-4.
+probability of 1 - 2e-6, and an estimate below LEAST has one of 1e-4; where all its
+regions are too large, step 4 finds it for sure.
 
 Defined cases: null text, empty text and text without words have no shingles and are
 linked with nothing; equal rows are one class; a null doc_id is never a
@@ -28,13 +34,14 @@ empty result; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsspark.llm.common import map_arrow, maybe_in, membership_filter, scratch, stored, utf8
+from obsspark.llm.common import map_arrow, maybe_in, membership_filter, scratch, small_join, stored, utf8
 from obsspark.llm.graph import components
 from obsspark.llm.lsh_forest import DEPTH, TREES, exact_links, fingerprints, signatures, similar_pairs, spanning_forest
 from obsspark.llm.shingles import shingle_sets
@@ -47,6 +54,8 @@ BASE, REGION = 2, 2048
 SURE, LEAST = 0.8, 0.6
 #: trees whose sure pairs are confirmed first
 FIRST_TREES = 4
+#: classes that share a shingle and are compared at once; shingles that are put last as common, at most
+BLOCK, COMMON = 1024, 100_000
 
 _ID = ["rid", "doc_id", "dk"]
 
@@ -90,8 +99,9 @@ def region_key(depth: int) -> Column:
     return F.xxhash64("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * depth})"))
 
 
-def regions(reps: DataFrame, region: int = REGION) -> DataFrame:
-    """(cid, tree, key) of the classes that share a region with another one."""
+def regions(reps: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame | None]:
+    """(cid, tree, key) of the classes that share a region with another one; the cids of regions too large at BASE."""
+    crowded = None
     keyed = reps.select("cid", F.explode(F.array(*[F.struct(
         F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("sig", t * 4 * DEPTH + 1, 4 * BASE)).alias("key"))
         for t in range(TREES)])).alias("x")).select("cid", "x.tree", "x.key")
@@ -105,6 +115,8 @@ def regions(reps: DataFrame, region: int = REGION) -> DataFrame:
         if large.isEmpty():
             break
         members = stored(members.filter(F.col("m") > region), "near-large")
+        if crowded is None:
+            crowded = stored(members.select("cid").distinct(), "near-crowded")
         if depth < DEPTH:
             keyed = (members.select("cid", "tree").join(reps.select(F.col("cid").alias("c"), "sig"), F.col("cid") == F.col("c"))
                      .select("cid", "tree", region_key(depth + 1).alias("key")))
@@ -116,7 +128,7 @@ def regions(reps: DataFrame, region: int = REGION) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return stored(out, "near-members")
+    return stored(out, "near-members"), crowded
 
 
 def region_rows(members: DataFrame, reps: DataFrame) -> DataFrame:
@@ -230,17 +242,124 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(wanted.join(sets, F.col("w") == F.col("dk")).select("cid", "hashes").dropDuplicates(["cid"]), "near-sets")
 
 
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _parts(batch):
+            shingle, count = np.unique(np.frombuffer(b"".join(part.column(0).to_pylist()), dtype=np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(count)], names=["shingle", "m"])
+
+
+def _prefixes(common: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, cid, comp, n, left): the first shingles of each set by the order of step 4; ``left`` come from there on."""
+    at = np.argsort(common)
+    ordered = common[at]
+    for batch in batches:
+        for part in _parts(batch):
+            cids, comps = (part.column(c).to_numpy() for c in ("cid", "comp"))
+            shingles, row, n, left = [], [], [], []
+            for k, raw in enumerate(part.column("hashes").to_pylist()):
+                own = np.frombuffer(raw, dtype=np.int64)
+                place = np.zeros(len(own), dtype=np.int64)  # 0 for all that are not common
+                if len(ordered):
+                    found = np.minimum(np.searchsorted(ordered, own), len(ordered) - 1)
+                    place = np.where(ordered[found] == own, at[found] + 1, 0)
+                first = len(own) + 1 + (-PERCENT * len(own)) // 100  # one more than a linked set can lack
+                shingles.append(own[np.lexsort((own, place))[:first]])
+                row.append(np.full(first, k))
+                n.append(np.full(first, len(own)))
+                left.append(len(own) - np.arange(first))
+            row = np.concatenate(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(shingles)), pa.array(cids[row]), pa.array(comps[row]), pa.array(np.concatenate(n)),
+                 pa.array(np.concatenate(left))], names=["shingle", "cid", "comp", "n", "left"])
+
+
+def _prefix_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of different components that share the key's shingle and may be links if it is the first they share."""
+    for table in _whole_regions(batches):
+        key, cid, comp, n, left, block = (_numbers(table, c) for c in ("key", "cid", "comp", "n", "left", "block"))
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        for lo, hi in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            across = block[lo:hi].min() != block[lo:hi].max()  # pairs inside a block have a key of their own
+            out_a, out_b = [], []
+            for i in range(lo, hi - 1):
+                j = np.arange(i + 1, hi)
+                # 100 * both >= PERCENT * (n + n - both), and both is at most what is left of either
+                ok = (comp[j] != comp[i]) & ((100 + PERCENT) * np.minimum(left[j], left[i]) >= PERCENT * (n[j] + n[i]))
+                if across:
+                    ok &= block[j] != block[i]
+                out_b.append(cid[j[ok]])
+                out_a.append(np.full(len(out_b[-1]), cid[i]))
+            if not out_a:
+                continue
+            a, b = np.concatenate(out_a), np.concatenate(out_b)
+            for x in range(0, len(a), 1 << 16):
+                u, v = a[x:x + (1 << 16)], b[x:x + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+
+def _blocks(heavy: DataFrame, block: int) -> DataFrame:
+    """Rows of shingles with more than ``block`` classes, each for all pairs of blocks that its block is in.
+
+    A component with more than a block has blocks of its own, the others share some; no
+    pair is made of blocks of one component.
+    """
+    per = stored(heavy.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k")), "near-heavy")
+    own = F.col("k") > block
+    plan = per.groupBy("shingle").agg(
+        F.ceil(F.sum(F.when(own, 0).otherwise(F.col("k"))) / block).alias("pool"),
+        F.collect_list(F.when(own, F.struct("comp", F.ceil(F.col("k") / block).alias("parts")))).alias("large"))
+    whose = F.flatten(F.transform("large", lambda x: F.transform(
+        F.sequence(F.lit(0).cast("long"), x["parts"] - 1), lambda i: F.struct(x["comp"].alias("owner"), i.alias("i")))))
+    shared = F.when(F.col("pool") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("pool") - 1), lambda i: F.struct(
+        F.lit(None).cast("long").alias("owner"), i.alias("i")))).otherwise(F.array().cast("array<struct<owner:bigint,i:bigint>>"))
+    plan = stored(plan.select(F.col("shingle").alias("s"), "pool", "large", F.concat(shared, whose).alias("all")), "near-blocks")
+    rows = small_join(heavy, plan, F.col("shingle") == F.col("s"), "inner", plan.count())
+    mine = F.filter("large", lambda x: x["comp"] == F.col("comp"))
+    rows = rows.withColumn("owner", F.when(F.size(mine) > 0, F.col("comp")))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("cid", F.lit("block")), F.when(F.size(mine) > 0, F.try_element_at(mine, F.lit(1))["parts"]).otherwise(F.col("pool"))))
+    rows = rows.withColumn("block", F.xxhash64("shingle", F.coalesce("owner", F.lit(0)), F.col("owner").isNull(), "i"))
+    rows = rows.withColumn("other", F.explode(F.filter("all", lambda x: F.col("owner").isNull() | ~x["owner"].eqNullSafe(F.col("owner")))))
+    other = F.xxhash64("shingle", F.coalesce(F.col("other.owner"), F.lit(0)), F.col("other.owner").isNull(), "other.i")
+    return rows.select(F.xxhash64("shingle", F.least("block", other), F.greatest("block", other)).alias("key"), "cid", "comp", "n", "left", "block")
+
+
+def crowded_pairs(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (cid, comp, hashes) of different components: all that are links, and few others."""
+    counts = map_arrow(sets.select("hashes"), _shingle_counts, "shingle long, m long").groupBy("shingle").agg(F.sum("m").alias("m"))
+    # the order only has to be the same for all; the rarer the first shingles, the fewer pairs
+    often = counts.filter("m > 2").orderBy(F.desc("m"), "shingle").limit(COMMON).collect()
+    common = np.array([r.shingle for r in reversed(often)], dtype=np.int64)
+    first = stored(map_arrow(sets.select("cid", "comp", "hashes"), partial(_prefixes, common),
+                             "shingle long, cid long, comp long, n long, left long"), "near-prefixes")
+    live = stored(first.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+                  .filter("low < high").select(F.col("shingle").alias("s"), "m"), "near-live")
+    light, heavy = live.filter(F.col("m") <= block), stored(live.filter(F.col("m") > block).select("s"), "near-common")
+    few = maybe_in(first, F.col("shingle"), membership_filter(light, "s")).filter("_maybe").join(light, F.col("shingle") == F.col("s"))
+    rows = few.select(F.col("shingle").alias("key"), "cid", "comp", "n", "left", F.lit(0).cast("long").alias("block"))
+    if not heavy.isEmpty():
+        many = small_join(first, heavy, F.col("shingle") == F.col("s"), "inner", heavy.count()).drop("s")
+        rows = rows.unionByName(_blocks(stored(many, "near-many"), block))
+    return stored(map_arrow(by_region(rows), _prefix_pairs, "a long, b long").distinct(), "near-pairs")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links by their full sets."""
+    right = sets.select(F.col("cid").alias("c2"), F.col("hashes").alias("y"))
+    left = sets.select(F.col("cid").alias("c1"), F.col("hashes").alias("x"))
+    pairs = pairs.join(right, F.col("b") == F.col("c2")).join(left, F.col("a") == F.col("c1")).select("a", "b", "x", "y")
+    return stored(map_arrow(pairs, _confirm, "a long, b long"), "near-links")
+
+
 def confirmed_links(docs: DataFrame, reps: DataFrame, region: int = REGION) -> DataFrame:
     """Links (a, b) between classes that connect all classes that any links connect."""
-    rows = stored(region_rows(regions(reps, region), reps), "near-region-rows")
+    members, crowded = regions(reps, region)
+    rows = stored(region_rows(members, reps), "near-region-rows")
     looked = stored(map_arrow(by_region(rows), _first_look, "a long, b long").distinct(), "near-first-look")
     flagged = looked.filter("b is null").select("a")
-    sets = full_sets(docs, reps.select("cid", "dk").join(flagged, F.col("cid") == F.col("a"), "left_semi"))
-    right = sets.select(F.col("cid").alias("c2"), F.col("hashes").alias("y"))
-    left = sets.select(F.col("cid").alias("c1"), F.col("hashes").alias("x"))
-    pairs = (looked.filter("b is not null").join(right, F.col("b") == F.col("c2"))
-             .join(left, F.col("a") == F.col("c1")).select("a", "b", "x", "y"))
-    links = stored(map_arrow(pairs, _confirm, "a long, b long"), "near-links")
+    wanted = flagged if crowded is None else flagged.unionByName(crowded.select(F.col("cid").alias("a"))).distinct()
+    sets = full_sets(docs, reps.select("cid", "dk").join(wanted, F.col("cid") == F.col("a"), "left_semi"))
+    links = _links(looked.filter("b is not null"), sets)
     comps = components(links)
     # pairs between components, where a region still has more than one
     live = (rows.join(flagged, F.col("cid") == F.col("a"), "left_semi")
@@ -248,7 +367,13 @@ def confirmed_links(docs: DataFrame, reps: DataFrame, region: int = REGION) -> D
             .select(*rows.columns, F.coalesce("root", "cid").alias("comp")))
     open_ = stored(map_arrow(by_region(live), _second_look, "key long, cid long, comp long"), "near-open")
     exact = open_.join(sets.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c")).select("key", "cid", "comp", "hashes")
-    return links.unionByName(map_arrow(by_region(exact), _confirm_regions, "a long, b long"))
+    links = links.unionByName(map_arrow(by_region(exact), _confirm_regions, "a long, b long"))
+    if crowded is None:
+        return links
+    links = stored(links, "near-links")
+    some = sets.join(crowded.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c"), "left_semi")
+    some = some.join(components(links), F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("comp"), "hashes")
+    return links.unionByName(_links(crowded_pairs(stored(some, "near-crowded-sets")), sets))
 
 
 def near_duplicates(docs: DataFrame, region: int = REGION) -> DataFrame:

@@ -76,6 +76,39 @@ def test_near_duplicates_against_all_pairs(spark, region):
     assert all(x.kept == (x.doc_id is None or x.doc_id == x.component_id) for x in got)
 
 
+def test_pairs_behind_a_shared_template_are_all_found(spark):
+    """A template in 5,000 documents makes regions too large; 200 pairs have a similarity of 0.75 to 0.8."""
+    template = prose(77, 80)
+    docs, want = [], {}
+    for i in range(5000):
+        twin = 4800 <= i
+        own = [f"u{i - 200 if twin else i}x{k}" for k in range(20)]
+        if twin:
+            own[-11 - i % 3:] = [f"v{i}x{k}" for k in range(11 + i % 3)]
+        docs.append((i, template + " " + " ".join(own)))
+        want[i] = i - 200 if twin else i
+    for a, b in ((4600, 4800), (4601, 4801), (4602, 4802)):
+        x, y = _shingles(docs[a][1]), _shingles(docs[b][1])
+        assert 0.75 <= len(x & y) / len(x | y) <= 0.8
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 64).collect()
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
+def test_crowded_pairs_with_common_shingles_in_blocks(spark):
+    """Blocks of two: a large component, others, and shingles that all share; every link across components is a pair."""
+    r = np.random.default_rng(3)
+    sets = [np.sort(r.choice(20, 12 + i % 5, replace=False).astype(np.int64)) for i in range(60)]
+    comp = [0 if i < 20 else i for i in range(60)]
+    table = spark.createDataFrame([(i, c, bytearray(s.tobytes())) for i, (c, s) in enumerate(zip(comp, sets, strict=True))],
+                                  "cid long, comp long, hashes binary")
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    links = {(i, j) for i in range(60) for j in range(i + 1, 60) if comp[i] != comp[j]
+             and 100 * both(i, j) >= 75 * (len(sets[i]) + len(sets[j]) - both(i, j))}
+    for block in (2, 1024):
+        got = [(x.a, x.b) for x in near_dedup.crowded_pairs(table, block).collect()]
+        assert len(got) == len(set(got)) and links and links <= set(got)
+
+
 def test_near_dropping_keeps_columns(spark):
     docs = edge_docs(spark)
     got = near_dedup.drop_near_duplicates(docs)
