@@ -35,7 +35,7 @@ from obsspark.session import ensure_session_defaults, shared_dir
 from obsspark.sources import fixtures as FX
 from obsspark.sources.bundle import read_bundle, write_bundle
 from obsspark.sources.journal import journal_with_fallback
-from obsspark.sources.registry import read_services
+from obsspark.sources.registry import parse_services
 from obsspark.sources.scrapes import read_scrapes
 
 # Fixed catalogue parameters.
@@ -1003,7 +1003,7 @@ _BROKEN_RULES = {1: "name is required", 2: "logs items must be non-empty strings
     + ["select cast(k as integer), 'journalUser is required when journalScope is user' from k where k % 11 = 5",
        "select cast(k as integer), 'duplicate service name' from k where k % 11 = 10 and k > (select min(k) from k where k % 11 = 10)"]))
 def q_registry_all_rules(spark, d):
-    """A registry document that breaks all ten rules, written as JSON to the shared folder and read back."""
+    """A registry that breaks all ten rules, written as JSON documents of bounded size to the shared folder and read back."""
     k = F.col("c_custkey")
     m = k % 11
     entry = FX.table(spark, d, "customer").select(
@@ -1014,13 +1014,18 @@ def q_registry_all_rules(spark, d):
             F.when(m == 4, "root").when(m.isin(5, 7), "user").when(m == 6, "system").alias("journalScope"),
             F.when(m == 5, " ").when(m == 8, "1000").alias("journalUser"),
             F.when(m == 9, "").alias("metrics")).alias("e"))
-    # a registry is one document of configuration size
     path = shared_dir(spark, "registry")
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x["e"])
-    entry.agg(F.to_json(entries).alias("value")).write.text(path)
-    first = entry.agg(F.min("at")).scalar()  # entries are numbered from 0 in the document
-    found = INV.registry_violations(read_services(spark, path))
-    return found.select((F.col("service_idx") + first).cast("int").alias("service_idx"), "rule")
+    _registry_documents(entry).write.parquet(path)
+    found = parse_services(spark.read.parquet(path), "ats")
+    numbered = found.withColumn("service_idx", F.element_at("ats", F.col("service_idx") + 1)).drop("ats")
+    return INV.registry_violations(numbered).select("service_idx", "rule")
+
+
+def _registry_documents(entry, size=1000):
+    """JSON arrays (value) of the entries (at, e) by runs of ``size`` numbers, with the entries' numbers (ats)."""
+    rows = F.array_sort(F.collect_list(F.struct("at", "e")))
+    docs = entry.groupBy(F.floor(F.col("at") / size).alias("run")).agg(rows.alias("rows"))
+    return docs.select(F.col("rows.at").alias("ats"), F.to_json("rows.e").alias("value"))
 
 
 @register("scrape_outcomes", f"""with f6 as ({O.F6})

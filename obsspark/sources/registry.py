@@ -25,13 +25,17 @@ def read_services(spark: SparkSession, path: str) -> DataFrame:
     log path as null, other fields as ''), so ``inventory.assert_registry_valid``
     rejects it; whole numbers >= 0 in ``journalUser`` read as their text.
     """
-    doc = spark.read.text(path, wholetext=True)
-    entries = doc.select(F.posexplode(F.variant_get(F.parse_json("value"), "$", "array<variant>")).alias("service_idx", "s"))
+    return parse_services(spark.read.text(path, wholetext=True))
+
+
+def parse_services(docs: DataFrame, *keep: str) -> DataFrame:
+    """The entries of the JSON arrays in ``value``, numbered in each; columns ``keep`` of their document are kept."""
+    entries = docs.select(*keep, F.posexplode(F.variant_get(F.parse_json("value"), "$", "array<variant>")).alias("service_idx", "s"))
 
     def at(field: str):
         return F.try_variant_get("s", f"$.{field}", "variant")
 
-    fields = entries.select("service_idx", *[at(f).alias(f) for f in ("name", "logs", "journal", "journalScope", "journalUser", "metrics")])
+    fields = entries.select(*keep, "service_idx", *[at(f).alias(f) for f in ("name", "logs", "journal", "journalScope", "journalUser", "metrics")])
     logs, user = F.col("logs"), F.col("journalUser")
     paths = F.transform(F.try_variant_get(logs, "$", "array<variant>"),
                         lambda x: F.when(_is_text(x), ws_trim(F.try_variant_get(x, "$", "string"))))
@@ -39,7 +43,7 @@ def read_services(spark: SparkSession, path: str) -> DataFrame:
     uid = F.when((number >= 0) & (number == F.floor(number)), F.floor(number).cast("string")).otherwise("")
     is_number = F.schema_of_variant(user).rlike("^(BIGINT|DECIMAL|DOUBLE)")
     return fields.select(
-        F.col("service_idx").cast("int").alias("service_idx"),
+        *keep, F.col("service_idx").cast("int").alias("service_idx"),
         F.when(_is_text(F.col("name")), ws_trim(F.try_variant_get("name", "$", "string"))).alias("name"),
         F.when(logs.isNotNull() & (F.schema_of_variant(logs) != "VOID"),
                F.coalesce(paths, F.array(F.lit(None).cast("string")))).alias("logs"),

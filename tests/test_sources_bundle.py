@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from obsspark.sources.bundle import conform, read_bundle, write_bundle
 from obsspark.sources.files import existing_paths, file_source_lines, read_log_files
 from obsspark.sources.kube import read_container_logs, read_events, read_pods
-from obsspark.sources.registry import read_services
+from obsspark.plans.catalogue import _registry_documents
+from obsspark.sources.registry import parse_services, read_services
 from obsspark.operators.checks import DataCheckError
 from obsspark.operators.inventory import assert_registry_valid, registry_violations
 from obsspark.streaming import parsed_line_stream, write_line_stream
@@ -274,3 +275,11 @@ def test_gzip_lines_count_on_to_further_blocks(spark, tmpdir_fresh):
     assert sorted(r.block for r in df.select("block").distinct().collect()) == [0, 1, 2]
     last = df.orderBy("block", "row").select("raw").tail(2)
     assert [r.raw for r in last] == ["119998", "119999"]
+
+
+def test_registry_documents_of_the_catalogue_are_bounded(spark):
+    entry = spark.range(1, 2501).select(F.col("id").cast("int").alias("at"), F.struct(F.col("id").cast("string").alias("name")).alias("e"))
+    docs = _registry_documents(entry)
+    assert docs.agg(F.max(F.size("ats"))).first()[0] <= 1000
+    got = [(r.name, r.ats[r.service_idx]) for r in parse_services(docs, "ats").collect()]
+    assert sorted(got) == sorted((str(i), i) for i in range(1, 2501))
