@@ -4,8 +4,10 @@ Base rules give spans of three kinds.  The method adds a fourth, ``random``: a l
 outside those spans whose characters follow each other as in random strings rather than as in
 ordinary identifiers.  Two first-order Markov models, one of each class, are trained from
 labelled samples: the values that the base rules find are labelled random, tokens outside of
-them that come more than once in the sample ordinary.  The sample is bounded by TRAIN_DOCS, chosen by hash;
-a token counts if the log-likelihood ratios of its different pairs of characters add up to MIN_RATIO.
+them that have more than one pair of neighbouring tokens in the sample ordinary.  Each token trains
+a model once, however often it comes, and a token of the ordinary class is itself tested without its
+own share in that class, so that copies do not make a token ordinary.
+The sample is bounded by TRAIN_DOCS, chosen by hash; a token counts if the log-likelihood ratios of its different pairs of characters add up to MIN_RATIO.
 
 Positions come from the lengths of the pieces between matches, summed per document by a
 window over the matches alone; texts are read by two scans and never shuffled.
@@ -22,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsspark.llm.common import stored, utf8
+from obsspark.llm.common import small_join, stored, utf8
 
 # fixed values: the base rules and their least lengths
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -87,8 +89,34 @@ def _bigrams(tokens: DataFrame) -> DataFrame:
             .groupBy("gram").agg(F.sum("n").alias("n")))
 
 
-def ratios(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(gram, ratio): log-likelihood ratio of every pair of characters; the table has len(ALPHABET) ** 2 rows."""
+def _ordinary(rest: DataFrame) -> DataFrame:
+    """Tokens of ``rest`` that come between different neighbours, once each."""
+    tokens = rest.select(F.regexp_extract_all("rest", F.lit(ORDINARY), F.lit(0)).alias("all"))
+    # copies of a passage have one context
+    near = lambda i: F.coalesce(F.try_element_at("all", i), F.lit(""))
+    each = F.transform("all", lambda x, i: F.struct(
+        x.alias("token"), F.xxhash64(F.when(i > 0, near(F.greatest(i, F.lit(1)))).otherwise(""), near(i + 2)).alias("context")))
+    return (tokens.select(F.explode(each).alias("x")).groupBy("x.token")
+            .agg(F.min("x.context").alias("low"), F.max("x.context").alias("high")).filter("low < high").select("token"))
+
+
+def _without_itself(tokens: DataFrame, table: DataFrame, whole: float) -> DataFrame:
+    """(token, own_total): the sum of ratios of each token of the ordinary class if the class did not have it."""
+    grams = F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, F.lit(2))))
+    own = tokens.select("token", grams.alias("gram")).groupBy("token", "gram").agg(F.count(F.lit(1)).alias("own"))
+    by = lambda *c: F.sum("own").over(Window.partitionBy("token", *c))
+    own = (own.withColumn("own_row", by(F.substring("gram", 1, 1))).withColumn("own_second", by(F.substring("gram", 2, 1)))
+           .withColumn("own_all", by()).join(F.broadcast(table), F.col("gram") == F.col("g")))
+    follows = (F.col("second") - F.col("own_second")) / (F.lit(whole) - F.col("own_all"))
+    ordinary = F.log((F.col("n") - F.col("own") + BACK_OFF * follows) / (F.col("row") - F.col("own_row") + BACK_OFF))
+    return own.groupBy("token").agg(F.sum(F.col("random") - ordinary).alias("own_total"))
+
+
+def ratios(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(g, ratio): log-likelihood ratio of every pair of characters; the table has len(ALPHABET) ** 2 rows.
+
+    And (token, own_total) of the tested tokens that are in the ordinary class.
+    """
     total = docs.count()
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("secrets"), F.col("doc_id")), 1) / F.lit(float(1 << 63))
     sample = docs.filter(draw < train_docs / max(total, 1)).select(utf8(F.col("text")).alias("text"))
@@ -97,13 +125,12 @@ def ratios(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     rest = F.col("text")
     for p in (ASSIGN, ACCESS_LONG, HEX_LONG):
         rest = F.when(rest.rlike(p), F.regexp_replace(rest, F.lit(p), F.lit(" "))).otherwise(rest)
-    labelled = (sample.select(F.lit(1).alias("label"), F.explode(values).alias("token")).filter(F.length("token") >= 12)
-                .unionByName(sample.select(rest.alias("rest")).select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all("rest", F.lit(ORDINARY), F.lit(0))).alias("token")))
-                .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n")).filter((F.col("label") == 1) | (F.col("n") > 1)))
+    labelled = (sample.select(F.explode(values).alias("token")).filter(F.length("token") >= 12).distinct().withColumn("label", F.lit(1))
+                .unionByName(_ordinary(sample.select(rest.alias("rest"))).withColumn("label", F.lit(0))).withColumn("n", F.lit(1)))
     labelled = stored(labelled, "secret-samples")
     counts = [{r.gram: r.n for r in _bigrams(labelled.filter(F.col("label") == label)).filter(F.col("gram").rlike(r"^[A-Za-z0-9+/_.=-]{2}$")).collect()}
               for label in (0, 1)]
-    logs = []
+    logs, sums = [], []
     for table in counts:
         # pairs not seen fall back on how often their second character follows any
         rows = {a: sum(table.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
@@ -111,17 +138,24 @@ def ratios(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
         whole = sum(second.values())
         logs.append({a + b: math.log((table.get(a + b, 0) + BACK_OFF * second[b] / whole) / (rows[a] + BACK_OFF))
                      for a in ALPHABET for b in ALPHABET})
-    return docs.sparkSession.createDataFrame([(g, logs[1][g] - logs[0][g]) for g in logs[0]], "g string, ratio double")
+        sums.append((rows, second, whole))
+    spark, (rows, second, whole) = docs.sparkSession, sums[0]
+    parts = spark.createDataFrame([(g, logs[1][g], float(counts[0].get(g, 0)), float(rows[g[0]]), float(second[g[1]])) for g in logs[0]],
+                                  "g string, random double, n double, row double, second double")
+    tested = labelled.filter((F.col("label") == 0) & (F.length("token") >= 16)).select("token")
+    return (spark.createDataFrame([(g, logs[1][g] - logs[0][g]) for g in logs[0]], "g string, ratio double"),
+            stored(_without_itself(tested, parts, whole), "secret-own"))
 
 
-def random_spans(found: DataFrame, table: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
+def random_spans(found: DataFrame, table: DataFrame, own: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """The tested tokens that are taken for random."""
+    tokens = small_join(found.filter(F.col("kind") == 3), own, F.rtrim("value", F.lit("=")) == F.col("token"), "left", own.count())
     # a pair that comes again in a token is no further evidence: a run of one character is not random
     grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring("value", i, F.lit(2)))))
-    pairs = found.filter(F.col("kind") == 3).select("rid", "start", "end", grams.alias("gram"))
+    pairs = tokens.select("rid", "start", "end", "own_total", grams.alias("gram"))
     return (pairs.join(F.broadcast(table), F.col("gram") == F.col("g"))
-            .groupBy("rid", "start", "end").agg(F.sum("ratio").alias("total")).filter(F.col("total") >= min_ratio)
-            .select("rid", F.lit(3).alias("kind"), "start", "end"))
+            .groupBy("rid", "start", "end").agg(F.coalesce(F.first("own_total"), F.sum("ratio")).alias("total"))
+            .filter(F.col("total") >= min_ratio).select("rid", F.lit(3).alias("kind"), "start", "end"))
 
 
 def scan_secrets(docs: DataFrame, min_ratio: float = MIN_RATIO, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -129,7 +163,7 @@ def scan_secrets(docs: DataFrame, min_ratio: float = MIN_RATIO, train_docs: int
     scanned = scan(docs)
     found = stored(spans(scanned), "secret-spans")
     rows = found.filter(F.col("kind") < 3).select("rid", "kind", "start", "end").unionByName(
-        random_spans(found, ratios(docs, train_docs), min_ratio))
+        random_spans(found, *ratios(docs, train_docs), min_ratio))
     listed = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
     count = [F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     by_doc = rows.groupBy("rid").agg(listed.alias("all"), *count).withColumnRenamed("rid", "r")

@@ -128,6 +128,18 @@ def test_secret_spans_against_python(spark):
     assert sum(got[i].n_random for i, t in enumerate(texts[:55]) if t and len(t) < 10_000 and not _base(t)) == 0
 
 
+def test_a_hidden_token_is_found_however_often_it_comes(spark):
+    """One in a third of the rows between different words, one in a passage that is copied."""
+    r = random.Random(10)
+    key = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    hidden, passage = key(32), prose(1, 8) + " " + key(32) + " " + prose(2, 8)
+    long_ = ["/".join(prose(i, 3).split()) + "-service" for i in range(30)]
+    docs = [(i, prose(700 + i, 30) + (f" {hidden} " if i % 3 == 0 else f" {passage} " if i % 3 == 1 else f" token={key(24)} {long_[i % 30]} ")
+             + prose(2000 + i, 30)) for i in range(600)]
+    got = {x.doc_id: x.n_random for x in secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i] == (i % 3 < 2) for i in got)
+
+
 def test_secret_scan_of_an_empty_table_and_extra_columns(spark):
     assert secrets.scan_secrets(empty_docs(spark)).count() == 0
     assert secrets.scan_secrets(edge_docs(spark)).count() == len(rows())
