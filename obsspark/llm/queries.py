@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsspark.llm import bpe, kd_shards, language_id, mixing, quality, revisits, secrets, topk
+from obsspark.llm import bpe, kd_shards, language_id, mixing, quality, revisits, secrets, spelling, topk
 from obsspark.llm import exact_dedup as dedup
 from obsspark.llm import near_dedup as near
 from obsspark.llm.common import documents
@@ -54,6 +54,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_sharding": op1_kd_sharding,
     "op2_mix_sources": op2_mix_sources,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_exact_topk": op10_exact_topk,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {}
@@ -176,3 +181,48 @@ select record_id, canonical, case when state in ('resolved', 'unvalidated') then
             then 'cache-control: no-cache' || chr(10) || 'content-length: ' || bytes || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts end as headers
 from s
 """
+
+#: crc32 of a text's bytes, from the table that its polynomial gives
+_CRC_TABLE = """
+  select list_transform(range(256), lambda i: list_reduce(list_concat([cast(i as bigint)], range(8)),
+           lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t
+"""
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(x) + 1, 2), lambda i: cast('0x' || substr(x, i, 2) as bigint))),
+                lambda c, b: xor(t[cast((xor(c, b) & 255) + 1 as int)], c >> 8)), 4294967295)"""
+
+ORACLE["op13_spelling_variants"] = """
+with recursive tab as (TABLE),
+runs as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[A-Za-zÀ-ÿ]+')) as run
+  from documents),
+u as (
+  select doc_id, run, count(*) as n, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as x from runs group by doc_id, run),
+h as (
+  select run, n, CRC as h
+  from u, tab),
+m as (
+  select case when h % 97 = 0 then substr(run, 1, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end as word, n from h),
+w as (
+  select word, cast(sum(n) as bigint) as n from m where length(word) >= 5 group by word having sum(n) >= 3),
+d as (
+  select word, n, unnest(range(1, length(word) + 1)) as p from w),
+k as (
+  select word, n, p, substr(word, 1, cast(p as int) - 1) || substr(word, cast(p as int) + 1) as cut from d),
+near as (
+  select a.word, b.word as near, b.n as near_n from k a join k b on a.p = b.p and a.cut = b.cut and a.word <> b.word
+  union
+  select k.word, w.word, w.n from k join w on k.cut = w.word
+  union
+  select w.word, k.word, k.n from k join w on k.cut = w.word),
+f as (
+  select w.word, w.n, count(near.near) as n_near, max(near_n) as most from w left join near on near.word = w.word group by w.word, w.n),
+g as (
+  select f.word, f.n, f.n_near, min(near.near) as form, any_value(near.near_n) as form_n
+  from f left join near on near.word = f.word and near.near_n = f.most and f.most >= 2 * f.n group by f.word, f.n, f.n_near),
+r as (
+  select word, word as at, form as next from g
+  union all
+  select r.word, g.word, g.form from r join g on g.word = r.next)
+select g.word, g.form, r.at as root, g.n, g.n_near, g.form_n from g join r on r.word = g.word and r.next is null
+""".replace("TABLE", _CRC_TABLE).replace("CRC", _CRC)
