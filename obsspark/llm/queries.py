@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsspark.llm import bpe, kd_shards, language_id, mixing, quality, revisits, secrets, spelling, topk
+from obsspark.llm import bpe, kd_shards, language_id, mixing, prefix_trie, quality, revisits, secrets, spelling, topk
 from obsspark.llm import exact_dedup as dedup
 from obsspark.llm import near_dedup as near
 from obsspark.llm.common import documents
@@ -54,6 +54,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_exact_topk": op10_exact_topk,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -226,3 +231,45 @@ r as (
   select r.word, g.word, g.form from r join g on g.word = r.next)
 select g.word, g.form, r.at as root, g.n, g.n_near, g.form_n from g join r on r.word = g.word and r.next is null
 """.replace("TABLE", _CRC_TABLE).replace("CRC", _CRC)
+
+ORACLE["op12_prefix_trie"] = """
+with recursive tab as (TABLE),
+t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as p, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null),
+x as (
+  select conv_id, hex(encode(cast(conv_id as varchar))) as x from t group by conv_id),
+h as (
+  select conv_id, CRC % 6 as h from x, tab),
+r as (
+  select h.conv_id, t.p, t.role, t.text from h join t on t.conv_id = h.conv_id - h.conv_id % 100 and t.p <= h.h
+  union all
+  select h.conv_id, t.p + 1000000, t.role, t.text from h join t on t.conv_id = h.conv_id and t.p > h.h),
+s as (
+  select conv_id, row_number() over (partition by conv_id order by p) as d, md5(role || chr(31) || text) as k, length(text) as len from r),
+c as (
+  select conv_id, d, len, string_agg(k, '') over (partition by conv_id order by d rows unbounded preceding) as path from s
+  union all
+  select conv_id, 0, 0, '' from h),
+e as (
+  select conv_id, max(d) as d, max_by(path, d) as path from c group by conv_id),
+n as (
+  select path, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(len) as own,
+         case when any_value(d) > 0 then substr(path, 1, length(path) - 32) end as parent
+  from c group by path),
+k as (
+  select n.path, count(m.path) as n_children from n left join n m on m.parent = n.path group by n.path),
+f as (
+  select n.*, k.n_children from n join k on k.path = n.path),
+b as (
+  select path as top, path, own, n_children from f
+  union all
+  select f.parent, b.path, b.own, b.n_children from b join f on f.path = b.top where f.parent is not null),
+u as (
+  select top, count(*) filter (n_children = 0) as n_leaves, sum(own) as saved from b group by top),
+l as (
+  select path, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids from e group by path)
+select f.conv_id, cast(f.depth as bigint) as depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, u.n_leaves,
+       cast(u.saved as bigint) as saved_tokens, sha256(coalesce(l.ids, '')) as ends_sha256
+from f join u on u.top = f.path left join f p on p.path = f.parent left join l on l.path = f.path
+""".replace("TABLE", _CRC_TABLE).replace("CRC", _CRC)
