@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsspark.llm import bpe, kd_shards, language_id, mixing, prefix_trie, quality, revisits, secrets, spelling, topk
+from obsspark.llm import bpe, fingerprints, kd_shards, language_id, mixing, prefix_trie, quality, revisits, secrets, spelling, topk
 from obsspark.llm import exact_dedup as dedup
 from obsspark.llm import near_dedup as near
 from obsspark.llm.common import documents
@@ -54,6 +54,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.weighted_fingerprints(documents(spark, sf_dir))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_exact_topk": op10_exact_topk,
+    "op11_fingerprints": op11_fingerprints,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling_variants": op13_spelling_variants,
 }

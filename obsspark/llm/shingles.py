@@ -70,6 +70,39 @@ def word_hashes(data: bytes) -> np.ndarray:
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _raw_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+    """(polynomial, length) of the words of a byte string, and whether it begins and ends inside a word."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    space = _SPACE[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+    starts, ends = edge[0::2], edge[1::2]
+    up, down = _WORD_POWERS.upto(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_CODES[_LOWER[raw]] * up[: len(raw)], out=total[1:])
+    return (total[ends] - total[starts]) * down[starts], (ends - starts).astype(np.uint64), not space[0], not space[-1]
+
+
+def word_runs(data: bytes) -> np.ndarray:
+    """``word_hashes`` of a text of any length: pieces of BLOCK_BYTES at a time, words that cross them put together."""
+    if len(data) <= BLOCK_BYTES:
+        return word_hashes(data)
+    values, sizes, open_word = [], [], False
+    for lo in range(0, len(data), BLOCK_BYTES):
+        value, size, begins, ends = _raw_runs(data[lo:lo + BLOCK_BYTES])
+        if open_word and begins:
+            last, before = values[-1], sizes[-1]
+            last[-1:] += value[:1] * _U(pow(int(_WORD_BASE), int(before[-1]), 1 << 64))
+            before[-1] += size[0]
+            value, size = value[1:], size[1:]
+        if len(value):
+            values.append(value)
+            sizes.append(size)
+        open_word = ends
+    if not values:
+        return np.empty(0, dtype=np.uint64)
+    return mix(np.concatenate(values) + np.concatenate(sizes))
+
+
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     lo, size = 0, 0
     for i, t in enumerate(texts):
