@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from obsspark.functions.text import exclude_any
 from obsspark.operators.checks import DataCheckError, assert_empty
-from obsspark.operators.lines import DEFAULT_CHUNK_ROWS, parse_lines, tail_per_source
+from obsspark.operators.lines import parse_lines, tail_per_source
 from obsspark.params import ContainerLogParams
 
 LOG_KEYS = ["namespace", "pod", "container", "previous"]
@@ -42,7 +42,7 @@ def assert_expected_lines(refs: DataFrame, params: ContainerLogParams) -> None:
 
 
 def tail_container_logs(logs: DataFrame, refs: DataFrame, params: ContainerLogParams,
-                        chunk_rows: int = DEFAULT_CHUNK_ROWS, entry_time_col: str | None = None) -> DataFrame:
+                        entry_time_col: str | None = None) -> DataFrame:
     """The last N lines of every (pod, container, current|previous) of
     the selected pods, before any line filter (W1).  Bounded by N per
     container, so it is cheap to materialize and reuse."""
@@ -51,12 +51,11 @@ def tail_container_logs(logs: DataFrame, refs: DataFrame, params: ContainerLogPa
     if entry_time_col is not None:
         wanted = wanted.filter(F.col(entry_time_col) >= F.lit(start_ms))
     wanted = wanted.join(pod_containers(refs), ["namespace", "pod", "container"], "inner")
-    return tail_per_source(wanted, LOG_KEYS, "pos", params.tail_lines, chunk_rows)
+    return tail_per_source(wanted, LOG_KEYS, "pos", params.tail_lines)
 
 
 def container_log_lines(logs: DataFrame, refs: DataFrame, params: ContainerLogParams,
-                        chunk_rows: int = DEFAULT_CHUNK_ROWS, entry_time_col: str | None = None,
-                        tailed: DataFrame | None = None) -> DataFrame:
+                        entry_time_col: str | None = None, tailed: DataFrame | None = None) -> DataFrame:
     """B2 lines: per (pod, container, current|previous) the last N lines,
     then non-empty lines, the window and the exclude patterns.
 
@@ -71,7 +70,7 @@ def container_log_lines(logs: DataFrame, refs: DataFrame, params: ContainerLogPa
     can push down.  ``tailed``: a precomputed ``tail_container_logs``.
     """
     if tailed is None:
-        tailed = tail_container_logs(logs, refs, params, chunk_rows, entry_time_col)
+        tailed = tail_container_logs(logs, refs, params, entry_time_col)
     out = parse_lines(tailed.filter(F.length("raw") > 0))
     start_ms, end_ms = params.window_ms()
     if params.window.is_absolute:

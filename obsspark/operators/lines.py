@@ -2,14 +2,11 @@
 timestamp inheritance (W2).
 
 No window here lets a single huge source land unpruned in one task.
-The tail keeps ``row_number() <= N``, which Spark prunes per map task
-before the shuffle (partial WindowGroupLimit).  Inheritance, which has
-no such bound, is *two-phase*: lines are grouped into chunks of
-consecutive arrival order (``order_col div chunk_rows``, or a given
-chunk column such as a file's block offset); a tiny per-(source, chunk)
-table carries what crosses chunk boundaries, and the per-line window
-runs partitioned by (source, chunk).  The tail has the same two-phase
-form for tails above the window-group-limit threshold.
+The tail is a tree of limits per source.  Inheritance, which has no such
+bound, works on chunks of consecutive arrival order (``order_col div
+chunk_rows``, or a given chunk column such as a file's block offset):
+the per-line window runs inside (source, chunk), and one row per chunk
+carries on what crosses chunk boundaries.
 """
 
 from __future__ import annotations
@@ -21,6 +18,8 @@ from pyspark.sql import functions as F
 
 from obsspark.functions.text import exclude_any, include_any, is_journal_noise
 from obsspark.functions.timeparse import parse_line_columns
+from obsspark.operators.rank import FAN_IN, limit_in_tree
+from obsspark.session import shared_dir
 
 # Lines per chunk of arrival order.  A chunk is the unit of parallelism
 # inside one source: 1M lines of ~200 B is ~200 MB of shuffle input.
@@ -101,38 +100,35 @@ def _join_chunks(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFr
     return df.join(named, cond, "inner").drop(*[f"_k{i}" for i in range(len(on))])
 
 
-def tail_per_source(df: DataFrame, keys: Sequence[str], order_col, n: int,
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS, rank_col: str | None = None,
-                    chunk_col: str | None = None) -> DataFrame:
-    """The last ``n`` lines (by ``order_col``) of every source.
+def tail_per_source(df: DataFrame, keys: Sequence[str], order_col, n: int, rank_col: str | None = None,
+                    fan_in: int = FAN_IN, levels: int | None = None) -> DataFrame:
+    """The last ``n`` lines (by ``order_col``) of every source, in one scan.
 
-    Two phases, whatever the size: lines are counted per (source,
-    chunk) with a partial aggregate over the narrow key and order
-    columns, chunks that cannot reach the tail are dropped, and lines
-    are numbered inside the surviving chunks, shuffled on (source,
-    chunk).  A hot source is spread over its chunks.  Null keys are a
-    source of their own; lines with a null order are the oldest.
-    ``n <= 0`` selects nothing.
+    A tree per source (see ``rank.limit_in_tree``): every input task keeps the
+    last n lines that it holds of a source, and no task reads more than
+    fan_in x n lines of one source, however many tasks that source is spread
+    over.  Null keys are a source of their own; lines with a null order are the
+    oldest.  ``n <= 0`` selects nothing.  Of text files ``sources.ranges``
+    reads only the ends.
     """
     keys = list(keys)
-    order = _cols(order_col)
     if n <= 0:
         out = df.filter(F.lit(False))
         return out.withColumn(rank_col, F.lit(None).cast("long")) if rank_col else out
-    d = _chunked(df, order, chunk_rows, chunk_col)
-    later_w = (Window.partitionBy(*keys).orderBy(F.col("_chunk").desc())
-               .rowsBetween(Window.unboundedPreceding, -1))
-    counts = (d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
-              .withColumn("_later", F.coalesce(F.sum("_cnt").over(later_w), F.lit(0)))
-              .filter(F.col("_later") < n)
-              .select(*keys, "_chunk", "_later"))
-    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order])
-    out = (_join_chunks(d, counts, keys)
-           .withColumn("_rn", F.row_number().over(in_chunk))
-           .filter((F.col("_rn") <= n) & (F.col("_rn") + F.col("_later") <= n)))
+    order = [F.col(c).desc() for c in _cols(order_col)]
+    out = limit_in_tree(df, keys, order, n, fan_in, levels)
+    out = out.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rn") <= n)
     if rank_col:
-        out = out.withColumn(rank_col, (F.col("_rn") + F.col("_later")).cast("long"))
-    return out.drop("_chunk", "_later", "_rn")
+        out = out.withColumn(rank_col, F.col("_rn").cast("long"))
+    return out.drop("_rn")
+
+
+def carry_over(ends: DataFrame, keys: Sequence[str], value_col: str) -> DataFrame:
+    """(keys, _chunk, _carry): the last non-null value of a source before each of its chunks.
+
+    ``ends`` has one row per chunk with the chunk's own last value."""
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select(*keys, "_chunk", F.last(value_col, ignorenulls=True).over(before).alias("_carry"))
 
 
 def inherit_last(df: DataFrame, keys: Sequence[str], order_col, value_col: str,
@@ -140,26 +136,22 @@ def inherit_last(df: DataFrame, keys: Sequence[str], order_col, value_col: str,
     """W2 core: ``out_col`` = last non-null ``value_col`` at or before
     each line of the same source (NULL when none yet).
 
-    Two-phase carry: (a) the last non-null value per (source, chunk) via
-    ``max_by``; (b) a window over that small table carries it across
-    chunks; (c) a window inside each chunk, falling back to the carry.
+    One pass over the input: lines are laid out in arrival order by (source,
+    chunk) and written once (checkpoint) with the last value seen in their own
+    chunk; each chunk's last line carries that value on, and what those few rows
+    say is joined to the lines that have seen none in their chunk.
     """
     keys = list(keys)
-    order = _cols(order_col)
-    d = _chunked(df, order, chunk_rows, chunk_col)
-    v = F.col(value_col)
-    ordv = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
-    prev_w = (Window.partitionBy(*keys).orderBy("_chunk")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (d.groupBy(*keys, "_chunk")
-             .agg(F.max_by(v, F.when(v.isNotNull(), ordv)).alias("_last"))
-             .withColumn("_carry", F.last("_last", ignorenulls=True).over(prev_w))
-             .select(*keys, "_chunk", "_carry"))
-    upto_w = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (_join_chunks(d, carry, keys)
-            .withColumn(out_col, F.coalesce(F.last(v, ignorenulls=True).over(upto_w), F.col("_carry")))
-            .drop("_chunk", "_carry"))
+    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*_cols(order_col))
+    upto = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = _chunked(df, order_col, chunk_rows, chunk_col).withColumns({
+        "_seen": F.last(value_col, ignorenulls=True).over(upto),
+        "_end": F.lead(F.lit(1)).over(in_chunk).isNull()})
+    shared_dir(df.sparkSession)
+    d = d.checkpoint(eager=True)
+    carry = carry_over(d.filter("_end"), keys, "_seen")
+    return (_join_chunks(d, carry, keys).withColumn(out_col, F.coalesce("_seen", "_carry"))
+            .drop("_chunk", "_carry", "_seen", "_end"))
 
 
 def inherit_timestamp(df: DataFrame, keys: Sequence[str], order_col,

@@ -4,31 +4,68 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from obsspark.session import ensure_session_defaults
 
-# Lines are dealt into this many buckets; the final merge holds K lines of each at most.
-TOP_K_BUCKETS = 32
+# Results of this many tasks are merged by one task of the next level.
+FAN_IN = 64
 
 
-def newest_lines(df: DataFrame, k: int, rank_col: str = "rank_ms",
-                 tiebreak: Sequence[str] = ()) -> DataFrame:
+def merge_levels(spark: SparkSession, fan_in: int = FAN_IN, input_tasks: int | None = None) -> int:
+    """Levels between the input tasks and the last merge, so that no task merges more than ``fan_in`` results.
+
+    Without ``input_tasks`` four times ``spark.sql.shuffle.partitions`` are
+    assumed, which ``scale_settings`` derives from the input's size.
+    """
+    tasks = input_tasks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    levels = 0
+    while tasks > fan_in:
+        tasks = -(-tasks // fan_in)
+        levels += 1
+    return levels
+
+
+def limit_in_tree(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
+                  fan_in: int = FAN_IN, levels: int | None = None) -> DataFrame:
+    """The first ``n`` rows by ``order`` of every key within groups of input tasks, level by level.
+
+    Each input task keeps n rows of a key before anything is shuffled (partial
+    WindowGroupLimit); a task of the next level merges the rows of ``fan_in``
+    tasks and keeps n again.  What is left holds the first n rows of every key:
+    at most fan_in x n rows of a key, whatever the number of input tasks.
+    """
+    ensure_session_defaults(df.sparkSession, n)
+    levels = merge_levels(df.sparkSession, fan_in) if levels is None else levels
+    if not levels:
+        return df
+    df = df.withColumn("_task", F.spark_partition_id())
+    for _ in range(levels):
+        df = df.withColumn("_task", F.expr(f"cast(_task div {int(fan_in)} as int)"))
+        in_group = F.row_number().over(Window.partitionBy(*keys, "_task").orderBy(*order))
+        df = df.withColumn("_place", in_group).filter(F.col("_place") <= n).drop("_place")
+    return df.drop("_task")
+
+
+def rank_order(rank_col: str, tiebreak: Sequence[str]) -> list[Column]:
+    """Newest first: rank time, NULL lowest, then arrival."""
+    return [F.col(rank_col).desc_nulls_last()] + [F.col(c).desc() for c in tiebreak]
+
+
+def newest_lines(df: DataFrame, k: int, rank_col: str = "rank_ms", tiebreak: Sequence[str] = (),
+                 fan_in: int = FAN_IN, levels: int | None = None) -> DataFrame:
     """K1: the K highest lines by (rank time, NULL lowest, then arrival).
 
     ``tiebreak`` lists the arrival-order columns (source order, then line
-    order).  Lines are dealt by their arrival into TOP_K_BUCKETS buckets, each
-    keeps its own K highest (limited once per map task before the
-    shuffle), and the K highest of those are taken: the last merge reads
-    TOP_K_BUCKETS x K lines at most, however large the input.
+    order).  A tree: input tasks keep K lines each, tasks of every level merge
+    ``fan_in`` such results, and so does the last merge: none reads more than
+    fan_in x K lines, however many input tasks there are.
     """
     if k <= 0:
         return df.filter(F.lit(False))
-    order = [F.col(rank_col).desc_nulls_last()] + [F.col(c).desc() for c in tiebreak]
-    bucket = F.pmod(F.xxhash64(*(tiebreak or [rank_col])), F.lit(TOP_K_BUCKETS))
-    ranked = df.withColumn("_bucket", bucket)
-    ranked = ranked.withColumn("_in_bucket", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    return ranked.filter(F.col("_in_bucket") <= k).drop("_bucket", "_in_bucket").orderBy(*order).limit(k)
+    order = rank_order(rank_col, tiebreak)
+    return limit_in_tree(df, [], order, k, fan_in, levels).orderBy(*order).limit(k)
 
 
 def final_order(df: DataFrame, rank_col: str = "rank_ms", tiebreak: Sequence[str] = (),
@@ -43,14 +80,13 @@ def final_order(df: DataFrame, rank_col: str = "rank_ms", tiebreak: Sequence[str
     return df.orderBy(*order)
 
 
-def source_summary(sources: DataFrame, lines: DataFrame, selected: DataFrame, keys: Sequence[str],
-                   diagnostics: DataFrame | None = None, matched_col: str = "matched") -> DataFrame:
+def source_summary(sources: DataFrame, counts: DataFrame, selected: DataFrame, keys: Sequence[str],
+                   diagnostics: DataFrame | None = None) -> DataFrame:
     """G1: per source raw / matched / returned counts; sources without
-    lines keep zero counts; skip reason and error of failed sources."""
+    lines keep zero counts; skip reason and error of failed sources.
+
+    ``counts``: keys, raw_log_records, matched_log_records of the sources with lines."""
     keys = list(keys)
-    counts = lines.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("raw_log_records"),
-        F.sum(F.col(matched_col).cast("long")).alias("matched_log_records"))
     returned = selected.groupBy(*keys).agg(F.count(F.lit(1)).alias("returned_log_records"))
     out = (sources.join(counts, keys, "left").join(returned, keys, "left")
            .withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in

@@ -85,8 +85,7 @@ def f1_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def service_logs(spark: SparkSession, sf_dir: str, params: ServiceLogParams = SERVICE_PARAMS,
                  materialize: bool = True):
-    """B1 over F1.  Queries that read one part only (the top-K) skip the
-    checkpoint; those feeding several consumers keep it."""
+    """B1 over F1."""
     return collect_service_logs(FX.log_lines(spark, sf_dir), f1_sources(spark, sf_dir),
                                 FX.source_errors(spark, sf_dir), params, materialize=materialize)
 
@@ -169,8 +168,7 @@ def _iso_ms(ms: int) -> str:
 select service, file, seq, ts, line, rank_ms from sel""")
 def q_newest_lines(spark, d):
     """K1, K2 (B1): global top-K lines by rank time across all sources."""
-    return service_logs(spark, d, materialize=False).selected.select(
-        "service", "file", "seq", "ts", "line", "rank_ms")
+    return service_logs(spark, d).newest.select("service", "file", "seq", "ts", "line", "rank_ms")
 
 
 @register("journal_entry_window", f"""with {_b1_ctes(entry_filter=(
@@ -180,8 +178,8 @@ def q_journal_entry_window(spark, d):
     """B1 with journal entries selected by their own time (a pushed-down
     scan predicate) before the lenient line window."""
     logs = collect_service_logs(FX.log_lines(spark, d), f1_sources(spark, d), FX.source_errors(spark, d),
-                                SERVICE_PARAMS, materialize=False, entry_time_col="entry_ts")
-    return logs.selected.select("service", "file", "seq", "ts", "line", "rank_ms")
+                                SERVICE_PARAMS, entry_time_col="entry_ts")
+    return logs.newest.select("service", "file", "seq", "ts", "line", "rank_ms")
 
 
 @register("source_summary", f"""with {_b1_ctes()}
@@ -930,7 +928,7 @@ select cast(row_number() over (order by rank_ms nulls first, service, is_journal
        service, file, seq from sel""")
 def q_newest_lines_ordered(spark, d):
     """K2: the place of every selected line in the bundle."""
-    sel = service_logs(spark, d, materialize=False).selected
+    sel = service_logs(spark, d).newest
     return final_order(sel, "rank_ms", ["service", "is_journal", "file", "seq"], position="place").select(
         "place", "service", "file", "seq")
 

@@ -2,21 +2,26 @@
 
 Plan shape (lazy until a part is first used):
 
-    lines --anti(failed sources)--> journal noise filter
+    lines --anti(failed sources)-->
       files, and journals without a window:
-          tail W1 (row_number <= N, partial WindowGroupLimit before the
-          shuffle on the source key) -> all-blank tail check -> empty lines
-          dropped -> parse P1/P2 -> inherit W2: three windows on that one
-          shuffle, each source holding at most N rows
+          tail W1 (a tree of limits per source) -> all-blank tail check ->
+          noise and empty lines dropped -> parse P1/P2 -> inherit W2 on the
+          shuffle of the tail's last step, each source holding at most N lines
       journals with a window (unbounded):
-          parse -> two-phase inherit W2 on (source, chunk)
+          noise dropped -> parse -> inherit W2 inside (source, chunk)
       -> matched = lenient window (journals) & include & ~exclude
-      -> {per-source counts G1, global top-K K1, diagnostics, totals G2}
-
-Inheritance always runs before the text filters, so filtered-out lines
-still pass their timestamp on.  With ``materialize`` the delivered lines
-and the small per-source frames are checkpointed once and every part
-reads those.
+      -> one pass leaves, and stores, two kinds of rows:
+           counts      one row per (source, chunk): raw and matched lines,
+                       the last in-window time
+           candidates  matched lines, limited to the newest K in the first
+                       level of the top-K tree (K1)
+      -> {per-source counts G1, further levels of K1, diagnostics, totals G2}
+
+The delivered lines themselves are not stored.  Lines before the first time
+of their chunk do not know their rank until the counts' last times are
+carried over (W2); of those a chunk keeps its last K.  Inheritance always
+runs before the text filters, so filtered-out lines still pass their
+timestamp on.
 """
 
 from __future__ import annotations
@@ -29,10 +34,9 @@ from pyspark.sql import functions as F
 
 from obsspark.functions.text import exclude_any, include_any, is_journal_noise, ws_trim
 from obsspark.operators.diagnostics import drop_failed_sources, missing_sources
-from obsspark.operators.lines import (
-    DEFAULT_CHUNK_ROWS, in_window_lenient, inherit_timestamp, parse_lines, tail_per_source)
+from obsspark.operators.lines import DEFAULT_CHUNK_ROWS, carry_over, in_window_lenient, parse_lines, tail_per_source
 from obsspark.operators.rank import (
-    log_summary, newest_lines, source_summary)
+    limit_in_tree, log_summary, merge_levels, newest_lines, rank_order, source_summary)
 from obsspark.params import ServiceLogParams
 from obsspark.session import shared_dir
 
@@ -59,28 +63,34 @@ class ServiceLogs:
         return df.checkpoint(eager=True)
 
     @cached_property
-    def lines(self) -> DataFrame:
-        """Every delivered line with its place, ts/line/rank_ms and matched.
+    def _pass(self) -> DataFrame:
+        """What the one pass over the delivered lines leaves: count rows and candidates."""
+        return self._keep(_counts_and_candidates(
+            self._got, self.keys, self.order, [*self.source_order, *self.order], self.params.max_total_log_lines))
 
-        What is kept is narrow: lines that do not match only count, so their
-        text is left out, and so are columns that no consumer reads."""
-        if not self.materialize:
-            return self._got
-        places = dict.fromkeys([*self.keys, *self.source_order, *self.order, "is_journal"])
-        m = F.col("matched")
-        return self._keep(self._got.select(
-            *[c for c in places if c in self._got.columns], "rank_ms", "matched",
-            F.when(m, F.col("ts")).alias("ts"), F.when(m, F.col("line")).alias("line")))
+    @cached_property
+    def counts(self) -> DataFrame:
+        """keys, raw_log_records, matched_log_records of every source with lines."""
+        return (self._pass.filter("_kind = 'counts'").groupBy(*self.keys)
+                .agg(F.sum("_raw").alias("raw_log_records"), F.sum("_matched").alias("matched_log_records")))
+
+    @cached_property
+    def newest(self) -> DataFrame:
+        """Top-K matched lines (K1), as a plan."""
+        lines = self._pass.filter("_kind <> 'counts'")
+        if self.params.window is not None:
+            carry = carry_over(self._pass.filter("_kind = 'counts'"), self.keys, "_last")
+            on = [*self.keys, "_chunk"]
+            known = lines.filter("_kind = 'line'")
+            lines = (lines.filter("_kind = 'pending'").join(carry, on, "left")
+                     .withColumn("rank_ms", F.col("_carry")).select(known.columns).unionByName(known))
+        tiebreak = [*self.source_order, *self.order]
+        return newest_lines(lines.drop("_kind", "_raw", "_matched", "_last", "_chunk"), self.params.max_total_log_lines, "rank_ms", tiebreak)
 
     @cached_property
     def selected(self) -> DataFrame:
         """Top-K matched lines (K1)."""
-        ranked = self.lines.filter(F.col("matched"))
-        extra = [c for c in self.source_order if c not in ranked.columns]
-        if extra:
-            ranked = ranked.join(self._sources.select(*self.keys, *extra), self.keys, "inner")
-        tiebreak = [*self.source_order, *self.order]
-        return self._keep(newest_lines(ranked, self.params.max_total_log_lines, "rank_ms", tiebreak))
+        return self._keep(self.newest)
 
     @cached_property
     def failed(self) -> DataFrame | None:
@@ -92,14 +102,14 @@ class ServiceLogs:
     @cached_property
     def summary(self) -> DataFrame:
         """G1: one row per source with its attributes and counts."""
-        return self._keep(source_summary(self._sources, self.lines, self.selected, self.keys, self.failed))
+        return self._keep(source_summary(self._sources, self.counts, self.selected, self.keys, self.failed))
 
     @cached_property
     def diagnostics(self) -> DataFrame:
         """Side records: failed sources, then user journals without a line (no top-K involved)."""
         keys = self.keys
         user = F.col("is_journal") & (F.coalesce(F.col("journal_scope"), F.lit("system")) == "user")
-        silent = self._sources.filter(user).join(self.lines.select(*keys).distinct(), keys, "left_anti")
+        silent = self._sources.filter(user).join(self.counts.select(*keys), keys, "left_anti")
         if self.failed is not None:
             silent = silent.join(self.failed.select(*keys), keys, "left_anti")
         empty_user = silent.select(
@@ -119,25 +129,45 @@ class ServiceLogs:
         return log_summary(self.summary, self.diagnostics, self.params.max_total_log_lines)
 
 
-def _tailed_and_inherited(df: DataFrame, keys: list[str], order_col, n: int,
-                          start_ms, end_ms, window_applies, chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk_col: str | None = None) -> DataFrame:
+def _counts_and_candidates(got: DataFrame, keys: list[str], order: list[str], tiebreak: list[str], k: int) -> DataFrame:
+    """Rows of kind ``counts`` (one per source and chunk), ``line`` (rank known)
+    and ``pending`` (rank to come from the chunks before).
+
+    A chunk's last line stands for its counts besides being a line itself.  The
+    lines' first level of the top-K tree has all lines of known rank of an input
+    task under one key, pending ones by chunk, and each count row for itself.
+    """
+    chunk = Window.partitionBy(*keys, "_chunk")
+    counted = got.withColumns({
+        "_raw": F.count(F.lit(1)).over(chunk), "_matched": F.sum(F.col("matched").cast("long")).over(chunk),
+        "_last": F.last("_seen", ignorenulls=True).over(chunk.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_end": F.lead(F.lit(1)).over(chunk.orderBy(*order)).isNull()})
+    line = F.when(F.col("_waits") & F.col("rank_ms").isNull(), "pending").otherwise("line")
+    kinds = F.filter(F.array(F.when(F.col("_end"), "counts"), F.when(F.col("matched"), line)), lambda x: x.isNotNull())
+    rows = counted.withColumn("_kind", F.explode(kinds))
+    own = {f"_own{i}": F.when(F.col("_kind") != "line", F.col(c)) for i, c in enumerate([*keys, "_chunk"])}
+    text = {c: F.when(F.col("_kind") != "counts", F.col(c)) for c in ("ts", "line")}
+    places = dict.fromkeys([*keys, *tiebreak, "is_journal"])
+    rows = rows.withColumns({**own, **text}).select(
+        *places, "_chunk", "_kind", "rank_ms", "ts", "line", "_raw", "_matched", "_last", *own)
+    levels = min(1, merge_levels(got.sparkSession))
+    return limit_in_tree(rows, ["_kind", *own], rank_order("rank_ms", tiebreak), max(k, 1), levels=levels).drop(*own)
+
+
+def _tailed_and_inherited(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """Tail-bounded sources: tail (W1), all-blank check, noise and
     empty-line drop, parse and inheritance (W2).  Everything after the
     tail holds at most n rows per source."""
     by_src = Window.partitionBy(*keys)
-    t = tail_per_source(df, keys, order_col, n, chunk_rows=chunk_rows, chunk_col=chunk_col)
+    t = tail_per_source(df, keys, order, n)
     t = (t.withColumn("_nb", F.max((ws_trim("raw") != F.lit("")).cast("int")).over(by_src))
          .filter((F.col("_nb") == 1) | F.col("is_journal")).drop("_nb"))
     # a journal's own limit counts blank and marker lines too
     t = t.filter(~F.col("is_journal") | ~is_journal_noise(F.col("raw")))
     t = parse_lines(t.filter(F.length(F.col("raw")) > 0))
-    ms = F.col("sort_ms")
-    ok = ms.isNotNull()
-    if start_ms is not None and window_applies is not None:
-        ok = ok & (~window_applies | ms.between(F.lit(start_ms), F.lit(end_ms)))
-    order = [order_col] if isinstance(order_col, str) else list(order_col)
     upto = by_src.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t.withColumn("rank_ms", F.coalesce(ms, F.last(F.when(ok, ms), ignorenulls=True).over(upto)))
+    return t.withColumns({"_chunk": F.lit(0).cast("long"), "_waits": F.lit(False), "_seen": F.col("sort_ms"),
+                          "rank_ms": F.last("sort_ms", ignorenulls=True).over(upto)})
 
 
 def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[str], order_col,
@@ -146,9 +176,12 @@ def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[s
     """What each source hands to the collector (P9, P10, P28, W1) with
     its rank time (P1, P2, W2): files read their last N physical lines
     (an all-blank tail reads as empty); journals read either their last N
-    entries or, with a time window, the whole window (two-phase
-    inheritance: their size is unbounded), then drop blank and marker
-    lines.
+    entries or, with a time window, the whole window, then drop blank and
+    marker lines.
+
+    ``rank_ms`` is the rank time as far as the line's chunk (``_chunk``) tells;
+    where it is null and ``_waits``, the chunks before decide (``_seen`` is the
+    line's own in-window time).  Sources bounded by a tail are one chunk.
 
     ``entry_time_col`` (the journal entry's own time, a stored epoch-ms
     or timestamp column) selects windowed journal entries by entry time first, as a
@@ -158,13 +191,12 @@ def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[s
     by it; the lenient line-timestamp window is then applied as usual.
     """
     keys = list(keys)
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
     j = F.col("is_journal")
-    n = params.tail_lines
     start_ms, end_ms = params.window_ms()
-    tail_args = dict(chunk_rows=chunk_rows, chunk_col=chunk_col)
     if params.window is None:
-        return _tailed_and_inherited(lines, keys, order_col, n, None, None, None, **tail_args)
-    files = _tailed_and_inherited(lines.filter(~j), keys, order_col, n, None, None, None, **tail_args)
+        return _tailed_and_inherited(lines, keys, order, params.tail_lines)
+    files = _tailed_and_inherited(lines.filter(~j), keys, order, params.tail_lines)
     jsel = j & (F.length(F.col("raw")) > 0) & ~is_journal_noise(F.col("raw"))
     if entry_time_col is not None:
         dtype = dict(lines.dtypes)[entry_time_col]
@@ -173,9 +205,12 @@ def delivered_lines(lines: DataFrame, params: ServiceLogParams, keys: Sequence[s
             # constant-folded into timestamp literals, so still pushed down
             lo, hi = F.timestamp_millis(lo).cast(dtype), F.timestamp_millis(hi).cast(dtype)
         jsel = jsel & F.col(entry_time_col).between(lo, hi)
-    journals = parse_lines(lines.filter(jsel))
-    journals = inherit_timestamp(journals, keys, order_col, start_ms, end_ms, chunk_rows=chunk_rows,
-                                 chunk_col=chunk_col)
+    ms = F.col("sort_ms")
+    chunk = F.col(chunk_col) if chunk_col is not None else F.expr(f"`{order[0]}` div {int(chunk_rows)}")
+    journals = parse_lines(lines.filter(jsel)).withColumns({
+        "_chunk": chunk.cast("long"), "_waits": F.lit(True), "_seen": F.when(ms.between(F.lit(start_ms), F.lit(end_ms)), ms)})
+    upto = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    journals = journals.withColumn("rank_ms", F.coalesce(ms, F.last("_seen", ignorenulls=True).over(upto)))
     return files.unionByName(journals)
 
 
@@ -193,19 +228,17 @@ def collect_service_logs(lines: DataFrame, sources: DataFrame, errors: DataFrame
     failed reads (or None).  Source keys must be non-null (they are join
     keys); registry sources use ``source = coalesce(file, journal)``.
 
-    ``materialize`` (default) checkpoints the delivered lines and the
-    per-source frames into the cluster's checkpoint folder: counts,
-    top-K, diagnostics, totals and the bundle then read those instead of
-    each re-scanning and re-shuffling the input (Catalyst cannot reuse
-    the exchanges because every consumer prunes different columns).
-    The delivered lines are tail-bounded for files; windowed journals
-    hold their window.  Checkpoints are reliable files, so a lost
-    executor does not lose them.
+    ``materialize`` (default) checkpoints what the pass leaves, the top-K and
+    the per-source frames into the cluster's checkpoint folder: counts,
+    top-K, diagnostics, totals and the bundle read those instead of each
+    re-scanning and re-shuffling the input.  Checkpoints are reliable files, so
+    a lost executor does not lose them.
     """
     keys = list(keys)
     source_order = list(source_order)
-    if "is_journal" not in lines.columns:
-        lines = lines.join(sources.select(*keys, "is_journal"), keys, "inner")
+    absent = [c for c in dict.fromkeys(["is_journal", *source_order]) if c not in lines.columns]
+    if absent:
+        lines = lines.join(sources.select(*keys, *absent), keys, "inner")
     if errors is not None:
         lines = drop_failed_sources(lines, errors, keys)
     start_ms, end_ms = params.window_ms()

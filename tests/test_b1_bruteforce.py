@@ -11,7 +11,9 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from obsspark.operators import rank
 from obsspark.params import ServiceLogParams, TimeWindow
+from obsspark.plans import service_logs
 from obsspark.plans.service_logs import collect_service_logs
 
 BASE = 1_704_067_200_000  # 2024-01-01T00:00:00Z
@@ -21,7 +23,7 @@ def _iso(ms):
     return datetime.fromtimestamp(ms / 1000, tz=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _random_case(seed):
+def _random_case(seed, long=1):
     rnd = random.Random(seed)
     sources = []
     for s in range(rnd.randint(1, 4)):
@@ -32,7 +34,7 @@ def _random_case(seed):
     words = ["alpha", "beta", "error", "gamma"]
     lines, seq = [], 0
     for (svc, name, is_j, _scope) in sources:
-        for _ in range(rnd.randint(0, 12)):
+        for _ in range(rnd.randint(0, 12 * long)):
             kind = rnd.random()
             w = rnd.choice(words)
             if kind < 0.45:
@@ -111,13 +113,17 @@ def _model(sources, lines, params):
     return [(c[3], c[4], c[1][3], c[2], c[0]) for c in top], counts
 
 
-@pytest.mark.parametrize("seed", range(12))
-def test_b1_matches_sequential_model(spark, seed):
-    sources, lines, params = _random_case(seed)
+@pytest.mark.parametrize("seed, long, kept", [*[(s, 1, False) for s in range(12)], *[(s, 30, True) for s in range(100, 106)]])
+def test_b1_matches_sequential_model(spark, monkeypatch, seed, long, kept):
+    """Short and long sources, as a plan and with what the pass leaves stored, also with a tree of several levels."""
+    if long > 1:
+        monkeypatch.setattr(service_logs, "merge_levels", lambda spark: 1)
+        monkeypatch.setattr(rank, "merge_levels", lambda spark, fan_in: 3)
+    sources, lines, params = _random_case(seed, long)
     want_sel, want_counts = _model(sources, lines, params)
     src = spark.createDataFrame(sources, "service string, file string, is_journal boolean, journal_scope string")
     ln = spark.createDataFrame(lines, "service string, file string, is_journal boolean, seq long, raw string")
-    res = collect_service_logs(ln, src, None, params, materialize=False, chunk_rows=3)
+    res = collect_service_logs(ln.repartition(5), src, None, params, materialize=kept, chunk_rows=3 * long)
     got_sel = sorted((r.service, r.file, r.seq, r.line, r.rank_ms) for r in res.selected.collect())
     assert got_sel == sorted(want_sel, key=lambda t: (t[0], t[1], t[2]))
     got_counts = {(r.service, r.file): [r.raw_log_records, r.matched_log_records, r.returned_log_records]

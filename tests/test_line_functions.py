@@ -12,27 +12,6 @@ def _parse(spark, raw, timestamps=True):
     return r["ts"], r["line"], r["ms"]
 
 
-def test_untimestamped_line_is_whole_message(spark):
-    assert _parse(spark, "worker 7 lost its lease") == (None, "worker 7 lost its lease", None)
-
-
-def test_timestamped_line_splits(spark):
-    assert _parse(spark, "2001-09-09T01:46:40Z a billion seconds") == (
-        "2001-09-09T01:46:40Z", "a billion seconds", 1000000000000)
-
-
-def test_numbers_are_not_timestamps(spark):
-    assert _parse(spark, "8080 is in use") == (None, "8080 is in use", None)
-
-
-def test_calendar_invalid_timestamp_stays_in_message(spark):
-    assert _parse(spark, "2023-04-31T07:08:09Z no such day") == (None, "2023-04-31T07:08:09Z no such day", None)
-
-
-def test_no_split_when_timestamps_disabled(spark):
-    assert _parse(spark, "2001-09-09T01:46:40Z whole", False) == (None, "2001-09-09T01:46:40Z whole", None)
-
-
 def test_leading_space_is_not_a_token(spark):
     assert _parse(spark, " 2001-09-09T01:46:40Z x") == (None, " 2001-09-09T01:46:40Z x", None)
 

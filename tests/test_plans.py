@@ -22,16 +22,14 @@ def test_newest_lines_is_take_ordered(spark):
 
 
 def test_service_logs_plan_shape(spark):
-    """Un-materialized B1: tail pruned before its shuffle; the tailed
-    branch needs one hash exchange (tail, blank check and inheritance
-    share it); no shuffle is keyed by the source alone on the journal
-    branch (two-phase)."""
+    """Un-materialized B1: the tail is pruned before its shuffle, the journal
+    branch works by chunk, and only candidates reach the top-K."""
     from obsspark.plans import catalogue as CAT
     from obsspark.plans.service_logs import collect_service_logs
     from obsspark.sources import fixtures as FX
     logs = collect_service_logs(FX.log_lines(spark, SF), CAT.f1_sources(spark, SF), FX.source_errors(spark, SF),
                                 CAT.SERVICE_PARAMS, materialize=False)
-    p = logs.selected._jdf.queryExecution().executedPlan().toString()
+    p = _plan(logs.newest)
     assert "WindowGroupLimit" in p and "TakeOrderedAndProject" in p
     assert "_chunk" in p
 
@@ -52,6 +50,9 @@ def test_scans_prune_columns(spark):
 
 
 def test_journal_entry_window_is_pushed_to_the_scan(spark):
-    p = _plan(E.queries()["journal_entry_window"](spark, SF))
+    from obsspark.plans import catalogue as CAT
+    from obsspark.plans.service_logs import delivered_lines
+    from obsspark.sources import fixtures as FX
+    p = _plan(delivered_lines(FX.log_lines(spark, SF), CAT.SERVICE_PARAMS, ["service", "file"], "seq", entry_time_col="entry_ts"))
     # the plan abbreviates long filter lists; the lower bound comes first
     assert "GreaterThanOrEqual(ts," in p

@@ -1,4 +1,4 @@
-"""B1 on tiny tables: literal cases modelled on the reference's collector tests."""
+"""B1 on tiny tables: diagnostics, journals, chunks, plans; ranking and inheritance are tested in test_b1_bruteforce."""
 
 from pyspark.sql import functions as F
 
@@ -27,52 +27,6 @@ def _selected(res):
     return [r.line for r in rows]
 
 
-def test_inherits_timestamps_from_filtered_lines(spark):
-    lines = _file("svc1", "/a.log", "2023-05-04T10:00:00Z fail: queue\n2023-05-09T10:00:00Z heartbeat ok\n"
-                  "  fail: stack of the newest\n2023-05-06T10:00:00Z fail: retry")
-    for filt in ({"include": ("fail",)}, {"exclude": ("heartbeat",)}):
-        res = _run(spark, [("svc1", "/a.log", False, None)], lines, max_total_log_lines=1, **filt)
-        assert _selected(res) == ["  fail: stack of the newest"]
-        t = res.totals.first()
-        assert (t.line_limited, t.matched_log_records, t.returned_log_records) == (True, 3, 1)
-
-
-def test_files_are_tailed_not_time_filtered(spark):
-    lines = _file("svc1", "/a.log", "2023-05-04T03:00:00Z early\n2023-05-04T21:30:00Z late a\n"
-                  "2023-05-04T22:45:00Z late b")
-    w = TimeWindow(start="2023-05-04T02:00:00Z", end="2023-05-04T04:00:00Z", max_seconds=86_400)
-    res = _run(spark, [("svc1", "/a.log", False, None)], lines, tail_lines=2, window=w)
-    assert _selected(res) == ["late a", "late b"]
-    t = res.totals.first()
-    assert (t.line_limited, t.matched_log_records, t.returned_log_records) == (False, 2, 2)
-
-
-def test_top_k_keeps_newest(spark):
-    lines = _file("svc1", "/a.log", "\n".join(f"2024-01-01T00:00:0{i}Z line-{i}" for i in range(10)))
-    res = _run(spark, [("svc1", "/a.log", False, None)], lines, max_total_log_lines=5)
-    assert _selected(res) == [f"line-{i}" for i in range(5, 10)]
-    assert res.totals.first().line_limited is True
-
-
-def test_untimestamped_lines_rank_lowest_then_by_arrival(spark):
-    a = _file("svc1", "/a.log", "no ts one\nno ts two")
-    b = _file("svc2", "/b.log", "2024-01-01T00:00:00Z stamped\nno ts three")
-    res = _run(spark, [("svc1", "/a.log", False, None), ("svc2", "/b.log", False, None)], a + b,
-               max_total_log_lines=3)
-    # svc1 lines have no rank; svc2's second line inherits the stamp.
-    assert _selected(res) == ["no ts two", "stamped", "no ts three"]
-
-
-def test_global_merge_across_sources(spark):
-    a = _file("svc1", "/a.log", "2024-01-01T00:00:01Z a1\n2024-01-01T00:00:04Z a4")
-    b = _file("svc2", "/b.log", "2024-01-01T00:00:02Z b2\n2024-01-01T00:00:03Z b3")
-    res = _run(spark, [("svc1", "/a.log", False, None), ("svc2", "/b.log", False, None)], a + b,
-               max_total_log_lines=3)
-    assert _selected(res) == ["b2", "b3", "a4"]
-    counts = {r.service: r.returned_log_records for r in res.summary.collect()}
-    assert counts == {"svc1": 1, "svc2": 2}
-
-
 def test_journal_window_is_lenient_and_out_of_window_not_inherited(spark):
     j = _file("svc1", "unit", "2024-01-01T00:00:00Z too-early\nno ts after early\n"
               "2024-01-01T07:00:00Z inside\nno ts after inside\n-- No entries --\n   ", journal=True)
@@ -195,8 +149,9 @@ def test_chunk_size_does_not_change_results(spark):
     outs = []
     for chunk_rows in (7, 1 << 20):
         res = collect_service_logs(FX.log_lines(spark, sf), CAT.f1_sources(spark, sf), FX.source_errors(spark, sf),
-                                   CAT.SERVICE_PARAMS, chunk_rows=chunk_rows, materialize=False)
-        outs.append(sorted(map(tuple, res.lines.select("service", "file", "seq", "rank_ms", "matched").collect())))
+                                   CAT.SERVICE_PARAMS, chunk_rows=chunk_rows)
+        outs.append([sorted(map(tuple, df.collect())) for df in (
+            res.selected.select("service", "file", "seq", "rank_ms", "line"), res.counts)])
     assert outs[0] == outs[1]
 
 
@@ -218,23 +173,37 @@ def test_journal_entry_time_selection_is_pushed_down(spark, tmpdir_fresh):
     params = ServiceLogParams(now_ms=0, window=w)
     res = collect_service_logs(lines, src, None, params, materialize=False, entry_time_col="entry_ms")
     assert sorted(r.line for r in res.selected.collect()) == ["file line", "no ts new entry", "stamped"]
-    plan = res.lines._jdf.queryExecution().executedPlan().toString()
-    assert "entry_ms" in plan.split("PushedFilters")[1][:400] if "PushedFilters" in plan else False
+    plan = res.newest._jdf.queryExecution().executedPlan().toString()
+    assert any("entry_ms" in part[:400] for part in plan.split("PushedFilters")[1:])
     # without it the untimestamped old entry passes the lenient window
     res2 = collect_service_logs(lines, src, None, params, materialize=False)
     assert "no ts old entry" in [r.line for r in res2.selected.collect()]
 
 
 def test_top_k_equals_a_sorted_list(spark):
-    """Also with many equal and NULL ranks, whatever the buckets hold."""
+    """Also with many equal and NULL ranks, whatever the levels of the tree."""
     import random
     from obsspark.operators.rank import newest_lines
     rnd = random.Random(3)
     rows = [(f"s{rnd.randint(0, 5)}", i, (rnd.randint(0, 500) if rnd.random() < 0.9 else None)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "src string, seq long, rank_ms long")
+    df = spark.createDataFrame(rows, "src string, seq long, rank_ms long").repartition(9)
     want = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0], r[1]), reverse=True)
-    for k in (1, 10, 400, 2900, 5000):
-        assert [tuple(r) for r in newest_lines(df, k, "rank_ms", ["src", "seq"]).collect()] == want[:k]
+    for k, levels in ((1, 4), (10, 0), (10, 1), (400, 2), (2900, 3), (5000, None)):
+        assert [tuple(r) for r in newest_lines(df, k, "rank_ms", ["src", "seq"], fan_in=2, levels=levels).collect()] == want[:k]
+
+
+def test_no_task_of_the_top_k_tree_merges_more_than_its_fan_in(spark):
+    """Rows that reach a level: at most fan_in x K of each group of tasks."""
+    from obsspark.operators.rank import limit_in_tree, merge_levels, rank_order
+    assert [merge_levels(spark, 64, n) for n in (1, 64, 65, 4096, 4097, 10**6)] == [0, 0, 1, 1, 2, 3]
+    df = spark.range(0, 6400, 1, 32).select(F.col("id").alias("seq"), (F.col("id") % 97).alias("rank_ms"))
+    order = rank_order("rank_ms", ["seq"])
+    for levels, groups in ((1, 8), (2, 2), (3, 1)):
+        got = limit_in_tree(df, [], order, 5, fan_in=4, levels=levels)
+        assert got.count() == 5 * groups
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # every level limits twice: in the tasks before its shuffle, and after it
+        assert plan.count("WindowGroupLimit") == 2 * levels
 
 
 def test_journal_limit_counts_blank_lines(spark):
@@ -243,28 +212,6 @@ def test_journal_limit_counts_blank_lines(spark):
     assert _selected(res) == ["beta", "gamma"]
 
 
-def test_ranking_edge_cases(spark):
-    src = [("svc1", "/a.log", False, None)]
-    cases = [
-        ("first\nsecond\nthird", 2, ["second", "third"], 3),
-        ("2024-01-01T00:00:00Z old timestamped\nuntimestamped newest", 1, ["untimestamped newest"], 2),
-        ("2024-01-02T00:00:00Z newer timestamped\nuntimestamped after newer\n2024-01-01T00:00:00Z older timestamped",
-         1, ["untimestamped after newer"], 3),
-    ]
-    for text, k, want, matched in cases:
-        res = _run(spark, src, _file("svc1", "/a.log", text), max_total_log_lines=k)
-        assert _selected(res) == want
-        t = res.totals.first()
-        assert (t.line_limited, t.matched_log_records, t.returned_log_records) == (True, matched, k)
-
-
-def test_same_time_lines_keep_service_order(spark):
-    a = _file("svc1", "/a.log", "2024-01-01T00:00:00Z svc1-line")
-    b = _file("svc2", "/b.log", "2024-01-01T00:00:00Z svc2-line", start=10)
-    res = _run(spark, [("svc1", "/a.log", False, None), ("svc2", "/b.log", False, None)], a + b)
-    assert _selected(res) == ["svc1-line", "svc2-line"]
-
-
 def test_no_entries_only_when_user_journal_read_nothing(spark):
     j = _file("svc1", "uunit", "2024-01-01T00:00:00Z something", journal=True)
     res = _run(spark, [("svc1", "uunit", True, "user")], j, include=("absent",))
