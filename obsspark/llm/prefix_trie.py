@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from obsspark.llm.common import map_arrow, small_join, stored
 
 #: turns below a shared prefix that a task may hold at once
-GROUP_TURNS = 1 << 17
+GROUP_TURNS = 1 << 11
 #: ids in one piece of a node's id list
 PIECE_IDS = 1000
 #: children from which a node's row is handed to its children by a broadcast join
