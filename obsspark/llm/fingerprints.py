@@ -37,7 +37,7 @@ from obsspark.llm.shingles import mix, word_runs
 #: samples of a fingerprint
 SAMPLES = 64
 #: bytes of texts, and terms, handled at once
-TEXT_BYTES, TERMS = 1 << 18, 1 << 13
+TEXT_BYTES, TERMS = 1 << 18, 1 << 15
 
 _U = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**62, size=1024, dtype=np.uint64) * _U(2) + _U(1)
@@ -61,9 +61,12 @@ def weighted_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.cumsum(counts), np.concatenate(terms), np.concatenate(weights)
 
 
-def sampled(offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
-    """One row of ``samples`` 16-bit samples per document, zeros for one without terms."""
-    best = np.full((samples, len(offsets) - 1), np.iinfo(np.uint64).max, dtype=_U)
+_NONE = np.iinfo(np.uint64).max
+
+
+def least_keys(offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """The least (score, tag) of every sample (row) and every run of terms (column)."""
+    best = np.full((samples, len(offsets) - 1), _NONE, dtype=_U)
     for lo in range(0, len(terms), TERMS):
         hi = min(lo + TERMS, len(terms))
         term = terms[lo:hi]
@@ -80,8 +83,6 @@ def sampled(offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, samples
             np.right_shift(z, _U(32), out=y)
             np.bitwise_xor(z, y, out=z)
             np.multiply(z, _STIR, out=z)
-            np.right_shift(z, _U(32), out=y)
-            np.bitwise_xor(z, y, out=z)
             unit = u.astype(np.float32)
             unit += np.float32(0.5)
             unit *= _UNIT
@@ -98,9 +99,42 @@ def sampled(offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, samples
             np.negative(score, out=score)
             score_bits[:] = score.view(np.uint32)
             best[k, docs] = np.minimum(best[k, docs], np.minimum.reduceat(key, starts))
-    out = best.T.astype(np.uint16)
-    out[np.diff(offsets) == 0] = 0
-    return out
+    return best
+
+
+def _tags(best: np.ndarray) -> np.ndarray:
+    return np.where(best == _U(_NONE), _U(0), best).T.astype(np.uint16)
+
+
+def sampled(offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """One row of ``samples`` 16-bit samples per document, zeros for one without terms."""
+    return _tags(least_keys(offsets, terms, weights, samples))
+
+
+def paired(texts: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of texts and of other texts, each pair's common (term, weight) sampled once."""
+    out, at = [], 0
+    while at < len(texts):
+        lo, size = at, 0
+        while at < len(texts) and size < TEXT_BYTES:
+            size += len(texts[at])
+            at += 1
+        offsets, terms, weights = weighted_terms([x.encode() for i in range(lo, at) for x in (texts[i], others[i])])
+        bounds, order = [0], []
+        for i in range(0, len(offsets) - 1, 2):
+            a, b, end = offsets[i:i + 3]
+            place = np.minimum(np.searchsorted(terms[b:end], terms[a:b]), max(end - b - 1, 0)) + b
+            common = np.zeros(b - a, dtype=bool) if a == b or b == end else (terms[place] == terms[a:b]) & (weights[place] == weights[a:b])
+            rest = np.ones(end - b, dtype=bool)
+            rest[place[common] - b] = False
+            runs = a + np.flatnonzero(~common), a + np.flatnonzero(common), b + np.flatnonzero(rest)
+            order += runs
+            bounds += [len(r) for r in runs]
+        take = np.concatenate(order)
+        best = least_keys(np.cumsum(bounds), terms[take], weights[take])
+        out.append((_tags(np.minimum(best[:, 0::3], best[:, 1::3])), _tags(np.minimum(best[:, 1::3], best[:, 2::3]))))
+    a, b = zip(*out, strict=True)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
@@ -136,11 +170,14 @@ _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary
 DONE, FIRST, LAST = 0, 1, 2
 
 
-def _finished(part: int, ids: list, texts: list[str], marks: np.ndarray, nexts: list[str], next_marks: np.ndarray) -> list[tuple]:
-    changed = [edited(t, n) for t, n in zip(texts, nexts, strict=True)]
-    other = fingerprints(changed)
-    return [(part, DONE, i, len(t), sha256(c.encode()).hexdigest(), m.tobytes(), o.tobytes(), e, n, None) for i, t, c, m, o, e, n in zip(
-        ids, texts, changed, marks, other, likeness(marks, other).tolist(), likeness(marks, next_marks).tolist(), strict=True)]
+def _finished(part: int, ids: list, texts: list[str], last_mark: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """Rows of all texts but the last one, each with the next, and the first text's samples."""
+    changed = [edited(t, n) for t, n in zip(texts, texts[1:], strict=False)]
+    marks, other = paired(texts[:-1], changed)
+    following = np.vstack([marks[1:], last_mark])
+    rows = [(part, DONE, i, len(t), sha256(c.encode()).hexdigest(), m.tobytes(), o.tobytes(), e, n, None) for i, t, c, m, o, e, n in zip(
+        ids, texts, changed, marks, other, likeness(marks, other).tolist(), likeness(marks, following).tolist(), strict=False)]
+    return rows, marks[0]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -161,25 +198,27 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(column[hi].as_py() or "")
                 size += len(texts[-1])
                 hi += 1
-            ids, marks = all_ids[lo:hi], fingerprints(texts)
-            lo = hi
-            if held is None:
-                yield _batch([(part, FIRST, None, None, None, marks[0].tobytes(), None, None, None, texts[0])])
-            else:
-                ids, texts, marks = [held[0], *ids], [held[1], *texts], np.vstack([held[2][None], marks])
+            ids, lo = all_ids[lo:hi], hi
+            if held is not None:
+                ids, texts = [held[0], *ids], [held[1], *texts]
+            mark = fingerprints(texts[-1:])
+            first = mark[0]
             if len(ids) > 1:
-                yield _batch(_finished(part, ids[:-1], texts[:-1], marks[:-1], texts[1:], marks[1:]))
-            held = ids[-1], texts[-1], marks[-1]
+                rows, first = _finished(part, ids, texts, mark)
+                yield _batch(rows)
+            if held is None:
+                yield _batch([(part, FIRST, None, None, None, first.tobytes(), None, None, None, texts[0])])
+            held = ids[-1], texts[-1]
     if held is not None:
-        yield _batch([(part, LAST, held[0], None, None, held[2].tobytes(), None, None, None, held[1])])
+        yield _batch([(part, LAST, held[0], None, None, None, None, None, None, held[1])])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Last rows of parts, each with the first row of the part that follows."""
     for batch in batches:
         for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-            text, following, mark, next_mark = (batch.column(c)[i].as_py() for c in ("text", "next_text", "fingerprint", "next_fingerprint"))
-            yield _batch(_finished(0, [doc_id], [text], np.frombuffer(mark, np.uint16)[None], [following], np.frombuffer(next_mark, np.uint16)[None]))
+            text, following, mark = (batch.column(c)[i].as_py() for c in ("text", "next_text", "next_fingerprint"))
+            yield _batch(_finished(0, [doc_id], [text, following], np.frombuffer(mark, np.uint16)[None])[0])
 
 
 def weighted_fingerprints(docs: DataFrame) -> DataFrame:
@@ -201,9 +240,9 @@ def weighted_fingerprints(docs: DataFrame) -> DataFrame:
     after = tasks.select(F.col("part").alias("_at"), following.alias("_next"))
     first = parts.filter(F.col("place") == FIRST).select(F.col("part").alias("_first"), F.col("text").alias("next_text"),
                                                          F.col("fingerprint").alias("next_fingerprint"))
-    last = (parts.filter(F.col("place") == LAST).select("part", "doc_id", "text", "fingerprint")
+    last = (parts.filter(F.col("place") == LAST).select("part", "doc_id", "text")
             .join(after, F.col("part") == F.col("_at")).join(first, F.col("_next") == F.col("_first"))
-            .select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint"))
+            .select("doc_id", "text", "next_text", "next_fingerprint"))
     done = parts.filter(F.col("place") == DONE).unionByName(map_arrow(last, _across, _ROW))
     return done.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"),
                        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -119,3 +119,11 @@ def test_terms_are_sampled_alike_in_blocks(monkeypatch):
     whole = fingerprints.sampled(*fingerprints.weighted_terms(texts))
     monkeypatch.setattr(fingerprints, "TERMS", 37)
     assert (fingerprints.sampled(*fingerprints.weighted_terms(texts)) == whole).all()
+
+
+def test_pairs_are_sampled_as_each_text_alone(monkeypatch):
+    texts = [prose(i, i * 7 % 90) for i in range(30)] + ["", "one", " "]
+    others = [fingerprints.edited(t, n) for t, n in zip(texts, texts[1:] + texts[:1], strict=True)]
+    monkeypatch.setattr(fingerprints, "TEXT_BYTES", 500)
+    a, b = fingerprints.paired(texts, others)
+    assert (a == fingerprints.fingerprints(texts)).all() and (b == fingerprints.fingerprints(others)).all()
