@@ -44,7 +44,7 @@ def _iso_now(now_ms: int) -> str:
     return time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(now_ms / 1000)) + f".{now_ms % 1000:03d}Z"
 
 
-def _lines_from_sources(spark, registry, names, read_files: bool, journal: str | None, errors):
+def _lines_from_sources(spark, registry, names, read_files: bool, journal: str | None, errors, tail: int):
     """(service, source, block, row, raw) lines from the registry's own
     files and/or a journal table; journal entries use block =
     seq div chunk so both kinds share one arrival order and chunking."""
@@ -56,7 +56,7 @@ def _lines_from_sources(spark, registry, names, read_files: bool, journal: str |
     sources = expand_sources(select_services(registry, names)).withColumn("source", F.coalesce("file", "journal"))
     parts = []
     if read_files:
-        flines, ferrs = file_source_lines(spark, sources)
+        flines, ferrs = file_source_lines(spark, sources, tail_lines=tail)
         parts.append(flines)
         errors = ferrs if errors is None else errors.unionByName(ferrs, allowMissingColumns=True)
     if journal:
@@ -147,7 +147,7 @@ def run(argv: list[str] | None = None, spark=None) -> str:
         if a.lines:
             lines = spark.read.parquet(a.lines)
         else:
-            lines, errors = _lines_from_sources(spark, registry, names, a.read_files, a.journal, errors)
+            lines, errors = _lines_from_sources(spark, registry, names, a.read_files, a.journal, errors, a.tail)
             order, chunk = ["block", "row"], "block"
         bundle = service_bundle_request(
             spark, registry, lines, errors, spark.read.parquet(a.scrapes) if a.scrapes else None, params,

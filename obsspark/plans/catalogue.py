@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsspark.functions.text import is_journal_noise
@@ -34,6 +34,7 @@ from obsspark.plans.service_logs import collect_service_logs
 from obsspark.session import ensure_session_defaults, shared_dir
 from obsspark.sources import fixtures as FX
 from obsspark.sources.bundle import read_bundle, write_bundle
+from obsspark.sources.files import file_source_lines, write_source_files
 from obsspark.sources.journal import journal_with_fallback
 from obsspark.sources.registry import parse_services
 from obsspark.sources.scrapes import read_scrapes
@@ -211,6 +212,36 @@ def q_missing_sources(spark, d):
     return service_logs(spark, d).diagnostics
 
 
+def _written_files(spark, d):
+    """F1's lines as one text file per source in the shared folder: (service, file, path)."""
+    return write_source_files(FX.log_lines(spark, d), shared_dir(spark, "log-files"), ["service", "file"], ["seq"])
+
+
+@register("log_files", f"""with f1 as ({O.F1})
+select service, file, raw, null::varchar as code from f1
+union all
+select distinct service, file || '.1', null, 'ENOENT' from f1""")
+def q_log_files(spark, d):
+    """Text files of many byte ranges read by tasks; for each source a rotated file that is not there."""
+    found = _written_files(spark, d)
+    rotated = found.select("service", F.concat("file", F.lit(".1")).alias("file"), F.concat("path", F.lit(".1")).alias("path"))
+    lines, errors = file_source_lines(spark, found.unionByName(rotated), ("service", "file"), "path", split_bytes=4096)
+    none = F.lit(None).cast("string")
+    return (lines.select("service", "file", "raw", none.alias("code"))
+            .unionByName(errors.select("service", "file", none.alias("raw"), "code")))
+
+
+@register("file_tails", f"""with f1 as ({O.F1})
+select service, file, raw, from_end from (
+  select service, file, raw, row_number() over (partition by service, file order by seq desc) as from_end from f1)
+where from_end <= {TAIL}""")
+def q_file_tails(spark, d):
+    """The last N physical lines of text files, read from their ends."""
+    lines, _ = file_source_lines(spark, _written_files(spark, d), ("service", "file"), "path", tail_lines=TAIL, split_bytes=4096)
+    newest = F.row_number().over(Window.partitionBy("service", "file").orderBy(F.desc("block"), F.desc("row")))
+    return lines.select("service", "file", "raw", newest.cast("long").alias("from_end"))
+
+
 # ------------------------------------------------------------ services (F2)
 
 

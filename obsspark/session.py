@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import os
 import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 # Largest per-source tail we plan for; the WindowGroupLimit pruning of
 # row_number() <= N is only planned when N is below this threshold.
@@ -75,6 +77,32 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     return os.path.join(base.rstrip("/"), f"{sub}-{uuid.uuid4().hex}")
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder (a reliable checkpoint) and read from there."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python, whatever their search path; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_obsspark_sources_shipped", False):
+        return
+    folder = os.path.join(SparkFiles.getRootDirectory(), "package")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, "obsspark_sources.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for sub in ("", "functions", "sources"):
+            for name in sorted(os.listdir(os.path.join(_PACKAGE, sub))):
+                if name.endswith(".py"):
+                    z.write(os.path.join(_PACKAGE, sub, name), os.path.join("obsspark", sub, name))
+    context.addPyFile(path)
+    context._obsspark_sources_shipped = True
+
+
 def scale_settings(input_bytes: int, executor_cores_total: int, target_partition_bytes: int = 256 << 20,
                    max_tail: int = DEFAULT_WINDOW_GROUP_LIMIT) -> dict[str, str]:
     """Session settings sized for an input of ``input_bytes``.

@@ -1,18 +1,18 @@
-"""Log files as a line table; J4 helper: which expected paths exist."""
+"""Log files as a line table; J4: which expected paths cannot be read."""
 
 from __future__ import annotations
 
-import re
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obsspark.session import keep
+from obsspark.sources.ranges import SPLIT_BYTES, TAIL_BYTES, file_ranges, list_files, read_ranges, tail_ranges
+
 #: rows after which a task counts on to the next block
 BLOCK_ROWS = 50_000
 
-_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):/+"
-
 
 def read_log_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Physical lines of text files: (file, block, row, raw).
@@ -36,64 +36,43 @@ def read_log_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.col("value").alias("raw"))
 
 
-def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """The subset of ``paths`` that exist (Hadoop FileSystem metadata
-    calls on the driver; one per configured path, no data read)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out = []
-    for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        if hp.getFileSystem(conf).exists(hp):
-            out.append(p)
-    return out
-
-
-def missing_file_errors(spark: SparkSession, sources: DataFrame, path_col: str = "file") -> DataFrame:
-    """J4 for files: expected file sources whose path does not exist,
-    as source errors (code ENOENT) ready for ``missing_sources``."""
-    paths = [r[0] for r in sources.filter(F.col(path_col).isNotNull()).select(path_col).distinct().collect()]
-    have = existing_paths(spark, paths)
-    present = spark.createDataFrame([(p,) for p in have], f"{path_col} string")
-    return (sources.filter(F.col(path_col).isNotNull()).join(present, path_col, "left_anti")
-            .withColumns({"code": F.lit("ENOENT"), "stderr": F.lit(""),
-                          "message": F.concat(F.lit("ENOENT: no such file '"), F.col(path_col), F.lit("'"))}))
-
-
-def _qualified(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out = []
-    for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        # encoded like Spark's file_path; schemes come with one slash or more
-        out.append((p, re.sub(_SCHEME, r"\1:/", hp.getFileSystem(conf).makeQualified(hp).toUri().toString())))
-    return out
-
-
 def file_source_lines(spark: SparkSession, sources: DataFrame, keys: Sequence[str] = ("service", "source"),
-                      path_col: str = "file") -> tuple[DataFrame, DataFrame]:
+                      path_col: str = "file", tail_lines: int | None = None,
+                      split_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """S1 for registry file sources: (lines, errors).
 
-    ``lines``: keys + block + row + raw for every configured file that
-    exists (read in one text scan, mapped back to its sources by the
-    qualified path; a file shared by several sources feeds each, once
-    per value of ``keys`` however often a source lists it).
-    ``errors``: ENOENT rows for configured files that do not exist (J4).
-    Use ``order_col=["block", "row"]`` and ``chunk_col="block"`` with
-    ``collect_service_logs``.
+    ``lines``: keys + block + row + raw of every configured file that can be
+    read, the last ``tail_lines`` lines where given (read from the files'
+    ends); a file shared by several sources feeds each, once per value of
+    ``keys`` however often a source lists it.  ``errors``: keys + code, stderr,
+    message of configured files that cannot be read (J4: ENOENT, EACCES, ...).
+    Paths stay a table: they are looked up and opened by tasks, never
+    collected.  Use ``order_col=["block", "row"]`` and ``chunk_col="block"``
+    with ``collect_service_logs``.
     """
     keys = list(keys)
-    fsrc = sources.filter(F.col(path_col).isNotNull())
-    paths = [r[0] for r in fsrc.select(path_col).distinct().collect()]
-    have = existing_paths(spark, paths)
-    errors = missing_file_errors(spark, fsrc, path_col).select(*keys, "code", "stderr", "message").distinct()
-    if not have:
-        schema = ", ".join(f"{k} string" for k in keys) + ", block long, row long, raw string"
-        return spark.createDataFrame([], schema), errors
-    qual = spark.createDataFrame(_qualified(spark, have), f"{path_col} string, _qualified string")
-    raw = read_log_files(spark, have).withColumn("_qualified", F.regexp_replace("file", _SCHEME, "$1:/")).drop("file")
-    lines = (raw.join(qual, "_qualified", "inner")
-             .join(fsrc.select(*keys, path_col).distinct(), path_col, "inner")
-             .select(*keys, "block", "row", "raw"))
-    return lines, errors
+    wanted = sources.filter(F.col(path_col).isNotNull()).select(*keys, F.col(path_col).alias("_path")).distinct()
+    files = keep(list_files(wanted, "_path"))
+    if tail_lines is not None:
+        ranges = tail_ranges(files, tail_lines, split_bytes or TAIL_BYTES)
+    else:
+        ranges = file_ranges(files, split_bytes or SPLIT_BYTES).withColumn("skip", F.lit(0).cast("long"))
+    own = [f"_key{i}" for i in range(len(keys))]
+    owners = wanted.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col("_path"))
+    lines = read_ranges(ranges.join(owners, F.col("path") == F.col("_path")).select("path", "start", "end", "skip", *own), own)
+    failed = files.filter("code is not null").join(wanted, F.col("path") == F.col("_path"))
+    return (lines.withColumnsRenamed(dict(zip(own, keys, strict=True))),
+            failed.select(*keys, "code", F.lit("").alias("stderr"), "message"))
+
+
+def write_source_files(lines: DataFrame, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Lines (keys, order, raw) as one text file per source under ``path``; returns (keys, path) of the files.
+
+    For exports and for queries that read files back."""
+    spark = lines.sparkSession
+    (lines.select(*keys, *order, "raw").repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "raw")
+     .write.partitionBy(*keys).text(path))
+    kinds = dict(lines.dtypes)
+    # the contents column is not read, only the listing
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    return found.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], "path")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsspark.sources.bundle import conform, read_bundle, write_bundle
-from obsspark.sources.files import existing_paths, file_source_lines, read_log_files
+from obsspark.sources.files import file_source_lines, read_log_files
 from obsspark.sources.kube import read_container_logs, read_events, read_pods
 from obsspark.plans.catalogue import _registry_documents
 from obsspark.sources.registry import parse_services, read_services
@@ -25,7 +25,6 @@ def test_read_log_files_splits_on_newline_only(spark, tmpdir_fresh):
         f.write("2024-01-01T00:00:00Z one\r\n\ntwo\rthree\nlast")
     rows = read_log_files(spark, [p]).orderBy("block", "row").collect()
     assert [r.raw for r in rows] == ["2024-01-01T00:00:00Z one\r", "", "two\rthree", "last"]
-    assert existing_paths(spark, [p, p + ".missing"]) == [p]
 
 
 def test_read_pods_events_services(spark, tmpdir_fresh):
