@@ -88,31 +88,24 @@ def service_log_records(logs: ServiceLogs, sources: DataFrame, params: ServiceLo
     lines = sel_src.select(F.lit(2).alias("section"), F.col("rank_ms").alias("k1"), line_key.alias("k2"),
                            F.col(order[-1]).alias("k3"), F.lit("log").alias("type"), "service",
                            *_source_fields(sel_src), "ts", "line")
-    items = F.array_sort(F.collect_list(F.struct(
-        skey.alias("_k"), F.col("service"), *_source_fields(summ),
+    return (conform(diag).unionByName(conform(lines))
+            .unionByName(_summary_records(logs.totals, summ, skey, _source_fields(summ), params.now_ms)))
+
+
+def _summary_records(totals: DataFrame, summ: DataFrame, skey, fields: list, now_ms: int) -> DataFrame:
+    """G2 record: totals plus ``sources[]`` in source order, an item a row, so
+    that the list is sorted and written like any other rows of the bundle."""
+    head = totals.select(
+        F.lit(3).alias("section"), F.lit("log_summary").alias("type"), _now_iso(now_ms).alias("ts"), "max_total_log_lines",
+        "line_limited", "matched_log_records", "returned_log_records", "diagnostic_records", F.lit(0).alias("part"))
+    end = totals.select(F.lit(3).alias("section"), F.lit(2).cast("long").alias("k1"), F.lit("log_summary").alias("type"), F.lit(2).alias("part"))
+    first = summ.agg(F.min(skey)).scalar()
+    items = summ.select(
+        F.lit(3).alias("section"), F.lit(1).cast("long").alias("k1"), skey.alias("k2"), F.when(skey == first, 0).otherwise(1).cast("long").alias("k3"),
+        F.lit("log_summary").alias("type"), F.lit(1).alias("part"), "service", *fields,
         "raw_log_records", "matched_log_records", "returned_log_records",
-        *[F.col(c) if c in summ.columns else F.lit(None).cast(t).alias(c)
-          for c, t in (("skipped", "boolean"), ("reason", "string"), ("error", "string"))])))
-    per_source = summ.agg(items.alias("_items"))
-    summary = _summary_record(logs.totals, per_source, params.now_ms)
-    return conform(diag).unionByName(conform(lines)).unionByName(summary)
-
-
-def _summary_record(totals: DataFrame, per_source: DataFrame, now_ms: int) -> DataFrame:
-    """G2 record: totals plus ``sources[]`` in source order.  Both inputs
-    are single-row aggregates; they are stacked and folded with ``max``
-    (one row each side, so no join is needed)."""
-    tcols = ["max_total_log_lines", "line_limited", "matched_log_records", "returned_log_records",
-             "diagnostic_records"]
-    stacked = (totals.select(*tcols, F.lit(None).alias("_items").cast(per_source.schema["_items"].dataType))
-               .unionByName(per_source.select(*[F.lit(None).cast(totals.schema[c].dataType).alias(c) for c in tcols],
-                                              "_items")))
-    folded = stacked.agg(*[F.max(c).alias(c) for c in tcols], F.max("_items").alias("_items"),
-                         F.count("max_total_log_lines").alias("_has"))
-    drop_key = F.transform(F.col("_items"), lambda s: s.dropFields("_k"))
-    return conform(folded.filter(F.col("_has") > 0).select(
-        F.lit(3).alias("section"), F.lit("log_summary").alias("type"), _now_iso(now_ms).alias("ts"), *tcols,
-        drop_key.alias("sources")))
+        *[c for c in ("skipped", "reason", "error") if c in summ.columns])
+    return conform(head).unionByName(conform(items)).unionByName(conform(end))
 
 
 def service_metric_records(outcomes: DataFrame, now_ms: int) -> DataFrame:

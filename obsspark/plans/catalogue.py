@@ -771,7 +771,9 @@ select {', '.join(c if c != 'journal_scope' else scope + ' as journal_scope' for
 @register("service_bundle", _service_bundle_sql(SERVICE_BUNDLE_COLS))
 def q_service_bundle(spark, d):
     """The whole service bundle as flat ordered records."""
-    return service_bundle_df(spark, d).select(*SERVICE_BUNDLE_COLS)
+    flat = service_bundle_df(spark, d)
+    # one row per record: the summary's list of sources is compared in summary_sources
+    return flat.filter("part is null or part = 0").select(*SERVICE_BUNDLE_COLS)
 
 
 ROUNDTRIP_COLS = [c for c in SERVICE_BUNDLE_COLS if c not in ("section", "k1", "k3")]
@@ -785,6 +787,29 @@ def q_bundle_roundtrip(spark, d):
     return read_bundle(spark, path).select(*ROUNDTRIP_COLS)
 
 
+@register("summary_sources", f"""with {_b1_ctes()}
+select service, file, is_journal, raw_log_records, matched_log_records, returned_log_records, skipped, reason, error,
+       cast(row_number() over (order by service, is_journal, file) - 1 as integer) as place from summ""")
+def q_summary_sources(spark, d):
+    """The summary record's list of sources, written as items of one record and read back in order."""
+    path = shared_dir(spark, "bundle")
+    write_bundle(service_bundle_df(spark, d), path)
+    rec = read_bundle(spark, path).filter("type = 'log_summary'").select(F.posexplode("sources").alias("place", "s"))
+    return rec.select("s.service", F.coalesce("s.file", "s.journal").alias("file"), F.col("s.journal").isNotNull().alias("is_journal"),
+                      "s.raw_log_records", "s.matched_log_records", "s.returned_log_records", "s.skipped", "s.reason", "s.error", "place")
+
+
+@register("bundle_order", f"""with {_b1_ctes()}
+select row_number() over (order by rank_ms nulls first, service, is_journal, file, seq) + (select count(*) from diag) as record_no,
+       service, file, line from sel""")
+def q_bundle_order(spark, d):
+    """The places that a written bundle's log lines have when it is read back."""
+    path = shared_dir(spark, "bundle")
+    write_bundle(service_bundle_df(spark, d), path)
+    rec = read_bundle(spark, path).filter("type = 'log' and skipped is null and (ts is null or ts <> '--')")
+    return rec.select("record_no", "service", F.coalesce("file", "journal").alias("file"), "line")
+
+
 # The catalogue bundles every selected pod of the whole tables, so the
 # line budget (G3) and the window width are raised (callers may raise the
 # hard maxima); the guard itself is exercised by unit tests.

@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsspark.session import keep, ship_package
@@ -36,7 +36,8 @@ _FILE = re.compile(r"^file:/*")
 _SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://")
 
 
-def _locate(path: str, default: str) -> tuple[fs.FileSystem, str]:
+def locate(path: str, default: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it."""
     if _FILE.match(path):
         return fs.LocalFileSystem(), _FILE.sub("/", path)
     if _SCHEME.match(path):
@@ -47,25 +48,27 @@ def _locate(path: str, default: str) -> tuple[fs.FileSystem, str]:
 
 
 def _open(path: str, default: str):
-    system, inner = _locate(path, default)
+    system, inner = locate(path, default)
     if path.endswith(".gz"):
         return system.open_input_stream(inner, compression="gzip")
     return system.open_input_file(inner)
 
 
-def _run(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def run_on_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def _default(df: DataFrame) -> str:
-    return df.sparkSession.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+def default_store(spark: SparkSession) -> str:
+    """The file system of paths without a scheme."""
+    return spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
 
 
 def _look_up(path: str, default: str) -> tuple[int | None, str | None, str | None]:
     """(size, code, message): a code where the file cannot be read."""
     try:
-        system, inner = _locate(path, default)
+        system, inner = locate(path, default)
         info = system.get_file_info(inner)
         if info.type == fs.FileType.NotFound:
             return None, "ENOENT", f"ENOENT: no such file '{path}'"
@@ -83,7 +86,7 @@ def _look_up(path: str, default: str) -> tuple[int | None, str | None, str | Non
 
 def list_files(paths: DataFrame, path_col: str = "file") -> DataFrame:
     """(path, size, code, message) of the distinct non-null paths: ``code`` and ``message`` of those that cannot be read."""
-    default = _default(paths)
+    default = default_store(paths.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +96,7 @@ def list_files(paths: DataFrame, path_col: str = "file") -> DataFrame:
                                              ["path", "size", "code", "message"])
 
     names = paths.select(F.col(path_col).alias("path")).filter("path is not null").distinct()
-    return _run(names, run, "path string, size long, code string, message string")
+    return run_on_batches(names, run, "path string, size long, code string, message string")
 
 
 def _whole(path: Column) -> Column:
@@ -176,7 +179,7 @@ def read_ranges(ranges: DataFrame, columns: list[str]) -> DataFrame:
     (block, row) is the order of a file's lines.  Every range is a row that is
     dealt by itself, so that a large file is read by many tasks.
     """
-    default = _default(ranges)
+    default = default_store(ranges.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in ranges.schema.fields}
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], "block long", "row long", "raw string"])
 
@@ -204,12 +207,12 @@ def read_ranges(ranges: DataFrame, columns: list[str]) -> DataFrame:
                     yield done()
 
     needed = list(dict.fromkeys([*columns, "path", "start", "end", "skip"]))
-    return _run(ranges.select(*needed).repartition(F.col("path"), F.col("start")), run, schema)
+    return run_on_batches(ranges.select(*needed).repartition(F.col("path"), F.col("start")), run, schema)
 
 
 def _counted(ranges: DataFrame) -> DataFrame:
     """Ranges (path, size, at, start, end) with their number of lines."""
-    default = _default(ranges)
+    default = default_store(ranges.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +221,7 @@ def _counted(ranges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(here, pa.int64())], [*batch.schema.names, "here"])
 
     own = ranges.select("path", "size", "at", "start", "end").repartition(F.col("path"), F.col("start"))
-    return _run(own, run, "path string, size long, at long, start long, end long, here long")
+    return run_on_batches(own, run, "path string, size long, at long, start long, end long, here long")
 
 
 def tail_ranges(files: DataFrame, n: int, split_bytes: int = TAIL_BYTES) -> DataFrame:

@@ -1,13 +1,9 @@
-"""Read a written bundle as its consumers do: parts in name order, as one gzip file."""
+"""Read a written bundle as its consumers do: one gzip file."""
 
-import glob
 import gzip
 import os
 
 
 def bundle_text(folder: str) -> str:
-    data = b""
-    for part in sorted(glob.glob(os.path.join(folder, "part-*.gz"))):
-        with open(part, "rb") as f:
-            data += f.read()
-    return gzip.decompress(data).decode("utf-8")
+    with gzip.open(os.path.join(folder, "bundle.ndjson.gz"), "rb") as f:
+        return f.read().decode("utf-8")

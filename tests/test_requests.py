@@ -64,8 +64,8 @@ def test_service_request_bundle(spark):
     lines_out = [k for k in kinds if k[0] == 2]
     assert [k[5] for k in lines_out] == ["cron untimestamped", "api up", "journal line"]
     assert [k[4] for k in lines_out] == [None, None, "api.service"]
-    summ = [r for r in rows if r.type == "log_summary"][0]
-    assert [(s.service, s.file, s.journal) for s in summ.sources] == [
+    summ = [r for r in rows if r.type == "log_summary" and r.part == 1]
+    assert [(s.service, s.file, s.journal) for s in summ] == [
         ("api", "/var/log/api.log", None), ("api", None, "api.service"), ("worker", None, "worker.service"),
         ("cron", "/var/log/cron.log", None)]
     metrics = [(r.service, r.ok, r.reason) for r in rows if r.type == "metrics_text"]
@@ -274,8 +274,8 @@ def test_service_request_from_text_files(spark, tmpdir_fresh):
         ("log", a, "plain two", None), ("log", a, "three", None),
         ("log_summary", None, None, None)]
     # tail 3 of 4 physical lines: "plain two", "", "three" -> 2 non-empty
-    summ = [r for r in rows if r.type == "log_summary"][0]
-    assert [(s.file, s.raw_log_records, s.reason) for s in summ.sources] == [(a, 2, None), (gone, 0, "file_not_found")]
+    summ = [r for r in rows if r.type == "log_summary" and r.part == 1]
+    assert [(s.file, s.raw_log_records, s.reason) for s in summ] == [(a, 2, None), (gone, 0, "file_not_found")]
 
 
 def test_jobs_cli_files_and_journal(spark, tmpdir_fresh):
@@ -331,8 +331,8 @@ def test_file_listed_twice_is_read_once_per_place(spark):
     b = service_bundle_request(spark, reg, lines, None, None, ServiceLogParams(now_ms=1_706_659_200_000, tail_lines=2),
                                Principal(admin=True), include_metrics=False)
     assert sorted(r.line for r in b.filter("type = 'log'").collect()) == ["b", "b", "c", "c"]
-    (summary,) = b.filter("type = 'log_summary'").collect()
-    assert [(s.raw_log_records, s.returned_log_records) for s in summary.sources] == [(2, 2), (2, 2)]
+    summary = b.filter("type = 'log_summary' and part = 1").collect()
+    assert [(s.raw_log_records, s.returned_log_records) for s in summary] == [(2, 2), (2, 2)]
 
 
 def test_invalid_registry_fails_the_request(spark):

@@ -170,29 +170,83 @@ def test_read_journal_selectors(spark):
     assert [r.seq for r in read_journal(jl, user_unit="a.service", uid="1000").collect()] == [2]
 
 
-def test_multipart_bundle_parts_are_in_bundle_order(spark, tmpdir_fresh):
-    """Parallel write: reading part files in name order gives the
-    bundle order (range-partitioned global sort)."""
-    from obsspark.plans import catalogue as CAT
-    from obsspark.sources.bundle import bundle_text
-    flat = CAT.service_bundle_df(spark, "/root/testdata/sf0.001")
+def _parallel(spark, tmpdir_fresh, flat):
+    """Written by several tasks: (folder, rows of the manifest)."""
+    out = os.path.join(tmpdir_fresh, "parts")
     old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        out = os.path.join(tmpdir_fresh, "parts")
         write_bundle(flat, out)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
-    parts = sorted(glob.glob(os.path.join(out, "part-*.gz")))
-    assert len(parts) > 1
-    got = []
-    for p in parts:
-        with gzip.open(p, "rt") as f:
-            got += f.read().splitlines()
-    want = [r.value for r in bundle_text(flat).orderBy(
+    return out, spark.read.json(os.path.join(out, "manifest")).orderBy("offset").collect()
+
+
+def test_members_are_in_bundle_order(spark, tmpdir_fresh):
+    """Parallel write: the file has the members in bundle order, the manifest where each begins."""
+    from obsspark.plans import catalogue as CAT
+    from obsspark.sources.bundle import bundle_text as text_of
+    flat = CAT.service_bundle_df(spark, "/root/testdata/sf0.001")
+    out, members = _parallel(spark, tmpdir_fresh, flat)
+    assert len(members) > 1
+    want = "".join(r.value + ("\n" if r.ends else "") for r in text_of(flat).orderBy(
         F.col("section"), F.col("k1").asc_nulls_first(), F.col("k2").asc_nulls_first(),
-        F.col("k3").asc_nulls_first()).collect()]
-    assert got == want
+        F.col("k3").asc_nulls_first()).collect())
+    assert bundle_text(out) == want
+    assert not os.path.exists(os.path.join(out, "members"))
+    lines = want.splitlines()
+    back = read_bundle(spark, out).orderBy("record_no").collect()
+    assert [r.record_no for r in back] == list(range(len(lines)))
+    assert [r.type for r in back] == [json.loads(x)["type"] for x in lines]
+    assert {r.member for r in back} == {m.member for m in members if m.records}
+
+
+def test_records_that_cross_members(spark, tmpdir_fresh):
+    """A record of many items lies in several members; each record is read once, by the member it begins in."""
+    n = 400
+    head = [(0, None, None, None, "meta", None, 1, None), (3, None, None, None, "log_summary", None, None, 0), (3, 2, None, None, "log_summary", None, None, 2),
+            (4, None, "a", None, "metrics_text", None, None, None)]
+    items = [(3, 1, f"{i:04d}", min(i, 1), "log_summary", f"svc {i}", i, 1) for i in range(n)]
+    flat = conform(spark.createDataFrame(head + items, "section int, k1 long, k2 string, k3 long, type string, service string, raw_log_records long, part int"))
+    out, members = _parallel(spark, tmpdir_fresh, flat)
+    assert len(members) > 4 and any(not m.records for m in members) and not all(m.begins for m in members)
+    recs = [json.loads(x) for x in bundle_text(out).splitlines()]
+    assert [r["type"] for r in recs] == ["meta", "log_summary", "metrics_text"]
+    assert recs[1]["sources"] == [{"service": f"svc {i}", "rawLogRecords": i} for i in range(n)]
+    back = read_bundle(spark, out).orderBy("record_no").collect()
+    assert [r.type for r in back] == ["meta", "log_summary", "metrics_text"]
+    assert [s.raw_log_records for s in back[1].sources] == list(range(n))
+
+
+def test_torn_bundles_are_refused(spark, tmpdir_fresh):
+    import shutil
+    rows = [(2, i, "k", i, "log", "svc", f"line {i} " + "x" * (i % 50)) for i in range(300)]
+    flat = conform(spark.createDataFrame(rows, "section int, k1 long, k2 string, k3 long, type string, service string, line string"))
+    out, members = _parallel(spark, tmpdir_fresh, flat)
+    assert read_bundle(spark, out).count() == 300
+    with pytest.raises(DataCheckError, match="exists already"):
+        write_bundle(flat, out)
+    file = os.path.join(out, "bundle.ndjson.gz")
+    with open(file, "rb") as f:
+        data = f.read()
+
+    def broken(name, new, manifest=True):
+        to = os.path.join(tmpdir_fresh, name)
+        os.makedirs(to)
+        if manifest:
+            shutil.copytree(os.path.join(out, "manifest"), os.path.join(to, "manifest"))
+        with open(os.path.join(to, "bundle.ndjson.gz"), "wb") as f:
+            f.write(new)
+        return to
+
+    with pytest.raises(DataCheckError, match="no manifest"):
+        read_bundle(spark, broken("uncommitted", data, manifest=False))
+    with pytest.raises(DataCheckError, match="torn"):
+        read_bundle(spark, broken("short", data[:-5]))
+    first, second = members[0], members[1]
+    swapped = data[second.offset:second.offset + second.bytes] + data[:first.bytes] + data[second.offset + second.bytes:]
+    with pytest.raises(Exception, match="manifest says"):
+        read_bundle(spark, broken("swapped", swapped)).count()
 
 
 def test_journal_source_lines_with_fallback(spark):
