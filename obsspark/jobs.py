@@ -44,7 +44,7 @@ def _iso_now(now_ms: int) -> str:
     return time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(now_ms / 1000)) + f".{now_ms % 1000:03d}Z"
 
 
-def _lines_from_sources(spark, registry, names, read_files: bool, journal: str | None, errors, tail: int):
+def _lines_from_sources(spark, registry, names, read_files: bool, journal: str | None, errors, tail: int, windowed: bool):
     """(service, source, block, row, raw) lines from the registry's own
     files and/or a journal table; journal entries use block =
     seq div chunk so both kinds share one arrival order and chunking."""
@@ -60,7 +60,7 @@ def _lines_from_sources(spark, registry, names, read_files: bool, journal: str |
         parts.append(flines)
         errors = ferrs if errors is None else errors.unionByName(ferrs, allowMissingColumns=True)
     if journal:
-        jl = journal_source_lines(sources, spark.read.parquet(journal))
+        jl = journal_source_lines(sources, spark.read.parquet(journal), tail_lines=None if windowed else tail)
         parts.append(jl.select("service", "source", F.expr(f"seq div {DEFAULT_CHUNK_ROWS}").alias("block"),
                                F.col("seq").alias("row"), "raw"))
     if not parts:
@@ -147,7 +147,7 @@ def run(argv: list[str] | None = None, spark=None) -> str:
         if a.lines:
             lines = spark.read.parquet(a.lines)
         else:
-            lines, errors = _lines_from_sources(spark, registry, names, a.read_files, a.journal, errors, a.tail)
+            lines, errors = _lines_from_sources(spark, registry, names, a.read_files, a.journal, errors, a.tail, params.window is not None)
             order, chunk = ["block", "row"], "block"
         bundle = service_bundle_request(
             spark, registry, lines, errors, spark.read.parquet(a.scrapes) if a.scrapes else None, params,

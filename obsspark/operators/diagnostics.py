@@ -149,6 +149,11 @@ def journal_user_errors(sources: DataFrame, keys: Sequence[str]) -> DataFrame:
             .select(*keys, "code", F.lit("").alias("stderr"), message.alias("message")))
 
 
+def without_journal(sources: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A6 by request: the ``keys`` of requests of whose sources none is a journal, so that a time window cannot apply."""
+    return sources.groupBy(*keys).agg(F.max("is_journal").alias("_any")).filter(~F.col("_any")).drop("_any")
+
+
 def assert_window_has_journal(sources: DataFrame, window) -> None:
     """A time window on a log request needs at least one journal
     source among the selected services (files cannot be windowed)."""

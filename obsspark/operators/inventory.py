@@ -204,9 +204,10 @@ def _container_names(arr: Column) -> Column:
     return F.filter(names, lambda n: n.isNotNull())
 
 
-def describe_pods(pods: DataFrame, admin: bool) -> DataFrame:
-    """Discovery listing; admins also see podIP, annotations and node."""
+def describe_pods(pods: DataFrame, admin: bool, keep: Sequence[str] = ()) -> DataFrame:
+    """Discovery listing; admins also see podIP, annotations and node.  Columns in ``keep`` stay as they are."""
     cols = [
+        *keep,
         F.col("metadata.namespace").alias("namespace"),
         F.col("metadata.name").alias("name"),
         F.coalesce(F.col("metadata.labels"), F.create_map().cast("map<string,string>")).alias("labels"),
@@ -242,10 +243,14 @@ def pod_refs(pods: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def unidentified_pods(refs: DataFrame) -> DataFrame:
+    """A4: pods without a namespace or a name."""
+    return refs.filter((F.col("namespace") == "") | (F.col("name") == ""))
+
+
 def assert_pod_identity(refs: DataFrame) -> None:
     """A4: every pod has a namespace and a name."""
-    assert_empty(refs.filter((F.col("namespace") == "") | (F.col("name") == "")),
-                 "Unexpected pod missing namespace/name")
+    assert_empty(unidentified_pods(refs), "Unexpected pod missing namespace/name")
 
 
 def missing_pods(requested: DataFrame, refs: DataFrame) -> DataFrame:

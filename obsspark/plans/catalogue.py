@@ -21,7 +21,7 @@ from obsspark.operators import events as EV
 from obsspark.operators import inventory as INV
 from obsspark.operators import metrics as M
 from obsspark.operators import triage as TR
-from obsspark.operators.diagnostics import USER_JOURNAL_PERMISSION_TEXT, classify_source_errors, journal_user_errors
+from obsspark.operators.diagnostics import USER_JOURNAL_PERMISSION_TEXT, classify_source_errors, journal_user_errors, without_journal
 from obsspark.operators.lines import (
     drop_empty, drop_journal_noise, filter_text, inherit_timestamp, parse_lines,
     since_filter, tail_per_source, time_window_lenient, time_window_strict)
@@ -35,7 +35,8 @@ from obsspark.session import ensure_session_defaults, shared_dir
 from obsspark.sources import fixtures as FX
 from obsspark.sources.bundle import read_bundle, write_bundle
 from obsspark.sources.files import file_source_lines, write_source_files
-from obsspark.sources.journal import journal_with_fallback
+from obsspark.sources.journal import journal_source_lines, journal_with_fallback
+from obsspark.sources.kube import read_container_logs, read_events, read_pods
 from obsspark.sources.registry import parse_services
 from obsspark.sources.scrapes import read_scrapes
 
@@ -1092,3 +1093,120 @@ def q_scrape_outcomes(spark, d):
     got = read_scrapes(spark, path, fmt="json")
     return got.groupBy("namespace", "http_status", "error_kind").agg(
         F.count(F.lit(1)).alias("n_pods"), F.sum(F.length("body")).alias("body_chars"))
+
+
+# ------------------------------------------- readers: written as the API's documents and read back
+
+PAGE_ITEMS = 2000
+
+
+def _write_pages(rows, number, item, path):
+    """List documents (items[] of PAGE_ITEMS numbers each) as one JSON file per page.  ``rows`` have ``number`` and ``item``."""
+    page = F.floor(F.col(number) / PAGE_ITEMS)
+    # at most PAGE_ITEMS items a page
+    docs = rows.groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(F.struct(number, F.to_json(item).alias("json")))).alias("items"))
+    text = F.concat(F.lit('{"kind":"List","items":['), F.array_join("items.json", ","), F.lit('],"metadata":{"continue":"'), F.col("page").cast("string"), F.lit('"}}'))
+    docs.select("page", text.alias("value")).repartition("page").write.partitionBy("page").text(path)
+
+
+@register("pod_pages", f"""with k as (select c_custkey, c_custkey // {PAGE_ITEMS} as page,
+  row_number() over (partition by c_custkey // {PAGE_ITEMS} order by c_custkey) - 1 as item from customer),
+f3 as ({O.F3})
+select k.item, f3.namespace, f3.name, f3.label_app, 'main' as containers, f3.ready
+from f3 join k on f3.name = 'pod-' || cast(k.c_custkey as varchar) where f3.label_tier = 'backend'""")
+def q_pod_pages(spark, d):
+    """Pods written as list documents, each read back in ranges by several tasks, then listed."""
+    objects = pod_objects(spark, d).withColumn("number", F.substring_index("metadata.name", "-", -1).cast("long"))
+    path = shared_dir(spark, "pod-pages")
+    _write_pages(objects.select("number", F.struct("metadata", "spec", "status").alias("item")), "number", "item", path)
+    pods = read_pods(spark, path, split_bytes=1 << 16)
+    p = INV.describe_pods(INV.pods_by_selector(pods, "*", "tier=backend"), admin=False, keep=("item",))
+    return p.select("item", "namespace", "name", F.col("labels")["app"].alias("label_app"),
+                    F.array_join("containers", ",").alias("containers"), "ready")
+
+
+@register("event_pages", f"""with f4 as ({O.F4})
+select namespace, last_timestamp, event_time, creation_timestamp, reason, message, obj_kind, obj_name, obj_uid
+from f4 where namespace in ('ns-1', 'ns-3')""")
+def q_event_pages(spark, d):
+    """Events written as list documents and read back in ranges, of the selected namespaces."""
+    e = FX.kube_events(spark, d)
+    none = F.lit(None).cast("string")
+    item = F.struct(F.struct(F.col("creation_timestamp").alias("creationTimestamp"), "namespace").alias("metadata"),
+                    F.col("last_timestamp").alias("lastTimestamp"), F.col("event_time").alias("eventTime"), "reason", "message",
+                    F.struct(F.col("obj_kind").alias("kind"), F.col("obj_name").alias("name"), none.alias("namespace"),
+                             F.col("obj_uid").alias("uid")).alias("involvedObject"))
+    path = shared_dir(spark, "event-pages")
+    _write_pages(e.select(F.col("event_id").alias("number"), item.alias("item")), "number", "item", path)
+    return read_events(spark, path, ["ns-1", "ns-3"], split_bytes=1 << 16).select(
+        "namespace", "last_timestamp", "event_time", "creation_timestamp", "reason", "message", "obj_kind", "obj_name", "obj_uid")
+
+
+BLOB_LINES = 30
+
+
+@register("container_log_blobs", f"""with f5 as ({O.F5}),
+t as (select *, row_number() over (partition by namespace, pod, container, previous order by pos desc) as rn from f5),
+k as (select * from t where rn <= {BLOB_LINES})
+select namespace, pod, container, previous, raw,
+       cast(row_number() over (partition by namespace, pod, container, previous order by pos) - 1 as integer) as pos from k""")
+def q_container_log_blobs(spark, d):
+    """S3: what one log request returns, the text of a container's last lines, split into lines again."""
+    keys = ["namespace", "pod", "container", "previous"]
+    last = tail_per_source(FX.container_logs(spark, d), keys, "pos", BLOB_LINES)
+    # at most BLOB_LINES lines a container
+    blobs = last.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "\n").alias("text"))
+    path = shared_dir(spark, "log-blobs")
+    blobs.write.json(path)
+    schema = "namespace string, pod string, container string, previous boolean, text string"
+    return read_container_logs(spark.read.schema(schema).json(path)).select(*keys, "raw", "pos")
+
+
+@register("unidentified_pods", """with c as (select c_custkey as k, c_custkey % 3 as a, c_custkey % 5 as b from customer)
+select coalesce(case when a <> 1 then 'ns' end, '') as namespace, coalesce(case when b = 1 then '' when b <> 2 then 'pod-' || cast(k as varchar) end, '') as name,
+       'uid-' || cast(k as varchar) as uid from c where a = 1 or b in (1, 2)""")
+def q_unidentified_pods(spark, d):
+    """A4: pod objects without namespace or name."""
+    k = F.col("c_custkey")
+    bare = FX.table(spark, d, "customer").select(
+        F.when(k % 3 != 1, "ns").alias("_ns"),
+        F.when(k % 5 == 1, "").when(k % 5 != 2, F.concat(F.lit("pod-"), k.cast("string"))).alias("_name"), F.concat(F.lit("uid-"), k.cast("string")).alias("_uid"),
+        F.concat(F.lit("pod-"), k.cast("string")).alias("_key"))
+    objects = pod_objects(spark, d).join(bare, F.col("metadata.name") == F.col("_key")).withColumn(
+        "metadata", F.col("metadata").withField("namespace", F.col("_ns")).withField("name", F.col("_name")).withField("uid", F.col("_uid")))
+    return INV.unidentified_pods(INV.pod_refs(objects)).select("namespace", "name", "uid")
+
+
+@register("windows_without_journal", """select 'r' || cast(user_id as varchar) as request from events
+group by user_id having max(case when event_id % 16 = user_id % 16 and event_type = 'error' then 1 else 0 end) = 0""")
+def q_windows_without_journal(spark, d):
+    """Requests with a time window whose sources are all files (each user's events as the sources of one request)."""
+    e = FX.table(spark, d, "events")
+    sources = e.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("request"),
+                       ((F.col("event_id") % 16 == F.col("user_id") % 16) & (F.col("event_type") == "error")).alias("is_journal"))
+    return without_journal(sources, ["request"]).select("request")
+
+
+USER_TAIL = 9
+
+
+@register("user_journal_tails", f"""with f1 as ({O.F1}),
+jl as (select *, service || file as source, service in ('svc-0', 'svc-1', 'svc-3') or (service = 'svc-2' and {O.NOISE}) as has_unit from f1 where is_journal),
+p as (select *, row_number() over (partition by service, source order by seq desc) as rn from jl where has_unit),
+pt as (select * from p where rn <= {USER_TAIL}),
+ok as (select distinct service, source from pt where not {O.NOISE}),
+f as (select *, row_number() over (partition by service, source order by seq desc) as rn from jl),
+ft as (select * from f where rn <= {USER_TAIL} and not exists (select 1 from ok where ok.service = f.service and ok.source = f.source))
+select service, source, seq, raw, 'primary' as via from pt
+where not {O.NOISE} and exists (select 1 from ok where ok.service = pt.service and ok.source = pt.source)
+union all select service, source, seq, raw, 'fallback' from ft where not {O.NOISE}""")
+def q_user_journal_tails(spark, d):
+    """User journals read their last N entries, blank ones among them, before blanks are dropped."""
+    lines = FX.log_lines(spark, d).filter("is_journal").withColumn("source", F.concat("service", "file"))
+    none = F.lit(None).cast("string")
+    has_unit = F.col("service").isin("svc-0", "svc-1", "svc-3") | ((F.col("service") == "svc-2") & is_journal_noise(F.col("raw")))
+    table = lines.select(none.alias("unit"), F.when(has_unit, F.col("source")).alias("user_unit"), F.col("source").alias("systemd_user_unit"),
+                         F.lit("1000").alias("uid"), "seq", "raw")
+    sources = lines.select("service", "source", F.col("source").alias("journal"), F.lit(True).alias("is_journal"),
+                           F.lit("user").alias("journal_scope"), F.lit("1000").alias("journal_user")).distinct()
+    return drop_journal_noise(journal_source_lines(sources, table, tail_lines=USER_TAIL)).select("service", "source", "seq", "raw", "via")

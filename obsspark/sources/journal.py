@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsspark.operators.lines import drop_journal_noise
+from obsspark.operators.lines import drop_journal_noise, tail_per_source
 
 
 def read_journal(journal_lines: DataFrame, unit: str | None = None, user_unit: str | None = None,
@@ -35,15 +35,18 @@ def journal_with_fallback(primary: DataFrame, fallback: DataFrame, keys: Sequenc
             .unionByName(fallback.join(got, keys, "left_anti").withColumn("via", F.lit("fallback"))))
 
 
-def journal_source_lines(sources: DataFrame, journal_lines: DataFrame,
-                         keys: Sequence[str] = ("service", "source")) -> DataFrame:
+def journal_source_lines(sources: DataFrame, journal_lines: DataFrame, keys: Sequence[str] = ("service", "source"),
+                         tail_lines: int | None = None) -> DataFrame:
     """Lines of every journal source of ``sources`` (from
     ``inventory.expand_sources`` plus ``source``) out of one journal
     table (unit, user_unit, systemd_user_unit, uid, seq, raw).
 
     System scope selects by ``unit``; user scope by ``user_unit`` and the
     source's user id, falling back to ``systemd_user_unit`` per source
-    when the primary selector yields no line (S2b).  User names must be
+    when the primary selector yields no line (S2b).  With ``tail_lines`` each
+    selector reads its last entries, blank and marker lines among them, and
+    yields what is not blank of those (P28); the lines returned still hold
+    the others, for the collector's own tail.  User names must be
     resolved to ids in the table's ``uid`` column.  Equi-joins on the
     unit: each journal line meets only the sources naming its unit.
     """
@@ -60,5 +63,9 @@ def journal_source_lines(sources: DataFrame, journal_lines: DataFrame,
     fallback = (user.join(jl, (user["journal"] == jl["systemd_user_unit"]) & (user["journal_user"] == jl["uid"]),
                           "inner")
                 .select(*keys, "seq", "raw"))
+    if tail_lines is not None:
+        system, primary, fallback = (tail_per_source(x, keys, "seq", tail_lines) for x in (system, primary, fallback))
+    yields = drop_journal_noise(primary).select(*keys).distinct()
     return (system.withColumn("via", F.lit("unit"))
-            .unionByName(journal_with_fallback(drop_journal_noise(primary), drop_journal_noise(fallback), keys)))
+            .unionByName(primary.join(yields, keys, "left_semi").withColumn("via", F.lit("primary")))
+            .unionByName(fallback.join(yields, keys, "left_anti").withColumn("via", F.lit("fallback"))))

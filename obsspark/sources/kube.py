@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from obsspark.sources.json_ranges import SPLIT_BYTES, json_elements, json_files
+
 NAMED = T.ArrayType(T.StructType([T.StructField("name", T.StringType())]))
 STR_MAP = T.MapType(T.StringType(), T.StringType())
 
@@ -28,11 +30,6 @@ POD = T.StructType([
             T.StructField("type", T.StringType()), T.StructField("status", T.StringType())])))])),
 ])
 
-POD_LIST = T.StructType([
-    T.StructField("items", T.ArrayType(POD)),
-    T.StructField("metadata", T.StructType([T.StructField("_continue", T.StringType())])),
-])
-
 EVENT = T.StructType([
     T.StructField("metadata", T.StructType([
         T.StructField("creationTimestamp", T.StringType()), T.StructField("namespace", T.StringType())])),
@@ -43,24 +40,24 @@ EVENT = T.StructType([
         T.StructField("namespace", T.StringType()), T.StructField("uid", T.StringType())])),
 ])
 
-EVENT_LIST = T.StructType([T.StructField("items", T.ArrayType(EVENT))])
+
+def _listed(spark: SparkSession, paths, schema: T.StructType, split_bytes: int) -> DataFrame:
+    """(page, item, e): the items of list documents, large ones read by several tasks."""
+    found = json_elements(json_files(spark, paths), "items", split_bytes)
+    return found.select(F.col("path").alias("page"), "item", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("e"))
 
 
-def read_pods(spark: SparkSession, paths) -> DataFrame:
+def read_pods(spark: SparkSession, paths, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Pod list pages (one JSON document per file, any number of
-    pages) -> one row per pod, with ``page`` and ``item`` ordinals."""
-    lists = spark.read.schema(POD_LIST).option("multiLine", "true").json(paths)
-    return (lists.select(F.col("_metadata.file_path").alias("page"), F.posexplode("items").alias("item", "pod"))
-            .select("page", "item", "pod.*"))
+    pages of any size) -> one row per pod, with ``page`` and ``item`` ordinals."""
+    return _listed(spark, paths, POD, split_bytes).select("page", "item", "e.*")
 
 
-def read_events(spark: SparkSession, paths, namespaces=None) -> DataFrame:
+def read_events(spark: SparkSession, paths, namespaces=None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Event list documents -> flat events (namespace = listing
     namespace, the three timestamp candidates, involved object).
-    ``namespaces`` restricts to the selected namespaces (a filter Spark
-    can push below the explode)."""
-    lists = spark.read.schema(EVENT_LIST).option("multiLine", "true").json(paths)
-    ev = lists.select(F.col("_metadata.file_path").alias("page"), F.posexplode("items").alias("item", "e"))
+    ``namespaces`` restricts to the selected namespaces."""
+    ev = _listed(spark, paths, EVENT, split_bytes)
     out = ev.select(
         "page", "item",
         F.coalesce(F.col("e.metadata.namespace"), F.col("e.involvedObject.namespace")).alias("namespace"),
