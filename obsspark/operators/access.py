@@ -1,13 +1,11 @@
 """Row-level access control (C1-C5) with '*' globs.
 
-Scope checks are joins on keys that single patterns select, never on one
-that every name has.  Admins and principals with a bare ``*`` are a flag
-outside the join.  Of the other patterns each distinct one is joined once,
-by the text before its first ``*``, else by the text after its last, else
-by the first letters of its longest part; names (identifiers of at most 253
-characters) offer their prefixes, suffixes and letter groups under those
-keys.  The full glob is the residual predicate, and principals are attached
-to the matching (pattern, name) pairs last.
+Scope checks are joins by an index of grams, groups of letters of a name and
+its beginning and end.  Admins and principals with a bare ``*`` are a flag
+outside the join.  Of the other patterns each distinct one is joined once, by
+that gram of its fixed parts which the fewest names have; a gram that many
+names have all the same is split.  The full glob is the residual predicate, and
+principals are attached to the matching (pattern, name) pairs last.
 """
 
 from __future__ import annotations
@@ -53,8 +51,10 @@ def fold_patterns(rows: DataFrame, pattern_col: str, out_col: str) -> DataFrame:
         F.sort_array(F.collect_set(F.col(pattern_col))).alias(out_col))
 
 
-#: letters of a pattern that has neither a fixed start nor a fixed end
-GRAM = 3
+#: letters of a gram; names with one gram that are joined under one key
+GRAM, SHARE = 3, 10_000
+# Marks of a name's beginning and end, letters of grams like any other.
+_START, _END = "\u0002", "\u0003"
 #: parts that a table is dealt into where a principal may see all of it
 EVERYONE_PARTS = 32
 
@@ -68,29 +68,61 @@ def _is_admin() -> Column:
     return F.coalesce(F.col("admin"), F.lit(False))
 
 
-def _pattern_keys(patterns: DataFrame) -> DataFrame:
-    """(pattern, kind, key): exact or fixed start, fixed end, letters of the longest part."""
-    head = F.substring_index("pattern", "*", 1)
-    tail = F.substring_index("pattern", "*", -1)
-    longest = F.sort_array(F.transform(F.split("pattern", r"\*"), lambda x: F.struct(F.length(x).alias("n"), x.alias("s"))), asc=False)[0]["s"]
-    kind = F.when(head != "", F.lit("start")).when(tail != "", F.lit("end")).otherwise(F.lit("part"))
-    key = F.when(head != "", head).when(tail != "", tail).otherwise(F.substring(longest, 1, GRAM))
-    return patterns.select("pattern", kind.alias("kind"), key.alias("key"))
+def _marked(name: Column) -> Column:
+    return F.concat(F.lit(_START), name, F.lit(_END))
 
 
-def _name_keys(names: DataFrame) -> DataFrame:
-    """(_name, kind, key): all non-empty prefixes, suffixes and groups of up to GRAM letters."""
-    n = F.length("_name")
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+def _grams(text: Column, size: Column) -> Column:
+    """Groups of ``size`` letters of a text, none if it is shorter."""
+    last = F.length(text) - size + 1
+    places = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.substring(text, i, size))
 
-    def entries(kind: str, piece) -> Column:
-        return F.transform(places, lambda i: F.struct(F.lit(kind).alias("kind"), piece(i).alias("key")))
 
-    name = F.col("_name")
-    parts = [entries("start", lambda i: F.substring(name, F.lit(1), i)), entries("end", lambda i: F.substring(name, i, n))]
-    parts += [entries("part", lambda i, k=k: F.substring(name, i, F.lit(k))) for k in range(1, GRAM + 1)]
-    return (names.select("_name", F.explode(F.array_distinct(F.concat(*parts))).alias("at"))
-            .select("_name", "at.kind", "at.key"))
+def pattern_grams(patterns: DataFrame) -> DataFrame:
+    """(pattern, size, gram): what a matching name must hold, in the largest size up to GRAM that the pattern's parts have."""
+    parts = F.filter(F.split(_marked(F.col("pattern")), r"\*+"), lambda x: (x != "") & ~x.isin(_START, _END))
+    sized = patterns.select("pattern", parts.alias("parts")).withColumn(
+        "size", F.least(F.lit(GRAM), F.array_max(F.transform("parts", lambda x: F.length(x)))))
+    grams = F.flatten(F.transform("parts", lambda x: _grams(x, F.col("size"))))
+    return sized.select("pattern", "size", F.explode(F.array_distinct(grams)).alias("gram"))
+
+
+def name_grams(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_name, gram) of the names, for the grams that ``pattern_grams`` has (and only of its sizes)."""
+    marked, none = _marked(F.col("_name")), F.array().cast("array<string>")
+    sizes = wanted.agg(F.bit_or(F.expr("shiftleft(1, size)"))).scalar()
+    own = [F.when(sizes.bitwiseAND(1 << k) > 0, _grams(marked, F.lit(k))).otherwise(none) for k in range(1, GRAM + 1)]
+    every = names.select("_name", F.explode(F.array_distinct(F.concat(*own))).alias("gram"))
+    return every.join(wanted.select("gram").distinct(), "gram", "left_semi")
+
+
+def rarest_grams(wanted: DataFrame, postings: DataFrame, share: int = SHARE) -> DataFrame:
+    """(pattern, gram, parts): each pattern's gram with the fewest names, and into how many parts its names are dealt.
+
+    A pattern with a gram that no name has matches none and is left out."""
+    counts = postings.groupBy(F.col("gram").alias("_gram")).agg(F.count(F.lit(1)).alias("_names"))
+    met = wanted.join(counts, F.col("gram") == F.col("_gram"), "left")
+    least = F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("names"), F.col("gram"))).alias("least")
+    return (met.groupBy("pattern").agg(least).filter("least.names > 0")
+            .select("pattern", "least.gram", F.ceil(F.col("least.names") / share).cast("int").alias("parts")))
+
+
+def pattern_matches(patterns: DataFrame, names: DataFrame, share: int = SHARE) -> DataFrame:
+    """(pattern, _name) that match, by an index of grams.
+
+    A pattern meets the names with its rarest gram.  A gram with more than
+    ``share`` names is split: its names are dealt into parts, its patterns are
+    repeated for each, so that no key holds more than a share of names.
+    """
+    wanted = pattern_grams(patterns)
+    postings = name_grams(names, wanted)
+    chosen = rarest_grams(wanted, postings, share)
+    split = chosen.groupBy("gram").agg(F.max("parts").alias("_parts"))
+    part = F.pmod(F.xxhash64("_name"), F.col("_parts")).cast("int")
+    dealt = postings.join(split, "gram").select("_name", "gram", part.alias("_part"))
+    asked = chosen.select("pattern", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
+    return dealt.join(asked, ["gram", "_part"]).filter(glob_like(F.col("_name"), F.col("pattern"))).select("pattern", "_name")
 
 
 def scoped_pairs(principals: DataFrame, patterns_col: str, names: DataFrame, name_col: str) -> DataFrame:
@@ -98,8 +130,7 @@ def scoped_pairs(principals: DataFrame, patterns_col: str, names: DataFrame, nam
     held = (principals.filter(~_is_admin() & ~universal(patterns_col))
             .select("sub", F.explode(patterns_col).alias("pattern")).distinct())
     n = names.select(F.col(name_col).alias("_name")).filter(F.col("_name").isNotNull()).distinct()
-    met = (_name_keys(n).join(_pattern_keys(held.select("pattern").distinct()), ["kind", "key"])
-           .filter(glob_like(F.col("_name"), F.col("pattern"))).select("pattern", "_name").distinct())
+    met = pattern_matches(held.select("pattern").distinct(), n)
     return held.join(met, "pattern").select("sub", F.col("_name").alias(name_col)).distinct()
 
 

@@ -20,6 +20,7 @@ from obsspark.operators import containers as C
 from obsspark.operators import events as EV
 from obsspark.operators import inventory as INV
 from obsspark.operators import metrics as M
+from obsspark.operators import templates as TM
 from obsspark.operators import triage as TR
 from obsspark.operators.diagnostics import USER_JOURNAL_PERMISSION_TEXT, classify_source_errors, journal_user_errors, without_journal
 from obsspark.operators.lines import (
@@ -1210,3 +1211,69 @@ def q_user_journal_tails(spark, d):
     sources = lines.select("service", "source", F.col("source").alias("journal"), F.lit(True).alias("is_journal"),
                            F.lit("user").alias("journal_scope"), F.lit("1000").alias("journal_user")).distinct()
     return drop_journal_noise(journal_source_lines(sources, table, tail_lines=USER_TAIL)).select("service", "source", "seq", "raw", "via")
+
+
+# ------------------------------------------- message templates (G8) and scopes over many names
+
+# Shipment messages of all line items; the words of a part's name, ids and numbers vary, some messages have an end of their own.
+_MESSAGES = """select case when l_linenumber % 3 = 0 then 'error part ' || p_name || ' of lot L' || cast(l_orderkey as varchar) || ' rejected by ' || lower(p_type)
+       when l_linenumber % 3 = 1 then 'error while sending ' || p_name || ' to /srv/ship/' || lower(l_returnflag) || '/' || p_brand || ' : ' || lower(p_type) || ' line'
+       else 'error ' || split_part(p_name, ' ', 1) || ' queue full' end as line,
+       cast(epoch_ms(l_shipdate) as bigint) as ms
+from lineitem join part on p_partkey = l_partkey"""
+
+
+def _messages(spark, d):
+    n, flag = F.col("l_linenumber") % 3, F.lower("l_returnflag")
+    line = (F.when(n == 0, F.concat(F.lit("error part "), "p_name", F.lit(" of lot L"), F.col("l_orderkey").cast("string"), F.lit(" rejected by "), F.lower("p_type")))
+            .when(n == 1, F.concat(F.lit("error while sending "), "p_name", F.lit(" to /srv/ship/"), flag, F.lit("/"), "p_brand", F.lit(" : "), F.lower("p_type"), F.lit(" line")))
+            .otherwise(F.concat(F.lit("error "), F.substring_index("p_name", " ", 1), F.lit(" queue full"))))
+    items = FX.table(spark, d, "lineitem").join(FX.table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    return items.select(line.alias("line"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("rank_ms"))
+
+
+_WIDE = TM.FAN_OUT
+_LEVEL = """n{k} as (select l.*, case when c.kids > {fan} then '<*>' else coalesce(tokens[{k}], '') end as t{k} from n{j} l
+  join (select {by}, count(distinct coalesce(tokens[{k}], '')) as kids from n{j} group by {by}) c using ({by}))"""
+
+
+@register("line_templates", f"""with m as ({_MESSAGES}),
+w as (select list_transform(list_filter(regexp_split_to_array(line, '\\s+'), lambda t: t <> ''),
+             lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as tokens, ms from m),
+n0 as (select tokens, count(*) as n, min(ms) as lo, max(ms) as hi, len(tokens) as size from w group by tokens),
+{_LEVEL.format(k=1, j=0, by='size', fan=_WIDE)},
+{_LEVEL.format(k=2, j=1, by='size, t1', fan=_WIDE)},
+{_LEVEL.format(k=3, j=2, by='size, t1, t2', fan=_WIDE)},
+leaf as (select size, t1, t2, t3, cast(sum(n) as bigint) as n, count(*) as n_distinct, min(lo) as first_ms, max(hi) as last_ms from n3 group by all),
+u as (select size, t1, t2, t3, unnest(range(4, size + 1)) as p, unnest(tokens[4:]) as token from n3),
+q as (select size, t1, t2, t3, p, case when min(token) = max(token) then min(token) else '<*>' end as token from u group by all),
+z as (select size, t1, t2, t3, list(token order by p) as rest from q group by all)
+select array_to_string(list_concat(list_filter([t1, t2, t3], lambda t: t <> ''), coalesce(rest, [])), ' ') as template, n, n_distinct, first_ms, last_ms
+from leaf left join z using (size, t1, t2, t3)""")
+def q_line_templates(spark, d):
+    """Messages by templates whose words, ids and paths vary, from a tree of token positions."""
+    return TM.line_templates(_messages(spark, d), fan_out=_WIDE)
+
+
+_GLOBS = """select 'c' || cast(c_custkey % 500 as varchar) as sub,
+  case c_custkey % 5 when 0 then 'svc-*' || cast(c_custkey as varchar) when 1 then '*-' || cast(c_nationkey as varchar) || '-*' || cast(c_custkey % 10 as varchar)
+       when 2 then 'svc-' || cast(c_nationkey as varchar) || '-*' when 3 then '*9' || cast(c_custkey % 100 as varchar) || '*' else '*' || cast(c_custkey % 1000 as varchar) end as pattern
+  from customer"""
+
+
+@register("glob_matches", f"""with g as ({_GLOBS}),
+s as (select distinct 'svc-' || cast(o_custkey % 25 as varchar) || '-' || cast(o_orderkey as varchar) as name from orders),
+p as (select distinct pattern from g)
+select pattern, count(*) as n_names, min(name) as first_name, max(name) as last_name
+from p join s on {_glob_sql('s.name', 'p.pattern')} group by pattern""")
+def q_glob_matches(spark, d):
+    """Thousands of patterns, most of which open alike, over all services, by the gram index."""
+    k, c = F.col("c_custkey"), lambda x: x.cast("string")
+    pattern = (F.when(k % 5 == 0, F.concat(F.lit("svc-*"), c(k))).when(k % 5 == 1, F.concat(F.lit("*-"), c(F.col("c_nationkey")), F.lit("-*"), c(k % 10)))
+               .when(k % 5 == 2, F.concat(F.lit("svc-"), c(F.col("c_nationkey")), F.lit("-*"))).when(k % 5 == 3, F.concat(F.lit("*9"), c(k % 100), F.lit("*")))
+               .otherwise(F.concat(F.lit("*"), c(k % 1000))))
+    patterns = FX.table(spark, d, "customer").select(pattern.alias("pattern")).distinct()
+    o = FX.table(spark, d, "orders")
+    names = o.select(F.concat(F.lit("svc-"), c(F.col("o_custkey") % 25), F.lit("-"), c(F.col("o_orderkey"))).alias("_name")).distinct()
+    return (A.pattern_matches(patterns, names).groupBy("pattern")
+            .agg(F.count(F.lit(1)).alias("n_names"), F.min("_name").alias("first_name"), F.max("_name").alias("last_name")))
