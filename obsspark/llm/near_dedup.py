@@ -377,7 +377,7 @@ def confirmed_links(docs: DataFrame, reps: DataFrame, region: int = REGION) -> D
 
 
 def near_duplicates(docs: DataFrame, region: int = REGION) -> DataFrame:
-    """One row per document: doc_id, dk, n_shingles, component_id, kept."""
+    """One row per document: doc_id, dk, n_shingles, component_id, kept; ``group`` tells components apart, also of null ids."""
     table = signature_table(docs)
     classes = stored(table.filter("n > 0").groupBy("f1", "f2", "n")
                      .agg(F.min("doc_id").alias("least"), F.min("rid").alias("rep")), "near-classes")
@@ -387,25 +387,32 @@ def near_duplicates(docs: DataFrame, region: int = REGION) -> DataFrame:
     named = classes.select("f1", "f2", "n", "least", F.xxhash64("rep").alias("cid"))
     linked = stored(named.join(comps, F.col("cid") == F.col("node")).select("f1", "f2", "n", "least", "root"), "near-linked")
     lowest = linked.groupBy("root").agg(F.min("least").alias("lowest")).withColumnRenamed("root", "r")
-    linked = linked.join(lowest, F.col("root") == F.col("r")).select("f1", "f2", "n", F.col("lowest"))
-    labels = (named.select("f1", "f2", "n", "least").join(linked, ["f1", "f2", "n"], "left")
+    linked = linked.join(lowest, F.col("root") == F.col("r")).select("f1", "f2", "n", "lowest", "root")
+    labels = (named.join(linked, ["f1", "f2", "n"], "left")
               .select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("gn"),
-                      F.coalesce("lowest", "least").alias("component_id")))
+                      F.coalesce("lowest", "least").alias("component_id"), F.coalesce("root", "cid").alias("group")))
     own = table.select("doc_id", "dk", "n", "f1", "f2")
     joined = own.join(labels, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("gn")), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "dk", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                         (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+                         (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"), "group")
 
 
 def drop_near_duplicates(docs: DataFrame, region: int = REGION) -> DataFrame:
-    """One document of each component, all columns as they came.
+    """One document of each component, all columns as they came: the one with the smallest
+    doc_id, or, where no document of a component has one, that with the smallest key of its text.
 
     Rows that surely go nowhere pass without a shuffle; only those that may go are joined.
     """
     with scratch(docs.sparkSession):
-        found = near_duplicates(docs, region).filter("not kept").select(F.col("dk").alias("_gone")).distinct()
-        gone = stored(found, "near-gone", keep=True)
+        found = stored(near_duplicates(docs, region).filter("not kept or (doc_id is null and n_shingles > 0)")
+                       .select("dk", "kept", "component_id", "group").distinct(), "near-found")
+        # of rows without an id only those stay in whose component no row has one, one of each component
+        unnamed = found.filter("kept and component_id is null")
+        first = unnamed.groupBy("group").agg(F.min("dk").alias("_first")).withColumnRenamed("group", "_group")
+        others = unnamed.join(first, F.col("group") == F.col("_group")).filter(F.col("dk") != F.col("_first")).select("dk")
+        every = found.filter("not kept or component_id is not null").select("dk").unionByName(others)
+        gone = stored(every.select(F.col("dk").alias("_gone")).distinct(), "near-gone", keep=True)
     flagged = maybe_in(docs.withColumn("_dk", document_key(F.col("doc_id"), F.col("text"))), F.col("_dk"), membership_filter(gone, "_gone"))
     stay = flagged.filter("not _maybe").select(docs.columns)
     unsure = flagged.filter("_maybe").join(gone, F.col("_dk") == F.col("_gone"), "left_anti").select(docs.columns)

@@ -43,7 +43,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(documents(spark, sf_dir)).drop("dk")
+    return near.near_duplicates(documents(spark, sf_dir)).drop("dk", "group")
 
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,17 @@ def canonical_url(url: Column) -> Column:
     return F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), whole).otherwise(bare)
 
 
+def folded(headers: Column) -> Column:
+    """Headers by lower-case names, which have no case; of names that differ in case alone the last in code-point order stays."""
+    none = F.create_map().cast("map<string,string>")
+
+    def put(got: Column, entry: Column) -> Column:
+        name = F.lower(entry["key"])
+        return F.map_concat(F.map_filter(got, lambda k, v: k != name), F.create_map(name, entry["value"]))
+
+    return F.aggregate(F.array_sort(F.map_entries(F.coalesce(headers, none))), none, put)
+
+
 def records(pages: DataFrame) -> DataFrame:
     """Capture records of the pages table: a full response per page and a later revisit of it.
 
@@ -52,12 +63,12 @@ def records(pages: DataFrame) -> DataFrame:
     etag = F.when(page % 11 != 0, tag)
     response = pages.select(
         (page * 2).alias("record_id"), "url", page.alias("ts"), F.lit(False).alias("revisit"), etag.alias("etag"), changed.alias("last_modified"),
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"),
-                     F.lit("cache-control"), F.concat(F.lit("max-age="), (page % 3 * 60).cast("string"))).alias("headers"))
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("content-length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"),
+                     F.lit("Cache-Control"), F.concat(F.lit("max-age="), (page % 3 * 60).cast("string"))).alias("headers"))
     again = pages.select(
         (page * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), (page + 1 + page % 977).alias("ts"), F.lit(True).alias("revisit"),
         F.when(page % 13 == 0, F.lit('"other"')).otherwise(etag).alias("etag"), changed.alias("last_modified"),
-        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("no-cache"),
+        F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("cache-control"), F.lit("no-cache"),
                      F.lit("date"), (page + 1 + page % 977).cast("string")).alias("headers"))
     return response.unionByName(again)
 
@@ -87,7 +98,8 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     ``state`` is ``resolved`` if the validators agree (the etag if both have one, else
     Last-Modified if both have one), ``unvalidated`` if there is nothing to compare,
     ``mismatch``, or ``missing`` without an earlier response.  ``headers`` are the merged ones of
-    resolved and unvalidated revisits, as ``name: value`` lines in order of names.
+    resolved and unvalidated revisits, as ``name: value`` lines in order of names, which are
+    compared and returned in lower case.
     """
     rows = captures.select("record_id", canonical_url(F.col("url")).alias("key"), "ts", "revisit",
                            F.when(F.col("revisit"), 0).otherwise(1).alias("place"), "etag", "last_modified", "headers")
@@ -99,9 +111,8 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     agree = (F.when(by_etag, strong(F.col("etag")) == strong(F.col("full.etag")))
              .when(by_time, F.col("last_modified") == F.col("full.last_modified")))
     state = (F.when(F.col("full").isNull(), "missing").when(agree, "resolved").when(~agree, "mismatch").otherwise("unvalidated"))
-    none = F.create_map().cast("map<string,string>")
-    new = F.map_filter(F.coalesce("headers", none), lambda k, v: ~k.isin(*KEPT_HEADERS))
-    old = F.map_filter(F.coalesce("full.headers", none), lambda k, v: ~F.array_contains(F.map_keys(new), k))
+    new = F.map_filter(folded(F.col("headers")), lambda k, v: ~k.isin(*KEPT_HEADERS))
+    old = F.map_filter(folded(F.col("full.headers")), lambda k, v: ~F.array_contains(F.map_keys(new), k))
     lines = F.array_join(F.transform(F.array_sort(F.map_entries(F.map_concat(old, new))), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "\n")
     out = found.withColumn("state", state)
     usable = F.col("state").isin("resolved", "unvalidated")

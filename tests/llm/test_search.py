@@ -192,6 +192,18 @@ def _resolve(captures):
     return out
 
 
+def test_header_names_have_no_case(spark):
+    """A 304 replaces a header whatever its case, never the body's; of names that differ in case alone the last one stays."""
+    stored = {"Content-Type": "text/html", "content-length": "5", "Cache-Control": "max-age=60", "ETag": '"a"', "X-One": "1", "x-one": "2"}
+    again = {"Content-Length": "0", "CONTENT-TYPE": "text/plain", "cache-control": "no-cache", "Date": "now", "TE": "gzip"}
+    rows = [(1, "http://a/", 1, False, '"a"', None, stored), (2, "http://a/", 2, True, '"a"', None, again), (3, "http://a/", 3, True, '"a"', None, None)]
+    table = spark.createDataFrame(rows, "record_id long, url string, ts long, revisit boolean, etag string, last_modified string, headers map<string,string>")
+    got = {x.record_id: x.headers for x in revisits.resolve_revisits(table).collect()}
+    kept = ["content-length: 5", "content-type: text/html", 'etag: "a"', "x-one: 2"]
+    assert got[2].split("\n") == sorted([*kept, "cache-control: no-cache", "date: now"])
+    assert got[3].split("\n") == sorted([*kept, "cache-control: max-age=60"])
+
+
 def test_revisits_against_a_loop_with_a_hot_url(spark):
     r = random.Random(8)
     caps = []
