@@ -27,6 +27,7 @@ MAX_PATTERN_CHARS = 200
 _ISO_Z = re.compile(r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?Z$")
 
 
+# The error texts of this module are fixed values, shown to callers as they are.
 class ArgumentError(ValueError):
     """An operator argument violates the contract."""
 

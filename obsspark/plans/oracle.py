@@ -7,8 +7,9 @@ The fixture CTEs mirror ``obsspark.sources.fixtures``.
 
 from __future__ import annotations
 
-from obsspark.functions.text import JOURNAL_NO_ENTRIES_PATTERN
-from obsspark.functions.timeparse import LINE_TS_PATTERN
+# Fixed values, written out here so that a mistake in the engine's own shows.
+NO_ENTRIES_SQL = r"^--[ \t]*No entries[ \t]*--$"
+LINE_TIME_SQL = r"^[0-9]{4}-[0-9][0-9]-[0-9][0-9]T[0-9][0-9]:[0-9][0-9]:[0-9][0-9]([.,][0-9]+)?(Z|[-+][0-9][0-9]:?[0-9][0-9])?$"
 
 
 def iso(x: str) -> str:
@@ -104,7 +105,7 @@ F8_CAPS = """select * from (values
 
 def ms_of(tok: str) -> str:
     """Epoch ms of a timestamp token, NULL when invalid (fixtures use 'Z' only)."""
-    return (f"case when regexp_matches({tok}, '{LINE_TS_PATTERN}') then "
+    return (f"case when regexp_matches({tok}, '{LINE_TIME_SQL}') then "
             f"epoch_ms(try_cast(replace(replace({tok}, ',', '.'), 'Z', '') as timestamp)) end")
 
 
@@ -119,7 +120,7 @@ def dtrim(x: str) -> str:
     return f"trim({x}, {WS_SQL})"
 
 
-NOISE = f"({dtrim('raw')} = '' or regexp_matches({dtrim('raw')}, '{JOURNAL_NO_ENTRIES_PATTERN}'))"
+NOISE = f"({dtrim('raw')} = '' or regexp_matches({dtrim('raw')}, '{NO_ENTRIES_SQL}'))"
 
 
 def parsed_cte(src: str, timestamps: bool = True) -> str:
