@@ -140,3 +140,24 @@ def test_mixed_documents_repeat_as_the_mixture_takes_them(spark):
             assert times[r.doc_id] == r.taken // r.size
     assert mixing.mixture(empty_docs(spark)).count() == 0
     assert mixing.mix_documents(empty_docs(spark)).count() == 0
+
+
+def test_budgets_end_inside_groups_of_equal_rows(spark):
+    """A third of all rows is one row without an id: its source still comes within half a document of its target."""
+    docs = [(None, "the same five word text", "hot")] * 1000 + [(None, "the same five word text", None)] * 30
+    docs += [(i, prose(i, 3 + i % 20), ("hot", None, "b", "c")[i % 4]) for i in range(400)] + [(500, " ", "hot")] * 20
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(7)
+    for range_rows in (20_000, 50):
+        rows_of = mixing.mixture(df, range_rows=range_rows).collect()
+        assert len(rows_of) == len(docs) and all(r.taken in (0, r.size, 2 * r.size) for r in rows_of)
+        sums = Counter()
+        for r in rows_of:
+            sums[r.source_size, r.target] += r.taken
+        assert len(sums) == 4 and all(abs(taken - target) <= 11.5 for (_, target), taken in sums.items())
+        again = mixing.mixture(df.repartition(3), range_rows=range_rows).collect()
+        assert _counter(again) == _counter(rows_of)
+    times = Counter((r.doc_id, r.text, r.source) for r in mixing.mix_documents(df).collect())
+    words = Counter()
+    for (_, text, source), n in times.items():
+        words[source] += n * len(WORD.findall(text))
+    assert sorted(words.values()) == sorted(sums.values())
