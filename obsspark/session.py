@@ -87,20 +87,20 @@ _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Hand this package to the executors' Python, whatever their search path; once per application."""
+    """Hand this package, with all its parts, to the executors' Python, whatever their search path; once per application."""
     context = spark.sparkContext
-    if getattr(context, "_obsspark_sources_shipped", False):
+    if getattr(context, "_obsspark_shipped", False):
         return
     folder = os.path.join(SparkFiles.getRootDirectory(), "package")
     os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, "obsspark_sources.zip")
+    path = os.path.join(folder, "obsspark.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for sub in ("", "functions", "sources"):
-            for name in sorted(os.listdir(os.path.join(_PACKAGE, sub))):
+        for place, _, names in sorted(os.walk(_PACKAGE)):
+            for name in sorted(names):
                 if name.endswith(".py"):
-                    z.write(os.path.join(_PACKAGE, sub, name), os.path.join("obsspark", sub, name))
+                    z.write(os.path.join(place, name), os.path.relpath(os.path.join(place, name), os.path.dirname(_PACKAGE)))
     context.addPyFile(path)
-    context._obsspark_sources_shipped = True
+    context._obsspark_shipped = True
 
 
 def scale_settings(input_bytes: int, executor_cores_total: int, target_partition_bytes: int = 256 << 20,
