@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from obsspark.session import ship_package
+
 #: bits of a membership filter; its broadcast table has at most bits / 64 rows
 FILTER_BITS = 1 << 22
 #: rows up to which a counted table may be broadcast
@@ -22,27 +21,6 @@ BROADCAST_ROWS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-_SHIPPED = "_obsspark_shipped"
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Hand this package to the executors' Python, once per application."""
-    context = spark.sparkContext
-    if getattr(context, _SHIPPED, False):
-        return
-    folder = os.path.join(SparkFiles.getRootDirectory(), "package")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, "obsspark.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for sub in (_PACKAGE, os.path.join(_PACKAGE, "llm")):
-            for name in sorted(os.listdir(sub)):
-                if name.endswith(".py"):
-                    z.write(os.path.join(sub, name), os.path.relpath(os.path.join(sub, name), os.path.dirname(_PACKAGE)))
-    context.addPyFile(path)
-    setattr(context, _SHIPPED, True)
-
-
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of this package."""
