@@ -132,10 +132,15 @@ def regions(reps: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame
 
 
 def region_rows(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, tree, cid, n, sig, keys): a row per membership; keys are a class's regions by tree."""
+    """(key, tree, cid, n, sig, keys): a row per membership; keys are a class's regions by tree.
+
+    Of each minimum the last byte goes along: equal minima have equal ones, so that no pair is
+    missed, and different ones agree by chance once in 256 times, which confirmation sorts out.
+    """
+    sig = F.unhex(F.regexp_replace(F.hex("sig"), "[0-9A-F]{6}([0-9A-F]{2})", "$1")).alias("sig")
     by_class = members.groupBy("cid").agg(F.collect_list(F.struct("tree", "key")).alias("own"))
     joined = reps.select(F.col("cid").alias("c"), "n", "sig").join(by_class, F.col("c") == F.col("cid"))
-    return joined.select("cid", "n", "sig", F.col("own.tree").alias("trees"), F.col("own.key").alias("keys"),
+    return joined.select("cid", "n", sig, F.col("own.tree").alias("trees"), F.col("own.key").alias("keys"),
                          F.explode("own").alias("at")).select("at.key", "at.tree", "cid", "n", "sig", "trees", "keys")
 
 
@@ -163,7 +168,7 @@ def _whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), TREES * DEPTH)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), TREES * DEPTH)
 
 
 def _key_matrix(table: pa.Table) -> np.ndarray:
