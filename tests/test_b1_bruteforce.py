@@ -9,7 +9,6 @@ import random
 from datetime import datetime, timezone
 
 import pytest
-from pyspark.sql import functions as F
 
 from obsspark.operators import rank
 from obsspark.params import ServiceLogParams, TimeWindow

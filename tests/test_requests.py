@@ -114,8 +114,6 @@ def test_discovery_requests(spark):
 
 def test_pod_bundle_json_records(spark, tmpdir_fresh):
     """B7 written as NDJSON: record shapes and section order."""
-    import glob
-    import gzip
     import json
     import os
     from obsspark.sources.bundle import write_bundle
@@ -165,8 +163,6 @@ def test_pod_bundle_json_records(spark, tmpdir_fresh):
 
 
 def test_service_bundle_json_records(spark, tmpdir_fresh):
-    import glob
-    import gzip
     import json
     import os
     from obsspark.sources.bundle import write_bundle
@@ -201,8 +197,6 @@ def test_service_bundle_json_records(spark, tmpdir_fresh):
 
 
 def test_jobs_cli_service_bundle(spark, tmpdir_fresh):
-    import glob
-    import gzip
     import json
     import os
     from obsspark.jobs import run
@@ -220,8 +214,6 @@ def test_jobs_cli_service_bundle(spark, tmpdir_fresh):
 
 
 def test_jobs_cli_pod_bundle(spark, tmpdir_fresh):
-    import glob
-    import gzip
     import json
     import os
     from obsspark.jobs import run
@@ -279,8 +271,6 @@ def test_service_request_from_text_files(spark, tmpdir_fresh):
 
 
 def test_jobs_cli_files_and_journal(spark, tmpdir_fresh):
-    import glob
-    import gzip
     import json
     import os
     from obsspark.jobs import run

@@ -1,7 +1,6 @@
 """Readers (S1, S3, S4, S6, S7), bundle sink/source (S10, S11), streaming."""
 
 import gzip
-import glob
 import json
 import os
 
