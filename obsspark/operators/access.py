@@ -1,11 +1,12 @@
 """Row-level access control (C1-C5) with '*' globs.
 
-Scope checks are joins by an index of grams, groups of letters of a name and
-its beginning and end.  Admins and principals with a bare ``*`` are a flag
-outside the join.  Of the other patterns each distinct one is joined once, by
-that gram of its fixed parts which the fewest names have; a gram that many
-names have all the same is split.  The full glob is the residual predicate, and
-principals are attached to the matching (pattern, name) pairs last.
+Scope checks are joins by an index of grams, a name's beginnings, ends and
+groups of letters.  Admins and principals with a bare ``*`` are a flag outside
+the join.  Of the other patterns each distinct one is joined once, by that gram
+of its fixed parts which the fewest names have: the whole text before the first
+star or behind the last, so that patterns that share their short groups of
+letters do not meet each other's names.  The full glob is the residual
+predicate, and principals are attached to the matching (pattern, name) pairs last.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from obsspark.functions.text import glob_like, ws_trim
 from obsspark.operators.checks import assert_empty
+from obsspark.session import keep
 
 # Capability needed by each bundle record type.
 RECORD_CAPABILITY = [("log", "logs"), ("log_error", "logs"), ("log_summary", "logs"),
@@ -51,10 +53,12 @@ def fold_patterns(rows: DataFrame, pattern_col: str, out_col: str) -> DataFrame:
         F.sort_array(F.collect_set(F.col(pattern_col))).alias(out_col))
 
 
-#: letters of a gram; names with one gram that are joined under one key
-GRAM, SHARE = 3, 10_000
-# Marks of a name's beginning and end, letters of grams like any other.
-_START, _END = "\u0002", "\u0003"
+#: letters of a gram at a name's beginning or end at most, and sizes of those within; names with one gram that are joined under one key
+EDGE, WITHIN, SHARE = 64, (1, 2, 3, 6, 12), 10_000
+#: bytes of patterns and their grams that are sent to all executors; more are shuffled with the names
+BROADCAST_BYTES = 48 << 20
+# Kinds of grams, their first letter: a whole name, its beginning, its end, or anywhere in it.
+_WHOLE, _HEAD, _TAIL, _INSIDE = "=", "<", ">", "~"
 #: parts that a table is dealt into where a principal may see all of it
 EVERYONE_PARTS = 32
 
@@ -68,33 +72,55 @@ def _is_admin() -> Column:
     return F.coalesce(F.col("admin"), F.lit(False))
 
 
-def _marked(name: Column) -> Column:
-    return F.concat(F.lit(_START), name, F.lit(_END))
+def _tagged(kind: str, text: Column) -> Column:
+    return F.concat(F.lit(kind), text)
 
 
-def _grams(text: Column, size: Column) -> Column:
-    """Groups of ``size`` letters of a text, none if it is shorter."""
-    last = F.length(text) - size + 1
-    places = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.substring(text, i, size))
+def _within(part: Column) -> Column:
+    """Grams of a part that may be anywhere, of the largest size it has."""
+    size = F.lit(WITHIN[0])
+    for k in WITHIN[1:]:
+        size = F.when(F.length(part) >= k, k).otherwise(size)
+    return F.transform(F.sequence(F.lit(1), F.length(part) - size + 1), lambda i: _tagged(_INSIDE, F.substring(part, i, size)))
 
 
 def pattern_grams(patterns: DataFrame) -> DataFrame:
-    """(pattern, size, gram): what a matching name must hold, in the largest size up to GRAM that the pattern's parts have."""
-    parts = F.filter(F.split(_marked(F.col("pattern")), r"\*+"), lambda x: (x != "") & ~x.isin(_START, _END))
-    sized = patterns.select("pattern", parts.alias("parts")).withColumn(
-        "size", F.least(F.lit(GRAM), F.array_max(F.transform("parts", lambda x: F.length(x)))))
-    grams = F.flatten(F.transform("parts", lambda x: _grams(x, F.col("size"))))
-    return sized.select("pattern", "size", F.explode(F.array_distinct(grams)).alias("gram"))
-
-
-def name_grams(names: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_name, gram) of the names, for the grams that ``pattern_grams`` has (and only of its sizes)."""
-    marked, none = _marked(F.col("_name")), F.array().cast("array<string>")
-    sizes = wanted.agg(F.bit_or(F.expr("shiftleft(1, size)"))).scalar()
-    own = [F.when(sizes.bitwiseAND(1 << k) > 0, _grams(marked, F.lit(k))).otherwise(none) for k in range(1, GRAM + 1)]
-    every = names.select("_name", F.explode(F.array_distinct(F.concat(*own))).alias("gram"))
-    return every.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    """(pattern, gram): what a matching name must hold.
+
+    Its beginning and its end up to EDGE letters, groups of letters of the parts between stars,
+    and the whole name where the pattern has no star."""
+    parts = F.split(F.col("pattern"), r"\*+")
+    cut = patterns.select("pattern", parts.alias("parts"))
+    first, last, n = F.col("parts")[0], F.element_at("parts", -1), F.size("parts")
+    inner = F.filter(F.slice("parts", 2, F.greatest(n - 2, F.lit(0))), lambda x: x != "")
+    edges = F.array(F.when(n == 1, _tagged(_WHOLE, F.col("pattern"))),
+                    F.when((n > 1) & (first != ""), _tagged(_HEAD, F.left(first, F.lit(EDGE)))),
+                    F.when((n > 1) & (last != ""), _tagged(_TAIL, F.right(last, F.lit(EDGE)))))
+    grams = F.concat(edges, F.flatten(F.transform(inner, _within)))
+    return cut.select("pattern", F.explode(F.array_distinct(grams)).alias("gram")).filter("gram is not null")
+
+
+def _keys(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_name, gram) of the names, each once, of the kinds and sizes that ``wanted`` has."""
+    # one row per kind and size, of which there are few
+    shapes = sorted(tuple(r) for r in wanted.select(F.left("gram", F.lit(1)), F.length("gram") - 1).distinct().collect())
+    name, at, length = F.col("_name"), F.col("_at"), F.length("_name")
+    make = {_WHOLE: lambda k: name, _HEAD: lambda k: F.left(name, F.lit(k)), _TAIL: lambda k: F.right(name, F.lit(k))}
+    none = F.lit(None).cast("string")
+    whole = F.lit(_WHOLE in {kind for kind, _ in shapes})
+    edges = [F.when(length >= k, _tagged(kind, make[kind](k))) for kind, k in shapes if kind in (_HEAD, _TAIL)]
+    inner = [F.when(at + k - 1 <= length, F.substring(name, at, F.lit(k))) for kind, k in shapes if kind == _INSIDE]
+    # of equal groups of letters the first counts
+    inner = [F.when(F.position(x, name) == at, _tagged(_INSIDE, x)) for x in inner]
+    placed = names.select("_name", F.explode(F.sequence(F.lit(0), length if inner else F.lit(0))).alias("_at"))
+    grams = F.when(at == 0, F.array(F.when(whole, _tagged(_WHOLE, name)), *edges)).otherwise(F.array(none, *inner))
+    return placed.select("_name", F.explode(grams).alias("gram")).filter("gram is not null")
+
+
+def name_grams(names: DataFrame, wanted: DataFrame, small: bool = False) -> DataFrame:
+    """(_name, gram) of the names, for the grams that ``pattern_grams`` has; ``small``: they fit each executor."""
+    asked = wanted.select("gram").distinct()
+    return _keys(names, wanted).join(F.broadcast(asked) if small else asked, "gram", "left_semi")
 
 
 def rarest_grams(wanted: DataFrame, postings: DataFrame, share: int = SHARE) -> DataFrame:
@@ -108,21 +134,26 @@ def rarest_grams(wanted: DataFrame, postings: DataFrame, share: int = SHARE) ->
             .select("pattern", "least.gram", F.ceil(F.col("least.names") / share).cast("int").alias("parts")))
 
 
-def pattern_matches(patterns: DataFrame, names: DataFrame, share: int = SHARE) -> DataFrame:
+def pattern_matches(patterns: DataFrame, names: DataFrame, share: int = SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(pattern, _name) that match, by an index of grams.
 
-    A pattern meets the names with its rarest gram.  A gram with more than
+    A pattern meets the names with its rarest gram.  Patterns of up to
+    ``broadcast_bytes`` are sent to the names.  Of more, a gram with more than
     ``share`` names is split: its names are dealt into parts, its patterns are
     repeated for each, so that no key holds more than a share of names.
     """
-    wanted = pattern_grams(patterns)
-    postings = name_grams(names, wanted)
-    chosen = rarest_grams(wanted, postings, share)
+    wanted = keep(pattern_grams(patterns))
+    size = wanted.agg(F.sum(F.octet_length("pattern") + F.octet_length("gram") + 64)).first()[0] or 0
+    small = size <= broadcast_bytes
+    chosen = keep(rarest_grams(wanted, name_grams(names, wanted, small), share))
+    matches = glob_like(F.col("_name"), F.col("pattern"))
+    if small:
+        return _keys(names, chosen).join(F.broadcast(chosen.select("pattern", "gram")), "gram").filter(matches).select("pattern", "_name")
     split = chosen.groupBy("gram").agg(F.max("parts").alias("_parts"))
     part = F.pmod(F.xxhash64("_name"), F.col("_parts")).cast("int")
-    dealt = postings.join(split, "gram").select("_name", "gram", part.alias("_part"))
+    dealt = _keys(names, chosen).join(split, "gram").select("_name", "gram", part.alias("_part"))
     asked = chosen.select("pattern", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
-    return dealt.join(asked, ["gram", "_part"]).filter(glob_like(F.col("_name"), F.col("pattern"))).select("pattern", "_name")
+    return dealt.join(asked, ["gram", "_part"]).filter(matches).select("pattern", "_name")
 
 
 def scoped_pairs(principals: DataFrame, patterns_col: str, names: DataFrame, name_col: str) -> DataFrame:

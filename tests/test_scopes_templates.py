@@ -45,6 +45,32 @@ def test_a_gram_that_all_names_have_is_split(spark):
     assert by["svc-*"] == by["*svc*"] == 20_000 and by["svc-*007"] == 20 and by["svc-*1999"] == 2
 
 
+@pytest.mark.parametrize("share", [A.SHARE, 7])
+def test_patterns_too_large_to_send_match_the_same(spark, share):
+    r = random.Random(7)
+    names = ["".join(r.choice("ab-x") for _ in range(r.randrange(9))) for _ in range(400)] + ["", "\x02", "a\x03a", "abcabcabcabcabc"]
+    patterns = {"".join(r.choice("ab-x*") for _ in range(r.randrange(8))) for _ in range(150)} | {"", "*abcabcabcabca*", "*a*a*a*", "a\x03*"}
+    patterns = {p for p in patterns if not re.fullmatch(r"\*+", p)}
+    want = sorted((p, n) for p in patterns for n in set(names) if _glob(p).fullmatch(n))
+    p, n = spark.createDataFrame([(p,) for p in patterns], "pattern string"), spark.createDataFrame([(n,) for n in set(names)] + [(None,)], "_name string")
+    for size in (0, A.BROADCAST_BYTES):
+        assert sorted(tuple(x) for x in A.pattern_matches(p, n, share, size).collect()) == want
+
+
+def test_patterns_that_share_short_groups_meet_only_their_names(spark):
+    """Names tried do not grow as patterns times names where the patterns' ends, beginnings or long middles tell them apart."""
+    names = spark.range(20_000).select(F.format_string("svc-%05d-%05d", "id", (F.col("id") * 7919) % 20_000).alias("_name"))
+    ids = spark.range(0, 20_000, 20)
+    patterns = (ids.select(F.format_string("svc-*-%05d", (F.col("id") * 7919) % 20_000).alias("pattern"))
+                .union(ids.select(F.format_string("svc-%05d-*", "id"))).union(ids.select(F.format_string("*-%05d-*", "id"))))
+    wanted = A.pattern_grams(patterns)
+    postings = A.name_grams(names, wanted)
+    counts = postings.groupBy("gram").count()
+    tried = A.rarest_grams(wanted, postings).join(counts, "gram").agg(F.count(F.lit(1)), F.sum("count")).first()
+    assert tuple(tried) == (3000, 3000)
+    assert A.pattern_matches(patterns, names).count() == 3000
+
+
 def _plain_templates(lines, depth, fan_out):
     stats = {}
     for line, t in lines:
