@@ -1107,7 +1107,7 @@ def _write_pages(rows, number, item, path):
     # at most PAGE_ITEMS items a page
     docs = rows.groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(F.struct(number, F.to_json(item).alias("json")))).alias("items"))
     text = F.concat(F.lit('{"kind":"List","items":['), F.array_join("items.json", ","), F.lit('],"metadata":{"continue":"'), F.col("page").cast("string"), F.lit('"}}'))
-    docs.select("page", text.alias("value")).repartition("page").write.partitionBy("page").text(path)
+    docs.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 @register("pod_pages", f"""with k as (select c_custkey, c_custkey // {PAGE_ITEMS} as page,

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsspark.session import keep
-from obsspark.sources.ranges import READ_BYTES, default_store, file_ranges, locate, run_on_batches
+from obsspark.sources.ranges import READ_BYTES, deal_ranges, default_store, file_ranges, locate, run_on_batches
 
-#: bytes of a range
-SPLIT_BYTES = 16 << 20
+#: bytes of a range, and bytes read at least behind it for its last element
+SPLIT_BYTES, _BEHIND_BYTES = 16 << 20, 4 << 10
 
 _QUOTE, _ESCAPE = ord('"'), ord("\\")
 _CHANGE = np.zeros(256, dtype=np.int8)
@@ -122,8 +122,9 @@ def _effect(file, row: dict, key: str | None) -> Iterator[tuple]:
     """What a range does to a scanner that enters it outside or inside a string."""
     escaped, data = _escapes_before(file, row["start"]), _read(file, row["start"], row["end"])
     _, change, _, ends = structure(data, escaped, 0)
-    _, other, _, _ = structure(data, escaped, 1)
-    yield row["path"], row["size"], row["start"], row["end"], ends, int(change.sum()), int(other.sum())
+    outside, every = int(change.sum()), int(_CHANGE[np.frombuffer(data, dtype=np.uint8)].sum(dtype=np.int64))
+    # entered inside a string, the other brackets count
+    yield row["path"], row["size"], row["start"], row["end"], ends, outside, every - outside
 
 
 def _starts(file, row: dict, key: str | None):
@@ -148,9 +149,11 @@ def _elements(file, row: dict, key: str | None) -> Iterator[tuple]:
     if not places:
         return
     start, level = row["start"], 1 if key is None else 2
-    data, more = _read(file, start, row["end"]), READ_BYTES
+    # most often the last element goes on behind the range, and by less than the range's size
+    more = max((row["end"] - start) // 8, _BEHIND_BYTES)
+    escaped, data = _escapes_before(file, start), _read(file, start, row["end"] + more)
     while True:
-        at, change, behind, _ = structure(data, _escapes_before(file, start), row["inside"])
+        at, change, behind, _ = structure(data, escaped, row["inside"])
         closed = at[(change < 0) & (behind + row["depth"] == level)]
         end = np.searchsorted(closed, places)
         if end[-1] < len(closed):
@@ -175,8 +178,7 @@ def json_elements(files: DataFrame, key: str | None = "items", split_bytes: int
     def scan(df: DataFrame, run_one, schema: str) -> DataFrame:
         fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
         types = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[t] for _, t in fields]
-        dealt = df.repartition(F.col("path"), F.col("start"))
-        return run_on_batches(dealt, _scan(key, store, run_one, schema, [n for n, _ in fields], types), schema)
+        return run_on_batches(deal_ranges(df), _scan(key, store, run_one, schema, [n for n, _ in fields], types), schema)
 
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
 

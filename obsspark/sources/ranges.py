@@ -121,6 +121,14 @@ def file_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     return at.select(*files.columns, *_bounds(F.col("at"), split_bytes))
 
 
+def deal_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges (path, start, ...), each a row that stands for far more bytes, dealt to as many tasks as a shuffle has.
+
+    The number is given, as rows so small would otherwise be put together into one task."""
+    n = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(n, F.col("path"), F.col("start"))
+
+
 def _pieces(file, start: int, compressed: bool) -> Iterator[bytes]:
     if not compressed:
         file.seek(start)
@@ -207,7 +215,7 @@ def read_ranges(ranges: DataFrame, columns: list[str]) -> DataFrame:
                     yield done()
 
     needed = list(dict.fromkeys([*columns, "path", "start", "end", "skip"]))
-    return run_on_batches(ranges.select(*needed).repartition(F.col("path"), F.col("start")), run, schema)
+    return run_on_batches(deal_ranges(ranges.select(*needed)), run, schema)
 
 
 def _counted(ranges: DataFrame) -> DataFrame:
@@ -220,7 +228,7 @@ def _counted(ranges: DataFrame) -> DataFrame:
             here = [count_lines(r["path"], r["start"], r["end"], r["size"], default) for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(here, pa.int64())], [*batch.schema.names, "here"])
 
-    own = ranges.select("path", "size", "at", "start", "end").repartition(F.col("path"), F.col("start"))
+    own = deal_ranges(ranges.select("path", "size", "at", "start", "end"))
     return run_on_batches(own, run, "path string, size long, at long, start long, end long, here long")
 
 

@@ -1,12 +1,14 @@
 """Elements of JSON documents cut at any byte."""
 
+import io
 import json
 import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from obsspark.sources.json_ranges import json_elements, json_files
+from obsspark.sources.json_ranges import _elements, json_elements, json_files, structure
 
 
 def _document(r, key):
@@ -57,3 +59,36 @@ def test_a_cut_document_raises(spark, tmpdir_fresh):
         f.write('{"items": [{"a": 1}, {"b": [1, 2')
     with pytest.raises(Exception, match="no whole JSON document"):
         json_elements(json_files(spark, path), "items", 8).collect()
+
+
+def test_ranges_are_dealt_to_several_tasks(spark, tmpdir_fresh):
+    """A range's row is small, what it stands for is not: rows are not put together into one task."""
+    with open(os.path.join(tmpdir_fresh, "a.json"), "w") as f:
+        json.dump({"items": [{"id": i} for i in range(500)]}, f)
+    found = json_elements(json_files(spark, tmpdir_fresh), "items", 64)
+    tasks = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 500 and len(tasks) > 1
+    assert max(r["count"] for r in tasks) < 250
+
+
+def test_a_range_is_read_little_beyond_its_end():
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            data = super().read(size)
+            self.n += len(data)
+            return data
+
+    items = [{"id": i, "x": "y" * (90_000 if i == 700 else 50)} for i in range(40_000)]
+    data, size = json.dumps({"items": items}).encode(), 1 << 16
+    got, longest = [], 0
+    for start in range(0, len(data), size):
+        places, _, behind, inside = structure(data[:start], 0, 0)
+        file = Counted(data)
+        row = {"path": "p", "start": start, "end": min(start + size, len(data)), "inside": inside, "depth": int(behind[-1]) if len(behind) else 0,
+               "carried": start > 0, "number": len(got)}
+        got += [(n, json.loads(text)) for _, n, text in _elements(file, row, "items")]
+        longest = max(longest, file.n)
+    assert got == list(enumerate(items))
+    assert longest < 8 * size

@@ -108,3 +108,13 @@ def test_sources_share_files_and_report_unreadable_ones(spark, tmpdir_fresh):
     assert [(r.service, r["at"], r.code) for r in errors.collect()] == [("t", 1, "ENOENT")]
     none = file_source_lines(spark, src.filter("file is null"), ("service", "at"), tail_lines=2)
     assert none[0].count() == none[1].count() == 0
+
+
+def test_ranges_of_files_are_dealt_to_several_tasks(spark, tmpdir_fresh):
+    path = os.path.join(tmpdir_fresh, "a")
+    with open(path, "w") as f:
+        f.write("line\n" * 500)
+    files = list_files(spark.createDataFrame([(path,)], "file string"))
+    for lines in (read_ranges(file_ranges(files, 50).withColumn("skip", F.lit(0)), ["path"]), tail_files(files, 500, 50)):
+        tasks = lines.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert sum(r["count"] for r in tasks) == 500 and len(tasks) > 1
